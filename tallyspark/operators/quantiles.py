@@ -12,8 +12,6 @@ Interpolation is NumPy's linear rule (pandas ``describe``/``quantile``).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +30,15 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
     sketch = x.agg(F.count(F.lit(1)).alias("n"),
                    F.percentile_approx("x", cuts, 10 * buckets).alias("splits"))
     n = sketch.select("n").scalar()
-    splits = sketch.select("splits").scalar()
-
-    hb = hist.withColumn("b", F.size(F.filter(splits, lambda s: s < F.col("x"))))
+    # bucket b holds splits[b-1] < x <= splits[b]; ``buckets`` rows, so the
+    # range join below broadcasts a size-bounded side.
+    bounds = (sketch.select("splits", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("b"))
+              .select("b",
+                      F.when(F.col("b") > 0, F.col("splits")[F.col("b") - 1]).alias("lo"),
+                      F.when(F.col("b") < buckets - 1, F.col("splits")[F.col("b")]).alias("hi")))
+    inside = ((F.col("lo").isNull() | (F.col("x") > F.col("lo")))
+              & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
+    hb = hist.join(F.broadcast(bounds), inside).select("x", "c", "b")
     per_bucket = hb.groupBy("b").agg(F.sum("c").alias("bc"))
     before = F.coalesce(F.sum("bc").over(Window.orderBy("b").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
@@ -64,6 +68,3 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
         cols.append(lerp(lo, hi, pv - F.floor(pv)).alias(name))
     return out.select(*cols)
 
-
-def _unused():  # pragma: no cover - keeps math imported for callers' type hints
-    return math.floor

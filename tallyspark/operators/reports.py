@@ -113,11 +113,11 @@ def insights(df: DataFrame) -> DataFrame:
     base = d.groupBy(USER).agg(
         F.count("amount").alias("total_transactions"),
         half_even(money_mean("amount")).alias("avg_transaction"),
-        half_even(F.coalesce(money_sum(F.when(wk, F.col("amount")))
-                             / F.count(F.when(wk, F.col("amount"))), F.lit(0.0))
+        half_even(F.coalesce(F.try_divide(money_sum(F.when(wk, F.col("amount"))),
+                                          F.count(F.when(wk, F.col("amount")))), F.lit(0.0))
                   ).alias("weekend_avg"),
-        half_even(F.coalesce(money_sum(F.when(~wk, F.col("amount")))
-                             / F.count(F.when(~wk, F.col("amount"))), F.lit(0.0))
+        half_even(F.coalesce(F.try_divide(money_sum(F.when(~wk, F.col("amount"))),
+                                          F.count(F.when(~wk, F.col("amount")))), F.lit(0.0))
                   ).alias("weekday_avg"))
     growth = month_growth(d).select(USER, half_even("growth_pct").alias("growth_rate"))
     return (base.join(months, USER).join(cats, USER).join(growth, USER)
@@ -185,7 +185,7 @@ def weekday_means(df: DataFrame) -> DataFrame:
     aggs = []
     for i in range(7):
         hit = F.when(wd == i, F.col("amount"))
-        aggs.append((money_sum(hit) / F.count(hit)).alias(f"m{i}"))
+        aggs.append(F.try_divide(money_sum(hit), F.count(hit)).alias(f"m{i}"))
     g = _dated(df).groupBy(USER).agg(*aggs)
     stack = "stack(7, " + ", ".join(f"{i}, m{i}" for i in range(7)) + ") AS (weekday, mean_amount)"
     return g.selectExpr(USER, stack)
