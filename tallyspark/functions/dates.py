@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import WEEKDAYS
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -18,7 +16,8 @@ def weekday(col) -> Column:
 
 
 def weekday_name(col) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), weekday(col) + 1)
+    """English weekday name (Monday ... Sunday); NULL for a NULL date."""
+    return F.date_format(_c(col), "EEEE")
 
 
 def is_weekend(col) -> Column:

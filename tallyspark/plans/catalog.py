@@ -1,3 +1,4 @@
 """Imports every plan module so that its queries register."""
 
 from . import q_reports  # noqa: F401
+from . import q_clean  # noqa: F401
