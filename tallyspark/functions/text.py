@@ -27,7 +27,7 @@ def currency_label(col, symbol: str = "") -> Column:
     """>= 100,000 -> 'x.xL'; >= 1,000 -> 'x.xK'; else whole number with
     thousands separators.  One decimal, half-even on the scaled double."""
     x = _c(col)
-    one_dec = lambda v: F.format_number(F.rint(v * 10) / 10, 1)
+    one_dec = lambda v: F.format_string("%.1f", F.rint(v * 10) / 10)
     return (
         F.when(x >= 100000, F.concat(F.lit(symbol), one_dec(x / 100000), F.lit("L")))
         .when(x >= 1000, F.concat(F.lit(symbol), one_dec(x / 1000), F.lit("K")))

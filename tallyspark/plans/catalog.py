@@ -2,3 +2,4 @@
 
 from . import q_reports  # noqa: F401
 from . import q_clean  # noqa: F401
+from . import q_books  # noqa: F401

@@ -106,6 +106,29 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budgets_from(exp_daily(spark, sf_dir))
 
 
+def budget_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming budget rows derived from the budgets: raise 'purchase'
+    budgets, set Overall twice (the later ``seq`` wins) and open next month."""
+    b = budgets(spark, sf_dir)
+    cat = b.filter(F.col("category") == "purchase").select(
+        "user_id", "month", "category", (F.col("budget_amount") + 50).alias("budget_amount"),
+        F.lit(1).alias("seq"))
+    ov = b.filter(F.col("category") == "Overall")
+    ov1 = ov.select("user_id", "month", "category",
+                    (F.col("budget_amount") + 100).alias("budget_amount"), F.lit(1).alias("seq"))
+    ov2 = ov.select("user_id", "month", "category",
+                    (F.col("budget_amount") + 200).alias("budget_amount"), F.lit(2).alias("seq"))
+    nxt = ov.select("user_id", F.lit("2024-02").alias("month"), "category",
+                    F.lit(3000.0).alias("budget_amount"), F.lit(1).alias("seq"))
+    return cat.unionByName(ov1).unionByName(ov2).unionByName(nxt)
+
+
+def purge_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts to delete: the customers of one market segment."""
+    return users(spark, sf_dir).filter(F.col("segment") == "AUTOMOBILE").select(
+        F.col("id").alias("user_id"))
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exp_daily(spark, sf_dir).selectExpr(*RAW_SELECT)
 
@@ -174,6 +197,14 @@ VIEW_SQL = {
         "UNION ALL "
         "SELECT user_id, month, 'Overall' AS category, CAST(2500 + (user_id % 5) * 500 AS DOUBLE) "
         "FROM (SELECT DISTINCT user_id, strftime(date, '%Y-%m') AS month FROM exp_daily) m"),
+    "budget_changes": (
+        "SELECT user_id, month, category, budget_amount + 50 AS budget_amount, 1 AS seq FROM budgets "
+        "WHERE category = 'purchase' UNION ALL "
+        "SELECT user_id, month, category, budget_amount + 100, 1 FROM budgets WHERE category = 'Overall' "
+        "UNION ALL SELECT user_id, month, category, budget_amount + 200, 2 FROM budgets "
+        "WHERE category = 'Overall' UNION ALL "
+        "SELECT user_id, '2024-02', category, 3000.0, 1 FROM budgets WHERE category = 'Overall'"),
+    "purge_users": "SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'AUTOMOBILE'",
     "raw": f"SELECT {_sel(RAW_SELECT)} FROM exp_daily",
     "raw_a": ("SELECT date_s AS date, category_s AS category, amount_s AS amount, notes_s AS notes, "
               "type_s AS transaction_type, payment_s AS payment_mode FROM raw WHERE id % 2 = 0"),
@@ -195,6 +226,7 @@ VIEW_SQL = {
 
 VIEW_DEPS = {
     "budgets": ["exp_daily"],
+    "budget_changes": ["budgets"],
     "raw": ["exp_daily"],
     "raw_a": ["raw"],
     "raw_b": ["raw"],
