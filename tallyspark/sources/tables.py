@@ -248,6 +248,8 @@ def with_views(sql: str, *names: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} AS (\n{VIEW_SQL[n]}\n)" for n in order)
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
