@@ -40,7 +40,7 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                       2 * F.col("precision") * F.col("recall")
                                       / (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    rows = per.filter(F.col("support") > 0).select(
+    rows = per.select(
         F.col("cls").alias("row"), "precision", "recall", "f1", F.col("support").cast("long"))
     tot = per.agg(F.sum("support").alias("N"), F.sum("tp").alias("TP"),
                   F.avg("precision").alias("mp"), F.avg("recall").alias("mr"),

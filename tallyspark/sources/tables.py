@@ -55,6 +55,7 @@ _DMY = ("concat(lpad(CAST(day(date) AS STRING), 2, '0'), '/', "
         "lpad(CAST(month(date) AS STRING), 2, '0'), '/', CAST(year(date) AS STRING))")
 RAW_SELECT = [
     "id",
+    "user_id",
     f"CASE WHEN id % 113 = 0 THEN 'not a date' WHEN id % 23 = 0 THEN {_DMY} "
     "ELSE CAST(date AS STRING) END AS date_s",
     "CASE WHEN id % 7 = 0 THEN (CASE id % 6 WHEN 0 THEN 'foodd' WHEN 1 THEN 'rnt' "
@@ -173,6 +174,14 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upd.unionByName(upd2).unionByName(dele).unionByName(ins)
 
 
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-user CSV uploads (all strings, capitalised header) over the raw rows."""
+    return _raw(spark, sf_dir).select(
+        "user_id", F.col("date_s").alias("Date"), F.col("category_s").alias("Category"),
+        F.col("amount_s").alias("Amount"), F.col("payment_s").alias("Payment_Mode"),
+        F.col("notes_s").alias("Notes"))
+
+
 def note_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled notes for the classifier: whole cleaned text -> language."""
     from ..functions import clean_text
@@ -211,6 +220,8 @@ VIEW_SQL = {
     "raw_b": ("SELECT date_s AS \"Date\", category_s AS \"Category\", amount_s AS \"Amount\", "
               "notes_s AS \"Note\", type_s AS \"Income/Expense\", payment_s AS \"Mode\" "
               "FROM raw WHERE id % 2 = 1"),
+    "uploads": ("SELECT user_id, date_s AS \"Date\", category_s AS \"Category\", amount_s AS \"Amount\", "
+                "payment_s AS \"Payment_Mode\", notes_s AS \"Notes\" FROM raw"),
     "changes": (
         "SELECT 'update' AS op, id, user_id, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS category, "
         "amount + 1 AS amount, CAST(NULL AS VARCHAR) AS payment_mode, CAST(NULL AS VARCHAR) AS notes, 1 AS seq "
@@ -229,6 +240,7 @@ VIEW_DEPS = {
     "budget_changes": ["budgets"],
     "raw": ["exp_daily"],
     "raw_a": ["raw"],
+    "uploads": ["raw"],
     "raw_b": ["raw"],
     "changes": ["exp_daily"],
 }
