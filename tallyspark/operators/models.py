@@ -51,7 +51,7 @@ def _arr_std(arr):
     return F.when(F.size(arr) > 1, F.sqrt(ss / (F.size(arr) - 1))).otherwise(F.lit(0.0))
 
 
-def _state(series: DataFrame, keys: list[str], depth: int) -> DataFrame:
+def series_state(series: DataFrame, keys: list[str], depth: int) -> DataFrame:
     """One row per key: last ds and its last ``depth`` values (bounded)."""
     w = Window.partitionBy(*keys).orderBy(F.col("ds").desc())
     last = series.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth)
@@ -95,7 +95,7 @@ def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict |
     train = feature_table_daily(daily.select(USER, F.col("ds").alias("date"), F.col("y").alias("amount")))
     model = fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT))
     depth = max(DAILY_LAGS)
-    state = cut_lineage(_state(daily, keys, depth))
+    state = cut_lineage(series_state(daily, keys, depth))
     start = state.select(*keys, "last_ds")
     for _ in range(periods):
         feats = daily_step_features(state, keys)
@@ -150,7 +150,7 @@ def monthly_recursive_forecast(series: DataFrame, predict, months: int = 6) -> D
     from the preceding values including earlier predictions.  ``predict``
     maps a feature frame to the same frame plus ``prediction``."""
     s = series.withColumn("_g", F.lit(0))
-    state = _state(s, ["_g"], 6)
+    state = series_state(s, ["_g"], 6)
     rows = None
     for _ in range(months):
         feats = monthly_step_features(state)

@@ -84,7 +84,11 @@ def _first_min(key: str, value: str):
 def month_growth(df: DataFrame) -> DataFrame:
     """Growth % of the last observed month over the one before;
     0 with fewer than two months or a previous total <= 0."""
-    m = monthly_totals(df)
+    return _growth(monthly_totals(df))
+
+
+def _growth(m: DataFrame) -> DataFrame:
+    """Growth of the last two rows of a (user, month, total) table."""
     w = Window.partitionBy(USER).orderBy(F.col("month").desc())
     top2 = m.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
     g = top2.groupBy(USER).agg(
@@ -99,27 +103,35 @@ def month_growth(df: DataFrame) -> DataFrame:
 
 
 def insights(df: DataFrame) -> DataFrame:
-    """The analytics summary, one row per user."""
+    """The analytics summary, one row per user.
+
+    One scan and one shuffle: the rows are pre-aggregated to (user, month,
+    category, weekend) with exact DECIMAL sums; the month, category and
+    user figures are roll-ups of that small table (Spark reuses its
+    exchange for every branch)."""
     d = _dated(df)
-    months = (monthly_totals(d).groupBy(USER)
-              .agg(_first_max("month", "total").alias("highest_month"),
-                   F.max("total").alias("highest_amount"),
-                   _first_min("month", "total").alias("lowest_month"),
-                   F.min("total").alias("lowest_amount")))
-    cats = (category_summary(d).groupBy(USER)
-            .agg(_first_max("category", "total").alias("top_category"),
-                 F.max("total").alias("top_category_amount")))
     wk = is_weekend("date")
-    base = d.groupBy(USER).agg(
-        F.count("amount").alias("total_transactions"),
-        half_even(money_mean("amount")).alias("avg_transaction"),
-        half_even(F.coalesce(F.try_divide(money_sum(F.when(wk, F.col("amount"))),
-                                          F.count(F.when(wk, F.col("amount")))), F.lit(0.0))
-                  ).alias("weekend_avg"),
-        half_even(F.coalesce(F.try_divide(money_sum(F.when(~wk, F.col("amount"))),
-                                          F.count(F.when(~wk, F.col("amount")))), F.lit(0.0))
-                  ).alias("weekday_avg"))
-    growth = month_growth(d).select(USER, half_even("growth_pct").alias("growth_rate"))
+    g = (d.groupBy(USER, month_key("date").alias("month"), "category", wk.alias("wk"))
+         .agg(F.sum(money("amount")).alias("s"), F.count("amount").alias("n")))
+    m = g.groupBy(USER, "month").agg(F.sum("s").cast("double").alias("total"))
+    c = g.groupBy(USER, "category").agg(F.sum("s").cast("double").alias("total"))
+    months = m.groupBy(USER).agg(_first_max("month", "total").alias("highest_month"),
+                                 F.max("total").alias("highest_amount"),
+                                 _first_min("month", "total").alias("lowest_month"),
+                                 F.min("total").alias("lowest_amount"))
+    cats = c.groupBy(USER).agg(_first_max("category", "total").alias("top_category"),
+                               F.max("total").alias("top_category_amount"))
+
+    def side_mean(flag):
+        sel = F.col("wk") == flag
+        return half_even(F.coalesce(F.try_divide(F.sum(F.when(sel, F.col("s"))).cast("double"),
+                                                 F.sum(F.when(sel, F.col("n")))), F.lit(0.0)))
+
+    base = g.groupBy(USER).agg(
+        F.sum("n").alias("total_transactions"),
+        half_even(F.sum("s").cast("double") / F.sum("n")).alias("avg_transaction"),
+        side_mean(True).alias("weekend_avg"), side_mean(False).alias("weekday_avg"))
+    growth = _growth(m).select(USER, half_even("growth_pct").alias("growth_rate"))
     return (base.join(months, USER).join(cats, USER).join(growth, USER)
             .select(USER, "highest_month", half_even("highest_amount").alias("highest_amount"),
                     "lowest_month", half_even("lowest_amount").alias("lowest_amount"),
@@ -228,15 +240,13 @@ def expense_summary(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: list[str], top: int | None = None) -> DataFrame:
     """Frequency of each value of each column, most frequent first
-    (ties: smallest value).  Long format: (column, value, n, rank)."""
-    parts = []
-    for c in columns:
-        parts.append(df.groupBy(F.col(c).alias("value")).count()
-                     .select(F.lit(c).alias("column"), "value",
-                             F.col("count").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    (ties: smallest value).  Long format: (column, value, n, rank).
+
+    One scan: the columns are unpivoted with ``stack`` and counted in a
+    single group-by; the top-n per column is a partial ``WindowGroupLimit``."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column, value)")
+    out = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
     out = out.withColumn("rank", F.row_number().over(w))
     return out.filter(F.col("rank") <= top) if top else out

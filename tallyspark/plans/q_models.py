@@ -208,3 +208,22 @@ def q_append_forecast_history(spark, sf):
 @register("synthetic_expenses")
 def q_synthetic_expenses(spark, sf):
     return synthetic_expenses(users(spark, sf), as_of="2024-06-30", days=30)
+
+
+@register("monthly_forecast_seed", """
+WITH ms AS (SELECT date_trunc('month', date) AS ds,
+  CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS y FROM exp_monthly
+  WHERE date IS NOT NULL AND amount > 0 AND amount <= 100000.0 GROUP BY 1),
+l6 AS (SELECT CAST(ds AS DATE) AS ds, y FROM ms ORDER BY ds DESC LIMIT 6),
+s AS (SELECT MAX(ds) AS last_ds, list(y ORDER BY ds) AS v FROM l6),
+n AS (SELECT CAST(last_ds + INTERVAL 1 MONTH AS DATE) AS ds, v FROM s)
+SELECT ds, CAST(month(ds) AS INTEGER) AS month_num, CAST(year(ds) AS INTEGER) AS year_num,
+       CAST(quarter(ds) AS INTEGER) AS quarter, v[-1] AS lag_1, v[-2] AS lag_2, v[-3] AS lag_3,
+       ((v[-3] + v[-2]) + v[-1]) / 3 AS rolling_3,
+       (((((v[-6] + v[-5]) + v[-4]) + v[-3]) + v[-2]) + v[-1]) / 6 AS rolling_6
+FROM n""", ("exp_monthly",))
+def q_monthly_forecast_seed(spark, sf):
+    """M5 seed: the first future month's features from the last six actual
+    months (the part of the recursion that needs no model)."""
+    state = T.series_state(monthly(spark, sf).withColumn("_g", F.lit(0)), ["_g"], 6)
+    return T.monthly_step_features(state).select("ds", *T.MONTHLY_FEATURES)
