@@ -138,7 +138,7 @@ _REQ = ["id", "user_id", "date", "category", "amount", "payment_mode", "notes"]
 
 
 @register("check_required_columns", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM exp_monthly" for c in _REQ),
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM exp_monthly" for c in _REQ),
     ("exp_monthly",))
 def q_check_required_columns(spark, sf):
     return L.check_required_columns(exp_monthly(spark, sf), _REQ)

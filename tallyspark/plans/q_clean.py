@@ -128,7 +128,7 @@ vc AS (SELECT 'category' AS "column", category AS value, COUNT(*) AS n FROM fill
        UNION ALL SELECT 'transaction_type', transaction_type, COUNT(*) FROM filled GROUP BY 2
        UNION ALL SELECT 'payment_mode', payment_mode, COUNT(*) FROM filled GROUP BY 2
        UNION ALL SELECT 'notes', notes, COUNT(*) FROM filled GROUP BY 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC NULLS LAST) AS rank
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC NULLS LAST) AS INTEGER) AS rank
                FROM vc) WHERE rank <= 20""", RAW)
 def q_value_counts(spark, sf):
     a, b = _chain(spark, sf)
@@ -202,9 +202,9 @@ def q_distinct_note_category(spark, sf):
 
 
 @register("outlier_audit", f"""WITH {STAGES}
-SELECT count_if(amount = 999999999.0) AS n_sentinel_999999999, count_if(amount = 999999.0) AS n_sentinel_999999,
-       count_if(amount < 0) AS n_negative, count_if(amount > 100000.0) AS n_over_cap,
-       count_if(amount = 0) AS n_zero, COUNT(*) AS n_rows FROM loaded""", RAW)
+SELECT CAST(count_if(amount = 999999999.0) AS BIGINT) AS n_sentinel_999999999, CAST(count_if(amount = 999999.0) AS BIGINT) AS n_sentinel_999999,
+       CAST(count_if(amount < 0) AS BIGINT) AS n_negative, CAST(count_if(amount > 100000.0) AS BIGINT) AS n_over_cap,
+       CAST(count_if(amount = 0) AS BIGINT) AS n_zero, COUNT(*) AS n_rows FROM loaded""", RAW)
 def q_outlier_audit(spark, sf):
     return C.outlier_audit(C.combine_sources(*_chain(spark, sf)))
 

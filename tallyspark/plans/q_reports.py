@@ -218,7 +218,7 @@ def q_amount_histogram(spark, sf):
 
 
 _RANKED = f"""t AS (SELECT user_id, category, {msum('amount')} AS total FROM {{src}} GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, category ASC) AS rank FROM t)"""
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, category ASC) AS INTEGER) AS rank FROM t)"""
 
 
 @register("category_breakdown", f"""
@@ -271,7 +271,7 @@ def q_daily_moving_average(spark, sf):
 
 
 @register("recent_transactions", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rank
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS INTEGER) AS rank
                FROM exp_daily) WHERE rank <= 8""", ("exp_daily",))
 def q_recent_transactions(spark, sf):
     return R.recent_transactions(exp_daily(spark, sf))
