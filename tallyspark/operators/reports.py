@@ -13,6 +13,8 @@ Conventions
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +144,7 @@ def insights(df: DataFrame) -> DataFrame:
 
 def dashboard_kpis(df: DataFrame, start: str, end: str) -> DataFrame:
     """KPIs of the date window [start, end] (inclusive) per user."""
-    days = max((F_date(end) - F_date(start)).days, 1)
+    days = max((date.fromisoformat(end) - date.fromisoformat(start)).days, 1)
     w = df.filter((F.col("date") >= F.lit(start).cast("date"))
                   & (F.col("date") <= F.lit(end).cast("date")))
     cats = (category_summary(w).groupBy(USER)
@@ -158,11 +160,6 @@ def dashboard_kpis(df: DataFrame, start: str, end: str) -> DataFrame:
                     "top_category", "top_category_amount"))
 
 
-def F_date(s: str):
-    import datetime as _dt
-    return _dt.date.fromisoformat(s)
-
-
 def month_over_month(df: DataFrame, as_of: str) -> DataFrame:
     """A10: this calendar month (from its 1st, no upper bound, as the
     reference) vs the previous calendar month, as of a given date."""

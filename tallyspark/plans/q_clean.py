@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import clean as C
 from ..operators import reports as R
 from ..schema import (CATEGORY_MAP, INVALID_NOTES, INVESTMENT, INVESTMENT_MODES, MANUAL_CATEGORY,
                       MERGED_CATEGORIES, PAYMENT_MAP)
-from ..sources.tables import exp_daily, exp_monthly, raw_a, raw_b
+from ..sources.tables import exp_monthly, raw_a, raw_b
 from .registry import register
 
 
