@@ -12,9 +12,10 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
                        keys=()) -> DataFrame:
     """N, MAE, RMSE and R^2 (per key, or overall)."""
     e = F.col(actual) - F.col(predicted)
-    mean_y = df.groupBy(*keys).agg(F.avg(actual).alias("_ybar"))
-    j = df.join(mean_y, list(keys)) if keys else df.join(mean_y.withColumn("_g", F.lit(0)),
-                                                        F.lit(0) == F.col("_g"))
+    if keys:
+        j = df.join(df.groupBy(*keys).agg(F.avg(actual).alias("_ybar")), list(keys))
+    else:
+        j = df.withColumn("_ybar", df.select(F.avg(actual)).scalar())
     d = F.col(actual) - F.col("_ybar")
     return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

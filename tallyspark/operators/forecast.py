@@ -67,6 +67,20 @@ def _t(unit: str):
             else F.months_between("ds", "origin").cast("int"))
 
 
+GLOBAL = "_g"
+
+
+def _attach(frame: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Add a per-key table's columns to ``frame``: an equi-join on the keys,
+    or, for the single all-key series, one scalar struct subquery (the
+    table has one row) instead of a join on a constant."""
+    if keys == [GLOBAL]:
+        cols = [c for c in table.columns if c != GLOBAL]
+        st = table.select(F.struct(*cols)).scalar()
+        return frame.select("*", *[st[c].alias(c) for c in cols])
+    return frame.join(table, keys)
+
+
 def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day") -> dict:
     """Trend and seasonal effects per key from exact sums.
 
@@ -76,7 +90,7 @@ def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day") ->
     sequence of double operations.  Yearly effects apply only with two years
     of history."""
     span = series.groupBy(*keys).agg(F.min("ds").alias("origin"), F.max("ds").alias("last_ds"))
-    s = (series.join(span, keys)
+    s = (_attach(series, span, keys)
          .withColumn("t", _t(unit).cast("decimal(38,0)"))
          .withColumn("cents", F.round(F.col("y") * 100).cast("decimal(38,0)")))
     g = s.groupBy(*keys).agg(
@@ -88,14 +102,14 @@ def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day") ->
     g = g.withColumn("b", F.when(den != 0, num / den / 100.0).otherwise(F.lit(0.0)))
     g = g.withColumn("a", (F.col("SY").cast("double") / 100.0
                            - F.col("b") * F.col("St").cast("double")) / F.col("n").cast("double"))
-    params = (g.select(*keys, "a", "b").join(span, keys)
+    params = (_attach(g.select(*keys, "a", "b"), span, keys)
               .withColumn("yearly", F.datediff("last_ds", "origin") >= 730))
 
     def effect(expr, name):
         e = (s.withColumn("k", expr).groupBy(*keys, "k")
              .agg(F.count(F.lit(1)).cast("double").alias("_n"),
                   F.sum("cents").cast("double").alias("_sy"), F.sum("t").cast("double").alias("_st")))
-        return e.join(params.select(*keys, "a", "b"), keys).select(
+        return _attach(e, params.select(*keys, "a", "b"), keys).select(
             *keys, F.col("k").alias(f"{name}_key"),
             (F.col("_sy") / 100.0 / F.col("_n")
              - (F.col("a") + F.col("b") * (F.col("_st") / F.col("_n")))).alias(f"{name}_eff"))
@@ -107,7 +121,7 @@ def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day") ->
 
 
 def _fitted(frame: DataFrame, fit: dict, keys: list[str], unit: str) -> DataFrame:
-    f = frame.join(fit["params"], keys).withColumn("_trend", F.col("a") + F.col("b") * _t(unit).cast("double"))
+    f = _attach(frame, fit["params"], keys).withColumn("_trend", F.col("a") + F.col("b") * _t(unit).cast("double"))
     comp = F.col("_trend")
     if "week" in fit["effects"]:
         f = f.withColumn("week_key", F.weekday("ds")).join(fit["effects"]["week"],
@@ -128,10 +142,10 @@ def seasonal_trend_forecast(series: DataFrame, periods: int = 30, keys=(USER,),
     default next ``periods`` days / months (e.g. a holdout's dates)."""
     keys = list(keys)
     glob = not keys
-    if glob:  # one all-key series: a constant key keeps every join an equi-join
-        series = series.withColumn("_g", F.lit(0))
-        keys = ["_g"]
-        future = future.withColumn("_g", F.lit(0)) if future is not None else None
+    if glob:  # one all-key series: parameters attach as scalars (see _attach)
+        series = series.withColumn(GLOBAL, F.lit(0))
+        keys = [GLOBAL]
+        future = future.withColumn(GLOBAL, F.lit(0)) if future is not None else None
     else:
         series, _ = eligible(series, min_history, keys)
     fit = seasonal_trend_fit(series, keys, unit)
@@ -146,7 +160,7 @@ def seasonal_trend_forecast(series: DataFrame, periods: int = 30, keys=(USER,),
             seq = F.sequence(F.add_months("last_ds", 1), F.add_months("last_ds", periods),
                              F.expr("INTERVAL 1 MONTH"))
         future = last.select(*keys, F.explode(seq).alias("ds"))
-    f = _fitted(future.select(*keys, "ds"), fit, keys, unit).join(sig, keys)
+    f = _attach(_fitted(future.select(*keys, "ds"), fit, keys, unit), sig, keys)
     half = F.lit(INTERVAL_Z80) * F.col("sigma")
     out_keys = [] if glob else keys
     return f.select(*out_keys, "ds",

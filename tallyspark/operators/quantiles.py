@@ -1,10 +1,11 @@
 """Exact quantiles without gathering a column into one task.
 
 1. ``hist``: (value, count) — a partial-aggregated group-by, so a value that
-   holds a third of all rows is still one row.
-2. Approximate split points (a bounded sketch) cut the value range into
-   ``buckets`` ranges; per-range counts (at most ``buckets`` rows) give each
-   range's first rank.
+   holds a third of all rows is still one row.  It is the only pass over
+   the input.
+2. Approximate split points over the distinct values (a bounded sketch) cut
+   them into ``buckets`` ranges; per-range counts (at most ``buckets`` rows)
+   give each range's first rank and the total.
 3. Only the ranges holding a wanted rank are ordered, each in its own window
    partition, to read the value at that rank.
 Interpolation is NumPy's linear rule (pandas ``describe``/``quantile``).
@@ -25,13 +26,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
                     buckets: int = 256) -> DataFrame:
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    # the only pass over the rows: (value, count), reduced map-side
     hist = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    # split points over the *distinct* values balance the ranges by what
+    # the later ordering has to sort
     cuts = [i / buckets for i in range(1, buckets)]
-    sketch = x.agg(F.count(F.lit(1)).alias("n"),
-                   F.percentile_approx("x", cuts, 10 * buckets).alias("splits"))
-    n = sketch.select("n").scalar()
-    # bucket b holds splits[b-1] < x <= splits[b]; ``buckets`` rows, so the
-    # range join below broadcasts a size-bounded side.
+    sketch = hist.agg(F.percentile_approx("x", cuts, 10 * buckets).alias("splits"))
+    # bucket b holds splits[b-1] < x <= splits[b]: ``buckets`` rows, so the
+    # range join broadcasts a size-bounded side
     bounds = (sketch.select("splits", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("b"))
               .select("b",
                       F.when(F.col("b") > 0, F.col("splits")[F.col("b") - 1]).alias("lo"),
@@ -39,32 +41,31 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
     inside = ((F.col("lo").isNull() | (F.col("x") > F.col("lo")))
               & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
     hb = hist.join(F.broadcast(bounds), inside).select("x", "c", "b")
+    # per-range counts: at most ``buckets`` rows, one ordered partition is fine
     per_bucket = hb.groupBy("b").agg(F.sum("c").alias("bc"))
     before = F.coalesce(F.sum("bc").over(Window.orderBy("b").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
-    # bounded by ``buckets`` rows: a single ordered partition is fine here
-    starts = per_bucket.withColumn("start", before)
-
+    starts = (per_bucket.withColumn("start", before)
+              .withColumn("n", F.sum("bc").over(Window.partitionBy())))
     # wanted 0-based ranks: floor and ceil of (n-1)*p for every p
-    pos = [(F.lit(p) * (n - 1)) for p in probs]
+    pos = [F.lit(p) * (F.col("n") - 1) for p in probs]
     ranks = F.array_distinct(F.array(*[F.floor(p) for p in pos], *[F.ceil(p) for p in pos]))
     wanted = (starts.withColumn("r", F.explode(ranks))
               .filter((F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("bc")))
-              .select("b", "start", "r"))
-    # wanted has at most 2*len(probs) rows: broadcast is size-bounded
-    wanted = F.broadcast(wanted)
-    vals = hb.join(wanted.select("b", "start").distinct(), "b")
+              .select("b", "start", "r", "n"))
+    # at most 2*len(probs) rows: size-bounded broadcasts
+    vals = hb.join(F.broadcast(wanted.select("b", "start").distinct()), "b")
     wv = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("end", F.col("start") + F.sum("c").over(wv))
-    at = (vals.join(wanted.select("b", "r"), "b")
+    at = (vals.join(F.broadcast(wanted.select("b", "r", "n")), "b")
           .filter((F.col("r") >= F.col("end") - F.col("c")) & (F.col("r") < F.col("end")))
-          .select("r", "x"))
-    out = at.agg(*[F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("m")])
+          .select("r", "x", "n"))
+    out = at.agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("m"),
+                 F.max("n").alias("n"))
     cols = []
     for p, name in zip(probs, names):
-        pv = F.lit(p) * (F.lit(n) - 1)
+        pv = F.lit(p) * (F.col("n") - 1)
         lo = F.element_at("m", F.floor(pv))
         hi = F.element_at("m", F.ceil(pv))
         cols.append(lerp(lo, hi, pv - F.floor(pv)).alias(name))
     return out.select(*cols)
-

@@ -244,9 +244,11 @@ def value_counts(df: DataFrame, columns: list[str], top: int | None = None) -> D
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column, value)")
     out = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if not top:
+        # full listing: a range-partitioned sort, not one window per column
+        return out.orderBy("column", F.col("n").desc(), F.col("value").asc_nulls_last())
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    out = out.withColumn("rank", F.row_number().over(w))
-    return out.filter(F.col("rank") <= top) if top else out
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def note_category_counts(df: DataFrame) -> DataFrame:
@@ -292,7 +294,9 @@ def describe_amount(df: DataFrame, col: str = "amount") -> DataFrame:
                   F.min("x").alias("min"),
                   F.max("x").alias("max"))
     q = exact_quantiles(x, "x", [0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
-    return stats.select("*", *[q.select(c).scalar().alias(c) for c in ("q25", "q50", "q75")])
+    # attach the one-row quartile frame as one scalar struct
+    qs = q.select(F.struct("q25", "q50", "q75")).scalar()
+    return stats.select("*", *[qs[c].alias(c) for c in ("q25", "q50", "q75")])
 
 
 def null_profile(df: DataFrame) -> DataFrame:
