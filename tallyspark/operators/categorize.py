@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import half_even
 from ..schema import MIN_CATEGORY_ROWS
+from .skew import salted_join
 
 TOKEN_MIN = 2
 
@@ -43,7 +44,7 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
     """K2: (doc, token, tfidf) with raw counts, smoothed idf and L2 norm.
 
     A very common token is one key of the document-frequency group-by
-    (partial aggregation) and of the tf-idf join (AQE splits a skewed side)."""
+    (partial aggregation) and is split over sub-keys in the tf-idf join."""
     # one (doc, token) count feeds the df, the weights and the norms: the
     # branches are kept identical so Spark reuses a single shuffle
     tf = (tokens(df.filter(F.col(doc).isNotNull()), text, doc)
@@ -52,7 +53,10 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
     n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()  # scalar subquery
     idf = dfreq.select("token", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
                                  + F.lit(1.0)).alias("idf"))
-    w = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    # a very common token is split over sub-keys (its rows are one per document)
+    w = salted_join(tf, idf, ["token"], salt_from=[doc],
+                    counts=dfreq.select("token", F.col("df").alias("_n")))
+    w = w.withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return (w.join(norm, doc)
             .select(doc, "token", half_even(F.col("w") / F.col("norm"), digits).alias("tfidf")))
@@ -61,8 +65,10 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
 def keep_frequent_categories(df: DataFrame, min_rows: int = MIN_CATEGORY_ROWS,
                              col: str = "category") -> DataFrame:
     """Rows whose category has at least ``min_rows`` rows."""
-    big = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
-    return df.join(big.select(col), col, "left_semi")
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    big = counts.filter(F.col("_n") >= min_rows).select(col)
+    # few categories, each possibly huge: hot ones are split over sub-keys
+    return salted_join(df, big, [col], "left_semi", counts=counts)
 
 
 def train_category_model(train: DataFrame, text: str = "clean_notes", label: str = "category",

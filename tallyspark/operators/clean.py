@@ -3,8 +3,8 @@
 Lookups against the fixed mapping tables are literal ``map`` expressions
 (a handful of entries), evaluated inside whole-stage codegen: no join, no
 shuffle.  The one data-dependent lookup, note -> dominant category (J1), is
-a shuffle join of the rows against a one-row-per-note table; a note carrying
-a third of all rows is split by AQE's skew-join handling.
+a join of the rows against a one-row-per-note table; a note carrying a
+large share of all rows is spread over sub-keys (``skew.salted_join``).
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from ..functions import weekday_name
 from ..schema import (AMOUNT_CAP, CATEGORY_MAP, INVALID_NOTES, INVESTMENT, INVESTMENT_MODES,
                       MANUAL_CATEGORY, MERGED_CATEGORIES, MISSING, PAYMENT_MAP, RAW_COLUMNS,
                       SENTINEL_AMOUNTS)
-from .reports import dominant_category
+from .reports import dominant_category, note_category_counts
+from .skew import salted_join
 
 # second source's column names -> common names
 RENAME_B = {"Date": "date", "Category": "category", "Amount": "amount", "Note": "notes",
@@ -83,9 +84,12 @@ def normalise_category(df: DataFrame) -> DataFrame:
 def resolve_note_category(df: DataFrame) -> DataFrame:
     """Every row takes its note's most frequent category (ties: the
     smallest category).  Notes with a single category keep it, so applying
-    it to all notes equals applying it to the conflicted ones."""
-    dom = dominant_category(df).select("notes", "dominant_category")
-    return (df.join(dom, "notes", "left")
+    it to all notes equals applying it to the conflicted ones.  A note
+    holding a large share of the rows is split over sub-keys (``salted_join``)."""
+    counts = note_category_counts(df)
+    dom = dominant_category(df, counts).select("notes", "dominant_category")
+    per_note = counts.groupBy("notes").agg(F.sum("n").alias("_n"))
+    return (salted_join(df, dom, ["notes"], "left", counts=per_note)
             .withColumn("category", F.coalesce(F.col("dominant_category"), F.col("category")))
             .drop("dominant_category")
             .select(*df.columns))

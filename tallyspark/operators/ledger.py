@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 EXPENSE_COLS = ["id", "user_id", "date", "category", "amount", "payment_mode", "notes"]
 EXPENSE_KEY = ["id", "user_id"]
 BUDGET_KEY = ["user_id", "month", "category"]
@@ -55,14 +57,15 @@ def delete_expenses(base: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def purge_user_expenses(base: DataFrame, users: DataFrame) -> DataFrame:
-    """L4: drop every expense of the given users."""
-    return base.join(users.select("user_id").distinct(), "user_id", "left_anti")
+    """L4: drop every expense of the given users (a very active user's rows
+    are split over sub-keys)."""
+    return salted_join(base, users.select("user_id").distinct(), ["user_id"], "left_anti")
 
 
 def purge_user_cascade(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
     """Deleting users deletes their rows from every dependent table."""
     gone = users.select("user_id").distinct()
-    return {name: t.join(gone, "user_id", "left_anti") for name, t in tables.items()}
+    return {name: salted_join(t, gone, ["user_id"], "left_anti") for name, t in tables.items()}
 
 
 def upsert_budgets(budgets: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
@@ -90,4 +93,4 @@ def check_required_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def check_orphans(df: DataFrame, users: DataFrame, fk: str = "user_id") -> DataFrame:
     """Rows whose foreign key has no user."""
-    return df.join(users.select(F.col("id").alias(fk)).distinct(), fk, "left_anti")
+    return salted_join(df, users.select(F.col("id").alias(fk)).distinct(), [fk], "left_anti")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (half_even, is_weekend, iso_week, money, money_mean, money_sum,
                          month_key, weekday)
+from .skew import salted_join
 
 USER = "user_id"
 
@@ -262,12 +263,12 @@ def note_conflicts(df: DataFrame, only_conflicts: bool = True) -> DataFrame:
     return out.filter(F.col("n_categories") > 1) if only_conflicts else out
 
 
-def dominant_category(df: DataFrame) -> DataFrame:
+def dominant_category(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """A4: most frequent category per note (ties: smallest category).
 
     The window runs over (note, category) counts, at most one row per
     category of a note — bounded however large a note's group is."""
-    counts = note_category_counts(df)
+    counts = note_category_counts(df) if counts is None else counts
     w = Window.partitionBy("notes").orderBy(F.col("n").desc(), F.col("category").asc())
     return (counts.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
             .select("notes", F.col("category").alias("dominant_category"), "n"))
@@ -323,8 +324,10 @@ def amount_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
     """Counts in ``bins`` equal-width bins between each user's min and
     max (max falls in the last bin).  Only non-empty bins are returned."""
     x = df.filter(F.col("amount").isNotNull())
-    rng = x.groupBy(USER).agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"))
-    j = x.select(USER, "amount").join(rng, USER)
+    rng = x.groupBy(USER).agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"),
+                              F.count(F.lit(1)).alias("_n"))
+    j = salted_join(x.select(USER, "id", "amount"), rng.drop("_n"), [USER],
+                    salt_from=["id"], counts=rng.select(USER, "_n"))
     width = F.col("hi") - F.col("lo")
     b = F.when(width > 0,
                F.least(F.floor((F.col("amount") - F.col("lo")) / width * bins) + 1,
@@ -335,10 +338,12 @@ def amount_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
             .drop("lo", "hi"))
 
 
-def _ranked_categories(df: DataFrame) -> DataFrame:
-    tot = df.groupBy(USER, "category").agg(money_sum("amount").alias("total"))
+def _ranked_categories(df: DataFrame, with_count: bool = False) -> DataFrame:
+    tot = df.groupBy(USER, "category").agg(money_sum("amount").alias("total"),
+                                           F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(USER).orderBy(F.col("total").desc(), F.col("category").asc())
-    return tot.withColumn("rank", F.row_number().over(w))
+    out = tot.withColumn("rank", F.row_number().over(w))
+    return out if with_count else out.drop("_n")
 
 
 def category_breakdown(df: DataFrame, top: int = 8) -> DataFrame:
@@ -355,8 +360,10 @@ def top_categories(df: DataFrame, top: int = 8) -> DataFrame:
 
 def category_trend(df: DataFrame, top: int = 5) -> DataFrame:
     """Monthly sums of each user's ``top`` categories by total."""
-    tops = top_categories(df, top).select(USER, "category")
-    d = _dated(df).join(tops, [USER, "category"], "left_semi")
+    ranked = _ranked_categories(df, with_count=True)
+    tops = ranked.filter(F.col("rank") <= top).select(USER, "category")
+    d = salted_join(_dated(df), tops, [USER, "category"], "left_semi", salt_from=["id"],
+                    counts=ranked.select(USER, "category", "_n"))
     return (d.groupBy(USER, "category", month_key("date").alias("month"))
             .agg(money_sum("amount").alias("total")))
 
