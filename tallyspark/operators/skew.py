@@ -3,9 +3,9 @@
 A key can hold a large share of all rows (one note, one user, one token).
 A plain shuffle join sends all of that key's rows to one task.  Here the
 hot keys are found from the per-key counts (a map-side reduced
-aggregation); a key is hot above ``max(min_rows, N / max_hot)`` rows, so
-there are at most ``max_hot`` of them and their list is broadcast with a
-proven bound.  A hot key's rows are spread over ``salts`` sub-keys by a
+aggregation): the ``max_hot`` largest keys above ``min_rows`` rows, which
+include every key above ``max(min_rows, N / max_hot)``; the list is at most
+``max_hot`` rows and is broadcast with that proven bound.  A hot key's rows are spread over ``salts`` sub-keys by a
 hash of the row id, and the table's row for that key is copied once per
 sub-key; every other key joins unchanged (sub-key 0).
 """
@@ -22,13 +22,17 @@ SALTS = 64
 
 def hot_keys(counts: DataFrame, key: list[str], n_col: str = "_n", max_hot: int | None = None,
              min_rows: int | None = None) -> DataFrame:
-    """Keys whose count exceeds ``max(min_rows, total / max_hot)``: at most
-    ``max_hot`` rows whatever the data size."""
+    """The ``max_hot`` largest keys that hold more than ``min_rows`` rows.
+
+    Every key above ``N / max_hot`` rows is among the ``max_hot`` largest
+    (there cannot be more of them), so this covers every key above
+    ``max(min_rows, N / max_hot)`` while staying at most ``max_hot`` rows.
+    A top-k (partial per task, then merged) needs no total and no sort."""
     max_hot = max_hot or MAX_HOT
     min_rows = MIN_ROWS if min_rows is None else min_rows
-    total = counts.select(F.sum(n_col)).scalar()
-    threshold = F.greatest(F.lit(min_rows).cast("double"), total.cast("double") / max_hot)
-    return counts.filter(F.col(n_col) > threshold).select(*key)
+    return (counts.filter(F.col(n_col) > min_rows)
+            .orderBy(F.col(n_col).desc(), *[F.col(k) for k in key]).limit(max_hot)
+            .select(*key))
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner",
