@@ -15,6 +15,7 @@ from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normal
                                 RegexTokenizer, StringIndexer, IndexToString)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +73,14 @@ def keep_frequent_categories(df: DataFrame, min_rows: int = MIN_CATEGORY_ROWS,
 
 
 def train_category_model(train: DataFrame, text: str = "clean_notes", label: str = "category",
-                         max_iter: int = 1000) -> PipelineModel:
+                         max_iter: int = 1000, tol: float = 1e-4) -> PipelineModel:
     """K3: tokens -> counts -> smoothed idf -> L2 -> multinomial logistic
-    regression (L2 penalty with C = 1, i.e. regParam = 1/n, unstandardised)."""
+    regression (L2 penalty with C = 1, i.e. regParam = 1/n, unstandardised;
+    at most 1000 iterations, stopping tolerance 1e-4 as the reference's
+    library defaults)."""
+    # the fit passes over the training rows several times (vocabulary, idf,
+    # labels, iterations): keep them once instead of re-cleaning the texts
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\w\\w+", gaps=False)
     cv = CountVectorizer(inputCol="_tok", outputCol="_tf")
     lab = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
@@ -88,11 +94,12 @@ def train_category_model(train: DataFrame, text: str = "clean_notes", label: str
         ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=scale),
         Normalizer(inputCol="_w", outputCol="features", p=2.0),
         LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial",
-                           maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                           standardization=False),
+                           maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1),
+                           elasticNetParam=0.0, standardization=False),
         IndexToString(inputCol="prediction", outputCol="predicted_category",
                       labels=pre.stages[-1].labels),
     ]).fit(counted)
+    train.unpersist()
     return PipelineModel(stages=pre.stages + post.stages)
 
 
