@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import half_even, weekday_name
 from ..schema import BAND, INTERVAL_Z80, MIN_HISTORY
+from ..session import cut_lineage
 from .reports import daily_totals
 from .series import calendar_gap_fill, last_n
 
@@ -42,7 +43,8 @@ def eligible(series: DataFrame, min_rows: int, keys=(USER,)) -> tuple[DataFrame,
 def trailing_mean_forecast(expenses: DataFrame, periods: int = 30, window: int = 7,
                            min_history: int = MIN_HISTORY["seasonal"]) -> DataFrame:
     """M2: recursive trailing mean with +-20 % bounds, per user."""
-    daily, _ = eligible(daily_totals(expenses), min_history)
+    # the daily series feeds the guard, the gap fill and the seed: one pass
+    daily, _ = eligible(cut_lineage(daily_totals(expenses)), min_history)
     seed = last_n(calendar_gap_fill(daily), window)
     s = seed.groupBy(USER).agg(
         F.max("ds").alias("last_ds"),
@@ -81,19 +83,29 @@ def _attach(frame: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return frame.join(table, keys)
 
 
-def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day") -> dict:
+def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day",
+                       min_history: int = 0) -> tuple[DataFrame, DataFrame]:
     """Trend and seasonal effects per key from exact sums.
 
-    t and cents are integers, so n, sum t, sum t^2, sum y, sum t*y are exact
+    The series is shuffled once, by key (the window below); every later
+    aggregate and join is per key and reuses that partitioning.  t and
+    cents are integers, so n, sum t, sum t^2, sum y, sum t*y are exact
     (DECIMAL) whatever the partitioning; the line and the seasonal means
-    (mean trend residual per weekday / month of year) follow by a fixed
-    sequence of double operations.  Yearly effects apply only with two years
-    of history."""
-    span = series.groupBy(*keys).agg(F.min("ds").alias("origin"), F.max("ds").alias("last_ds"))
-    s = (_attach(series, span, keys)
-         .withColumn("t", _t(unit).cast("decimal(38,0)"))
+    (mean trend residual per weekday / month of year, kept as small maps
+    of 7 / 12 entries) follow by a fixed sequence of double operations.
+    Yearly effects apply only with two years of history.
+
+    Returns (model: one row per key, rows: the eligible series with t)."""
+    w = Window.partitionBy(*keys)
+    s = (series.withColumn("origin", F.min("ds").over(w))
+         .withColumn("last_ds", F.max("ds").over(w))
+         .withColumn("_rows", F.count(F.lit(1)).over(w)))
+    if min_history:
+        s = s.filter(F.col("_rows") >= min_history)
+    s = (s.withColumn("t", _t(unit).cast("decimal(38,0)"))
          .withColumn("cents", F.round(F.col("y") * 100).cast("decimal(38,0)")))
     g = s.groupBy(*keys).agg(
+        F.min("origin").alias("origin"), F.max("last_ds").alias("last_ds"),
         F.count(F.lit(1)).cast("decimal(38,0)").alias("n"),
         F.sum("t").alias("St"), F.sum(F.col("t") * F.col("t")).alias("Stt"),
         F.sum("cents").alias("SY"), F.sum(F.col("t") * F.col("cents")).alias("StY"))
@@ -102,34 +114,33 @@ def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day") ->
     g = g.withColumn("b", F.when(den != 0, num / den / 100.0).otherwise(F.lit(0.0)))
     g = g.withColumn("a", (F.col("SY").cast("double") / 100.0
                            - F.col("b") * F.col("St").cast("double")) / F.col("n").cast("double"))
-    params = (_attach(g.select(*keys, "a", "b"), span, keys)
-              .withColumn("yearly", F.datediff("last_ds", "origin") >= 730))
+    params = g.select(*keys, "a", "b", "origin", "last_ds",
+                      (F.datediff("last_ds", "origin") >= 730).alias("yearly"))
 
     def effect(expr, name):
-        e = (s.withColumn("k", expr).groupBy(*keys, "k")
+        e = (s.withColumn("_k", expr).groupBy(*keys, "_k")
              .agg(F.count(F.lit(1)).cast("double").alias("_n"),
                   F.sum("cents").cast("double").alias("_sy"), F.sum("t").cast("double").alias("_st")))
-        return _attach(e, params.select(*keys, "a", "b"), keys).select(
-            *keys, F.col("k").alias(f"{name}_key"),
-            (F.col("_sy") / 100.0 / F.col("_n")
-             - (F.col("a") + F.col("b") * (F.col("_st") / F.col("_n")))).alias(f"{name}_eff"))
+        e = _attach(e, params.select(*keys, "a", "b"), keys).select(
+            *keys, "_k", (F.col("_sy") / 100.0 / F.col("_n")
+                          - (F.col("a") + F.col("b") * (F.col("_st") / F.col("_n")))).alias("_e"))
+        return e.groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("_k", "_e"))).alias(f"{name}_map"))
 
-    effects = {"year": effect(F.month("ds"), "year")}
+    model = _attach(params, effect(F.month("ds"), "year"), keys)
     if unit == "day":
-        effects["week"] = effect(F.weekday("ds"), "week")
-    return {"params": params, "effects": effects}
-
-
-def _fitted(frame: DataFrame, fit: dict, keys: list[str], unit: str) -> DataFrame:
-    f = _attach(frame, fit["params"], keys).withColumn("_trend", F.col("a") + F.col("b") * _t(unit).cast("double"))
-    comp = F.col("_trend")
-    if "week" in fit["effects"]:
-        f = f.withColumn("week_key", F.weekday("ds")).join(fit["effects"]["week"],
-                                                           keys + ["week_key"], "left")
-        comp = comp + F.coalesce(F.col("week_eff"), F.lit(0.0))
-    f = f.withColumn("year_key", F.month("ds")).join(fit["effects"]["year"],
-                                                     keys + ["year_key"], "left")
-    comp = comp + F.when(F.col("yearly"), F.coalesce(F.col("year_eff"), F.lit(0.0))).otherwise(0.0)
+        model = _attach(model, effect(F.weekday("ds"), "week"), keys)
+    return model, s.select(*keys, "ds", "y")
+
+
+def _fitted(frame: DataFrame, model: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Trend + weekly effect (daily data) + yearly effect (when on)."""
+    f = _attach(frame, model, keys)
+    comp = F.col("a") + F.col("b") * _t(unit).cast("double")
+    if unit == "day":
+        comp = comp + F.coalesce(F.try_element_at("week_map", F.weekday("ds")), F.lit(0.0))
+    comp = comp + F.when(F.col("yearly"), F.coalesce(F.try_element_at("year_map", F.month("ds")),
+                                                     F.lit(0.0))).otherwise(0.0)
     return f.withColumn("fitted", comp)
 
 
@@ -146,21 +157,21 @@ def seasonal_trend_forecast(series: DataFrame, periods: int = 30, keys=(USER,),
         series = series.withColumn(GLOBAL, F.lit(0))
         keys = [GLOBAL]
         future = future.withColumn(GLOBAL, F.lit(0)) if future is not None else None
-    else:
-        series, _ = eligible(series, min_history, keys)
-    fit = seasonal_trend_fit(series, keys, unit)
-    hist = _fitted(series.select(*keys, "ds", "y"), fit, keys, unit)
+    # the aggregated series feeds the fit, the residuals and the forecast:
+    # materialise it once (reliable checkpoint) instead of once per branch
+    series = cut_lineage(series.select(*keys, "ds", "y"))
+    model, rows = seasonal_trend_fit(series, keys, unit, 0 if glob else min_history)
+    hist = _fitted(rows, model, keys, unit)
     sig = hist.groupBy(*keys).agg(
         F.coalesce(F.stddev_samp(F.col("y") - F.col("fitted")), F.lit(0.0)).alias("sigma"))
     if future is None:
-        last = fit["params"].select(*keys, "last_ds")
         if unit == "day":
             seq = F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", periods))
         else:
             seq = F.sequence(F.add_months("last_ds", 1), F.add_months("last_ds", periods),
                              F.expr("INTERVAL 1 MONTH"))
-        future = last.select(*keys, F.explode(seq).alias("ds"))
-    f = _attach(_fitted(future.select(*keys, "ds"), fit, keys, unit), sig, keys)
+        future = model.select(*keys, F.explode(seq).alias("ds"))
+    f = _attach(_fitted(future.select(*keys, "ds"), model, keys, unit), sig, keys)
     half = F.lit(INTERVAL_Z80) * F.col("sigma")
     out_keys = [] if glob else keys
     return f.select(*out_keys, "ds",

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (half_even, is_weekend, iso_week, money, money_mean, money_sum,
                          month_key, weekday)
+from ..session import cut_lineage
 from .skew import salted_join
 
 USER = "user_id"
@@ -108,14 +109,16 @@ def _growth(m: DataFrame) -> DataFrame:
 def insights(df: DataFrame) -> DataFrame:
     """The analytics summary, one row per user.
 
-    One scan and one shuffle: the rows are pre-aggregated to (user, month,
-    category, weekend) with exact DECIMAL sums; the month, category and
-    user figures are roll-ups of that small table (Spark reuses its
-    exchange for every branch)."""
+    One scan and one shuffle of the rows: they are pre-aggregated to (user,
+    month, category, weekend) with exact DECIMAL sums, that table is
+    checkpointed once, and the month, category and user figures are
+    roll-ups of it."""
     d = _dated(df)
     wk = is_weekend("date")
     g = (d.groupBy(USER, month_key("date").alias("month"), "category", wk.alias("wk"))
          .agg(F.sum(money("amount")).alias("s"), F.count("amount").alias("n")))
+    # four roll-ups read it: materialise once rather than re-scan per branch
+    g = cut_lineage(g)
     m = g.groupBy(USER, "month").agg(F.sum("s").cast("double").alias("total"))
     c = g.groupBy(USER, "category").agg(F.sum("s").cast("double").alias("total"))
     months = m.groupBy(USER).agg(_first_max("month", "total").alias("highest_month"),
