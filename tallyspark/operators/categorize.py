@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import half_even
 from ..schema import MIN_CATEGORY_ROWS
+from ..session import materialize
 from .skew import salted_join
 
 TOKEN_MIN = 2
@@ -46,11 +47,11 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
 
     A very common token is one key of the document-frequency group-by
     (partial aggregation) and is split over sub-keys in the tf-idf join."""
-    # one (doc, token) count feeds the df, the weights and the norms: the
-    # branches are kept identical so Spark reuses a single shuffle
-    tf = (tokens(df.filter(F.col(doc).isNotNull()), text, doc)
-          .groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    # one (doc, token) count feeds the df, the hot-token list, the weights
+    # and the norms: materialise it once instead of re-tokenising per branch
+    tf = materialize(tokens(df.filter(F.col(doc).isNotNull()), text, doc)
+                     .groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()  # scalar subquery
     idf = dfreq.select("token", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
                                  + F.lit(1.0)).alias("idf"))

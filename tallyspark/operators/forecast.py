@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import half_even, weekday_name
 from ..schema import BAND, INTERVAL_Z80, MIN_HISTORY
-from ..session import cut_lineage
+from ..session import materialize
 from .reports import daily_totals
 from .series import calendar_gap_fill, last_n
 
@@ -44,7 +44,7 @@ def trailing_mean_forecast(expenses: DataFrame, periods: int = 30, window: int =
                            min_history: int = MIN_HISTORY["seasonal"]) -> DataFrame:
     """M2: recursive trailing mean with +-20 % bounds, per user."""
     # the daily series feeds the guard, the gap fill and the seed: one pass
-    daily, _ = eligible(cut_lineage(daily_totals(expenses)), min_history)
+    daily, _ = eligible(materialize(daily_totals(expenses), "daily"), min_history)
     seed = last_n(calendar_gap_fill(daily), window)
     s = seed.groupBy(USER).agg(
         F.max("ds").alias("last_ds"),
@@ -159,7 +159,7 @@ def seasonal_trend_forecast(series: DataFrame, periods: int = 30, keys=(USER,),
         future = future.withColumn(GLOBAL, F.lit(0)) if future is not None else None
     # the aggregated series feeds the fit, the residuals and the forecast:
     # materialise it once (reliable checkpoint) instead of once per branch
-    series = cut_lineage(series.select(*keys, "ds", "y"))
+    series = materialize(series.select(*keys, "ds", "y"), "series")
     model, rows = seasonal_trend_fit(series, keys, unit, 0 if glob else min_history)
     hist = _fitted(rows, model, keys, unit)
     sig = hist.groupBy(*keys).agg(

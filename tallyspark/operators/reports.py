@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (half_even, is_weekend, iso_week, money, money_mean, money_sum,
                          month_key, weekday)
-from ..session import cut_lineage
+from ..session import materialize
 from .skew import salted_join
 
 USER = "user_id"
@@ -118,7 +118,7 @@ def insights(df: DataFrame) -> DataFrame:
     g = (d.groupBy(USER, month_key("date").alias("month"), "category", wk.alias("wk"))
          .agg(F.sum(money("amount")).alias("s"), F.count("amount").alias("n")))
     # four roll-ups read it: materialise once rather than re-scan per branch
-    g = cut_lineage(g)
+    g = materialize(g, "insights")
     m = g.groupBy(USER, "month").agg(F.sum("s").cast("double").alias("total"))
     c = g.groupBy(USER, "category").agg(F.sum("s").cast("double").alias("total"))
     months = m.groupBy(USER).agg(_first_max("month", "total").alias("highest_month"),
