@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,15 +75,17 @@ def _pick(df: DataFrame, names: list[str]):
     return None
 
 
-def import_expenses(df: DataFrame, as_of: str, user_col: str = "user_id"
-                    ) -> tuple[DataFrame, DataFrame]:
+def import_expenses(df: DataFrame, as_of: str, user_col: str = "user_id",
+                    observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Map an uploaded table onto expenses.
 
     Columns are found under either spelling (``Date``/``date`` ...).  An
     absent column takes its default (as_of / 'Other' / 0 / 'Cash' / '');
     a present but empty text becomes 'nan' (what ``str()`` of a missing
     value gives).  Rows whose date or amount does not parse are returned
-    in the second frame with a reason instead of being dropped silently."""
+    in the second frame with a reason instead of being dropped silently.
+    With an ``Observation`` the imported / rejected counts are collected
+    by the action that consumes the rows (no extra count job)."""
     date_s = _pick(df, ["Date", "date"])
     amount_s = _pick(df, ["Amount", "amount"])
 
@@ -104,6 +106,11 @@ def import_expenses(df: DataFrame, as_of: str, user_col: str = "user_id"
     reason = (F.when(F.col("date").isNull(), F.lit("bad_date"))
               .when(F.col("amount").isNull(), F.lit("bad_amount")))
     tagged = parsed.withColumn("reason", reason)
+    if observation is not None:
+        # imported / rejected counts come out of the same action that writes
+        tagged = tagged.observe(observation,
+                                F.count_if(F.col("reason").isNull()).alias("imported"),
+                                F.count_if(F.col("reason").isNotNull()).alias("rejected"))
     good = tagged.filter(F.col("reason").isNull()).drop("reason")
     bad = tagged.filter(F.col("reason").isNotNull())
     return good, bad

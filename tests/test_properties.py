@@ -96,3 +96,15 @@ def test_streaming_month_spend(spark, sf):
     q.awaitTermination(120)
     got = spark.sql("SELECT SUM(CAST(spent AS DECIMAL(38,2))) FROM spend_stream").collect()[0][0]
     assert got == _sum(e, "amount")
+
+
+def test_import_counts_come_from_the_write(spark, sf):
+    from pyspark.sql import Observation
+    obs = Observation("import")
+    up = V.uploads(spark, sf)
+    good, bad = import_expenses(up, "2024-02-01", observation=obs)
+    path = tempfile.mkdtemp(prefix="tally-import-", dir="/tmp")
+    good.write.mode("overwrite").parquet(path)
+    counts = obs.get
+    assert counts["imported"] == spark.read.parquet(path).count()
+    assert counts["imported"] + counts["rejected"] == up.count()
