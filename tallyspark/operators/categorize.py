@@ -16,7 +16,7 @@ from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normal
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import half_even
@@ -59,9 +59,10 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
     w = salted_join(tf, idf, ["token"], salt_from=[doc],
                     counts=dfreq.select("token", F.col("df").alias("_n")))
     w = w.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (w.join(norm, doc)
-            .select(doc, "token", half_even(F.col("w") / F.col("norm"), digits).alias("tfidf")))
+    # L2 norm per document: a window over one document's distinct tokens
+    # (bounded by that one input row), no aggregate-and-join back
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return w.select(doc, "token", half_even(F.col("w") / norm, digits).alias("tfidf"))
 
 
 def keep_frequent_categories(df: DataFrame, min_rows: int = MIN_CATEGORY_ROWS,
