@@ -157,10 +157,15 @@ def mapped(a: DataFrame, b: DataFrame) -> DataFrame:
     return normalise_category(normalise_payment_mode(combine_sources(a, b)))
 
 
-def clean_transactions(a: DataFrame, b: DataFrame, cap: float = AMOUNT_CAP) -> DataFrame:
+def clean_transactions(a: DataFrame, b: DataFrame, cap: float = AMOUNT_CAP,
+                       expense_only: bool = False) -> DataFrame:
     """C11: the whole chain in the reference's order, as one lazy plan:
-    P8 B1 C1 P7 C2 C5 C4 J1 C6 P4 C8 C7 C3 D1 P5."""
-    df = resolve_note_category(mapped(a, b))
+    P8 B1 C1 P7 C2 C5 C4 J1 C6 P4 C8 C7 C3 D1 P5.  The reference keeps
+    income rows (Q8); ``expense_only`` drops them first."""
+    m = mapped(a, b)
+    if expense_only:
+        m = m.filter(F.col("transaction_type") == "Expense")
+    df = resolve_note_category(m)
     df = drop_invalid_notes(manual_category_override(df))
     df = merge_rare_categories(add_clean_notes(df))
     df = date_parts(coerce_date(df))

@@ -21,7 +21,8 @@ from ..schema import BAND, MIN_HISTORY
 from ..session import cut_lineage
 from .forecast import eligible
 from .reports import daily_totals
-from .series import DAILY_LAGS, calendar_features, feature_table_daily, feature_table_monthly
+from .series import (DAILY_LAGS, calendar_features, calendar_gap_fill, feature_table_daily,
+                     feature_table_monthly)
 
 USER = "user_id"
 DAILY_FEATURES = ["month", "day", "dayofweek", "quarter", "dayofyear", "weekofyear", "is_weekend",
@@ -86,12 +87,18 @@ def _advance(pred_df: DataFrame, keys: list[str], depth: int, clip: bool = True)
 
 
 def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict | None = None,
-                          min_history: int = MIN_HISTORY["trees"]) -> DataFrame:
+                          min_history: int = MIN_HISTORY["trees"], gap_fill: bool = False
+                          ) -> DataFrame:
     """M3: pooled GBT on observed-day features, iterated day by day,
     clipped at 0, +-20 % band.  Users with fewer than ``min_history`` days
-    are left out (``forecast_dispatch`` reports them)."""
+    are left out (``forecast_dispatch`` reports them).  The service path
+    uses observed days only; ``gap_fill`` fills missing days with 0 first
+    (the UI path, Q4)."""
     keys = [USER]
-    daily, _ = eligible(daily_totals(expenses), min_history)
+    daily = daily_totals(expenses)
+    if gap_fill:
+        daily = calendar_gap_fill(daily)
+    daily, _ = eligible(daily, min_history)
     train = feature_table_daily(daily.select(USER, F.col("ds").alias("date"), F.col("y").alias("amount")))
     model = fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT))
     depth = max(DAILY_LAGS)

@@ -188,3 +188,21 @@ def test_trailing_mean_equals_python_loop(spark):
     assert [r.yhat for r in fc] == want
     assert fc[0].ds == D(2024, 1, 13)
     assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in fc)
+
+
+def test_iso_year_option_keeps_years_apart(spark):
+    e = exp(spark, [(1, 1, D(2023, 1, 2), "a", 1.0, "Cash", ""),
+                    (2, 1, D(2024, 1, 1), "a", 2.0, "Cash", ""),
+                    (3, 1, D(2024, 12, 30), "a", 4.0, "Cash", "")])
+    rows = {(r.iso_year, r.week): r.mon for r in R.weekly_heatmap(e, iso_year=True).collect()}
+    assert rows == {(2023, 1): 1.0, (2024, 1): 2.0, (2025, 1): 4.0}
+
+
+def test_expense_only_drops_income(spark, sf):
+    from tallyspark.operators import clean as C
+    from tallyspark.sources import tables as V
+    a, b = V.raw_a(spark, sf), V.raw_b(spark, sf)
+    allrows = C.clean_transactions(a, b)
+    exp_only = C.clean_transactions(a, b, expense_only=True)
+    assert exp_only.filter("transaction_type <> 'Expense'").count() == 0
+    assert 0 < exp_only.count() < allrows.count()
