@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 MAX_HOT = 1000
 MIN_ROWS = 1_000_000
 SALTS = 64
+# the same three settings can come from the session, e.g.
+#   spark.conf.set("tallyspark.skew.minRows", "5000000")
+CONF = {"minRows": "MIN_ROWS", "maxHot": "MAX_HOT", "salts": "SALTS"}
+
+
+def _setting(df: DataFrame, name: str) -> int:
+    default = globals()[CONF[name]]
+    try:
+        return int(df.sparkSession.conf.get(f"tallyspark.skew.{name}", str(default)))
+    except Exception:  # noqa: BLE001 - an unreadable setting falls back to the default
+        return default
 
 
 def hot_keys(counts: DataFrame, key: list[str], n_col: str = "_n", max_hot: int | None = None,
@@ -28,8 +39,8 @@ def hot_keys(counts: DataFrame, key: list[str], n_col: str = "_n", max_hot: int
     (there cannot be more of them), so this covers every key above
     ``max(min_rows, N / max_hot)`` while staying at most ``max_hot`` rows.
     A top-k (partial per task, then merged) needs no total and no sort."""
-    max_hot = max_hot or MAX_HOT
-    min_rows = MIN_ROWS if min_rows is None else min_rows
+    max_hot = max_hot or _setting(counts, "maxHot")
+    min_rows = _setting(counts, "minRows") if min_rows is None else min_rows
     return (counts.filter(F.col(n_col) > min_rows)
             .orderBy(F.col(n_col).desc(), *[F.col(k) for k in key]).limit(max_hot)
             .select(*key))
@@ -43,7 +54,7 @@ def salted_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "i
 
     ``counts`` (key, n_col) may be given when the caller already has the
     rows per key; otherwise it is computed (partial aggregation)."""
-    salts = salts or SALTS
+    salts = salts or _setting(rows, "salts")
     if counts is None:
         counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(n_col))
     hot = F.broadcast(hot_keys(counts, key, n_col, max_hot, min_rows)

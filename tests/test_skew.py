@@ -69,3 +69,16 @@ def test_operators_unchanged_under_salting(spark, low_thresholds):
     assert left.count() == df.filter("user_id NOT IN (3, 7)").count()
     h = R.amount_histogram(df).groupBy().sum("n").collect()[0][0]
     assert h == df.count()
+
+
+def test_thresholds_from_session_conf(spark):
+    df = hot_frame(spark)
+    counts = df.groupBy("notes").agg(F.count(F.lit(1)).alias("_n"))
+    spark.conf.set("tallyspark.skew.minRows", "5")
+    spark.conf.set("tallyspark.skew.maxHot", "3")
+    try:
+        hot = skew.hot_keys(counts, ["notes"]).collect()
+    finally:
+        spark.conf.unset("tallyspark.skew.minRows")
+        spark.conf.unset("tallyspark.skew.maxHot")
+    assert len(hot) == 3 and hot[0].notes == "hot"
