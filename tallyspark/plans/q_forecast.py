@@ -191,3 +191,8 @@ FROM avp""", EM)
 def q_regression_metrics(spark, sf):
     from ..operators.evaluate import regression_metrics
     return regression_metrics(holdout_predictions(spark, sf))
+
+
+@register("seasonal_trend_regression")
+def q_seasonal_trend_regression(spark, sf):
+    return M.seasonal_trend_regression(R.daily_totals(exp_daily(spark, sf)), 30)

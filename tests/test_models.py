@@ -39,3 +39,19 @@ def test_classifier_beats_majority(spark, sf):
     majority = test.groupBy("category").count().agg(F.max("count")).collect()[0][0] / test.count()
     assert rep["accuracy"].precision > majority
     assert pred.filter("confidence < 0 OR confidence > 1").count() == 0
+
+
+def test_seasonal_regression_learns_a_weekly_pattern(spark):
+    from tallyspark.operators.forecast import seasonal_trend_regression
+    rows = []
+    for u in range(2):
+        for i in range(84):
+            d = dt.date(2024, 1, 1) + dt.timedelta(days=i)
+            rows.append((u, d, 100.0 + (50.0 if d.weekday() >= 5 else 0.0) + i * 0.5))
+    s = spark.createDataFrame(rows, "user_id long, ds date, y double")
+    fc = seasonal_trend_regression(s, periods=14).collect()
+    assert len(fc) == 28
+    for r in fc:
+        truth = 100.0 + (50.0 if r.ds.weekday() >= 5 else 0.0) + (r.ds - dt.date(2024, 1, 1)).days * 0.5
+        assert abs(r.yhat - truth) < 5.0
+        assert 0 <= r.yhat_lower <= r.yhat <= r.yhat_upper
