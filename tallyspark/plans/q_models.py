@@ -17,6 +17,7 @@ from .q_clean import STAGES
 from .q_forecast import M2_SQL, m2
 from .q_reports import heven, msum
 from .q_series import monthly
+from ..session import app_id
 from .registry import register
 
 # --- fitted models are reused within one application --------------------
@@ -27,7 +28,7 @@ _MODELS: dict = {}
 def _fitted(spark, sf, kind, fit):
     """Fit once per (application, input folder, model kind), as an
     application loads a fitted pipeline once per job."""
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = (app_id(spark), sf, kind)
     if key not in _MODELS:
         _MODELS[key] = fit()
     return _MODELS[key]
