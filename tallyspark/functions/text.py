@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BAND_OK, BAND_WARN
+from ..schema import BAND_OK, BAND_WARN, CURRENCY, RATIO_OK, RATIO_WARN
 
 
 def _c(col) -> Column:
@@ -24,7 +24,7 @@ def clean_text(col) -> Column:
     return F.trim(s)
 
 
-def currency_label(col, symbol: str = "") -> Column:
+def currency_label(col, symbol: str = CURRENCY) -> Column:
     """>= 100,000 -> 'x.xL'; >= 1,000 -> 'x.xK'; else whole number with
     thousands separators.  One decimal, half-even on the scaled double."""
     x = _c(col)
@@ -40,3 +40,14 @@ def status_band(pct, ok: float = BAND_OK, warn: float = BAND_WARN) -> Column:
     """Budget utilisation band: below ``ok`` -> ok, below ``warn`` -> warn, else over."""
     p = _c(pct)
     return F.when(p < ok, "ok").when(p < warn, "warn").otherwise("over")
+
+
+def ratio_band(value, max_value, reverse: bool = False, ok: float = RATIO_OK,
+               warn: float = RATIO_WARN) -> Column:
+    """Band of value / max_value (0 when max_value <= 0): below ``ok`` ->
+    ok, below ``warn`` -> warn, else over; ``reverse`` uses 1 - ratio."""
+    v, m = _c(value), _c(max_value)
+    r = F.when(m > 0, v / m).otherwise(F.lit(0.0))
+    if reverse:
+        r = F.lit(1.0) - r
+    return F.when(r < ok, "ok").when(r < warn, "warn").otherwise("over")

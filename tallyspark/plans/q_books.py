@@ -214,7 +214,7 @@ def q_budget_alerts(spark, sf):
 @register("currency_label", f"""
 WITH m AS (SELECT user_id, strftime(date, '%Y-%m') AS month, {msum('amount')} AS total
            FROM exp_monthly WHERE date IS NOT NULL GROUP BY 1, 2)
-SELECT *, CASE WHEN total >= 100000 THEN format('{{:.1f}}', {heven('total / 100000', 1)}) || 'L'
+SELECT *, '₹' || CASE WHEN total >= 100000 THEN format('{{:.1f}}', {heven('total / 100000', 1)}) || 'L'
                WHEN total >= 1000 THEN format('{{:.1f}}', {heven('total / 1000', 1)}) || 'K'
                ELSE format('{{:,.0f}}', round_even(total, 0)) END AS label
 FROM m""", ("exp_monthly",))

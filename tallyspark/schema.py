@@ -146,5 +146,11 @@ INTERVAL_Z80 = 1.2815515655446004  # two-sided 80 % normal interval
 BAND_OK, BAND_WARN = 70.0, 90.0
 ALERT_SHARE = 0.9
 
+# Value-to-maximum ratio thresholds of the colour helper.
+RATIO_OK, RATIO_WARN = 0.5, 0.8
+
+# Default currency symbol of the amount labels.
+CURRENCY = "₹"
+
 # Weekday names, Monday = 0.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]

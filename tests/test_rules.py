@@ -145,7 +145,8 @@ def test_clean_text_and_labels(spark):
     df = spark.createDataFrame([("  Hello,   World!!  ",), ("Ümlaut café 42",)], "s string")
     assert [r[0] for r in df.select(clean_text("s")).collect()] == ["hello world", "mlaut caf 42"]
     n = spark.createDataFrame([(150000.0,), (2500.0,), (999.4,), (123456789.0,)], "x double")
-    assert [r[0] for r in n.select(currency_label("x")).collect()] == ["1.5L", "2.5K", "999", "1234.6L"]
+    assert [r[0] for r in n.select(currency_label("x", "")).collect()] == ["1.5L", "2.5K", "999", "1234.6L"]
+    assert n.select(currency_label("x")).first()[0] == "₹1.5L"
 
 
 def test_weekday_means_all_seven(spark):
@@ -206,3 +207,10 @@ def test_expense_only_drops_income(spark, sf):
     exp_only = C.clean_transactions(a, b, expense_only=True)
     assert exp_only.filter("transaction_type <> 'Expense'").count() == 0
     assert 0 < exp_only.count() < allrows.count()
+
+
+def test_ratio_band(spark):
+    from tallyspark.functions import ratio_band
+    df = spark.createDataFrame([(10.0, 100.0), (60.0, 100.0), (90.0, 100.0), (5.0, 0.0)], "v double, m double")
+    assert [r[0] for r in df.select(ratio_band("v", "m")).collect()] == ["ok", "warn", "over", "ok"]
+    assert [r[0] for r in df.select(ratio_band("v", "m", reverse=True)).collect()] == ["over", "ok", "ok", "over"]
