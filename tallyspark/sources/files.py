@@ -55,6 +55,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
+def write_budgets(budgets: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """S8 layout: budgets partitioned by ``month`` so that a month predicate
+    (``scan_budgets``) reads only that month's folder."""
+    return write_table(budgets, path, ["month"], mode)
+
+
 def append_forecast_history(totals: DataFrame, path: str, forecast_date: str, model: str,
                             periods: int) -> str:
     """Append one history row per user: (user, date, model, periods, total)."""

@@ -53,3 +53,17 @@ def test_scans_read_only_needed_columns(spark, sf):
     p = QUERIES["monthly_totals"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp" in p \
         or "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate" in p
+
+
+def test_budget_month_prunes_partitions(spark, sf):
+    import tempfile
+
+    from tallyspark.operators.filters import scan_budgets
+    from tallyspark.sources.files import write_budgets
+    from tallyspark.sources.tables import budgets
+    path = tempfile.mkdtemp(prefix="tally-budgets-", dir="/tmp") + "/b"
+    write_budgets(budgets(spark, sf), path)
+    df = scan_budgets(spark.read.parquet(path), "2024-01")
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in p and "2024-01" in p
+    assert df.count() == budgets(spark, sf).filter("month = '2024-01'").count()
