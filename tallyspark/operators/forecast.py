@@ -6,9 +6,11 @@
   (``aggregate`` over the horizon) — no loop, no Python.
 - ``seasonal_trend_forecast`` (M6/M7, tier 1) is an additive model: a
   least-squares trend from exact integer/decimal sums, plus mean residual per
-  weekday (and per month of year with two years of history), with an 80 %
-  normal band.  Everything is a grouped aggregate and equi-joins between
-  per-user tables.
+  weekday (and per month of year with two years of history) kept as small
+  per-user maps, with an 80 % normal band.  The series is shuffled once by
+  user; the rest are per-user aggregates and joins on that partitioning.
+- ``seasonal_trend_regression`` (M6 tier 2) fits changepoint hinges and
+  Fourier terms per user with ``applyInPandas`` over the daily series.
 - The boosted-tree forecasts live in ``operators.models``.
 """
 
