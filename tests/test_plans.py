@@ -67,3 +67,28 @@ def test_budget_month_prunes_partitions(spark, sf):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in p and "2024-01" in p
     assert df.count() == budgets(spark, sf).filter("month = '2024-01'").count()
+
+
+# windows without a partition run in one task: allowed only over inputs with
+# a size bound independent of the data (<= 256 quantile buckets; one row per
+# calendar month of the all-user monthly series)
+BOUNDED_GLOBAL_WINDOWS = {"describe_amount", "feature_table_monthly", "temporal_holdout",
+                          "actual_vs_predicted", "regression_metrics", "seasonal_trend_monthly",
+                          "monthly_forecast_seed"}
+
+
+def _global_window(plan: str) -> bool:
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" in line or "WindowGroupLimit" in line:
+            for nxt in lines[i + 1:i + 4]:
+                if "Exchange SinglePartition" in nxt:
+                    return True
+                if "Window" not in nxt and "Sort" not in nxt and "Project" not in nxt:
+                    break
+    return False
+
+
+def test_single_partition_windows_only_over_bounded_inputs(plans):
+    found = {n for n, p in plans.items() if _global_window(p)}
+    assert found <= BOUNDED_GLOBAL_WINDOWS, found - BOUNDED_GLOBAL_WINDOWS
