@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str,
             if b.num_rows:
                 yield b
             continue
-        sizes = np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64)
         start = total = 0
         for i, s in enumerate(sizes):
             if total and total + s > limit:
