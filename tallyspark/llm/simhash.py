@@ -147,6 +147,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = StructType([StructField("__id", id_type), StructField("fp", LongType())])
     rows = scratch.put(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
                        .mapInArrow(_fingerprints(words), schema), "fingerprints")
+    return (group_fingerprints(rows, scratch, radius, block)
+            .select(F.col("__id").alias(id_col), "fp", "component_id"))
+
+
+def group_fingerprints(rows: DataFrame, scratch: Scratch, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """(__id, fp, component_id) from rows of (__id, fp long)."""
+    spark = rows.sparkSession
     unique = scratch.put(rows.groupBy("fp").agg(F.min("__id").alias("rep")), "unique")
 
     placed = unique.select("fp", _tile("fp").alias("tile"))
@@ -171,5 +178,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = scratch.put(rooted.join(least, "root").select("fp", "component_id"), "classes")
     scratch.drop("tiles", "unique", "rooted")
-    return (rows.join(classes, "fp")
-            .select(F.col("__id").alias(id_col), "fp", "component_id"))
+    return rows.join(classes, "fp").select("__id", "fp", "component_id")

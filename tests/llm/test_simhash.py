@@ -1,10 +1,12 @@
 """SimHash against all pairs in plain Python."""
 
 import duckdb
+import numpy as np
 import xxhash
 
+from tallyspark.llm.common import Scratch
 from tallyspark.llm.queries import QUERIES
-from tallyspark.llm.simhash import fingerprint, near_duplicates
+from tallyspark.llm.simhash import fingerprint, group_fingerprints, near_duplicates
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -49,9 +51,7 @@ def test_query_equals_all_pairs(spark, sf):
     assert len(set(roots.values())) < len(roots)
 
 
-def test_small_blocks_and_chains_lose_no_link(spark, rows, monkeypatch):
-    from tallyspark.llm import simhash
-    import numpy as np
+def test_small_blocks_and_chains_lose_no_link(spark, rows):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.int64)
     fps = []
@@ -60,21 +60,12 @@ def test_small_blocks_and_chains_lose_no_link(spark, rows, monkeypatch):
         for _ in range(6):
             fps.append(x)
             for bit in rng.integers(0, 64, 3):
-                x ^= 1 << int(bit)
+                x ^= 1 << int(bit)  # unsigned
     fps += fps[:20]
     table = dict(enumerate(fps))
-    monkeypatch.setattr(simhash, "_fingerprints", lambda words: _from_text)
-    got = near_duplicates(rows([(i, str(f)) for i, f in table.items()]), block=8).collect()
-    want = plain_components([(i, f & (1 << 64) - 1) for i, f in table.items()])
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
-
-
-def _from_text(batches):
-    import numpy as np
-    import pyarrow as pa
-    for b in batches:
-        v = np.array([int(x) & (1 << 64) - 1 for x in b.column("__text").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(v.view(np.int64))], names=["__id", "fp"])
+    signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in table.items()]
+    got = group_fingerprints(rows(signed, "__id long, fp long"), Scratch(spark, "test"), block=8).collect()
+    assert {r["__id"]: r["component_id"] for r in got} == plain_components(list(table.items()))
 
 
 def test_edges(spark, rows):
