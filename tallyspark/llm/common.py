@@ -60,12 +60,19 @@ def hash_unit(*cols: str | Column, salt: int = 0) -> Column:
             / F.lit(float(1 << 53)))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str,
+def with_text(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The ``carry`` columns and the text, and the text's place among them."""
+    if text_col in carry:
+        return docs.select(*carry), carry.index(text_col)
+    return docs.select(*carry, F.col(text_col).alias("__text")), len(carry)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text: str | int,
                 limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``text`` (a single
-    longer row makes a batch of its own)."""
+    """The same rows in batches of about ``limit`` bytes of the column
+    ``text`` (a single longer row makes a batch of its own)."""
     for b in batches:
-        col = b.column(b.schema.get_field_index(text))
+        col = b.column(text)
         if b.num_rows < 2 or col.nbytes <= limit:
             if b.num_rows:
                 yield b

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import arrow_schema, text_slices, utf8
+from .common import arrow_schema, text_slices, utf8, with_text
 
 WINDOW = 13
 #: benchmark words in a block; symbols in a shard's index; distance of samples.
@@ -201,7 +201,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(blocks, schema, shard_symbols: int, shard_docs: int = 50_000):
+def _scan(blocks, carry: int, text: int, schema, shard_symbols: int, shard_bytes: int = 64 << 20):
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,39 +212,45 @@ def _scan(blocks, schema, shard_symbols: int, shard_docs: int = 50_000):
                     own = found.setdefault(d, ([], []))
                     own[0].extend(spans)
                     own[1].extend(items)
-            rows = {"spans": [], "items": [], "n_hit": []}
-            for d in range(len(ids)):
-                spans, items = found.get(d, ((), ()))
-                spans = _merged(list(spans))
-                rows["spans"].append([{"start": s, "end": e} for s, e in spans])
-                rows["items"].append(sorted(set(items)))
-                rows["n_hit"].append(sum(e - s for s, e in spans))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, target.field(0).type), pa.array(counts, pa.int64()),
-                 pa.array(rows["n_hit"], pa.int64()), pa.array(rows["items"], target.field("items").type),
-                 pa.array(rows["spans"], target.field("spans").type)], schema=target)
+            d = 0
+            for columns, counts in rows:
+                spans, items = [], []
+                for _ in counts:
+                    s, k = found.get(d, ((), ()))
+                    spans.append(_merged(list(s)))
+                    items.append(sorted(set(k)))
+                    d += 1
+                hit = [sum(e - s for s, e in own) for own in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()),
+                     pa.array(items, target.field(carry + 2).type),
+                     pa.array([[{"start": s, "end": e} for s, e in own] for own in spans],
+                              target.field(carry + 3).type)], schema=target)
 
         held = [b.value for b in blocks]
-        shards, ids, counts = [_Shard(b) for b in held], [], []
-        for b in text_slices(batches, "__text"):
-            words = [words_of(t) for t in utf8(b.column("__text"))]
+        shards, rows, docs, size = [_Shard(b) for b in held], [], 0, 0
+        for b in text_slices(batches, text):
+            words = [words_of(t) for t in utf8(b.column(text))]
             for sh in shards:
-                sh.add(words, len(ids))
-            ids += b.column("__id").to_pylist()
-            counts += [len(w) for w in words]
-            if max([0, *(sh.size for sh in shards)]) >= shard_symbols or len(ids) >= shard_docs:
-                yield flush()
-                shards, ids, counts = [_Shard(b) for b in held], [], []
-        if ids:
-            yield flush()
+                sh.add(words, docs)
+            docs += b.num_rows
+            columns = b.columns[:carry]
+            rows.append((columns, [len(w) for w in words]))
+            size += sum(c.nbytes for c in columns) + 64 * b.num_rows
+            if size >= shard_bytes or any(sh.size >= shard_symbols for sh in shards):
+                yield from flush()
+                shards, rows, docs, size = [_Shard(b) for b in held], [], 0, 0
+        if rows:
+            yield from flush()
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
+def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                        window: int = WINDOW, block_words: int = BLOCK_WORDS,
                        shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
-    """(id_col, n_words, n_hit, items, spans), a row for each document row.
+    """The ``carry`` columns (default: doc_id), then n_words, n_hit, items and
+    spans, a row for each document row.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower
     case.  A window is ``window`` consecutive words of an item (all words of
@@ -255,7 +261,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Null and empty texts have no words and no hits, on either side; an item
     without words has no window; items with a null id are left out.  Items
     may repeat or share windows; rows of documents that repeat are judged
-    each.  Other columns are ignored.  An empty benchmark hits nothing.
+    each.  Columns that are not carried are ignored.  An empty benchmark hits
+    nothing, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     blocks, held, size = [], [], 0
@@ -276,11 +283,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             close()
     close()
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    carry = carry or ["doc_id"]
     schema = StructType([
-        StructField("__id", docs.schema[id_col].dataType), StructField("n_words", LongType()),
-        StructField("n_hit", LongType()),
+        *(docs.schema[c] for c in carry), StructField("n_words", LongType()), StructField("n_hit", LongType()),
         StructField("items", ArrayType(benchmark.schema[item_col].dataType)),
         StructField("spans", ArrayType(span))])
-    return (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-            .mapInArrow(_scan(blocks, schema, shard_symbols), schema)
-            .withColumnRenamed("__id", id_col))
+    rows, text = with_text(docs, carry, text_col)
+    return rows.mapInArrow(_scan(blocks, len(carry), text, schema, shard_symbols), schema)

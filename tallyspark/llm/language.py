@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_schema, hash_unit, text_slices
+from .common import arrow_schema, hash_unit, text_slices, with_text
 
 #: longest context in bytes; expected documents for each language in the
 #: sample that the trees are fitted on; occurrences a context needs and nodes
@@ -186,13 +186,13 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, order: int
     return Model(langs, grams, order, least, max_nodes) if langs else None
 
 
-def _predict(shared, schema):
+def _predict(shared, carry: int, text: int, schema):
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in text_slices(batches, "__text"):
-            texts = b.column("__text").to_pylist()
+        for b in text_slices(batches, text):
+            texts = b.column(text).to_pylist()
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
             at = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
             if at:
@@ -202,21 +202,24 @@ def _predict(shared, schema):
                 chance = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
                 for i, j, p in zip(at, best.tolist(), chance.tolist()):
                     pred[i], score[i] = model.langs[j], p
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(pred), pa.array(score, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*b.columns[:carry], pa.array(pred), pa.array(score, pa.float64())],
                                              schema=target)
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score), a row for each input row.
+def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None,
+             text_col: str = "text") -> DataFrame:
+    """The ``carry`` columns (default: doc_id), then lang_pred and score, a
+    row for each input row.
 
     ``score`` is the probability of the language under equal priors.  Texts
     are read in lower case.  Null, empty and letterless texts, and all texts
     without a model, give ``und`` with score 0; equal code lengths give the
-    first language by name.  Other columns are ignored.
+    first language by name.  Columns that are not carried are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([StructField("__id", docs.schema[id_col].dataType),
+    carry = carry or ["doc_id"]
+    schema = StructType([*(docs.schema[c] for c in carry),
                          StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-            .mapInArrow(_predict(shared, schema), schema).withColumnRenamed("__id", id_col))
+    rows, text = with_text(docs, carry, text_col)
+    return rows.mapInArrow(_predict(shared, len(carry), text, schema), schema)

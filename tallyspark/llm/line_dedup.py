@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import Scratch, arrow_schema, text_slices
 
@@ -124,7 +125,7 @@ def _suspects(twice, bits: int, min_chars: int):
     return run
 
 
-def _rewrite(schema, min_chars: int):
+def _rewrite(schema, carry: int, min_chars: int):
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +146,16 @@ def _rewrite(schema, min_chars: int):
                 else:
                     gone.append(0)
                     texts.append(t or "")
-            cols = {f.name: b.column(f.name) for f in target if f.name in b.schema.names}
-            cols |= {"kept_text": pa.array(texts, pa.string()), "n_lines": pa.array(total, pa.int64()),
-                     "n_dropped": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in target], schema=target)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:carry], pa.array(texts, pa.string()), pa.array(total, pa.int64()),
+                 pa.array(gone, pa.int64())], schema=target)
     return run
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(id_col, kept_text, n_lines, n_dropped), a row for each input row.
+                min_chars: int = 20, min_docs: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns (default: id_col), then kept_text, n_lines and
+    n_dropped, a row for each input row.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.
     Keys of ``min_chars`` code points or more that occur in ``min_docs``
@@ -162,8 +163,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or empty text: one empty line, kept text ''.  Rows of one id count
     as one document for a key; each such row is rewritten alike.  A row with
-    null id keeps all its lines and counts for nothing.  Other columns are
-    ignored, so their names can't clash.  Empty table: empty result.
+    null id keeps all its lines and counts for nothing.  Columns that are not
+    carried are ignored.  Empty table: empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -190,15 +191,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema[id_col].dataType
     suspects = scratch.put(known.mapInArrow(_suspects(twice, bits, min_chars),
                                             f"__id {id_type.simpleString()}, digest binary"), "suspects")
-    repeated = (suspects.groupBy("digest")
-                .agg(F.count_distinct("__id").alias("n"), F.max("__id").alias("keeper"))
-                .filter(F.col("n") >= min_docs).select("digest", "keeper"))
+    repeated = scratch.put(suspects.groupBy("digest")
+                           .agg(F.count_distinct("__id").alias("n"), F.max("__id").alias("keeper"))
+                           .filter(F.col("n") >= min_docs).select("digest", "keeper"), "repeated")
     drop = (suspects.join(repeated, "digest").filter(F.col("__id") < F.col("keeper"))
             .groupBy("__id").agg(F.collect_set("digest").alias("__drop")))
-    joined = rows.join(drop, "__id", "left")
-    out = rows.select(F.col("__id").alias("__id")).schema
-    from pyspark.sql.types import LongType, StringType, StructType
-    schema = (StructType(list(out)).add("kept_text", StringType())
-              .add("n_lines", LongType()).add("n_dropped", LongType()))
-    return (joined.mapInArrow(_rewrite(schema, min_chars), schema)
-            .withColumnRenamed("__id", id_col))
+    carry = carry or [id_col]
+    schema = StructType([*(docs.schema[c] for c in carry), StructField("kept_text", StringType()),
+                         StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    carried = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)],
+                          F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return (carried.join(drop, "__id", "left")
+            .select(*[f"__c{i}" for i in range(len(carry))], "__text", "__drop")
+            .mapInArrow(_rewrite(schema, len(carry), min_chars), schema))

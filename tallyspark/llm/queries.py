@@ -101,7 +101,105 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, train
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.coalesce(doc_bucket("doc_id", 3) == 1, F.lit(False))
+    held = _held_out(3, 1)
     model = train(docs.filter(~held), "text", "lang", "doc_id")
     return (identify(docs, model).withColumn("held_out", held)
             .select("doc_id", "held_out", "lang_pred", "score"))
+
+
+def tokenizer_path() -> str:
+    """The place of the byte-level vocabulary, the queries' parameter."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, k, array_to_string(list_slice(w, k, k + 49), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+low AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM win JOIN low USING (s) WHERE doc_id > low),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d WHERE len(w) > 0),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, count(gone.p) AS n_removed,
+         string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op8_substring_dedup", OP8_SQL)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup_substrings
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT e.vec_id, coalesce(any_value(n), 0) AS n_links, min(reach.b) AS component_id, e.vec_id = min(reach.b) AS kept
+FROM embeddings e JOIN reach ON reach.a = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) c ON c.a = e.vec_id
+GROUP BY e.vec_id
+"""
+
+
+@register("op6_embedding_dedup", OP6_SQL)
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+    out = near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.expr("vec_id = component_id"))
+
+
+def _held_out(n: int, left: int):
+    return F.coalesce(doc_bucket("doc_id", n) == left, F.lit(False))
+
+
+@register("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = _held_out(4, 2)
+    weights = train(docs, table(spark, sf_dir, "labels").filter(~held), "quality")
+    return (score(docs, weights).withColumn("held_out", held)
+            .withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+            .select("doc_id", "held_out", "score", "predicted"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = _held_out(4, 2)
+    grammar = train(docs, table(spark, sf_dir, "labels").filter(~held))
+    return (score(docs, grammar).withColumn("held_out", held)
+            .withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+            .select("doc_id", "held_out", "score", "predicted"))
+
+
+@register("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs))
