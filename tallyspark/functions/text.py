@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .money import py_round
 from ..schema import BAND_OK, BAND_WARN, CURRENCY, RATIO_OK, RATIO_WARN
 
 
@@ -26,9 +27,9 @@ def clean_text(col) -> Column:
 
 def currency_label(col, symbol: str = CURRENCY) -> Column:
     """>= 100,000 -> 'x.xL'; >= 1,000 -> 'x.xK'; else whole number with
-    thousands separators.  One decimal, half-even on the scaled double."""
+    thousands separators.  Digits as Python formats them (exact value)."""
     x = _c(col)
-    one_dec = lambda v: F.format_string("%.1f", F.rint(v * 10) / 10)
+    one_dec = lambda v: F.format_string("%.1f", py_round(v, 1))
     return (
         F.when(x >= 100000, F.concat(F.lit(symbol), one_dec(x / 100000), F.lit("L")))
         .when(x >= 1000, F.concat(F.lit(symbol), one_dec(x / 1000), F.lit("K")))
