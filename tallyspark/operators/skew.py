@@ -3,11 +3,12 @@
 A key can hold a large share of all rows (one note, one user, one token).
 A plain shuffle join sends all of that key's rows to one task.  Here the
 hot keys are found from the per-key counts (a map-side reduced
-aggregation): the ``max_hot`` largest keys above ``min_rows`` rows, which
-include every key above ``max(min_rows, N / max_hot)``; the list is at most
-``max_hot`` rows and is broadcast with that proven bound.  A hot key's rows are spread over ``salts`` sub-keys by a
-hash of the row id, and the table's row for that key is copied once per
-sub-key; every other key joins unchanged (sub-key 0).
+aggregation): every key above ``min_rows`` rows, however many there are,
+with as many sub-keys as its rows need at ``target_rows`` for each.  A hot
+key's rows are spread over its sub-keys by a hash of the row, and the
+table's row for that key is copied once per sub-key; every other key joins
+unchanged (sub-key 0).  The list of hot keys joins like any other table: the
+planner broadcasts it if its size allows.
 """
 
 from __future__ import annotations
@@ -15,59 +16,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 1000
 MIN_ROWS = 1_000_000
-SALTS = 64
-# the same three settings can come from the session, e.g.
+TARGET_ROWS = 1_000_000
+# the same settings can come from the session, e.g.
 #   spark.conf.set("tallyspark.skew.minRows", "5000000")
-CONF = {"minRows": "MIN_ROWS", "maxHot": "MAX_HOT", "salts": "SALTS"}
+CONF = {"minRows": "MIN_ROWS", "targetRows": "TARGET_ROWS"}
 
 
 def _setting(df: DataFrame, name: str) -> int:
-    default = globals()[CONF[name]]
-    try:
-        return int(df.sparkSession.conf.get(f"tallyspark.skew.{name}", str(default)))
-    except Exception:  # noqa: BLE001 - an unreadable setting falls back to the default
-        return default
+    return int(df.sparkSession.conf.get(f"tallyspark.skew.{name}", str(globals()[CONF[name]])))
 
 
-def hot_keys(counts: DataFrame, key: list[str], n_col: str = "_n", max_hot: int | None = None,
-             min_rows: int | None = None) -> DataFrame:
-    """The ``max_hot`` largest keys that hold more than ``min_rows`` rows.
-
-    Every key above ``N / max_hot`` rows is among the ``max_hot`` largest
-    (there cannot be more of them), so this covers every key above
-    ``max(min_rows, N / max_hot)`` while staying at most ``max_hot`` rows.
-    A top-k (partial per task, then merged) needs no total and no sort."""
-    max_hot = max_hot or _setting(counts, "maxHot")
+def hot_keys(counts: DataFrame, key: list[str], n_col: str = "_n", min_rows: int | None = None,
+             target_rows: int | None = None) -> DataFrame:
+    """(key, _salts) for every key that holds more than ``min_rows`` rows."""
     min_rows = _setting(counts, "minRows") if min_rows is None else min_rows
+    target = target_rows or _setting(counts, "targetRows")
     return (counts.filter(F.col(n_col) > min_rows)
-            .orderBy(F.col(n_col).desc(), *[F.col(k) for k in key]).limit(max_hot)
-            .select(*key))
+            .select(*key, F.ceil(F.col(n_col) / F.lit(target)).cast("int").alias("_salts")))
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner",
                 salt_from: list[str] | None = None, counts: DataFrame | None = None,
-                n_col: str = "_n", salts: int | None = None, max_hot: int | None = None,
-                min_rows: int | None = None) -> DataFrame:
+                n_col: str = "_n", min_rows: int | None = None,
+                target_rows: int | None = None) -> DataFrame:
     """``rows`` joined to ``table`` (unique on ``key``) with hot keys split.
 
     ``counts`` (key, n_col) may be given when the caller already has the
-    rows per key; otherwise it is computed (partial aggregation)."""
-    salts = salts or _setting(rows, "salts")
+    rows per key; otherwise it is computed (partial aggregation).  The
+    sub-key is a hash of ``salt_from`` (default: all columns), so a task that
+    runs again places its rows alike."""
     if counts is None:
         counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(n_col))
-    hot = F.broadcast(hot_keys(counts, key, n_col, max_hot, min_rows)
-                      .withColumn("_hot", F.lit(True)))
-    # the salt only places a row: every sub-key carries the same table row,
-    # so the result does not depend on it (rows without an id use rand())
-    spread = (F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(salts)) if salt_from
-              else F.floor(F.rand(17) * salts))
+    hot = hot_keys(counts, key, n_col, min_rows, target_rows)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (salt_from or rows.columns)]), F.col("_salts"))
     r = (rows.join(hot, key, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int"))
-         .drop("_hot"))
+         .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int")).drop("_salts"))
     t = (table.join(hot, key, "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                        .otherwise(F.array(F.lit(0)))))
-         .drop("_hot"))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+         .drop("_salts"))
     return r.join(t, key + ["_salt"], how).drop("_salt")

@@ -13,9 +13,8 @@ from tallyspark.operators import skew
 
 @pytest.fixture()
 def low_thresholds(monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS", 10)
-    monkeypatch.setattr(skew, "MAX_HOT", 20)
-    monkeypatch.setattr(skew, "SALTS", 8)
+    monkeypatch.setattr(skew, "MIN_ROWS", 100)
+    monkeypatch.setattr(skew, "TARGET_ROWS", 1000)
 
 
 def hot_frame(spark, n=30000):
@@ -28,11 +27,11 @@ def hot_frame(spark, n=30000):
         .alias("notes"))
 
 
-def test_hot_keys_are_bounded(spark, low_thresholds):
+def test_every_large_key_is_hot_with_salts_for_its_rows(spark, low_thresholds):
     df = hot_frame(spark)
     counts = df.groupBy("notes").agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r.notes for r in skew.hot_keys(counts, ["notes"]).collect()]
-    assert "hot" in hot and len(hot) <= 20
+    hot = {r.notes: r._salts for r in skew.hot_keys(counts, ["notes"]).collect()}
+    assert hot["hot"] == 10 and len(hot) == 98 and set(hot.values()) == {1, 10}
 
 
 def test_salted_join_equals_plain_join(spark, low_thresholds):
@@ -48,11 +47,12 @@ def test_salted_join_equals_plain_join(spark, low_thresholds):
 
 def test_hot_rows_spread_over_sub_keys(spark, low_thresholds):
     df = hot_frame(spark)
-    counts = df.groupBy("notes").agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(skew.hot_keys(counts, ["notes"]).withColumn("_hot", F.lit(True)))
-    spread = (df.join(hot, ["notes"]).select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("s"))
-              .distinct().count())
-    assert spread == 8
+    table = df.select("notes").distinct()
+    # without a row id the hash of all columns places a row, the same way again
+    a, b = (sorted(skew.salted_join(df, table, ["notes"], "inner").select("id").collect()) for _ in range(2))
+    assert a == b and len(a) == df.count()
+    spread = df.filter("notes = 'hot'").select(F.pmod(F.xxhash64(*df.columns), F.lit(10)).alias("s"))
+    assert spread.distinct().count() == 10
 
 
 def test_operators_unchanged_under_salting(spark, low_thresholds):
@@ -74,11 +74,11 @@ def test_operators_unchanged_under_salting(spark, low_thresholds):
 def test_thresholds_from_session_conf(spark):
     df = hot_frame(spark)
     counts = df.groupBy("notes").agg(F.count(F.lit(1)).alias("_n"))
-    spark.conf.set("tallyspark.skew.minRows", "5")
-    spark.conf.set("tallyspark.skew.maxHot", "3")
+    spark.conf.set("tallyspark.skew.minRows", "5000")
+    spark.conf.set("tallyspark.skew.targetRows", "3000")
     try:
         hot = skew.hot_keys(counts, ["notes"]).collect()
     finally:
         spark.conf.unset("tallyspark.skew.minRows")
-        spark.conf.unset("tallyspark.skew.maxHot")
-    assert len(hot) == 3 and hot[0].notes == "hot"
+        spark.conf.unset("tallyspark.skew.targetRows")
+    assert [(r.notes, r._salts) for r in hot] == [("hot", 4)]
