@@ -9,13 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tallyspark", cores: int | str = "*",
+def build_session(app: str = "tallyspark", cores: int | str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """Local session tuned like a small cluster: AQE on, UI off, UTC."""
+    """Session with AQE on, UI off, UTC.  ``cores`` asks for a local master;
+    without it the master of spark-submit (or Spark's default) holds."""
     parts = shuffle_partitions or (os.cpu_count() or 8)
+    builder = SparkSession.builder.appName(app)
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]")
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -35,8 +38,9 @@ def build_session(app: str = "tallyspark", cores: int | str = "*",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when unset.
 
-    On a cluster the setting names a shared folder (HDFS/S3/...).  A local
-    scratch folder is created only when nothing is configured (tests, bench).
+    On a cluster the setting names a shared folder (HDFS/S3/...); without
+    it this raises, as a machine-local folder would be another one on each
+    executor.  With a local master (tests, bench) a scratch folder is made.
     """
     try:
         sc = spark.sparkContext
@@ -48,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else "remote"
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is None:
@@ -78,8 +85,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as a Parquet table under the shared checkpoint
     folder and read it back: lineage is cut, every later branch reads the
     columnar files instead of recomputing (and the files survive executor
-    loss).  Used for aggregated tables that several branches consume."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    loss).  Used for aggregated tables that several branches consume; the
+    job runs at once, and ``release`` removes the files."""
+    path = f"{tables_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def tables_root(spark: SparkSession) -> str:
+    """The application's folder of intermediate tables in shared storage."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{app_id(spark)}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; call it when no frame
+    built so far is read any more (a job's end)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,3 +1,3 @@
 """Structured Streaming variants of the ingest and spend paths."""
 
-from .ingest import stream_import, stream_month_spend  # noqa: F401
+from .ingest import read_month_spend, stream_import, stream_month_spend  # noqa: F401

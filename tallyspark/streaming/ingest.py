@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import money
+from ..functions import money_sum
 from ..sources.files import import_expenses
 
 UPLOAD_COLUMNS = ["user_id", "Date", "Category", "Amount", "Payment_Mode", "Notes"]
@@ -27,7 +27,8 @@ def stream_import(spark: SparkSession, src: str, out: str, checkpoint: str, as_o
                   columns: list[str] = UPLOAD_COLUMNS, available_now: bool = True
                   ) -> list[StreamingQuery]:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    raw = spark.readStream.schema(schema).option("header", True).csv(src)
+    raw = (spark.readStream.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+           .option("multiLine", True).csv(src))
     raw = raw.withColumn("user_id", F.col("user_id").try_cast("long"))
     good, bad = import_expenses(raw, as_of)
     queries = []
@@ -45,14 +46,24 @@ def month_spend_stream(expenses: DataFrame, lateness: str = "40 days") -> DataFr
     e = expenses.withColumn("month_start", F.trunc("date", "month").cast("timestamp"))
     return (e.withWatermark("month_start", lateness)
             .groupBy("user_id", "category", "month_start")
-            .agg(F.sum(money("amount")).cast("double").alias("spent"),
+            .agg(money_sum("amount").alias("spent"),
                  F.count(F.lit(1)).alias("n")))
 
 
-def stream_month_spend(spark: SparkSession, src: str, schema: T.StructType, query_name: str,
+def stream_month_spend(spark: SparkSession, src: str, schema: T.StructType, out: str,
                        checkpoint: str, lateness: str = "40 days") -> StreamingQuery:
-    """Parquet expense files -> in-memory table ``query_name`` (update mode)."""
+    """Parquet expense files -> the changed rows of each batch under ``out``
+    (a batch that runs again replaces its own folder)."""
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
+
     stream = spark.readStream.schema(schema).parquet(src)
-    return (month_spend_stream(stream, lateness).writeStream.outputMode("update")
-            .format("memory").queryName(query_name)
+    return (month_spend_stream(stream, lateness).writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_month_spend(spark: SparkSession, out: str) -> DataFrame:
+    """The latest spend of every (user, category, month start)."""
+    return (spark.read.parquet(out).groupBy("user_id", "category", "month_start")
+            .agg(F.max_by(F.struct("spent", "n"), "batch").alias("v"))
+            .select("user_id", "category", "month_start", "v.spent", "v.n"))
