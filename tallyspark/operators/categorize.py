@@ -19,20 +19,23 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import half_even
+from ..functions import half_even, py_round
 from ..schema import MIN_CATEGORY_ROWS
 from ..session import materialize
 from .skew import salted_join
 
 TOKEN_MIN = 2
+# what the driver can hold of the multinomial model (doubles)
+MAX_COEFFICIENTS = 200_000_000
 
 
 def train_test_split(df: DataFrame, test_share: int = 5, seed: int = 42, key=("clean_notes",)
                      ) -> DataFrame:
-    """K1: repeatable 80/20 split by a hash of the row (independent of
+    """K1: repeatable 80/20 split by an md5 of the row (independent of
     partitioning and input order, unlike ``randomSplit``)."""
-    h = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(test_share))
-    return df.withColumn("split", F.when(h == 0, "test").otherwise("train"))
+    text = F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in key])
+    low = F.substring(F.md5(text), 1, 8) < F.lit(f"{2 ** 32 // test_share:08x}")
+    return df.withColumn("split", F.when(low, "test").otherwise("train"))
 
 
 def tokens(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id") -> DataFrame:
@@ -52,7 +55,8 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
     tf = materialize(tokens(df.filter(F.col(doc).isNotNull()), text, doc)
                      .groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
     dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()  # scalar subquery
+    # scalar subquery; documents without an id have no terms and don't count
+    n_docs = df.filter(F.col(doc).isNotNull()).select(F.count(F.lit(1)).cast("double")).scalar()
     idf = dfreq.select("token", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
                                  + F.lit(1.0)).alias("idf"))
     # a very common token is split over sub-keys (its rows are one per document)
@@ -70,8 +74,9 @@ def keep_frequent_categories(df: DataFrame, min_rows: int = MIN_CATEGORY_ROWS,
     """Rows whose category has at least ``min_rows`` rows."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     big = counts.filter(F.col("_n") >= min_rows).select(col)
-    # few categories, each possibly huge: hot ones are split over sub-keys
-    return salted_join(df, big, [col], "left_semi", counts=counts)
+    # the planner broadcasts the categories if they are few; otherwise AQE
+    # splits the rows of a huge one
+    return df.join(big, col, "left_semi").select(*df.columns)
 
 
 def train_category_model(train: DataFrame, text: str = "clean_notes", label: str = "category",
@@ -84,7 +89,13 @@ def train_category_model(train: DataFrame, text: str = "clean_notes", label: str
     # labels, iterations): keep them once instead of re-cleaning the texts
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\w\\w+", gaps=False)
-    cv = CountVectorizer(inputCol="_tok", outputCol="_tf")
+    # the reference's vocabulary has no limit: room for every distinct token
+    size = tok.transform(train).select(F.explode("_tok").alias("t")).distinct().count()
+    classes = train.select(label).distinct().count()
+    if size * classes > MAX_COEFFICIENTS:
+        raise ValueError(f"{size} tokens x {classes} categories do not fit one coefficient matrix "
+                         f"({MAX_COEFFICIENTS} numbers); hash the tokens or split the categories")
+    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=max(size, 1))
     lab = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     pre = Pipeline(stages=[tok, cv, lab]).fit(train)
     counted = pre.transform(train)
@@ -109,14 +120,15 @@ def predict_category(model: PipelineModel | None, df: DataFrame, known: list[str
                      fallback: str = "Other") -> DataFrame:
     """K4: predicted category and its probability (3 decimals) for every
     row; no model -> fallback with NULL confidence; a prediction outside
-    ``known`` is replaced by the fallback."""
+    ``known`` (default: the model's training labels) is replaced by the
+    fallback."""
     if model is None:
         return df.withColumn("predicted_category", F.lit(fallback)).withColumn(
             "confidence", F.lit(None).cast("double"))
     out = model.transform(df)
-    conf = half_even(F.array_max(vector_to_array("probability")), 3)
+    conf = py_round(F.array_max(vector_to_array("probability")), 3)
     pred = F.col("predicted_category")
-    if known is not None:
-        pred = F.when(pred.isin(known), pred).otherwise(F.lit(fallback))
+    known = list(model.stages[-1].getLabels()) if known is None else known
+    pred = F.when(pred.isin(known), pred).otherwise(F.lit(fallback))
     keep = [c for c in df.columns]
     return out.select(*keep, pred.alias("predicted_category"), conf.alias("confidence"))

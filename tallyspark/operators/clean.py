@@ -19,6 +19,7 @@ from ..functions import weekday_name
 from ..schema import (AMOUNT_CAP, CATEGORY_MAP, INVALID_NOTES, INVESTMENT, INVESTMENT_MODES,
                       MANUAL_CATEGORY, MERGED_CATEGORIES, MISSING, PAYMENT_MAP, RAW_COLUMNS,
                       SENTINEL_AMOUNTS)
+from ..session import materialize
 from .reports import dominant_category, note_category_counts
 from .skew import salted_join
 
@@ -30,6 +31,16 @@ RENAME_B = {"Date": "date", "Category": "category", "Amount": "amount", "Note":
 DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy"]
 
 
+# what pandas and Python read as a number (the JVM would also take 12d or 1f)
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def parse_number(col: Column) -> Column:
+    """Double of a numeric text, else NULL."""
+    text = col.cast("string")
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+
+
 def _lookup(mapping: dict[str, str], col: Column) -> Column:
     """Exact-match replace: mapped value, else the value itself."""
     m = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
@@ -59,7 +70,7 @@ def drop_missing(df: DataFrame, cols=("amount", "date")) -> DataFrame:
 
 def coerce_amount(df: DataFrame, col: str = "amount") -> DataFrame:
     """Text -> double; unparsable -> NULL (never raises under ANSI)."""
-    return df.withColumn(col, F.col(col).try_cast("double"))
+    return df.withColumn(col, parse_number(F.col(col)))
 
 
 def coerce_date(df: DataFrame, col: str = "date", formats=DATE_FORMATS) -> DataFrame:
@@ -85,8 +96,11 @@ def resolve_note_category(df: DataFrame) -> DataFrame:
     """Every row takes its note's most frequent category (ties: the
     smallest category).  Notes with a single category keep it, so applying
     it to all notes equals applying it to the conflicted ones.  A note
-    holding a large share of the rows is split over sub-keys (``salted_join``)."""
-    counts = note_category_counts(df)
+    holding a large share of the rows is split over sub-keys (``salted_join``).
+    The small (note, category, n) table is written once, when the frame is
+    built; winner, rows per note and hot notes all come from it, so the input
+    is read twice in all."""
+    counts = materialize(note_category_counts(df), "note_counts")
     dom = dominant_category(df, counts).select("notes", "dominant_category")
     per_note = counts.groupBy("notes").agg(F.sum("n").alias("_n"))
     return (salted_join(df, dom, ["notes"], "left", counts=per_note)
@@ -159,8 +173,8 @@ def mapped(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def clean_transactions(a: DataFrame, b: DataFrame, cap: float = AMOUNT_CAP,
                        expense_only: bool = False) -> DataFrame:
-    """C11: the whole chain in the reference's order, as one lazy plan:
-    P8 B1 C1 P7 C2 C5 C4 J1 C6 P4 C8 C7 C3 D1 P5.  The reference keeps
+    """C11: the whole chain in the reference's order (J1 writes its small
+    count table when the frame is built, the rest is lazy): P8 B1 C1 P7 C2 C5 C4 J1 C6 P4 C8 C7 C3 D1 P5.  The reference keeps
     income rows (Q8); ``expense_only`` drops them first."""
     m = mapped(a, b)
     if expense_only:

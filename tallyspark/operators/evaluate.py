@@ -6,29 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import half_even
+from ..session import materialize
 
 
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                        keys=()) -> DataFrame:
-    """N, MAE, RMSE and R^2 (per key, or overall)."""
+    """N, MAE, RMSE and R^2 (per key, or overall), in one pass: the
+    squared deviation from the mean is ``var_pop * n``.  R^2 of a constant
+    series is 1 if all predictions are right, else 0; of a single row NULL."""
     e = F.col(actual) - F.col(predicted)
-    if keys:
-        j = df.join(df.groupBy(*keys).agg(F.avg(actual).alias("_ybar")), list(keys))
-    else:
-        j = df.withColumn("_ybar", df.select(F.avg(actual)).scalar())
-    d = F.col(actual) - F.col("_ybar")
-    return j.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+    n, sq, dev = F.count(F.lit(1)), F.sum(e * e), F.var_pop(actual) * F.count(actual)
+    r2 = (F.when(n < 2, F.lit(None).cast("double"))
+          .when(F.min(actual) < F.max(actual), F.lit(1.0) - F.try_divide(sq, dev))
+          .otherwise(F.when(sq == 0, 1.0).otherwise(0.0)))
+    return df.groupBy(*keys).agg(
+        n.alias("n"),
         half_even(F.avg(F.abs(e)), 4).alias("mae"),
         half_even(F.sqrt(F.avg(e * e)), 4).alias("rmse"),
-        half_even(F.lit(1.0) - F.sum(e * e) / F.sum(d * d), 6).alias("r2"))
+        half_even(r2, 6).alias("r2"))
 
 
-def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction"
-                          ) -> DataFrame:
+def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                          weight: str | None = None) -> DataFrame:
     """K5: per class precision / recall / F1 / support, plus accuracy,
-    macro and weighted averages, from confusion counts (one group-by)."""
-    conf = df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
+    macro and weighted averages, from confusion counts (one group-by, written
+    once when the frame is built: classes x classes rows).  ``weight`` names a
+    count column when the rows are already counted."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    conf = materialize(df.groupBy(label, prediction).agg(n.alias("n")), "confusion")
     tp = conf.filter(F.col(label) == F.col(prediction)).select(
         F.col(label).alias("cls"), F.col("n").alias("tp"))
     sup = conf.groupBy(F.col(label).alias("cls")).agg(F.sum("n").alias("support"))

@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import half_even, weekday_name
-from ..schema import BAND, INTERVAL_Z80, MIN_HISTORY
+from ..functions import half_even, py_round, weekday_name
+from ..schema import BAND, INTERVAL_Z80, MIN_HISTORY, PAGE_MIN_HISTORY, PAGE_TREE_DAYS
 from ..session import materialize
 from .reports import daily_totals
 from .series import calendar_gap_fill, last_n
@@ -33,20 +33,32 @@ def _sum_arr(arr):
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
 
 
-def eligible(series: DataFrame, min_rows: int, keys=(USER,)) -> tuple[DataFrame, DataFrame]:
-    """M1 guard: (series of keys with >= ``min_rows`` rows, skipped keys)."""
-    n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
-    ok = n.filter(F.col("n_points") >= min_rows).select(*keys)
-    skipped = (n.filter(F.col("n_points") < min_rows)
-               .withColumn("reason", F.lit(f"fewer than {min_rows} data points")))
-    return series.join(ok, list(keys), "left_semi"), skipped
+def eligible(series: DataFrame, min_rows: int, keys=(USER,), min_days: int = 0
+             ) -> tuple[DataFrame, DataFrame]:
+    """M1 guard: (series of keys with >= ``min_rows`` rows over >=
+    ``min_days`` calendar days, skipped keys with the reason).  One window
+    over the aggregated series, bounded by the calendar."""
+    w = Window.partitionBy(*keys)
+    s = (series.withColumn("n_points", F.count(F.lit(1)).over(w))
+         .withColumn("_days", F.datediff(F.max("ds").over(w), F.min("ds").over(w)) + 1))
+    short = F.col("n_points") < min_rows
+    bad = short | (F.col("_days") < min_days)
+    reason = (F.when(short, F.lit(f"fewer than {min_rows} data points"))
+              .otherwise(F.lit(f"fewer than {min_days} calendar days")))
+    skipped = (s.filter(bad).groupBy(*keys, "n_points", "_days").agg(F.count(F.lit(1)).alias("_n"))
+               .select(*keys, "n_points", reason.alias("reason")))
+    return s.filter(~bad).select(*series.columns), skipped
 
 
 def trailing_mean_forecast(expenses: DataFrame, periods: int = 30, window: int = 7,
-                           min_history: int = MIN_HISTORY["seasonal"]) -> DataFrame:
-    """M2: recursive trailing mean with +-20 % bounds, per user."""
-    # the daily series feeds the guard, the gap fill and the seed: one pass
-    daily, _ = eligible(materialize(daily_totals(expenses), "daily"), min_history)
+                           min_history: int = PAGE_MIN_HISTORY["trees"],
+                           min_days: int = PAGE_TREE_DAYS) -> DataFrame:
+    """M2: recursive trailing mean with +-20 % bounds, per user with at
+    least ``min_history`` observed and ``min_days`` calendar days (with fewer
+    the reference has no training row and refuses)."""
+    # the daily series feeds the gap fill and the seed: written once, when the
+    # frame is built
+    daily, _ = eligible(materialize(daily_totals(expenses), "daily"), min_history, min_days=min_days)
     seed = last_n(calendar_gap_fill(daily), window)
     s = seed.groupBy(USER).agg(
         F.max("ds").alias("last_ds"),
@@ -106,6 +118,9 @@ def seasonal_trend_fit(series: DataFrame, keys: list[str], unit: str = "day",
         s = s.filter(F.col("_rows") >= min_history)
     s = (s.withColumn("t", _t(unit).cast("decimal(38,0)"))
          .withColumn("cents", F.round(F.col("y") * 100).cast("decimal(38,0)")))
+    # the sums, both effects and the residuals read the series: written once,
+    # when the frame is built
+    s = materialize(s, "series")
     g = s.groupBy(*keys).agg(
         F.min("origin").alias("origin"), F.max("last_ds").alias("last_ds"),
         F.count(F.lit(1)).cast("decimal(38,0)").alias("n"),
@@ -188,8 +203,8 @@ def seasonal_trend_forecast(series: DataFrame, periods: int = 30, keys=(USER,),
 def forecast_summary(fc: DataFrame, keys=(USER,)) -> DataFrame:
     """M8: total and mean of yhat (rounded 2), peak and lowest day."""
     return fc.groupBy(*keys).agg(
-        half_even(F.sum("yhat")).alias("total_predicted"),
-        half_even(F.avg("yhat")).alias("avg_daily"),
+        py_round(F.sum("yhat")).alias("total_predicted"),
+        py_round(F.avg("yhat")).alias("avg_daily"),
         F.min_by("ds", F.struct((-F.col("yhat")).alias("v"), F.col("ds").alias("d")))
         .alias("peak_day"),
         F.max("yhat").alias("peak_yhat"),
@@ -233,20 +248,31 @@ def history_plus_forecast(expenses: DataFrame, fc: DataFrame, history_days: int
     return h.unionByName(f)
 
 
-def forecast_dispatch(expenses: DataFrame, model: str = "seasonal", periods: int = 30):
+def dispatch_guard(expenses: DataFrame, model: str, path: str = "service") -> tuple[DataFrame, DataFrame]:
+    """M1: (daily series long enough for ``model``, skipped users) with the
+    limits of the service or of the page."""
+    if path not in ("service", "page") or model not in MIN_HISTORY:
+        raise ValueError(f"Unknown model: {model} ({path})")
+    least = (MIN_HISTORY if path == "service" else PAGE_MIN_HISTORY)[model]
+    days = PAGE_TREE_DAYS if (path, model) == ("page", "trees") else 0
+    ok, skipped = eligible(daily_totals(expenses), least, min_days=days)
+    return ok, skipped.withColumn("model", F.lit(model)).withColumn("path", F.lit(path))
+
+
+def forecast_dispatch(expenses: DataFrame, model: str = "seasonal", periods: int = 30,
+                      path: str = "service") -> tuple[DataFrame, DataFrame]:
     """M1: choose a model by name; series too short go to ``skipped``
-    with a reason instead of raising.  Returns (forecast, skipped)."""
-    if model not in MIN_HISTORY:
-        raise ValueError(f"Unknown model: {model}")
-    daily = daily_totals(expenses)
-    _, skipped = eligible(daily, MIN_HISTORY[model])
+    with a reason instead of raising.  Returns (forecast, skipped).  The
+    service's tree model is fitted when the frame is built."""
+    daily, skipped = dispatch_guard(expenses, model, path)
     if model == "seasonal":
-        fc = seasonal_trend_forecast(daily, periods)
+        fc = seasonal_trend_forecast(daily, periods, min_history=0)
+    elif path == "page":
+        fc = trailing_mean_forecast(expenses, periods)
     else:
         from .models import boosted_tree_forecast
         fc = boosted_tree_forecast(expenses, periods)
-    return fc, skipped.withColumn("model", F.lit(model))
-
+    return fc, skipped
 
 
 # --- seasonal trend, tier 2: per-user regression (rows-checked) -------------

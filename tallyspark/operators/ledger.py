@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import salted_join
-
 EXPENSE_COLS = ["id", "user_id", "date", "category", "amount", "payment_mode", "notes"]
 EXPENSE_KEY = ["id", "user_id"]
 BUDGET_KEY = ["user_id", "month", "category"]
@@ -33,15 +31,25 @@ def append_expenses(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.select(*EXPENSE_COLS).unionByName(ins)
 
 
-def apply_expense_updates(base: DataFrame, patches: DataFrame, overwrite: bool = False) -> DataFrame:
-    """L2: apply the latest patch per (id, user_id).  Patch semantics: a
-    NULL field keeps the old value; ``overwrite`` replaces every field.
-    Only rows owned by the patch's user change."""
+def _latest_fields(changes: DataFrame, key: list[str], cols: list[str], seq: str = "seq") -> DataFrame:
+    """Per key and field the last value that is not null: patches of one key
+    add up, as if applied one after the other."""
+    return changes.groupBy(*key).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in cols])
+
+
+def apply_expense_updates(base: DataFrame, patches: DataFrame, overwrite: bool = False,
+                          key: list[str] | None = None) -> DataFrame:
+    """L2: apply all patches in the order of ``seq``.  Patch semantics: a
+    NULL field keeps the value it had; ``overwrite`` replaces every field by
+    the last change.  Rows match on (id, user_id), so only rows owned by the
+    patch's user change, or on ``key=["id"]`` alone (the local store)."""
+    key = key or EXPENSE_KEY
     fields = [c for c in EXPENSE_COLS if c not in EXPENSE_KEY]
-    p = _latest(patches, EXPENSE_KEY, fields)
-    p = p.select(*EXPENSE_KEY, *[F.col(c).alias(f"_p_{c}") for c in fields],
+    p = _latest(patches, key, fields) if overwrite else _latest_fields(patches, key, fields)
+    p = p.select(*key, *[F.col(c).alias(f"_p_{c}") for c in fields],
                  F.lit(True).alias("_hit"))
-    j = base.select(*EXPENSE_COLS).join(p, EXPENSE_KEY, "left")
+    j = base.select(*EXPENSE_COLS).join(p, key, "left")
     out = []
     for c in fields:
         if overwrite:
@@ -51,21 +59,23 @@ def apply_expense_updates(base: DataFrame, patches: DataFrame, overwrite: bool =
     return j.select(*EXPENSE_KEY, *out).select(*EXPENSE_COLS)
 
 
-def delete_expenses(base: DataFrame, deletes: DataFrame) -> DataFrame:
-    """L3: drop rows whose (id, owner) is in the delete set."""
-    return base.join(deletes.select(*EXPENSE_KEY).distinct(), EXPENSE_KEY, "left_anti")
+def delete_expenses(base: DataFrame, deletes: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """L3: drop rows whose (id, owner) is in the delete set; ``key=["id"]``
+    matches on the id alone (the local store)."""
+    key = key or EXPENSE_KEY
+    return base.join(deletes.select(*key).distinct(), key, "left_anti")
 
 
 def purge_user_expenses(base: DataFrame, users: DataFrame) -> DataFrame:
-    """L4: drop every expense of the given users (a very active user's rows
-    are split over sub-keys)."""
-    return salted_join(base, users.select("user_id").distinct(), ["user_id"], "left_anti")
+    """L4: drop every expense of the given users.  The planner broadcasts the
+    ids if they are few; otherwise AQE splits a very active user's rows."""
+    return base.join(users.select("user_id").distinct(), "user_id", "left_anti").select(*base.columns)
 
 
 def purge_user_cascade(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
     """Deleting users deletes their rows from every dependent table."""
     gone = users.select("user_id").distinct()
-    return {name: salted_join(t, gone, ["user_id"], "left_anti") for name, t in tables.items()}
+    return {name: t.join(gone, "user_id", "left_anti").select(*t.columns) for name, t in tables.items()}
 
 
 def upsert_budgets(budgets: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
@@ -93,4 +103,4 @@ def check_required_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def check_orphans(df: DataFrame, users: DataFrame, fk: str = "user_id") -> DataFrame:
     """Rows whose foreign key has no user."""
-    return salted_join(df, users.select(F.col("id").alias(fk)).distinct(), [fk], "left_anti")
+    return df.join(users.select(F.col("id").alias(fk)).distinct(), fk, "left_anti").select(*df.columns)

@@ -11,7 +11,7 @@ horizon and a lost executor only recomputes one step.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -37,19 +37,37 @@ MONTHLY_GBT = dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)
 
 
 def fit_trees(train: DataFrame, features: list[str], label: str = "y", **params):
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    """The fitted pipeline; rows with a missing feature or label are left out
+    of the fit but kept when it predicts (the caller replaces those)."""
+    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(labelCol=label, featuresCol="features", **params)
-    return Pipeline(stages=[asm, gbt]).fit(train)
+    return Pipeline(stages=[asm, gbt]).fit(train.dropna(subset=[*features, label]))
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline (shared storage on a cluster)."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def _arr_mean(arr):
-    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
+    return F.try_divide(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), F.size(arr))
+
+
+def _last(arr, n: int):
+    """The last ``n`` values, or all of a shorter array (``slice`` from the
+    end would give none)."""
+    return F.slice(arr, F.greatest(F.size(arr) - n, F.lit(0)) + 1, n)
 
 
 def _arr_std(arr):
     m = _arr_mean(arr)
     ss = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.when(F.size(arr) > 1, F.sqrt(ss / (F.size(arr) - 1))).otherwise(F.lit(0.0))
+    return F.when(F.size(arr) > 1, F.sqrt(F.try_divide(ss, F.size(arr) - 1))).otherwise(F.lit(0.0))
 
 
 def series_state(series: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -78,11 +96,11 @@ def daily_step_features(state: DataFrame, keys: list[str]) -> DataFrame:
 
 def _advance(pred_df: DataFrame, keys: list[str], depth: int, clip: bool = True) -> DataFrame:
     p = F.greatest(F.col("prediction"), F.lit(0.0)) if clip else F.col("prediction")
-    fallback = _arr_mean(F.slice(F.col("vals"), -7, 7))
+    # a missing lag or window: the mean of the last (at most 7) values
     lag_missing = F.size("vals") < DAILY_LAGS[-1]
-    p = F.when(lag_missing | F.col("prediction").isNull(), fallback).otherwise(p)
+    p = F.when(lag_missing | F.col("prediction").isNull(), _arr_mean(_last(F.col("vals"), 7))).otherwise(p)
     return pred_df.select(*keys, F.col("ds").alias("last_ds"),
-                          F.slice(F.concat("vals", F.array(p)), -depth, depth).alias("vals"),
+                          _last(F.concat("vals", F.array(p)), depth).alias("vals"),
                           F.concat("preds", F.array(p)).alias("preds"))
 
 
@@ -91,7 +109,9 @@ def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict |
                           ) -> DataFrame:
     """M3: pooled GBT on observed-day features, iterated day by day,
     clipped at 0, +-20 % band.  Users with fewer than ``min_history`` days
-    are left out (``forecast_dispatch`` reports them).  The service path
+    are left out (``forecast_dispatch`` reports them); while a user's lags
+    are incomplete, the mean of the last 7 values stands in.  The model is
+    fitted, and every step run, when the frame is built.  The service path
     uses observed days only; ``gap_fill`` fills missing days with 0 first
     (the UI path, Q4)."""
     keys = [USER]
@@ -100,13 +120,16 @@ def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict |
         daily = calendar_gap_fill(daily)
     daily, _ = eligible(daily, min_history)
     train = feature_table_daily(daily.select(USER, F.col("ds").alias("date"), F.col("y").alias("amount")))
-    model = fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT))
+    if train.dropna(subset=[*DAILY_FEATURES, "y"]).isEmpty():  # nothing to learn from: trailing means
+        predict = lambda f: f.withColumn("prediction", F.lit(None).cast("double"))
+    else:
+        predict = fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT)).transform
     depth = max(DAILY_LAGS)
     state = cut_lineage(series_state(daily, keys, depth))
     start = state.select(*keys, "last_ds")
     for _ in range(periods):
         feats = daily_step_features(state, keys)
-        state = cut_lineage(_advance(model.transform(feats), keys, depth))
+        state = cut_lineage(_advance(predict(feats), keys, depth))
     out = state.join(start.withColumnRenamed("last_ds", "origin"), keys).select(
         *keys, "origin", F.posexplode("preds").alias("pos", "yhat"))
     return out.select(*keys, F.date_add("origin", F.col("pos") + 1).alias("ds"), "yhat",
@@ -116,18 +139,22 @@ def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict |
 
 # --- monthly (M4, M5, M12) --------------------------------------------------
 
-def monthly_holdout_model(series: DataFrame, test_rows: int = 6, params: dict | None = None):
-    """M4: fit on the monthly features except the last ``test_rows`` rows.
-    Returns (model, predictions on the test rows)."""
+def monthly_split(series: DataFrame, test_rows: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Monthly feature rows: (all but the last ``test_rows``, the last ones)."""
     feats = feature_table_monthly(series)
     w = Window.orderBy(F.col("ds").desc())  # monthly rows: one per calendar month
     feats = feats.withColumn("_r", F.row_number().over(w))
-    train = feats.filter(F.col("_r") > test_rows)
-    test = feats.filter(F.col("_r") <= test_rows)
-    model = fit_trees(train, MONTHLY_FEATURES, **(params or MONTHLY_GBT))
-    pred = model.transform(test).select("ds", F.col("y").alias("actual"),
-                                        F.col("prediction").alias("predicted"))
-    return model, pred
+    return feats.filter(F.col("_r") > test_rows), feats.filter(F.col("_r") <= test_rows)
+
+
+def fit_monthly(train: DataFrame, params: dict | None = None) -> PipelineModel:
+    """M4: the monthly trees."""
+    return fit_trees(train, MONTHLY_FEATURES, **(params or MONTHLY_GBT))
+
+
+def predict_monthly(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """M4: (ds, actual, predicted) on the held-out months."""
+    return model.transform(test).select("ds", F.col("y").alias("actual"), F.col("prediction").alias("predicted"))
 
 
 def feature_importance(model, features: list[str] = MONTHLY_FEATURES) -> DataFrame:

@@ -1,11 +1,11 @@
 """Exact quantiles without gathering a column into one task.
 
 1. ``hist``: (value, count) — a partial-aggregated group-by, so a value that
-   holds a third of all rows is still one row.  It is the only pass over
-   the input.
+   holds a third of all rows is still one row.  It is the only pass over the
+   input, written once when the frame is built.
 2. Approximate split points over the distinct values (a bounded sketch) cut
-   them into ``buckets`` ranges; per-range counts (at most ``buckets`` rows)
-   give each range's first rank and the total.
+   them into ``buckets`` ranges, found by binary search; per-range counts (at
+   most ``buckets`` rows) give each range's first rank and the total.
 3. Only the ranges holding a wanted rank are ordered, each in its own window
    partition, to read the value at that rank.
 Interpolation is NumPy's linear rule (pandas ``describe``/``quantile``).
@@ -13,59 +13,50 @@ Interpolation is NumPy's linear rule (pandas ``describe``/``quantile``).
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
-def lerp(lo, hi, frac):
+def _lerp(lo: float, hi: float, frac: float) -> float:
     """NumPy's two-sided linear interpolation."""
-    return F.when(frac >= 0.5, hi - (hi - lo) * (F.lit(1.0) - frac)).otherwise(lo + (hi - lo) * frac)
+    return hi - (hi - lo) * (1.0 - frac) if frac >= 0.5 else lo + (hi - lo) * frac
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None,
                     buckets: int = 256) -> DataFrame:
+    """One row with a column for each of ``probs``; NULLs for no values."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    # the only pass over the rows: (value, count), reduced map-side
-    hist = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    # split points over the *distinct* values balance the ranges by what
-    # the later ordering has to sort
+    x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    hist = materialize(x.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "values")
+    # split points over the *distinct* values balance the ranges by what the
+    # later ordering has to sort
     cuts = [i / buckets for i in range(1, buckets)]
-    sketch = hist.agg(F.percentile_approx("x", cuts, 10 * buckets).alias("splits"))
-    # bucket b holds splits[b-1] < x <= splits[b]: ``buckets`` rows, so the
-    # range join broadcasts a size-bounded side
-    bounds = (sketch.select("splits", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("b"))
-              .select("b",
-                      F.when(F.col("b") > 0, F.col("splits")[F.col("b") - 1]).alias("lo"),
-                      F.when(F.col("b") < buckets - 1, F.col("splits")[F.col("b")]).alias("hi")))
-    inside = ((F.col("lo").isNull() | (F.col("x") > F.col("lo")))
-              & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
-    hb = hist.join(F.broadcast(bounds), inside).select("x", "c", "b")
-    # per-range counts: at most ``buckets`` rows, one ordered partition is fine
-    per_bucket = hb.groupBy("b").agg(F.sum("c").alias("bc"))
-    before = F.coalesce(F.sum("bc").over(Window.orderBy("b").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
-    starts = (per_bucket.withColumn("start", before)
-              .withColumn("n", F.sum("bc").over(Window.partitionBy())))
-    # wanted 0-based ranks: floor and ceil of (n-1)*p for every p
-    pos = [F.lit(p) * (F.col("n") - 1) for p in probs]
-    ranks = F.array_distinct(F.array(*[F.floor(p) for p in pos], *[F.ceil(p) for p in pos]))
-    wanted = (starts.withColumn("r", F.explode(ranks))
-              .filter((F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("bc")))
-              .select("b", "start", "r", "n"))
-    # at most 2*len(probs) rows: size-bounded broadcasts
-    vals = hb.join(F.broadcast(wanted.select("b", "start").distinct()), "b")
-    wv = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("end", F.col("start") + F.sum("c").over(wv))
-    at = (vals.join(F.broadcast(wanted.select("b", "r", "n")), "b")
-          .filter((F.col("r") >= F.col("end") - F.col("c")) & (F.col("r") < F.col("end")))
-          .select("r", "x", "n"))
-    out = at.agg(F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("m"),
-                 F.max("n").alias("n"))
-    cols = []
-    for p, name in zip(probs, names):
-        pv = F.lit(p) * (F.col("n") - 1)
-        lo = F.element_at("m", F.floor(pv))
-        hi = F.element_at("m", F.ceil(pv))
-        cols.append(lerp(lo, hi, pv - F.floor(pv)).alias(name))
-    return out.select(*cols)
+    found = hist.agg(F.percentile_approx("x", cuts, 10 * buckets).alias("s")).first()["s"] or []
+    splits = [-math.inf, *sorted(set(found) - {math.inf, -math.inf}), math.inf]
+    placed = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep").transform(hist)
+    counts = sorted((int(r["b"]), r["n"]) for r in placed.groupBy("b").agg(F.sum("c").alias("n")).collect())
+    start, total = {}, 0
+    for b, n in counts:  # at most ``buckets`` of them
+        start[b], total = total, total + n
+    spark = df.sparkSession
+    schema = ", ".join(f"{n} double" for n in names)
+    if not total:
+        return spark.createDataFrame([[None] * len(names)], schema)
+    wanted = sorted({f(p * (total - 1)) for p in probs for f in (math.floor, math.ceil)})
+    held = {b for b, n in counts if any(start[b] <= r < start[b] + n for r in wanted)}
+    first = F.element_at(F.create_map(*[F.lit(float(v)) if k % 2 == 0 else F.lit(v) for b in sorted(held)
+                                        for k, v in enumerate((b, start[b]))]), F.col("b"))
+    upto = F.sum("c").over(Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = F.array(*[F.lit(r) for r in wanted])
+    at = (placed.filter(F.col("b").isin([float(b) for b in held])).withColumn("end", first + upto)
+          .withColumn("r", F.explode(F.filter(ranks, lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("c")))))
+          .select("r", "x").collect())
+    value = {r["r"]: r["x"] for r in at}
+    row = [_lerp(value[math.floor(p * (total - 1))], value[math.ceil(p * (total - 1))],
+                 p * (total - 1) - math.floor(p * (total - 1))) for p in probs]
+    return spark.createDataFrame([row], schema)

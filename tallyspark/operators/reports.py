@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (half_even, is_weekend, iso_week, money, money_mean, money_sum,
-                         month_key, weekday)
+                         month_key, py_round, weekday)
 from ..session import materialize
 from .skew import salted_join
 
@@ -63,7 +63,8 @@ def category_analysis(df: DataFrame) -> DataFrame:
                 half_even(F.min("amount")).alias("min_amount"),
                 half_even(F.max("amount")).alias("max_amount")))
     user_total = F.sum(money("total")).over(Window.partitionBy(USER)).cast("double")
-    return per.withColumn("share_pct", half_even(F.col("total") / user_total * 100, 1))
+    # a user whose total is 0 has no shares
+    return per.withColumn("share_pct", half_even(F.try_divide("total", user_total) * 100, 1))
 
 
 def month_category_summary(df: DataFrame) -> DataFrame:
@@ -110,17 +111,18 @@ def insights(df: DataFrame) -> DataFrame:
     """The analytics summary, one row per user.
 
     One scan and one shuffle of the rows: they are pre-aggregated to (user,
-    month, category, weekend) with exact DECIMAL sums, that table is
-    checkpointed once, and the month, category and user figures are
-    roll-ups of it."""
+    month, category, weekend) with exact DECIMAL sums; that table is written
+    when the frame is built (one job), and the month, category and user
+    figures are roll-ups of it.  The growth rate rounds as NumPy does, all
+    other figures as Python does."""
     d = _dated(df)
     wk = is_weekend("date")
     g = (d.groupBy(USER, month_key("date").alias("month"), "category", wk.alias("wk"))
-         .agg(F.sum(money("amount")).alias("s"), F.count("amount").alias("n")))
+         .agg(money_sum("amount").alias("s"), F.count("amount").alias("n")))
     # four roll-ups read it: materialise once rather than re-scan per branch
     g = materialize(g, "insights")
-    m = g.groupBy(USER, "month").agg(F.sum("s").cast("double").alias("total"))
-    c = g.groupBy(USER, "category").agg(F.sum("s").cast("double").alias("total"))
+    m = g.groupBy(USER, "month").agg(money_sum("s").alias("total"))
+    c = g.groupBy(USER, "category").agg(money_sum("s").alias("total"))
     months = m.groupBy(USER).agg(_first_max("month", "total").alias("highest_month"),
                                  F.max("total").alias("highest_amount"),
                                  _first_min("month", "total").alias("lowest_month"),
@@ -130,18 +132,18 @@ def insights(df: DataFrame) -> DataFrame:
 
     def side_mean(flag):
         sel = F.col("wk") == flag
-        return half_even(F.coalesce(F.try_divide(F.sum(F.when(sel, F.col("s"))).cast("double"),
-                                                 F.sum(F.when(sel, F.col("n")))), F.lit(0.0)))
+        return py_round(F.coalesce(F.try_divide(money_sum(F.when(sel, F.col("s"))),
+                                                F.sum(F.when(sel, F.col("n")))), F.lit(0.0)))
 
     base = g.groupBy(USER).agg(
         F.sum("n").alias("total_transactions"),
-        half_even(F.sum("s").cast("double") / F.sum("n")).alias("avg_transaction"),
+        py_round(F.try_divide(money_sum("s"), F.sum("n"))).alias("avg_transaction"),
         side_mean(True).alias("weekend_avg"), side_mean(False).alias("weekday_avg"))
     growth = _growth(m).select(USER, half_even("growth_pct").alias("growth_rate"))
     return (base.join(months, USER).join(cats, USER).join(growth, USER)
-            .select(USER, "highest_month", half_even("highest_amount").alias("highest_amount"),
-                    "lowest_month", half_even("lowest_amount").alias("lowest_amount"),
-                    "top_category", half_even("top_category_amount").alias("top_category_amount"),
+            .select(USER, "highest_month", py_round("highest_amount").alias("highest_amount"),
+                    "lowest_month", py_round("lowest_amount").alias("lowest_amount"),
+                    "top_category", py_round("top_category_amount").alias("top_category_amount"),
                     "growth_rate", "weekend_avg", "weekday_avg", "total_transactions",
                     "avg_transaction"))
 
@@ -151,12 +153,13 @@ def dashboard_kpis(df: DataFrame, start: str, end: str) -> DataFrame:
     days = max((date.fromisoformat(end) - date.fromisoformat(start)).days, 1)
     w = df.filter((F.col("date") >= F.lit(start).cast("date"))
                   & (F.col("date") <= F.lit(end).cast("date")))
-    cats = (category_summary(w).groupBy(USER)
+    # one scan: the user's figures roll up the category rows
+    per = w.groupBy(USER, "category").agg(money_sum("amount").alias("total"), F.count("amount").alias("n"))
+    return (per.groupBy(USER)
             .agg(_first_max("category", "total").alias("top_category"),
-                 F.max("total").alias("top_category_amount")))
-    base = w.groupBy(USER).agg(money_sum("amount").alias("total"),
-                               F.count("amount").alias("n_transactions"))
-    return (base.join(cats, USER)
+                 F.max("total").alias("top_category_amount"),
+                 money_sum("total").alias("_total"), F.sum("n").alias("n_transactions"))
+            .withColumnRenamed("_total", "total")
             .withColumn("avg_daily", F.col("total") / F.lit(float(days)))
             .withColumn("avg_per_transaction",
                         F.col("total") / F.greatest(F.col("n_transactions"), F.lit(1)))
@@ -224,17 +227,19 @@ def account_statistics(df: DataFrame) -> DataFrame:
 
 def expense_summary(df: DataFrame) -> DataFrame:
     """Export summary with the top category and the date range text."""
-    cats = (category_summary(df).groupBy(USER)
-            .agg(_first_max("category", "total").alias("top_category")))
-    base = df.groupBy(USER).agg(
-        money_sum("amount").alias("total_expenses"),
-        F.count("amount").alias("total_transactions"),
-        money_mean("amount").alias("avg_transaction"),
-        F.max("amount").alias("max_transaction"),
-        F.min("amount").alias("min_transaction"),
-        F.concat(F.min("date").cast("string"), F.lit(" to "),
-                 F.max("date").cast("string")).alias("date_range"))
-    return base.join(cats, USER)
+    # one scan: the user's figures roll up the category rows
+    per = df.groupBy(USER, "category").agg(
+        money_sum("amount").alias("total"), F.count("amount").alias("n"), F.max("amount").alias("hi"),
+        F.min("amount").alias("lo"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return per.groupBy(USER).agg(
+        money_sum("total").alias("total_expenses"),
+        F.sum("n").alias("total_transactions"),
+        F.try_divide(money_sum("total"), F.sum("n")).alias("avg_transaction"),
+        F.max("hi").alias("max_transaction"),
+        F.min("lo").alias("min_transaction"),
+        F.concat(F.min("first").cast("string"), F.lit(" to "),
+                 F.max("last").cast("string")).alias("date_range"),
+        _first_max("category", "total").alias("top_category"))
 
 
 # --- A16-A24 --------------------------------------------------------------
@@ -344,19 +349,17 @@ def amount_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
             .drop("lo", "hi"))
 
 
-def _ranked_categories(df: DataFrame, with_count: bool = False) -> DataFrame:
-    tot = df.groupBy(USER, "category").agg(money_sum("amount").alias("total"),
-                                           F.count(F.lit(1)).alias("_n"))
+def _ranked_categories(df: DataFrame) -> DataFrame:
+    tot = df.groupBy(USER, "category").agg(money_sum("amount").alias("total"))
     w = Window.partitionBy(USER).orderBy(F.col("total").desc(), F.col("category").asc())
-    out = tot.withColumn("rank", F.row_number().over(w))
-    return out if with_count else out.drop("_n")
+    return tot.withColumn("rank", F.row_number().over(w))
 
 
 def category_breakdown(df: DataFrame, top: int = 8) -> DataFrame:
     """Top ``top`` categories per user and their share of those shown."""
     r = _ranked_categories(df).filter(F.col("rank") <= top)
     shown = F.sum(money("total")).over(Window.partitionBy(USER)).cast("double")
-    return r.withColumn("share_pct", F.col("total") / shown * 100)
+    return r.withColumn("share_pct", F.try_divide("total", shown) * 100)
 
 
 def top_categories(df: DataFrame, top: int = 8) -> DataFrame:
@@ -366,12 +369,14 @@ def top_categories(df: DataFrame, top: int = 8) -> DataFrame:
 
 def category_trend(df: DataFrame, top: int = 5) -> DataFrame:
     """Monthly sums of each user's ``top`` categories by total."""
-    ranked = _ranked_categories(df, with_count=True)
-    tops = ranked.filter(F.col("rank") <= top).select(USER, "category")
-    d = salted_join(_dated(df), tops, [USER, "category"], "left_semi", salt_from=["id"],
-                    counts=ranked.select(USER, "category", "_n"))
-    return (d.groupBy(USER, "category", month_key("date").alias("month"))
-            .agg(money_sum("amount").alias("total")))
+    # one scan to (user, category, month); undated rows count for the rank only
+    per = df.groupBy(USER, "category", month_key("date").alias("month")).agg(money_sum("amount").alias("total"))
+    by_category = Window.partitionBy(USER, "category")
+    ranked = (per.withColumn("_all", F.sum(money("total")).over(by_category))
+              .withColumn("_rank", F.dense_rank().over(
+                  Window.partitionBy(USER).orderBy(F.col("_all").desc(), F.col("category").asc()))))
+    return (ranked.filter((F.col("_rank") <= top) & F.col("month").isNotNull())
+            .select(USER, "category", "month", "total"))
 
 
 def daily_moving_average(df: DataFrame, window: int = 7) -> DataFrame:
@@ -407,5 +412,6 @@ def sorted_history(df: DataFrame, by: str = "date", ascending: bool = False) ->
 
 
 def random_sample(df: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
-    """T5: ``n`` repeatable pseudo-random rows: smallest hash of (id, seed)."""
-    return df.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), F.col("id")).limit(n)
+    """T5: ``n`` repeatable pseudo-random rows: smallest md5 of seed and id."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("id").cast("string"))),
+                      F.col("id")).limit(n)

@@ -11,7 +11,7 @@ from ..operators import ledger as L
 from ..operators import reports as R
 from ..sources.tables import (budget_changes, budgets, changes, exp_daily, exp_monthly,
                               purge_users, users)
-from .q_reports import heven, msum
+from .q_reports import msum, pyround
 from .registry import register
 
 # --- scans and filters ----------------------------------------------------
@@ -76,8 +76,12 @@ def q_append_expenses(spark, sf):
 
 
 @register("apply_expense_updates", """
-WITH lp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, user_id ORDER BY seq DESC) AS rn
-                           FROM changes WHERE op = 'update') WHERE rn = 1)
+WITH lp AS (SELECT id, user_id, arg_max(date, seq) FILTER (WHERE date IS NOT NULL) AS date,
+                   arg_max(category, seq) FILTER (WHERE category IS NOT NULL) AS category,
+                   arg_max(amount, seq) FILTER (WHERE amount IS NOT NULL) AS amount,
+                   arg_max(payment_mode, seq) FILTER (WHERE payment_mode IS NOT NULL) AS payment_mode,
+                   arg_max(notes, seq) FILTER (WHERE notes IS NOT NULL) AS notes
+            FROM changes WHERE op = 'update' GROUP BY id, user_id)
 SELECT e.id, e.user_id, COALESCE(lp.date, e.date) AS date, COALESCE(lp.category, e.category) AS category,
        COALESCE(lp.amount, e.amount) AS amount, COALESCE(lp.payment_mode, e.payment_mode) AS payment_mode,
        COALESCE(lp.notes, e.notes) AS notes
@@ -145,17 +149,19 @@ def q_check_required_columns(spark, sf):
 
 
 @register("check_orphans", """
-SELECT * FROM exp_monthly e WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = e.user_id)""",
+SELECT * FROM exp_monthly e WHERE NOT EXISTS (
+  SELECT 1 FROM users u WHERE u.segment <> 'MACHINERY' AND u.id = e.user_id)""",
           ("exp_monthly", "users"))
 def q_check_orphans(spark, sf):
-    return L.check_orphans(exp_monthly(spark, sf), users(spark, sf))
+    """Expenses left behind by the accounts of one market segment."""
+    return L.check_orphans(exp_monthly(spark, sf), users(spark, sf).filter("segment <> 'MACHINERY'"))
 
 
 # --- budgets --------------------------------------------------------------
 
 _SPEND = f"""cs AS (SELECT user_id, strftime(date, '%Y-%m') AS month, category, {msum('amount')} AS spent
   FROM exp_daily WHERE date IS NOT NULL GROUP BY 1, 2, 3),
-ms AS (SELECT user_id, month, CAST(SUM(CAST(spent AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM cs GROUP BY 1, 2)"""
+ms AS (SELECT user_id, month, CAST(SUM(CAST(spent AS DECIMAL(28,6))) AS DOUBLE) AS spent FROM cs GROUP BY 1, 2)"""
 _PCT = "CASE WHEN budget_amount > 0 THEN least(spent / budget_amount * 100, 100.0) ELSE 0.0 END"
 _BAND = "CASE WHEN pct < 70.0 THEN 'ok' WHEN pct < 90.0 THEN 'warn' ELSE 'over' END"
 BV = ("budgets", "exp_daily")
@@ -214,8 +220,8 @@ def q_budget_alerts(spark, sf):
 @register("currency_label", f"""
 WITH m AS (SELECT user_id, strftime(date, '%Y-%m') AS month, {msum('amount')} AS total
            FROM exp_monthly WHERE date IS NOT NULL GROUP BY 1, 2)
-SELECT *, '₹' || CASE WHEN total >= 100000 THEN format('{{:.1f}}', {heven('total / 100000', 1)}) || 'L'
-               WHEN total >= 1000 THEN format('{{:.1f}}', {heven('total / 1000', 1)}) || 'K'
+SELECT *, '₹' || CASE WHEN total >= 100000 THEN format('{{:.1f}}', {pyround('(total / 100000)', 1)}) || 'L'
+               WHEN total >= 1000 THEN format('{{:.1f}}', {pyround('(total / 1000)', 1)}) || 'K'
                ELSE format('{{:,.0f}}', round_even(total, 0)) END AS label
 FROM m""", ("exp_monthly",))
 def q_currency_label(spark, sf):

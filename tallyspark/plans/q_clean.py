@@ -6,7 +6,7 @@ from ..operators import clean as C
 from ..operators import reports as R
 from ..schema import (CATEGORY_MAP, INVALID_NOTES, INVESTMENT, INVESTMENT_MODES, MANUAL_CATEGORY,
                       MERGED_CATEGORIES, PAYMENT_MAP)
-from ..sources.tables import exp_monthly, raw_a, raw_b
+from ..sources.tables import exp_monthly, raw_a, raw_all, raw_b
 from .registry import register
 
 
@@ -65,10 +65,10 @@ def _chain(spark, sf):
 
 
 @register("rename_columns", """
-SELECT "Date" AS date, "Category" AS category, "Amount" AS amount, "Note" AS notes,
-       "Income/Expense" AS transaction_type, "Mode" AS payment_mode FROM raw_b""", RAW)
+SELECT date_s AS date, category_s AS category, amount_s AS amount, notes_s AS notes,
+       type_s AS transaction_type, payment_s AS payment_mode FROM raw""", ("raw",))
 def q_rename_columns(spark, sf):
-    return C.rename_columns(raw_b(spark, sf))
+    return C.rename_columns(raw_all(spark, sf))
 
 
 @register("union_datasets", f"WITH {STAGES} SELECT * FROM u", RAW)

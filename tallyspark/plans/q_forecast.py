@@ -9,7 +9,7 @@ from ..operators import reports as R
 from ..operators import series as S
 from ..schema import INTERVAL_Z80
 from ..sources.tables import exp_daily, exp_monthly
-from .q_reports import heven
+from .q_reports import heven, pyround
 from .q_series import DAILY, MONTHLY, monthly
 from .registry import register
 
@@ -19,7 +19,8 @@ Z = repr(INTERVAL_Z80)
 # --- M2 trailing mean: recursive CTE over a 7-value state ------------------
 
 M2_SQL = f"""WITH RECURSIVE {DAILY},
-elig AS (SELECT user_id FROM d GROUP BY 1 HAVING COUNT(*) >= 10),
+elig AS (SELECT user_id FROM d GROUP BY 1 HAVING COUNT(*) >= 10
+         AND date_diff('day', MIN(ds), MAX(ds)) + 1 >= 15),
 d2 AS (SELECT d.* FROM d WHERE user_id IN (SELECT user_id FROM elig)),
 span AS (SELECT user_id, MIN(ds) AS lo, MAX(ds) AS hi FROM d2 GROUP BY 1),
 grid AS (SELECT user_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds FROM span),
@@ -48,9 +49,9 @@ def q_trailing_mean_forecast(spark, sf):
 @register("forecast_summary", M2_SQL + f""",
 pk AS (SELECT user_id, ds AS peak_day FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY yhat DESC, ds) AS r FROM fc) WHERE r = 1),
 lw AS (SELECT user_id, ds AS low_day FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY yhat ASC, ds) AS r FROM fc) WHERE r = 1),
-g AS (SELECT user_id, {heven('SUM(yhat)')} AS total_predicted, {heven('AVG(yhat)')} AS avg_daily,
+g AS (SELECT user_id, SUM(yhat) AS s, AVG(yhat) AS a,
              MAX(yhat) AS peak_yhat, MIN(yhat) AS low_yhat FROM fc GROUP BY 1)
-SELECT g.user_id, total_predicted, avg_daily, peak_day, peak_yhat, low_day, low_yhat
+SELECT g.user_id, {pyround('s')} AS total_predicted, {pyround('a')} AS avg_daily, peak_day, peak_yhat, low_day, low_yhat
 FROM g JOIN pk USING (user_id) JOIN lw USING (user_id)""", ED)
 def q_forecast_summary(spark, sf):
     return M.forecast_summary(m2(spark, sf))
@@ -83,13 +84,22 @@ def q_history_plus_forecast(spark, sf):
     return M.history_plus_forecast(exp_daily(spark, sf), m2(spark, sf))
 
 
-@register("forecast_dispatch", f"""WITH {DAILY.replace('exp_daily', 'exp_monthly')}
-SELECT user_id, COUNT(*) AS n_points, 'fewer than 15 data points' AS reason, 'trees' AS model
-FROM d GROUP BY 1 HAVING COUNT(*) < 15""", EM)
+@register("forecast_dispatch", f"""WITH {DAILY.replace('exp_daily', 'exp_monthly')},
+c AS (SELECT user_id, COUNT(*) AS n, date_diff('day', MIN(ds), MAX(ds)) + 1 AS days FROM d GROUP BY 1)
+SELECT user_id, n AS n_points, 'fewer than 5 data points' AS reason, 'seasonal' AS model, 'page' AS path
+FROM c WHERE n < 5
+UNION ALL SELECT user_id, n, CASE WHEN n < 10 THEN 'fewer than 10 data points' ELSE 'fewer than 15 calendar days' END,
+  'trees', 'page' FROM c WHERE n < 10 OR days < 15
+UNION ALL SELECT user_id, n, 'fewer than 10 data points', 'seasonal', 'service' FROM c WHERE n < 10
+UNION ALL SELECT user_id, n, 'fewer than 15 data points', 'trees', 'service' FROM c WHERE n < 15""", EM)
 def q_forecast_dispatch(spark, sf):
-    daily = R.daily_totals(exp_monthly(spark, sf))
-    _, skipped = M.eligible(daily, 15)
-    return skipped.withColumn("model", F.lit("trees"))
+    """Users that each model refuses, on the page's and the service's path
+    (the service's trees by their guard alone: the fit is M3's query)."""
+    e = exp_monthly(spark, sf)
+    skipped = [M.forecast_dispatch(e, model, path=path)[1]
+               for model, path in (("seasonal", "page"), ("trees", "page"), ("seasonal", "service"))]
+    skipped.append(M.dispatch_guard(e, "trees", "service")[1])
+    return skipped[0].unionByName(skipped[1]).unionByName(skipped[2]).unionByName(skipped[3])
 
 
 # --- M6 / M7 seasonal trend (tier 1) ---------------------------------------

@@ -10,56 +10,56 @@ from ..operators import forecast as M
 from ..operators import models as T
 from ..operators.evaluate import classification_report
 from ..operators.recurring import recurring_expenses
+from ..schema import EXPENSES, FORECAST_HISTORY
 from ..sources import files as IO
-from ..sources.synthetic import synthetic_expenses
-from ..sources.tables import (exp_daily, exp_monthly, note_labels, raw_a, raw_b, uploads, users)
+from ..sources.synthetic import synthetic_expenses, synthetic_sql
+from ..sources.tables import (exp_daily, exp_monthly, note_labels, raw_a, raw_b,
+                              subscriptions, uploads, users)
 from .q_clean import STAGES
 from .q_forecast import M2_SQL, m2
-from .q_reports import heven, msum
+from .q_reports import heven, msum, pyround
 from .q_series import monthly
-from ..session import app_id
+from ..session import ensure_checkpoint_dir, materialize
 from .registry import register
 
-# --- fitted models are reused within one application --------------------
+# --- fitted models are saved in shared storage and reloaded --------------
 
-_MODELS: dict = {}
-
-
-def _fitted(spark, sf, kind, fit):
-    """Fit once per (application, input folder, model kind), as an
-    application loads a fitted pipeline once per job."""
-    key = (app_id(spark), sf, kind)
-    if key not in _MODELS:
-        _MODELS[key] = fit()
-    return _MODELS[key]
+def _fitted(spark, kind, data, fit):
+    """The saved pipeline for exactly these training rows (their number and
+    the sum of their hashes name it), fitted and saved if there is none."""
+    mark = data.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*data.columns).cast("decimal(38,0)"))).first()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{kind}-{mark[0]}-{mark[1]}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        T.save_model(fit(data), path)
+    return T.load_model(path)
 
 
 def _monthly_model(spark, sf):
-    return _fitted(spark, sf, "monthly_trees", lambda: T.monthly_holdout_model(monthly(spark, sf)))
+    train, test = T.monthly_split(monthly(spark, sf))
+    return _fitted(spark, "monthly_trees", train, T.fit_monthly), test
 
 
 # --- boosted trees (rows-only: model training) ------------------------------
 
 @register("boosted_tree_forecast")
 def q_boosted_tree_forecast(spark, sf):
-    return T.boosted_tree_forecast(exp_daily(spark, sf), periods=7)
+    return T.boosted_tree_forecast(exp_daily(spark, sf))
 
 
 @register("boosted_tree_monthly")
 def q_boosted_tree_monthly(spark, sf):
-    return _monthly_model(spark, sf)[1]
+    return T.predict_monthly(*_monthly_model(spark, sf))
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    model, _ = _monthly_model(spark, sf)
-    return T.feature_importance(model)
+    return T.feature_importance(_monthly_model(spark, sf)[0])
 
 
 @register("monthly_recursive_forecast")
 def q_monthly_recursive_forecast(spark, sf):
-    model, _ = _monthly_model(spark, sf)
-    return T.monthly_recursive_forecast(monthly(spark, sf), model.transform, 6)
+    return T.monthly_recursive_forecast(monthly(spark, sf), _monthly_model(spark, sf)[0].transform, 6)
 
 
 # --- classification -----------------------------------------------------------
@@ -68,7 +68,9 @@ def labelled(spark, sf):
     return K.keep_frequent_categories(note_labels(spark, sf))
 
 
-@register("train_test_split")
+@register("train_test_split", """
+SELECT *, CASE WHEN substr(md5('42|' || clean_notes || '|' || CAST(doc_id AS VARCHAR)), 1, 8) < '33333333'
+          THEN 'test' ELSE 'train' END AS split FROM note_labels""", ("note_labels",))
 def q_train_test_split(spark, sf):
     return K.train_test_split(note_labels(spark, sf), key=("clean_notes", "doc_id"))
 
@@ -91,7 +93,9 @@ def q_tfidf_features(spark, sf):
 SELECT * FROM final WHERE category IN (SELECT category FROM final GROUP BY 1 HAVING COUNT(*) >= 20)""",
           ("raw_a", "raw_b"))
 def q_keep_frequent_categories(spark, sf):
-    return K.keep_frequent_categories(C.clean_transactions(raw_a(spark, sf), raw_b(spark, sf)))
+    # the cleaned rows are read twice (count, filter): written once
+    return K.keep_frequent_categories(
+        materialize(C.clean_transactions(raw_a(spark, sf), raw_b(spark, sf)), "cleaned"))
 
 
 def _split(spark, sf):
@@ -99,8 +103,7 @@ def _split(spark, sf):
 
 
 def _category_model(spark, sf):
-    return _fitted(spark, sf, "category", lambda: K.train_category_model(
-        _split(spark, sf).filter(F.col("split") == "train")))
+    return _fitted(spark, "category", _split(spark, sf).filter(F.col("split") == "train"), K.train_category_model)
 
 
 @register("train_category_model")
@@ -111,8 +114,7 @@ def q_train_category_model(spark, sf):
 
 @register("predict_category")
 def q_predict_category(spark, sf):
-    return K.predict_category(_category_model(spark, sf), note_labels(spark, sf),
-                              known=["de", "en", "es", "fr"])
+    return K.predict_category(_category_model(spark, sf), note_labels(spark, sf))
 
 
 _REPORT = f"""WITH {STAGES},
@@ -140,28 +142,29 @@ SELECT "row", {heven('precision', 6)} AS precision, {heven('recall', 6)} AS reca
 
 @register("classification_report", _REPORT, ("raw_a", "raw_b"))
 def q_classification_report(spark, sf):
-    from ..operators.reports import dominant_category
-    m = C.mapped(raw_a(spark, sf), raw_b(spark, sf))
-    dom = dominant_category(m).select("notes", "dominant_category")
-    pr = m.join(dom, "notes").select(F.col("category").alias("label"),
-                                     F.col("dominant_category").alias("prediction"))
-    return classification_report(pr)
+    from ..operators.reports import dominant_category, note_category_counts
+    # everything follows from the (note, category, n) counts: no raw-row join
+    counts = materialize(note_category_counts(C.mapped(raw_a(spark, sf), raw_b(spark, sf))), "note_counts")
+    dom = dominant_category(None, counts).select("notes", "dominant_category")
+    pr = counts.join(dom, "notes").select(F.col("category").alias("label"),
+                                          F.col("dominant_category").alias("prediction"), "n")
+    return classification_report(pr, weight="n")
 
 
 # --- recurring expenses -------------------------------------------------------
 
 @register("recurring_expenses", f"""
 WITH d AS (SELECT user_id, category, COALESCE(notes, '') AS note, date, {msum('amount')} AS day_amount,
-                  COUNT(*) AS n FROM exp_monthly WHERE date IS NOT NULL GROUP BY 1, 2, 3, 4),
+                  COUNT(*) AS n FROM subscriptions WHERE date IS NOT NULL GROUP BY 1, 2, 3, 4),
 g0 AS (SELECT *, CAST(date_diff('day', lag(date) OVER (PARTITION BY user_id, category, note ORDER BY date), date)
                       AS INTEGER) AS gap FROM d),
 g AS (SELECT user_id, category, note, CAST(SUM(n) AS BIGINT) AS occurrences, COUNT(*) AS n_dates,
              MIN(date) AS first_date, MAX(date) AS last_date, MIN(gap) AS min_gap, MAX(gap) AS max_gap,
-             CAST(SUM(CAST(day_amount AS DECIMAL(18,2))) AS DOUBLE) / SUM(n) AS avg_amount
+             CAST(SUM(CAST(day_amount AS DECIMAL(28,6))) AS DOUBLE) / SUM(n) AS avg_amount
       FROM g0 GROUP BY 1, 2, 3)
-SELECT * FROM g WHERE n_dates >= 3 AND min_gap >= 28 AND max_gap <= 31""", ("exp_monthly",))
+SELECT * FROM g WHERE n_dates >= 3 AND min_gap >= 28 AND max_gap <= 31""", ("subscriptions",))
 def q_recurring_expenses(spark, sf):
-    return recurring_expenses(exp_monthly(spark, sf))
+    return recurring_expenses(subscriptions(spark, sf))
 
 
 # --- file sources and sinks (written under the shared checkpoint folder) ----
@@ -177,33 +180,40 @@ def q_csv_transactions(spark, sf):
 
 
 _IMPORT = """p AS (SELECT user_id,
-  CAST(COALESCE(try_strptime("Date", '%Y-%m-%d'), try_strptime("Date", '%d/%m/%Y')) AS DATE) AS d_parsed,
+  CAST(COALESCE(try_strptime("Date", '%Y-%m-%d'), try_strptime("Date", '%m/%d/%Y'),
+                try_strptime("Date", '%d/%m/%Y')) AS DATE) AS d_parsed,
   COALESCE("Category", 'nan') AS c_txt, TRY_CAST("Amount" AS DOUBLE) AS a_parsed,
   COALESCE("Payment_Mode", 'nan') AS p_txt, COALESCE("Notes", 'nan') AS n_txt FROM uploads),
 t AS (SELECT *, CASE WHEN d_parsed IS NULL THEN 'bad_date' WHEN a_parsed IS NULL THEN 'bad_amount' END AS reason
       FROM p)"""
 
 
+def _uploaded(spark, sf):
+    """The uploads as CSV files, read back as text."""
+    up = uploads(spark, sf)
+    path = IO.write_csv(up, IO.scratch_path(spark, "uploads"))
+    back = IO.read_transactions_csv(spark, path, up.columns)
+    return back.withColumn("user_id", F.col("user_id").cast("long"))
+
+
 @register("csv_import", f"""WITH {_IMPORT}
 SELECT user_id, d_parsed AS date, c_txt AS category, a_parsed AS amount, p_txt AS payment_mode,
        n_txt AS notes FROM t WHERE reason IS NULL""", ("uploads",))
 def q_csv_import(spark, sf):
-    return IO.import_expenses(uploads(spark, sf), as_of="2024-02-01")[0]
+    return IO.import_expenses(_uploaded(spark, sf), as_of="2024-02-01")[0]
 
 
 @register("csv_reject_report", f"""WITH {_IMPORT}
 SELECT user_id, reason, COUNT(*) AS n FROM t WHERE reason IS NOT NULL GROUP BY 1, 2""", ("uploads",))
 def q_csv_reject_report(spark, sf):
-    return IO.reject_report(IO.import_expenses(uploads(spark, sf), as_of="2024-02-01")[1])
+    return IO.reject_report(IO.import_expenses(_uploaded(spark, sf), as_of="2024-02-01")[1])
 
 
 @register("export_expenses_csv", "SELECT * FROM exp_daily", ("exp_daily",))
 def q_export_expenses_csv(spark, sf):
     e = exp_daily(spark, sf)
     path = IO.export_expenses_csv(e, IO.scratch_path(spark, "export"))
-    schema = "id bigint, date date, category string, amount double, payment_mode string, notes string"
-    back = spark.read.option("header", True).schema(schema).csv(path)
-    return back.withColumn("user_id", F.col("user_id").cast("bigint")).select(*e.columns)
+    return IO.csv_reader(spark).schema(EXPENSES).csv(path).select(*e.columns)
 
 
 @register("write_clean_csv", f"WITH {STAGES} SELECT * FROM final", ("raw_a", "raw_b"))
@@ -216,23 +226,23 @@ def q_write_clean_csv(spark, sf):
 @register("append_forecast_history", M2_SQL + """,
 tot AS (SELECT user_id, SUM(yhat) AS s FROM fc GROUP BY 1)
 SELECT user_id, DATE '2024-01-31' AS forecast_date, 'trailing_mean' AS model_used, CAST(30 AS INTEGER) AS forecast_period,
-       round_even(s * 100.0, 0) / 100.0 AS total_predicted FROM tot, range(2) AS r(i)""", ("exp_daily",))
+       """ + pyround("s") + """ AS total_predicted FROM tot, range(2) AS r(i)""", ("exp_daily",))
 def q_append_forecast_history(spark, sf):
     totals = M.forecast_summary(m2(spark, sf)).select("user_id", "total_predicted")
     path = IO.scratch_path(spark, "forecast_history")
     for _ in range(2):  # two runs append two rows per user
         IO.append_forecast_history(totals, path, "2024-01-31", "trailing_mean", 30)
-    return spark.read.parquet(path)
+    return spark.read.schema(FORECAST_HISTORY).parquet(path)
 
 
-@register("synthetic_expenses")
+@register("synthetic_expenses", synthetic_sql("2024-06-30"), ("users",))
 def q_synthetic_expenses(spark, sf):
-    return synthetic_expenses(users(spark, sf), as_of="2024-06-30", days=30)
+    return synthetic_expenses(users(spark, sf), as_of="2024-06-30")
 
 
 @register("monthly_forecast_seed", """
 WITH ms AS (SELECT date_trunc('month', date) AS ds,
-  CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS y FROM exp_monthly
+  CAST(SUM(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS y FROM exp_monthly
   WHERE date IS NOT NULL AND amount > 0 AND amount <= 100000.0 GROUP BY 1),
 l6 AS (SELECT CAST(ds AS DATE) AS ds, y FROM ms ORDER BY ds DESC LIMIT 6),
 s AS (SELECT MAX(ds) AS last_ds, list(y ORDER BY ds) AS v FROM l6),

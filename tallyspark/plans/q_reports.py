@@ -7,22 +7,29 @@ from ..sources.tables import exp_daily, exp_monthly
 from .registry import register
 
 # SQL helpers (DuckDB): exact money sum and pandas rounding
-MSUM = "CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+MSUM = "CAST(SUM(CAST({x} AS DECIMAL(28,6))) AS DOUBLE)"
 def msum(x: str) -> str:
     return MSUM.format(x=x)
+def pyround(x: str, d: int = 2) -> str:
+    """Python's round: the exact product decides ties (see ``py_round``)."""
+    p, hi = f"({x} * {10 ** d}.0::DOUBLE)", f"({x} * 134217729.0::DOUBLE - ({x} * 134217729.0::DOUBLE - {x}))"
+    err = f"(({hi} * {10 ** d}.0::DOUBLE - {p}) + ({x} - {hi}) * {10 ** d}.0::DOUBLE)"
+    gap = f"({p} - floor({p}) - 0.5::DOUBLE)"
+    return (f"CASE WHEN {gap} > 0 OR ({gap} = 0 AND ({err} > 0 OR ({err} = 0 AND CAST(floor({p}) AS BIGINT) % 2 <> 0))) "
+            f"THEN floor({p}) + 1 ELSE floor({p}) END / {10 ** d}.0::DOUBLE")
 def heven(x: str, d: int = 2) -> str:
     return f"round_even(({x}) * {10 ** d}.0, 0) / {10 ** d}.0"
 
 
 @register("monthly_totals", f"""
-SELECT user_id, strftime(date, '%Y-%m') AS month, {msum('amount')} AS total
+SELECT user_id, strftime(date, '%Y-%m') AS month, COALESCE({msum('amount')}, 0.0) AS total
 FROM exp_monthly WHERE date IS NOT NULL GROUP BY 1, 2""", ("exp_monthly",))
 def q_monthly_totals(spark, sf):
     return R.monthly_totals(exp_monthly(spark, sf))
 
 
 @register("daily_totals", f"""
-SELECT user_id, date AS ds, {msum('amount')} AS y
+SELECT user_id, date AS ds, COALESCE({msum('amount')}, 0.0) AS y
 FROM exp_daily WHERE date IS NOT NULL GROUP BY 1, 2""", ("exp_daily",))
 def q_daily_totals(spark, sf):
     return R.daily_totals(exp_daily(spark, sf))
@@ -36,7 +43,7 @@ def first_by(src: str, key: str, val: str, order: str, alias_key: str, alias_val
 
 
 @register("category_summary", f"""
-SELECT user_id, category, {msum('amount')} AS total, COUNT(amount) AS n,
+SELECT user_id, category, COALESCE({msum('amount')}, 0.0) AS total, COUNT(amount) AS n,
        {msum('amount')} / COUNT(amount) AS mean
 FROM exp_daily GROUP BY 1, 2""", ("exp_daily",))
 def q_category_summary(spark, sf):
@@ -49,7 +56,7 @@ WITH per AS (
          {heven(msum('amount') + ' / COUNT(amount)')} AS average,
          {heven('MIN(amount)')} AS min_amount, {heven('MAX(amount)')} AS max_amount
   FROM exp_monthly GROUP BY 1, 2)
-SELECT *, {heven('total / CAST(SUM(CAST(total AS DECIMAL(18,2))) OVER (PARTITION BY user_id) AS DOUBLE) * 100', 1)} AS share_pct
+SELECT *, {heven('total / CAST(SUM(CAST(total AS DECIMAL(28,6))) OVER (PARTITION BY user_id) AS DOUBLE) * 100', 1)} AS share_pct
 FROM per""", ("exp_monthly",))
 def q_category_analysis(spark, sf):
     return R.category_analysis(exp_monthly(spark, sf))
@@ -87,14 +94,15 @@ mx AS ({first_by('m', 'month', 'total', 'DESC', 'highest_month', 'highest_amount
 mn AS ({first_by('m', 'month', 'total', 'ASC', 'lowest_month', 'lowest_amount')}),
 tc AS ({first_by('c', 'category', 'total', 'DESC', 'top_category', 'top_category_amount')}),
 b AS (SELECT user_id, COUNT(amount) AS total_transactions,
-        {heven(msum('amount') + ' / COUNT(amount)')} AS avg_transaction,
-        {heven("COALESCE(" + msum("CASE WHEN isodow(date) >= 6 THEN amount END") + " / COUNT(CASE WHEN isodow(date) >= 6 THEN amount END), 0.0)")} AS weekend_avg,
-        {heven("COALESCE(" + msum("CASE WHEN isodow(date) < 6 THEN amount END") + " / COUNT(CASE WHEN isodow(date) < 6 THEN amount END), 0.0)")} AS weekday_avg
+        {msum('amount')} / COUNT(amount) AS a,
+        COALESCE({msum("CASE WHEN isodow(date) >= 6 THEN amount END")} / COUNT(CASE WHEN isodow(date) >= 6 THEN amount END), 0.0) AS we,
+        COALESCE({msum("CASE WHEN isodow(date) < 6 THEN amount END")} / COUNT(CASE WHEN isodow(date) < 6 THEN amount END), 0.0) AS wd
       FROM exp_monthly WHERE date IS NOT NULL GROUP BY 1)
-SELECT b.user_id, highest_month, {heven('highest_amount')} AS highest_amount, lowest_month,
-       {heven('lowest_amount')} AS lowest_amount, top_category,
-       {heven('top_category_amount')} AS top_category_amount, {heven(_GROWTH)} AS growth_rate,
-       weekend_avg, weekday_avg, total_transactions, avg_transaction
+SELECT b.user_id, highest_month, {pyround('highest_amount')} AS highest_amount, lowest_month,
+       {pyround('lowest_amount')} AS lowest_amount, top_category,
+       {pyround('top_category_amount')} AS top_category_amount, {heven(_GROWTH)} AS growth_rate,
+       {pyround('we')} AS weekend_avg, {pyround('wd')} AS weekday_avg, total_transactions,
+       {pyround('a')} AS avg_transaction
 FROM b JOIN mx USING (user_id) JOIN mn USING (user_id) JOIN tc USING (user_id) JOIN g USING (user_id)""",
           ("exp_monthly",))
 def q_insights(spark, sf):
@@ -223,26 +231,26 @@ rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DES
 
 @register("category_breakdown", f"""
 WITH {_RANKED.format(src='exp_daily')}
-SELECT *, total / CAST(SUM(CAST(total AS DECIMAL(18,2))) OVER (PARTITION BY user_id) AS DOUBLE) * 100 AS share_pct
-FROM rk WHERE rank <= 3""", ("exp_daily",))
+SELECT *, total / CAST(SUM(CAST(total AS DECIMAL(28,6))) OVER (PARTITION BY user_id) AS DOUBLE) * 100 AS share_pct
+FROM rk WHERE rank <= 8""", ("exp_daily",))
 def q_category_breakdown(spark, sf):
-    return R.category_breakdown(exp_daily(spark, sf), top=3)
+    return R.category_breakdown(exp_daily(spark, sf))
 
 
 @register("top_categories", f"""
 WITH {_RANKED.format(src='exp_daily')}
-SELECT * FROM rk WHERE rank <= 3""", ("exp_daily",))
+SELECT * FROM rk WHERE rank <= 8""", ("exp_daily",))
 def q_top_categories(spark, sf):
-    return R.top_categories(exp_daily(spark, sf), top=3)
+    return R.top_categories(exp_daily(spark, sf))
 
 
 @register("category_trend", f"""
 WITH {_RANKED.format(src='exp_monthly')}
 SELECT e.user_id, e.category, strftime(e.date, '%Y-%m') AS month, {msum('e.amount')} AS total
-FROM exp_monthly e JOIN rk ON rk.user_id = e.user_id AND rk.category = e.category AND rk.rank <= 2
+FROM exp_monthly e JOIN rk ON rk.user_id = e.user_id AND rk.category = e.category AND rk.rank <= 5
 WHERE e.date IS NOT NULL GROUP BY 1, 2, 3""", ("exp_monthly",))
 def q_category_trend(spark, sf):
-    return R.category_trend(exp_monthly(spark, sf), top=2)
+    return R.category_trend(exp_monthly(spark, sf))
 
 
 @register("null_profile", """
@@ -263,7 +271,7 @@ def q_null_profile(spark, sf):
 WITH d AS (SELECT user_id, date AS ds, {msum('amount')} AS y FROM exp_daily WHERE date IS NOT NULL GROUP BY 1, 2),
 n AS (SELECT *, COUNT(*) OVER (PARTITION BY user_id) AS nn FROM d)
 SELECT user_id, ds, y,
-  CASE WHEN COUNT(y) OVER w = 7 THEN CAST(SUM(CAST(y AS DECIMAL(18,2))) OVER w AS DOUBLE) / 7 END AS ma7
+  CASE WHEN COUNT(y) OVER w = 7 THEN CAST(SUM(CAST(y AS DECIMAL(28,6))) OVER w AS DOUBLE) / 7 END AS ma7
 FROM n WHERE nn > 7
 WINDOW w AS (PARTITION BY user_id ORDER BY ds ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""", ("exp_daily",))
 def q_daily_moving_average(spark, sf):
@@ -289,6 +297,7 @@ def q_sorted_history(spark, sf):
     return R.sorted_history(exp_daily(spark, sf), by="amount", ascending=False)
 
 
-@register("random_sample")
+@register("random_sample", """
+SELECT * FROM exp_daily ORDER BY md5('42-' || CAST(id AS VARCHAR)), id LIMIT 20""", ("exp_daily",))
 def q_random_sample(spark, sf):
     return R.random_sample(exp_daily(spark, sf), 20, 42)

@@ -25,14 +25,14 @@ LAGS = ", ".join(f"lag(y, {k}) OVER wo AS lag_{k}" for k in S.DAILY_LAGS)
 
 def mean_over(n: int, win: str = "wo") -> str:
     frame = f"(PARTITION BY user_id ORDER BY ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return (f"CAST(SUM(CAST(y AS DECIMAL(18,2))) OVER {frame} AS DOUBLE) / COUNT(y) OVER {frame}")
+    return (f"CAST(SUM(CAST(y AS DECIMAL(28,6))) OVER {frame} AS DOUBLE) / COUNT(y) OVER {frame}")
 
 
 def strict_over(n: int, keys: str = "user_id") -> str:
     part = f"PARTITION BY {keys} " if keys else ""
     frame = f"({part}ORDER BY ds ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return (f"CASE WHEN COUNT(y) OVER {frame} = {n} THEN "
-            f"CAST(SUM(CAST(y AS DECIMAL(18,2))) OVER {frame} AS DOUBLE) / COUNT(y) OVER {frame} END")
+            f"CAST(SUM(CAST(y AS DECIMAL(28,6))) OVER {frame} AS DOUBLE) / COUNT(y) OVER {frame} END")
 
 
 STD7 = heven("COALESCE(stddev_samp(y) OVER (PARTITION BY user_id ORDER BY ds ROWS BETWEEN 6 PRECEDING "
@@ -93,7 +93,7 @@ def q_feature_table_daily_gapfilled(spark, sf):
 
 # monthly all-user series of the cleaned long history (0 < amount <= cap)
 MONTHLY = """ms AS (SELECT date_trunc('month', date) AS ds,
-  CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS y FROM exp_monthly
+  CAST(SUM(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS y FROM exp_monthly
   WHERE date IS NOT NULL AND amount > 0 AND amount <= 100000.0 GROUP BY 1)"""
 EM = ("exp_monthly",)
 
@@ -136,16 +136,24 @@ def q_temporal_holdout(spark, sf):
 
 @register("last_n_history", f"""WITH {DAILY}
 SELECT user_id, ds, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ds DESC) AS rn FROM d)
-WHERE rn <= 14""", ED)
+WHERE rn <= 60""", ED)
 def q_last_n_history(spark, sf):
-    return S.last_n(_daily(spark, sf), 14)
+    return S.last_n(_daily(spark, sf), 60)
 
 
-@register("future_calendar", f"""WITH {DAILY},
-last AS (SELECT user_id, MAX(ds) AS hi FROM d GROUP BY 1)
-SELECT user_id, CAST(unnest(generate_series(hi + 1, hi + 30, INTERVAL 1 DAY)) AS DATE) AS ds FROM last""", ED)
+@register("future_calendar", f"""WITH {DAILY}, {MONTHLY},
+last AS (SELECT user_id, MAX(ds) AS hi FROM d GROUP BY 1),
+lm AS (SELECT MAX(ds) AS hi FROM ms)
+SELECT user_id, CAST(unnest(generate_series(hi + 1, hi + 30, INTERVAL 1 DAY)) AS DATE) AS ds, 'day' AS unit FROM last
+UNION ALL
+SELECT CAST(NULL AS BIGINT), CAST(unnest(generate_series(hi + INTERVAL 1 MONTH, hi + INTERVAL 6 MONTH, INTERVAL 1 MONTH))
+       AS DATE), 'month' FROM lm""", ED + EM)
 def q_future_calendar(spark, sf):
-    return S.future_days(_daily(spark, sf), 30)
+    """The next days of every user and the next months of the all-user series."""
+    days = S.future_days(_daily(spark, sf), 30).select("user_id", "ds", F.lit("day").alias("unit"))
+    months = S.future_months(monthly(spark, sf), 6).select(
+        F.lit(None).cast("long").alias("user_id"), "ds", F.lit("month").alias("unit"))
+    return days.unionByName(months)
 
 
 @register("month_key", """

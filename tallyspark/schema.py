@@ -14,13 +14,6 @@ EXPENSES = T.StructType([
     T.StructField("notes", T.StringType(), True),
 ])
 
-BUDGETS = T.StructType([
-    T.StructField("user_id", T.LongType(), False),
-    T.StructField("month", T.StringType(), False),
-    T.StructField("category", T.StringType(), False),
-    T.StructField("budget_amount", T.DoubleType(), False),
-])
-
 FORECAST_HISTORY = T.StructType([
     T.StructField("user_id", T.LongType(), False),
     T.StructField("forecast_date", T.DateType(), False),
@@ -30,7 +23,6 @@ FORECAST_HISTORY = T.StructType([
 ])
 
 RAW_COLUMNS = ["date", "category", "amount", "notes", "transaction_type", "payment_mode"]
-RAW_STRINGS = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — must equal the reference's for identical results.
@@ -136,9 +128,11 @@ AMOUNT_CAP = 100000.0
 # Minimum category size kept for the second classifier.
 MIN_CATEGORY_ROWS = 20
 
-# Forecast horizons offered, minimum history (days) per model, band width.
-HORIZONS = [7, 30, 90]
+# Data points that a forecast needs: the service's limits and the page's; the
+# page's trees also need one training row beyond lag 14 of the filled calendar.
 MIN_HISTORY = {"seasonal": 10, "trees": 15}
+PAGE_MIN_HISTORY = {"seasonal": 5, "trees": 10}
+PAGE_TREE_DAYS = 15
 BAND = 0.20
 INTERVAL_Z80 = 1.2815515655446004  # two-sided 80 % normal interval
 
@@ -151,6 +145,3 @@ RATIO_OK, RATIO_WARN = 0.5, 0.8
 
 # Default currency symbol of the amount labels.
 CURRENCY = "₹"
-
-# Weekday names, Monday = 0.
-WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.clean import DATE_FORMATS
+from ..operators.clean import parse_number
 from ..session import ensure_checkpoint_dir
 
 
@@ -27,22 +27,32 @@ def read_transactions_csv(spark: SparkSession, path: str, columns: list[str]) ->
     """A raw transaction CSV with a header, every column read as text
     (parsing is explicit and never raises later: ``try_cast``)."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    return (spark.read.option("header", True).option("enforceSchema", False)
-            .schema(schema).csv(path))
+    return csv_reader(spark).option("enforceSchema", False).schema(schema).csv(path)
+
+
+def csv_reader(spark: SparkSession):
+    """Reader of CSV as pandas writes it: quotes doubled, line breaks inside
+    quoted fields (such files are read whole, so keep them of task size)."""
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", True))
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
               mode: str = "overwrite") -> str:
-    w = df.write.mode(mode).option("header", True)
+    w = (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return path
 
 
-def export_expenses_csv(df: DataFrame, path: str) -> str:
-    """Every user's expenses as CSV, one folder per user."""
-    return write_csv(df, path, ["user_id"])
+def export_expenses_csv(df: DataFrame, path: str, buckets: int = 64) -> str:
+    """Every user's expenses as CSV, in a fixed number of folders by a
+    hash of the user (a user's rows lie in one folder).  The rebalance gathers
+    a bucket's rows in few files and lets AQE split a very active user's."""
+    placed = df.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    return write_csv(placed.hint("rebalance", "bucket"), path, ["bucket"])
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -74,6 +84,22 @@ def append_forecast_history(totals: DataFrame, path: str, forecast_date: str, mo
 
 # --- upload import (S3, S4) --------------------------------------------------
 
+# Accepted date texts.  Numeric dates are month first; day first only where
+# the first number is no month (as pandas reads them).
+IMPORT_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy/M/d", "yyyyMMdd",
+                  "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yyyy H:m:s", "d/M/yyyy H:m:s",
+                  "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+
+
+def parse_date(col):
+    """Date of a text in any accepted form, else NULL; fractions of seconds
+    and a zone after the time are cut off, years before 1900 or after 2200
+    (mistyped ones) don't count."""
+    text = F.regexp_replace(F.trim(col), r"(:\d{2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$", "$1")
+    day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in IMPORT_FORMATS]).cast("date")
+    return F.when(F.year(day).between(1900, 2200), day)
+
+
 def _pick(df: DataFrame, names: list[str]):
     for n in names:
         if n in df.columns:
@@ -102,8 +128,8 @@ def import_expenses(df: DataFrame, as_of: str, user_col: str = "user_id",
     if date_s is None:
         date = F.lit(as_of).cast("date")
     else:
-        date = F.coalesce(*[F.try_to_timestamp(date_s, F.lit(f)) for f in DATE_FORMATS]).cast("date")
-    amount = F.lit(0.0) if amount_s is None else amount_s.try_cast("double")
+        date = parse_date(date_s)
+    amount = F.lit(0.0) if amount_s is None else parse_number(amount_s)
     parsed = df.select(
         F.col(user_col).alias("user_id"), date.alias("date"),
         text(["Category", "category"], "Other").alias("category"), amount.alias("amount"),

@@ -42,7 +42,17 @@ EXP_MONTHLY_SELECT = [
     "o_custkey AS user_id",
     "CAST(o_orderdate AS DATE) AS date",
     "o_orderpriority AS category",
-    "o_totalprice AS amount",
+    "o_totalprice / 10 AS amount",  # order prices scaled so that the outlier cap removes outliers only
+    "o_orderstatus AS payment_mode",
+    "CAST(NULL AS STRING) AS notes",
+]
+
+SUBSCRIPTIONS_SELECT = [
+    "o_orderkey AS id",
+    "o_custkey AS user_id",
+    "make_date(year(o_orderdate), month(o_orderdate), CAST(o_custkey % 28 + 1 AS INT)) AS date",
+    "CAST(year(o_orderdate) AS STRING) AS category",
+    "o_totalprice / 10 AS amount",
     "o_orderstatus AS payment_mode",
     "CAST(NULL AS STRING) AS notes",
 ]
@@ -124,6 +134,12 @@ def budget_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.unionByName(ov1).unionByName(ov2).unionByName(nxt)
 
 
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bills over ``orders``: a customer's orders of a year, billed on
+    one day of the month, so that runs of months recur."""
+    return read_table(spark, sf_dir, "orders").selectExpr(*SUBSCRIPTIONS_SELECT)
+
+
 def purge_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts to delete: the customers of one market segment."""
     return users(spark, sf_dir).filter(F.col("segment") == "AUTOMOBILE").select(
@@ -144,15 +160,24 @@ def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second raw source: the other naming scheme (odd ids)."""
-    return _raw(spark, sf_dir).filter(F.col("id") % 2 == 1).select(
+    return _second_names(_raw(spark, sf_dir).filter(F.col("id") % 2 == 1))
+
+
+def raw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw rows under the second naming scheme."""
+    return _second_names(_raw(spark, sf_dir))
+
+
+def _second_names(raw: DataFrame) -> DataFrame:
+    return raw.select(
         F.col("date_s").alias("Date"), F.col("category_s").alias("Category"),
         F.col("amount_s").alias("Amount"), F.col("notes_s").alias("Note"),
         F.col("type_s").alias("Income/Expense"), F.col("payment_s").alias("Mode"))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change set over exp_daily: updates (id%10=0; a second, later patch
-    for id%20=0), deletes (id%10=1), inserts (id%10=2 -> id+1,000,000)."""
+    """Change set over exp_daily: updates (id%10=0; a second, later patch of
+    another field for id%20=0), deletes (id%10=1), inserts (id%10=2 -> id+1,000,000)."""
     e = exp_daily(spark, sf_dir)
     null_s, null_d, null_x = (F.lit(None).cast(t) for t in ("string", "date", "double"))
     upd = e.filter(F.col("id") % 10 == 0).select(
@@ -161,7 +186,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         null_s.alias("payment_mode"), null_s.alias("notes"), F.lit(1).alias("seq"))
     upd2 = e.filter(F.col("id") % 20 == 0).select(
         F.lit("update").alias("op"), "id", "user_id", null_d.alias("date"),
-        null_s.alias("category"), (F.col("amount") + 2).alias("amount"),
+        null_s.alias("category"), null_x.alias("amount"),
         F.lit("UPI").alias("payment_mode"), null_s.alias("notes"), F.lit(2).alias("seq"))
     dele = e.filter(F.col("id") % 10 == 1).select(
         F.lit("delete").alias("op"), "id", "user_id", null_d.alias("date"),
@@ -199,6 +224,7 @@ def _sel(items):
 VIEW_SQL = {
     "exp_daily": f"SELECT {_sel(EXP_DAILY_SELECT)} FROM events",
     "exp_monthly": f"SELECT {_sel(EXP_MONTHLY_SELECT)} FROM orders",
+    "subscriptions": f"SELECT {_sel(SUBSCRIPTIONS_SELECT)} FROM orders",
     "users": f"SELECT {_sel(USERS_SELECT)} FROM customer",
     "budgets": (
         "SELECT user_id, month, category, CAST(500 + (user_id % 5) * 100 AS DOUBLE) AS budget_amount "
@@ -226,7 +252,7 @@ VIEW_SQL = {
         "SELECT 'update' AS op, id, user_id, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS category, "
         "amount + 1 AS amount, CAST(NULL AS VARCHAR) AS payment_mode, CAST(NULL AS VARCHAR) AS notes, 1 AS seq "
         "FROM exp_daily WHERE id % 10 = 0 UNION ALL "
-        "SELECT 'update', id, user_id, NULL, NULL, amount + 2, 'UPI', NULL, 2 FROM exp_daily WHERE id % 20 = 0 "
+        "SELECT 'update', id, user_id, NULL, NULL, NULL, 'UPI', NULL, 2 FROM exp_daily WHERE id % 20 = 0 "
         "UNION ALL SELECT 'delete', id, user_id, NULL, NULL, NULL, NULL, NULL, 1 FROM exp_daily WHERE id % 10 = 1 "
         "UNION ALL SELECT 'insert', id + 1000000, user_id, date, category, amount, NULL, NULL, 1 "
         "FROM exp_daily WHERE id % 10 = 2"),
