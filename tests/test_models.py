@@ -55,3 +55,32 @@ def test_seasonal_regression_learns_a_weekly_pattern(spark):
         truth = 100.0 + (50.0 if r.ds.weekday() >= 5 else 0.0) + (r.ds - dt.date(2024, 1, 1)).days * 0.5
         assert abs(r.yhat - truth) < 5.0
         assert 0 <= r.yhat_lower <= r.yhat <= r.yhat_upper
+
+
+def test_short_users_get_trailing_means(spark):
+    """Users whose lags are incomplete stay in the result."""
+    rows = []
+    for u, days in ((0, 40), (1, 13), (2, 10)):
+        for i in range(days):
+            y = None if (u, i) == (0, 5) else float(i % 5 + 1)
+            rows.append((u * 1000 + i, u, dt.date(2024, 1, 1) + dt.timedelta(days=i), "a", y, "Cash", ""))
+    e = spark.createDataFrame(rows, "id long, user_id long, date date, category string, "
+                                    "amount double, payment_mode string, notes string")
+    fc = T.boosted_tree_forecast(e, periods=3, params=dict(maxIter=3, maxDepth=2, seed=1), min_history=10)
+    got = {(r.user_id, r.ds): r.yhat for r in fc.collect()}
+    assert len(got) == 9 and all(v is not None for v in got.values())
+    assert got[2, dt.date(2024, 1, 11)] == sum(i % 5 + 1 for i in range(3, 10)) / 7
+    only = T.boosted_tree_forecast(e.filter("user_id = 2"), periods=2, min_history=10)
+    assert only.count() == 2
+
+
+def test_vocabulary_has_room_for_all_and_models_reload(spark, tmp_path):
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(5)) + (" red" if i % 2 else " blue"), "r" if i % 2 else "b")
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, clean_notes string, category string")
+    model = K.train_category_model(df, max_iter=5)
+    assert len(model.stages[1].vocabulary) == 60 * 5 + 2
+    path = T.save_model(model, str(tmp_path / "m"))
+    a, b = (sorted(K.predict_category(m, df).select("doc_id", "predicted_category", "confidence").collect())
+            for m in (model, T.load_model(path)))
+    assert a == b and {r.predicted_category for r in a} <= {"r", "b"}

@@ -4,10 +4,6 @@ import pytest
 
 from tallyspark.plans import ORACLE, QUERIES
 
-# queries whose nested-loop join is the bounded quantile-range join (<= 256 rows)
-BOUNDED_NLJ = {"describe_amount"}
-
-
 def plan(spark, sf, name):
     return QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
@@ -27,9 +23,14 @@ def test_no_cartesian_products(plans):
     assert not [n for n, p in plans.items() if "CartesianProduct" in p]
 
 
-def test_nested_loop_joins_only_on_bounded_sides(plans):
-    bad = [n for n, p in plans.items() if "NestedLoopJoin" in p and n not in BOUNDED_NLJ]
-    assert not bad, bad
+def test_no_nested_loop_joins(plans):
+    assert not [n for n, p in plans.items() if "NestedLoopJoin" in p]
+
+
+def test_inputs_are_scanned_once(plans):
+    for name, scans in {"dashboard_kpis": 1, "expense_summary": 1, "category_trend": 1,
+                        "forecast_dispatch": 4, "resolve_note_category": 6, "clean_transactions": 6}.items():
+        assert plans[name].count("FileScan parquet") <= scans, (name, plans[name].count("FileScan parquet"))
 
 
 def test_date_filter_reaches_the_scan(spark, sf):

@@ -174,11 +174,11 @@ def test_exact_quantiles_match_numpy_with_a_hot_value(spark):
 
 def test_trailing_mean_equals_python_loop(spark):
     vals = [3.0, 0.0, 5.5, 1.25, 8.0, 2.0, 0.0, 4.0, 9.0, 1.0, 6.0]
-    days = [0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11]  # day 7 missing -> gap-filled with 0
+    days = [0, 1, 2, 3, 4, 5, 6, 11, 12, 13, 14]  # days 7-10 missing -> gap-filled with 0
     e = exp(spark, [(i, 1, D(2024, 1, 1) + dt.timedelta(days=d), "a", v, "Cash", "")
                     for i, (d, v) in enumerate(zip(days, vals))])
     fc = sorted(M.trailing_mean_forecast(e, periods=5).collect(), key=lambda r: r.ds)
-    series = [3.0, 0.0, 5.5, 1.25, 8.0, 2.0, 0.0, 0.0, 4.0, 9.0, 1.0, 6.0]
+    series = [3.0, 0.0, 5.5, 1.25, 8.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 4.0, 9.0, 1.0, 6.0]
     want = []
     for _ in range(5):
         s = 0.0
@@ -187,7 +187,7 @@ def test_trailing_mean_equals_python_loop(spark):
         series.append(s / 7)
         want.append(series[-1])
     assert [r.yhat for r in fc] == want
-    assert fc[0].ds == D(2024, 1, 13)
+    assert fc[0].ds == D(2024, 1, 16)
     assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in fc)
 
 
@@ -214,3 +214,101 @@ def test_ratio_band(spark):
     df = spark.createDataFrame([(10.0, 100.0), (60.0, 100.0), (90.0, 100.0), (5.0, 0.0)], "v double, m double")
     assert [r[0] for r in df.select(ratio_band("v", "m")).collect()] == ["ok", "warn", "over", "ok"]
     assert [r[0] for r in df.select(ratio_band("v", "m", reverse=True)).collect()] == ["over", "ok", "ok", "over"]
+
+
+def test_small_amounts_and_one_huge_one(spark):
+    rows = [(i, 1, D(2024, 1, 1), "a", 0.004, "Cash", "") for i in range(1000)]
+    rows += [(5000, 2, D(2024, 1, 1), "a", 1e30, "Cash", ""), (5001, 2, D(2024, 1, 1), "a", 1.0, "Cash", ""),
+             (5002, 3, D(2024, 1, 1), "a", None, "Cash", "")]
+    e = exp(spark, rows)
+    got = {r.user_id: r.y for r in R.daily_totals(e).collect()}
+    assert got == {1: 4.0, 2: 1e30, 3: 0.0}
+    assert R.insights(e).count() == 3 and R.monthly_totals(e).filter("total IS NULL").count() == 0
+
+
+def test_zero_totals_do_not_fail_others(spark):
+    e = exp(spark, [(1, 1, D(2024, 1, 1), "a", 0.0, "Cash", ""), (2, 2, D(2024, 1, 1), "a", 2.0, "Cash", "")])
+    assert {r.user_id: r.share_pct for r in R.category_analysis(e).collect()} == {1: None, 2: 100.0}
+    assert {r.user_id: r.share_pct for r in R.category_breakdown(e).collect()} == {1: None, 2: 100.0}
+
+
+def test_metrics_of_constant_and_single_rows(spark):
+    from tallyspark.operators.evaluate import regression_metrics
+    df = spark.createDataFrame([("c", 5.0, 5.0), ("c", 5.0, 5.0), ("d", 5.0, 4.0), ("d", 5.0, 5.0), ("s", 1.0, 1.0),
+                                ("v", 1.0, 1.5), ("v", 3.0, 2.5)], "k string, actual double, predicted double")
+    got = {r.k: r.r2 for r in regression_metrics(df, keys=["k"]).collect()}
+    assert got == {"c": 1.0, "d": 0.0, "s": None, "v": 0.75}
+
+
+def test_partial_patches_add_up(spark):
+    base = exp(spark, [(1, 1, D(2024, 1, 1), "a", 5.0, "Cash", "n")])
+    schema = ("id long, user_id long, date date, category string, amount double, payment_mode string, "
+              "notes string, seq int")
+    p = spark.createDataFrame([(1, 1, None, None, 9.0, None, None, 1), (1, 1, None, None, None, "UPI", None, 2)], schema)
+    r = L.apply_expense_updates(base, p).first()
+    assert (r.amount, r.payment_mode, r.category) == (9.0, "UPI", "a")
+    o = L.apply_expense_updates(base, p, overwrite=True).first()
+    assert (o.amount, o.payment_mode, o.category) == (None, "UPI", None)
+    other = p.withColumn("user_id", F.lit(2).cast("long"))
+    assert L.apply_expense_updates(base, other).first().amount == 5.0
+    assert L.apply_expense_updates(base, other, key=["id"]).first().amount == 9.0
+    assert L.delete_expenses(base, other).count() == 1
+    assert L.delete_expenses(base, other, key=["id"]).count() == 0
+
+
+def test_orphans_and_recurring(spark):
+    e = exp(spark, [(i, 1, D(2024, m, 5), "rent", 10.0, "Cash", "x") for i, m in enumerate((1, 2, 3))]
+            + [(9, 77, D(2024, 1, 1), "a", 1.0, "Cash", "")])
+    users = spark.createDataFrame([(1,), (2,)], "id long")
+    assert [r.id for r in L.check_orphans(e, users).collect()] == [9]
+    from tallyspark.operators.recurring import recurring_expenses
+    got = recurring_expenses(e).collect()
+    assert [(r.user_id, r.category, r.occurrences, r.avg_amount) for r in got] == [(1, "rent", 3, 10.0)]
+
+
+def test_import_dates_and_numbers(spark):
+    texts = ["2024-01-05 10:00:00", "2024/01/05", "Jan 5, 2024", "05/01/2024", "25/01/2024", "2024-01-05T10:00:00Z",
+             "2024-01-05", "20240105", "5 January 2024", "9999-12-31", "31/31/2024", "", "2024-13-01"]
+    up = spark.createDataFrame([(1, t, "1") for t in texts], "user_id long, Date string, Amount string")
+    good, bad = import_expenses(up, "2024-02-01")
+    jan5 = D(2024, 1, 5)
+    assert [r.date for r in good.collect()] == [jan5, jan5, jan5, D(2024, 5, 1), D(2024, 1, 25), jan5, jan5, jan5, jan5]
+    assert bad.count() == 4
+    num = spark.createDataFrame([(1, "2024-01-05", t) for t in ["12d", "1f", "0x1", " 3 ", "-.5", "1e2", "1,5", ""]],
+                                up.schema)
+    assert [r.amount for r in import_expenses(num, "2024-02-01")[0].collect()] == [3.0, -0.5, 100.0]
+
+
+def test_csv_round_trip_of_quotes_and_line_breaks(spark, tmp_path):
+    from tallyspark.sources.files import csv_reader, export_expenses_csv, read_transactions_csv, write_csv
+    notes = ['say "hi", ok', "two\nlines", "  spaced ", None, "plain", "back\\slash", 'a "" b']
+    e = exp(spark, [(i, i % 3, D(2024, 1, 1), "a", 1.5, "Cash", n) for i, n in enumerate(notes)])
+    back = csv_reader(spark).schema(e.schema).csv(export_expenses_csv(e, str(tmp_path / "x"), buckets=2))
+    assert sorted(back.select(*e.columns).collect()) == sorted(e.collect())
+    assert len(list((tmp_path / "x").glob("bucket=*"))) <= 2
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "f.csv").write_text('date,notes\n2024-01-01,"say ""hi"", ok"\n2024-01-02,"two\nlines"\n')
+    got = read_transactions_csv(spark, str(tmp_path / "p"), ["date", "notes"]).collect()
+    assert [tuple(r) for r in got] == [("2024-01-01", 'say "hi", ok'), ("2024-01-02", "two\nlines")]
+    assert write_csv(e, str(tmp_path / "w"))
+
+
+def test_forecast_guards(spark):
+    def user(u, days):
+        return [(u * 100 + i, u, D(2024, 1, 1) + dt.timedelta(days=d), "a", 1.0, "Cash", "") for i, d in enumerate(days)]
+    e = exp(spark, user(1, range(12)) + user(2, range(14)) + user(3, range(15)) + user(4, [*range(9), 30])
+            + user(5, range(4)))
+    page = M.forecast_dispatch(e, "trees", 2, path="page")
+    assert {r.user_id: r.reason for r in page[1].collect()} == {
+        1: "fewer than 15 calendar days", 2: "fewer than 15 calendar days", 5: "fewer than 10 data points"}
+    assert {r.user_id for r in page[0].collect()} == {3, 4}
+    assert {r.user_id for r in M.dispatch_guard(e, "trees")[1].collect()} == {1, 2, 4, 5}
+    fc, skipped = M.forecast_dispatch(e, "seasonal", 2, path="page")
+    assert [r.user_id for r in skipped.collect()] == [5] and {r.user_id for r in fc.collect()} == {1, 2, 3, 4}
+    with pytest.raises(ValueError):
+        M.forecast_dispatch(e, "other")
+
+
+def test_label_digits_as_python(spark):
+    n = spark.createDataFrame([(1150.0,), (115000.0,), (1250.0,), (999.5,)], "x double")
+    assert [r[0] for r in n.select(currency_label("x", "")).collect()] == ["1.1K", "1.1L", "1.2K", "1,000"]
