@@ -33,6 +33,10 @@ HEADLINE = [
     "tfidf_features",
     "recent_transactions",
     "csv_import",
+    "keep_frequent_categories",
+    "classification_report",
+    "boosted_tree_monthly",
+    "monthly_recursive_forecast",
 ]
 
 
@@ -40,7 +44,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from tallyspark.plans import QUERIES
-    from tallyspark.session import build_session
+    from tallyspark.session import build_session, release
     spark = build_session("tallyspark-bench", cores=cpus, shuffle_partitions=max(cpus, 8))
     def run(name: str) -> float:
         t0 = time.perf_counter()
@@ -54,6 +58,7 @@ def main() -> None:
     print(json.dumps({"metric": "headline_total_warm", "value": round(sum(warm.values()), 3),
                       "unit": "sec", "queries": warm, "cold": cold,
                       "cold_total": round(sum(cold.values()), 3), "sf": sf}))
+    release(spark)
     spark.stop()
 
 
