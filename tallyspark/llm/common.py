@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import tables_root
 
 #: Python tasks take their rows in slices of about so many text bytes.
 SLICE_BYTES = 8 << 20
@@ -31,8 +31,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        self.base = f"{base}/llm/{name}-{uuid.uuid4().hex}"
+        self.base = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
