@@ -93,7 +93,7 @@ class Model:
         for j, lang in enumerate(langs):
             g, n = grams[lang]
             counts = np.zeros((nodes, width))
-            for k in range(order + 1):
+            for k in [k for k in range(order + 1) if len(levels[k])]:
                 ctx = g >> 8 & ((1 << 8 * k) - 1)
                 at = np.searchsorted(levels[k], ctx)
                 ok = (at < len(levels[k])) & (levels[k][np.minimum(at, len(levels[k]) - 1)] == ctx)
