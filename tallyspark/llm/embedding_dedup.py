@@ -171,7 +171,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                         "sizes")
     blocks = scratch.put(
         placed.join(sizes, cell)
-        .groupBy(*cell, "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("part"))
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .repartition(*cell, "part")  # not by the cell alone: a crowded cell's blocks go to many tasks
+        .groupBy(*cell, "blocks", "part")
         .agg(F.collect_list(F.struct("rep", "n", "vec")).alias("members")), "blocks")
     steps = F.array(*[F.struct(F.lit(a).alias("d1"), F.lit(b).alias("d2"))
                       for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
