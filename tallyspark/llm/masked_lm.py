@@ -6,13 +6,14 @@ class, then the word in the class.  A document's score is the sum of the
 conditional log-probabilities of all its words.
 
 Word counts come from the whole corpus.  Training is data-parallel and in
-numpy: every partition passes over its share of a fixed fraction of all
+numpy: a learner for each core streams its share of a fixed fraction of all
 documents, starting from the common weights, and the weights are averaged by
 words seen; a few rounds of this make the model, whose size is fixed.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -175,9 +176,10 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": [rows["name"].iloc[0]], "weights": [mean.astype(np.float32).tobytes()]})
 
 
-def _merge(rows: DataFrame) -> list:
-    """Means in two steps, so that no task holds the weights of all others."""
-    part = (rows.withColumn("part", F.pmod(F.xxhash64("weights"), F.lit(32)))
+def _merge(rows: DataFrame, learners: int) -> list:
+    """Means in two steps, so that no task holds the weights of all learners."""
+    parts = max(1, math.isqrt(learners))
+    part = (rows.withColumn("part", F.pmod(F.xxhash64("weights"), F.lit(parts)))
             .groupBy("name", "part").applyInPandas(
                 lambda x: _average(x).assign(seen=int(x["seen"].sum()))[["name", "seen", "weights"]],
                 "name string, seen long, weights binary"))
@@ -202,10 +204,12 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share
     n[VOCAB - BUCKETS:] = max(every - n.sum(), 0) / BUCKETS
     net = Network([bytes(r["word"]) for r in top], n)
     unit = hash_unit("__id", salt=3)
+    learners = spark.sparkContext.defaultParallelism  # one for each core, however large the corpus
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net)
         part = rows.filter((unit >= k * share) & (unit < (k + 1) * share) | F.lit(share * rounds >= 1))
-        got = _merge(part.select("__text").mapInArrow(_train(shared, k), "name string, seen long, weights binary"))
+        got = _merge(part.select("__text").coalesce(learners)
+                     .mapInArrow(_train(shared, k), "name string, seen long, weights binary"), learners)
         for r in got:
             net.w[r["name"]] = np.frombuffer(r["weights"], np.float32).reshape(net.w[r["name"]].shape).copy()
     return net
