@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import tables_root
 
 #: Python tasks take their rows in slices of about so many text bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
