@@ -24,8 +24,8 @@ def folder(spark, tmp_path_factory):
         docs.append([i, "\n".join(lines), lang])
     for i in (10, 20, 30, 40):
         docs[i][1] += "\nThe Line that Repeats across documents"
-    for i in (50, 51, 52):
-        docs[i][1] = docs[5][1]
+    for i in (5, 6):  # two copies: too few for their lines to go
+        docs[i + 45][1] = docs[i][1]
     bench = [(1, " ".join(f"item{k}" for k in range(20))), (2, "one two three")]
     docs[60][1] += " " + bench[0][1]
     docs[61][1] = "one two three " + docs[61][1] * 40
@@ -45,7 +45,7 @@ def test_pipeline_equals_its_stages(spark, folder):
     left = [(i, t) for i, _, _, t in plain_lines(left)]
     roots = plain_components([(i, plain_fingerprint(t)) for i, t in left])
     left = [(i, t) for i, t in left if roots[i] == i]
-    assert not {50, 51, 52} & {i for i, _ in left} and 5 in {i for i, _ in left}
+    assert not {50, 51} & {i for i, _ in left} and {5, 6} <= {i for i, _ in left}
     clean = []
     for i, t in left:
         n, hit, _ = plain_contamination(t, bench)
