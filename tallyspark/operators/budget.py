@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import money, money_sum, month_key, safe_pct, status_band
+from ..functions import money_sum, month_key, safe_pct, status_band
 from ..schema import ALERT_SHARE, OVERALL
 
 KEY = ["user_id", "month", "category"]
@@ -24,7 +24,7 @@ def category_spend(expenses: DataFrame) -> DataFrame:
 
 def month_spend(cat_spend: DataFrame) -> DataFrame:
     return (cat_spend.groupBy("user_id", "month")
-            .agg(F.sum(money("spent")).cast("double").alias("spent")))
+            .agg(money_sum("spent").alias("spent")))
 
 
 def budget_vs_actual(budgets: DataFrame, expenses: DataFrame) -> DataFrame:
@@ -67,8 +67,10 @@ def budget_by_category(budgets: DataFrame, expenses: DataFrame) -> DataFrame:
 def budget_alerts(budgets: DataFrame, expenses: DataFrame, share: float = ALERT_SHARE) -> DataFrame:
     """Budgets (Overall included) whose spend exceeds ``share`` of the
     limit; uncapped percent (NULL for a zero limit, still 'Over Budget')."""
-    cs = category_spend(expenses)
-    spend = cs.unionByName(month_spend(cs).withColumn("category", F.lit(OVERALL)))
+    # one scan: each category row counts for its category and for Overall
+    spend = (category_spend(expenses)
+             .select("user_id", "month", F.explode(F.array("category", F.lit(OVERALL))).alias("category"), "spent")
+             .groupBy(*KEY).agg(money_sum("spent").alias("spent")))
     j = budgets.join(spend, KEY, "inner")
     pct = safe_pct(F.col("spent"), F.col("budget_amount"))
     return (j.filter(F.col("spent") > F.col("budget_amount") * share)

@@ -28,7 +28,7 @@ def test_no_nested_loop_joins(plans):
 
 
 def test_inputs_are_scanned_once(plans):
-    for name, scans in {"dashboard_kpis": 1, "expense_summary": 1, "category_trend": 1,
+    for name, scans in {"dashboard_kpis": 1, "expense_summary": 1, "category_trend": 1, "budget_alerts": 3,
                         "forecast_dispatch": 4, "resolve_note_category": 6, "clean_transactions": 6}.items():
         assert plans[name].count("FileScan parquet") <= scans, (name, plans[name].count("FileScan parquet"))
 
