@@ -2,17 +2,21 @@
 
 A small network sees the words on both sides of a masked place, each through
 the embedding table of its distance, and predicts the word there: first its
-class, then the word in the class.  A document's score is the sum of the
-conditional log-probabilities of all its words.
-
-Word counts come from the whole corpus.  Training is data-parallel and in
-numpy: a learner for each core streams its share of a fixed fraction of all
-documents, starting from the common weights, and the weights are averaged by
-words seen; a few rounds of this make the model, whose size is fixed.
+class, then the place in the class.  Frequent words have a place of their
+own; the others share hashed places, and a word's chance within its place
+comes from the counts of all words, with a reserve for words never counted.
+A document's score is the sum of the conditional log-probabilities of all its
+words.
+
+Word counts come from the whole corpus, and the number of places grows with
+it.  Training is data-parallel and in numpy: in each of a few rounds a
+learner for each core streams its part of a fixed share of the documents, starting from the
+common weights, and the weights are averaged by words seen.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
@@ -23,17 +27,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from .common import Scratch, arrow_schema, hash_unit, text_slices, utf8
 from .decontaminate import words_of
 
-#: places of the vocabulary (0: outside of the text; the last BUCKETS: hashed
-#: rare words), words in a class, words seen on each side, hidden units.
-VOCAB, BUCKETS, CLASS, SIDE, HIDDEN = 2048, 256, 64, 3, 24
-#: share of the documents that a round trains on, rounds, words in a step.
-SHARE, ROUNDS, STEP, RATE = 0.03, 2, 512, 0.1
+#: places of the smallest vocabulary (0: outside of the text; the last BUCKETS:
+#: hashed rare words) and the counted words up to which it does, places in one
+#: of its classes, words seen on each side, hidden units.
+VOCAB, BUCKETS, VOCAB_WORDS, CLASS, SIDE, HIDDEN = 2048, 256, 1 << 22, 64, 3, 24
+#: share of the documents that a round trains on, rounds,
+#: words in a step at least and at most, steps for a slice of text, places
+#: that stay together when a slice is shuffled.
+SHARE, ROUNDS, STEP, MOST, STEPS, RUN, RATE = 0.03, 2, 512, 16384, 16, 64, 0.1
 CHUNK, HELD_WORDS = 1 << 15, 400_000
+#: counted words that every task holds; the counts of rarer ones are joined.
+HELD_COUNTS = 1 << 18
+#: joined log-probabilities are summed in whole steps of this size.
+GRAIN = 1e-9
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,32 +65,81 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def places_for(words: int) -> tuple[int, int]:
+    """Places of the vocabulary and of a class for a corpus of so many words:
+    they grow with its fourth root and with the square root of that."""
+    grown = VOCAB * max(1.0, words / VOCAB_WORDS) ** (1 / 4)
+    each = CLASS * int(math.sqrt(grown / VOCAB))
+    return -(-int(grown) // each) * each, each
+
+
 class _Ids(dict):
     """Word -> place in the vocabulary; rare words share hashed places."""
 
+    def __init__(self, words: list[bytes], first: int):
+        super().__init__({w: i + 1 for i, w in enumerate(words)})
+        self.first = first
+
     def __missing__(self, word: bytes) -> int:
-        return VOCAB - BUCKETS + zlib.crc32(word) % BUCKETS
+        return self.first + zlib.crc32(word) % BUCKETS
+
+    def __reduce__(self):
+        return _Ids, (list(self), self.first)
+
+
+class Tail:
+    """ln p(word | its shared place).
+
+    A counted word has its count, the reserve the number of the place's words
+    counted once (one at least), each as a share of their sum.  The reserve is
+    dealt out by spelling: independent bytes and an end, with the odds they
+    have in the counted rare words.  So all words of a place have one at most.
+    """
+
+    def __init__(self, counts: dict[bytes, float], whole: bool, path: str | None,
+                 totals: np.ndarray, once: np.ndarray, spelled: np.ndarray):
+        self.counts = counts  # word -> ln of its count
+        self.whole, self.path = whole, path  # no other word was counted, or: the table of all counts
+        reserve = np.maximum(once, 1.0)
+        self.all = np.log(totals + reserve)
+        self.reserve = np.log(reserve) - self.all
+        odds = (spelled + 1.0) / (spelled + 1.0).sum()  # 256 bytes, the end
+        self.letters = np.log(odds)
+
+    def unseen(self, word: bytes, place: int) -> float:
+        spelling = self.letters[np.frombuffer(word, np.uint8)].sum() + self.letters[256]
+        return float(self.reserve[place] + spelling)
+
+    def known(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        """NaN: not among the held counts."""
+        get, none = self.counts.get, math.nan
+        found = np.fromiter((get(w, none) for w in words), dtype=np.float64, count=len(words))
+        return found - self.all[places]
 
 
 class Network:
     """Weights and the two passes through them."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, seed: int = 3):
+    def __init__(self, words: list[bytes], counts: np.ndarray, seed: int = 3, each: int = CLASS):
         rng = np.random.default_rng(seed)
-        self.ids = _Ids({w: i + 1 for i, w in enumerate(words)})
+        size = len(counts)
+        self.size, self.each = size, each
+        self.ids = _Ids(words, size - BUCKETS)
         n = np.maximum(counts, 0.5)  # a place of its own for each count
-        by_class = n.reshape(-1, CLASS)
+        by_class = n.reshape(-1, each)
         self.w = {
-            "see": (rng.standard_normal((2 * SIDE, VOCAB, HIDDEN)) * 0.1).astype(np.float32),
-            "class": (rng.standard_normal((HIDDEN, VOCAB // CLASS)) * 0.01).astype(np.float32),
+            "see": (rng.standard_normal((2 * SIDE, size, HIDDEN)) * 0.1).astype(np.float32),
+            "class": (rng.standard_normal((HIDDEN, size // each)) * 0.01).astype(np.float32),
             "class0": np.log(by_class.sum(axis=1) / n.sum()).astype(np.float32),
-            "word": (rng.standard_normal((VOCAB // CLASS, HIDDEN, CLASS)) * 0.01).astype(np.float32),
+            "word": (rng.standard_normal((size // each, HIDDEN, each)) * 0.01).astype(np.float32),
             "word0": np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32),
         }
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words, ``SIDE`` zeros around each text; words in each."""
-        words = [words_of(t) for t in texts]
+        return self.places([words_of(t) for t in texts])
+
+    def places(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         out = np.zeros(int(sizes.sum()) + SIDE * (len(words) + 1), dtype=np.int32)
         at = SIDE
@@ -91,59 +151,90 @@ class Network:
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         see, h = self.w["see"], np.zeros((len(at), HIDDEN), dtype=np.float32)
         for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            h += see[k][ids[at + d]]
-        return np.tanh(h)
+            h += np.take(see[k], ids[at + d], axis=0)
+        h *= 2  # tanh by one exponential
+        np.exp(h, out=h)
+        h += 1
+        np.divide(-2, h, out=h)
+        h += 1
+        return h
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """ln p(word at each place | the words around it)."""
+        """ln p(place of the word at each place | the words around it)."""
+        order = np.argsort(ids[at], kind="stable")
+        at = at[order]
         h, target = self._hidden(ids, at), ids[at]
-        c, k = target // CLASS, target % CLASS
-        z = h @ self.w["class"] + self.w["class0"]
-        out = z[np.arange(len(at)), c] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(VOCAB // CLASS + 1))
-        for j in range(VOCAB // CLASS):
-            rows = order[cuts[j]:cuts[j + 1]]
-            if len(rows):
-                z = h[rows] @ self.w["word"][j] + self.w["word0"][j]
-                out[rows] += z[np.arange(len(rows)), k[rows]] - np.log(np.exp(z).sum(axis=1))
+        c, k = target // self.each, target % self.each
+        z = h @ self.w["class"]
+        z += self.w["class0"]
+        got = z[np.arange(len(at)), c] - np.log(_sums(np.exp(z, out=z)))
+        cuts = np.searchsorted(c, np.arange(self.size // self.each + 1))
+        for j in np.flatnonzero(np.diff(cuts)):
+            rows = slice(cuts[j], cuts[j + 1])
+            z = h[rows] @ self.w["word"][j]
+            z += self.w["word0"][j]
+            got[rows] += z[np.arange(len(z)), k[rows]] - np.log(_sums(np.exp(z, out=z)))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def learn(self, ids: np.ndarray, at: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the words at ``at``."""
-        around = [ids[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]
+        at = at[np.argsort(ids[at], kind="stable")]  # each class in a row
         h, target = self._hidden(ids, at), ids[at]
-        c, k = target // CLASS, target % CLASS
-        z = h @ self.w["class"] + self.w["class0"]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        c, k = target // self.each, target % self.each
+        p = _odds(h @ self.w["class"], self.w["class0"])
         p[np.arange(len(at)), c] -= 1
-        grad = {"class": h.T @ p, "class0": p.sum(axis=0),
-                "word": np.zeros_like(self.w["word"]), "word0": np.zeros_like(self.w["word0"])}
         back = p @ self.w["class"].T
-        for j in np.unique(c):
-            rows = np.flatnonzero(c == j)
-            z = h[rows] @ self.w["word"][j] + self.w["word0"][j]
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), k[rows]] -= 1
-            grad["word"][j], grad["word0"][j] = h[rows].T @ p, p.sum(axis=0)
+        self._move("class", ..., h.T @ p, memory)
+        self._move("class0", ..., p.sum(axis=0), memory)
+        cuts = np.searchsorted(c, np.arange(self.size // self.each + 1))
+        for j in np.flatnonzero(np.diff(cuts)):
+            rows = slice(cuts[j], cuts[j + 1])
+            p = _odds(h[rows] @ self.w["word"][j], self.w["word0"][j])
+            p[np.arange(len(p)), k[rows]] -= 1
             back[rows] += p @ self.w["word"][j].T
+            self._move("word", j, h[rows].T @ p, memory)
+            self._move("word0", j, p.sum(axis=0), memory)
         back *= 1 - h * h
-        for name, g in grad.items():
-            memory[name] += g * g
-            self.w[name] -= RATE * g / np.sqrt(memory[name])
-        for d, x in enumerate(around):  # only the rows that were seen
-            rows, inverse = np.unique(x, return_inverse=True)
-            g = np.zeros((len(rows), HIDDEN), dtype=np.float32)
-            np.add.at(g, inverse, back)
-            memory["see"][d, rows] += g * g
-            self.w["see"][d, rows] -= RATE * g / np.sqrt(memory["see"][d, rows])
+        runs, run = np.unique(at // RUN, return_inverse=True)
+        weights = np.zeros((len(runs), RUN, HIDDEN))
+        weights[run, at % RUN] = back
+        # all six sides of a run are shifts of one table; places outside have no weight
+        near = ids[np.minimum(np.maximum(runs[:, None] * RUN + np.arange(-SIDE, RUN + SIDE), 0), len(ids) - 1)]
+        rows, number = np.unique(near, return_inverse=True)
+        cell = number.reshape(*near.shape, 1) * HIDDEN + np.arange(HIDDEN)
+        for d, off in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):  # only the rows that were seen
+            g = np.bincount(cell[:, SIDE + off:SIDE + off + RUN].ravel(), weights=weights.ravel(),
+                            minlength=len(rows) * HIDDEN)
+            self._move("see", (d, rows), g.reshape(-1, HIDDEN).astype(np.float32), memory)
+
+    def _move(self, name: str, part, g: np.ndarray, memory: dict[str, np.ndarray]) -> None:
+        m = memory[name][part] + g * g
+        memory[name][part] = m
+        self.w[name][part] -= RATE * g / np.sqrt(m)
+
+    def without_tail(self) -> Network:
+        out = copy.copy(self)
+        out.tail = None
+        return out
 
     def fresh_memory(self) -> dict[str, np.ndarray]:
         return {k: np.full_like(v, 0.1) for k, v in self.w.items()}
 
 
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], dtype=z.dtype)
+
+
+def _odds(z: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Softmax of each row of ``z + base``, in place."""
+    z += base
+    np.exp(np.minimum(z, 60, out=z), out=z)
+    z /= _sums(z)[:, None]
+    return z
+
+
 def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all words in the padded sequence, and their text numbers."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -156,10 +247,12 @@ def _train(shared, seed: int):
         start = {k: v.copy() for k, v in net.w.items()}  # the worker may see the broadcast again
         for b in text_slices(batches, "__text"):
             ids, sizes = net.encode(utf8(b.column("__text")))
-            at = rng.permutation(_places(sizes)[0])
+            at = _places(sizes)[0]
             memory = memory or net.fresh_memory()
-            for i in range(0, len(at), STEP):
-                net.learn(ids, at[i:i + STEP], memory)
+            step = min(MOST, max(STEP, len(at) // STEPS))
+            at = at[np.argsort(rng.permutation(len(ids) // RUN + 1)[at // RUN], kind="stable")]
+            for i in range(0, len(at), step):
+                net.learn(ids, at[i:i + step], memory)
             seen += len(at)
         trained, net.w = net.w, start
         if seen:
@@ -186,32 +279,65 @@ def _merge(rows: DataFrame, learners: int) -> list:
     return part.groupBy("name").applyInPandas(_average, "name string, weights binary").collect()
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(257, dtype=np.int64)
+    for b in batches:
+        joined = b"".join(b.column("word").to_pylist())
+        n[:256] += np.bincount(np.frombuffer(joined, np.uint8), minlength=256)
+        n[256] += b.num_rows
+    yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int32()), pa.array(n)], names=["byte", "n"])
+
+
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: float = SHARE,
           rounds: int = ROUNDS) -> Network:
-    """The network for a corpus.  ``share`` of the documents, another part
-    in each round, trains it; null texts are left out."""
+    """The network for a corpus.  ``share`` of the documents, the next part
+    in each round, trains it; null texts are left out.  If some counts are not
+    held (``HELD_COUNTS``), the table of all of them stays for ``score``."""
     spark = docs.sparkSession
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
             .filter("__text IS NOT NULL"))
     scratch = Scratch(spark, "lm")
     counts = scratch.put(rows.select("__text").mapInArrow(_count, "word binary, n long")
                          .groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCAB - BUCKETS - 1).collect()
-    every = counts.agg(F.sum("n")).first()[0] or 0
-    scratch.drop("counts")
-    n = np.zeros(VOCAB)
-    n[1:len(top) + 1] = [r["n"] for r in top]
-    n[VOCAB - BUCKETS:] = max(every - n.sum(), 0) / BUCKETS
-    net = Network([bytes(r["word"]) for r in top], n)
+    by_count = sorted(((r["n"], r["words"]) for r in
+                       counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    every, least, held = sum(n * k for n, k in by_count), math.inf, 0
+    for n, k in by_count:  # all words of a count are held, or none
+        if held + k > HELD_COUNTS:
+            break
+        least, held = n, held + k
+    whole = held == sum(k for _, k in by_count)
+    size, each = places_for(every)
+    top = counts.filter(F.col("n") >= (least if held else every + 1)).toArrow()
+    top = sorted(zip((-x for x in top.column("n").to_pylist()), top.column("word").to_pylist()))
+    own, rest = top[:size - BUCKETS - 1], top[size - BUCKETS - 1:]
+    n = np.zeros(size)
+    n[1:len(own) + 1] = [-x for x, _ in own]
+    once = np.zeros(BUCKETS)
+    last = F.lit(own[-1][0] * -1 if own else every + 1)  # among equal counts the words decide
+    tail = counts.filter((F.col("n") < last) | ((F.col("n") == last) & (F.col("word") > F.lit(own[-1][1] if own else b""))))
+    for r in (tail.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).cast("int").alias("place"))
+              .agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()):
+        n[size - BUCKETS + r["place"]], once[r["place"]] = r["n"], r["once"]
+    spelled = np.zeros(257)
+    for r in (tail.select("word").mapInArrow(_spelled, "byte int, n long")
+              .groupBy("byte").agg(F.sum("n").alias("n")).collect()):
+        spelled[r["byte"]] = r["n"]
+    net = Network([bytes(w) for _, w in own], n, each=each)
+    net.tail = Tail({bytes(w): math.log(-x) for x, w in rest}, whole, None if whole else scratch.path("counts"),
+                    n[size - BUCKETS:].copy(), once, spelled)
+    if whole:
+        scratch.drop("counts")
     unit = hash_unit("__id", salt=3)
     learners = spark.sparkContext.defaultParallelism  # one for each core, however large the corpus
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast(net)
-        part = rows.filter((unit >= k * share) & (unit < (k + 1) * share) | F.lit(share * rounds >= 1))
+        shared = spark.sparkContext.broadcast(net.without_tail())
+        part = rows.filter((F.pmod(unit - k * share, F.lit(1.0)) < share) | F.lit(share >= 1))
         got = _merge(part.select("__text").coalesce(learners)
                      .mapInArrow(_train(shared, k), "name string, seen long, weights binary"), learners)
         for r in got:
             net.w[r["name"]] = np.frombuffer(r["weights"], np.float32).reshape(net.w[r["name"]].shape).copy()
+        shared.unpersist()
     return net
 
 
@@ -220,28 +346,67 @@ def _scores(shared, schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
+        tail, first = net.tail, net.size - BUCKETS
         for b in text_slices(batches, "__text"):
-            ids, sizes = net.encode(utf8(b.column("__text")))
+            words = [words_of(t) for t in utf8(b.column("__text"))]
+            ids, sizes = net.places(words)
             at, doc = _places(sizes)
             total = np.zeros(len(sizes))
             for i in range(0, len(at), CHUNK):
                 total += np.bincount(doc[i:i + CHUNK], weights=net.log_probs(ids, at[i:i + CHUNK]),
                                      minlength=len(sizes))
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(sizes), pa.array(total)], schema=target)
+            place = ids[at] - first
+            shares = np.flatnonzero(place >= 0)
+            flat = [w for own in words for w in own]
+            rare = [flat[i] for i in shares.tolist()]
+            place, doc = place[shares], doc[shares]
+            inner = tail.known(rare, place)
+            left: list[Counter] = [Counter() for _ in words]
+            for i in np.flatnonzero(np.isnan(inner)).tolist():
+                inner[i] = 0.0
+                left[doc[i]][rare[i], int(place[i])] += 1
+            total += np.bincount(doc, weights=inner, minlength=len(sizes))
+            asked = [[{"word": w, "n": n, "all": float(tail.all[p]), "unseen": tail.unseen(w, p)}
+                      for (w, p), n in own.items()] for own in left]
+            if tail.whole:
+                total += [sum(x["n"] * x["unseen"] for x in own) for own in asked]
+                asked = [[] for _ in words]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(sizes), pa.array(total),
+                                              pa.array(asked, target.field(3).type)], schema=target)
     return run
 
 
+#: words of a text whose counts are not held: how often, ln of their place's
+#: sum, ln p if they were never counted.
+ASKED = ArrayType(StructType([StructField("word", BinaryType()), StructField("n", LongType()),
+                              StructField("all", DoubleType()), StructField("unseen", DoubleType())]))
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, log_prob, mean_log_prob), a row for each input row:
     natural logarithms, the sum over all words of the whole text.
 
     Null, empty and wordless texts have no words, sum 0 and a null mean.
     Repeated rows score alike.  Other columns are ignored.  Empty table:
-    empty result.
+    empty result.  If the network doesn't hold all counts, the scores without
+    the words it lacks are written when the frame is built.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(net)
     schema = StructType([StructField("__id", docs.schema[id_col].dataType), StructField("n_words", LongType()),
-                         StructField("log_prob", DoubleType())])
-    return (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-            .mapInArrow(_scores(shared, schema), schema).withColumnRenamed("__id", id_col)
+                         StructField("log_prob", DoubleType()), StructField("asked", ASKED)])
+    out = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+           .mapInArrow(_scores(shared, schema), schema))
+    if not net.tail.whole:
+        # the counts of the scored corpus stay in their files; a row's number is fixed once written
+        out = Scratch(spark, "lm-scores").put(out.withColumn("row", F.monotonically_increasing_id()), "scores")
+        counts = spark.read.schema("word binary, n long").parquet(net.tail.path)
+        counts = counts.select("word", F.col("n").alias("count"))
+        each = out.select("row", F.explode("asked").alias("x")).select("row", "x.*")
+        inner = F.coalesce(F.log("count") - F.col("all"), F.col("unseen"))
+        sums = (each.join(counts, "word", "left").groupBy("row")
+                .agg((F.sum(F.round(F.col("n") * inner / GRAIN).cast("long")) * F.lit(GRAIN)).alias("rest")))
+        out = (out.join(sums, "row", "left")
+               .withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0))))
+    return (out.select(F.col("__id").alias(id_col), "n_words", "log_prob")
             .withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))))

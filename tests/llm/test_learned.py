@@ -223,3 +223,50 @@ def test_lm_query_beats_word_frequencies(spark, sf):
     base = masked_lm.score(docs, net)
     a, b = (x.agg(F.sum("log_prob") / F.sum("n_words")).first()[0] for x in (got, base))
     assert a > b and got.count() == docs.count()
+
+
+def test_words_of_a_place_differ_and_sum_to_one(spark, rows):
+    texts = [" ".join(f"w{i} " * (1 + i % 5) for i in range(j, 4000, 7)) for j in range(7)]
+    net = masked_lm.train(rows(list(enumerate(texts))), rounds=0)
+    n = {f"w{i}".encode(): 1 + i % 5 for i in range(4000)}
+    shared = [w for w in n if net.ids[w] >= net.size - masked_lm.BUCKETS]
+    place = np.array([net.ids[w] for w in shared]) - (net.size - masked_lm.BUCKETS)
+    inner = net.tail.known(shared, place)
+    once = np.bincount(place, weights=[n[w] == 1 for w in shared], minlength=masked_lm.BUCKETS)
+    total = np.bincount(place, weights=[n[w] for w in shared], minlength=masked_lm.BUCKETS)
+    want = [math.log(n[w] / (total[p] + max(once[p], 1))) for w, p in zip(shared, place)]
+    assert len(shared) == 4000 - (masked_lm.VOCAB - masked_lm.BUCKETS - 1) and np.allclose(inner, want)
+    spare = np.exp(net.tail.reserve)
+    assert np.allclose(np.bincount(place, weights=np.exp(inner), minlength=masked_lm.BUCKETS) + spare, 1)
+    got = {r["text"]: r["log_prob"] for r in masked_lm.score(
+        rows([(0, shared[0].decode()), (1, "zzqx")], "text_id long, text string").withColumn("doc_id", F.col("text_id")),
+        net).join(rows([(0, shared[0].decode()), (1, "zzqx")]), "doc_id").collect()}
+    assert got["zzqx"] < got[shared[0].decode()] - 5  # a word never counted
+
+
+def test_joined_counts_equal_the_held_ones(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    df = rows([(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 9000}" for _ in range(200))) for i in range(60)]
+              + [(None, "w1 never never seen"), (70, None)])
+    seen = df.filter("doc_id IS NOT NULL")
+    held = masked_lm.score(df, masked_lm.train(seen, rounds=0)).collect()
+    monkeypatch.setattr(masked_lm, "HELD_COUNTS", 500)
+    net = masked_lm.train(seen, rounds=0)
+    # other places, equal sums: a word's chance is its count either way
+    assert not net.tail.whole and len(net.ids) + len(net.tail.counts) <= 500
+    joined = {r["doc_id"]: r for r in masked_lm.score(df, net).collect()}
+    assert len(joined) == len(held) == 62
+    assert joined[70]["log_prob"] == 0.0 and all(r["n_words"] == joined[r["doc_id"]]["n_words"] for r in held)
+    # the same network holding all counts scores alike
+    counts = {bytes(r["word"]): math.log(r["n"]) for r in spark.read.parquet(net.tail.path).collect()}
+    net.tail.counts, net.tail.whole = counts, True
+    for r in masked_lm.score(df, net).collect():
+        assert abs(r["log_prob"] - joined[r["doc_id"]]["log_prob"]) < 1e-6 * 200
+
+
+def test_vocabulary_grows_with_the_corpus():
+    sizes = [masked_lm.places_for(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert sizes[:2] == [(masked_lm.VOCAB, masked_lm.CLASS)] * 2
+    assert sizes[1][0] < sizes[2][0] < sizes[3][0] and all(a % b == 0 for a, b in sizes)
+
+
