@@ -10,8 +10,9 @@ words.
 
 Word counts come from the whole corpus, and the number of places grows with
 it.  Training is data-parallel and in numpy: in each of a few rounds a
-learner for each core streams its part of a fixed share of the documents, starting from the
-common weights, and the weights are averaged by words seen.
+learner for each core streams its part of the documents, starting from the
+common weights, and the weights are averaged by words seen; together the
+rounds cover every document once.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ from .decontaminate import words_of
 #: hashed rare words) and the counted words up to which it does, places in one
 #: of its classes, words seen on each side, hidden units.
 VOCAB, BUCKETS, VOCAB_WORDS, CLASS, SIDE, HIDDEN = 2048, 256, 1 << 22, 64, 3, 24
-#: share of the documents that a round trains on, rounds,
+#: share of the documents that a round trains on, rounds (together: all, once),
 #: words in a step at least and at most, steps for a slice of text, places
 #: that stay together when a slice is shuffled.
-SHARE, ROUNDS, STEP, MOST, STEPS, RUN, RATE = 0.03, 2, 512, 16384, 16, 64, 0.1
+SHARE, ROUNDS, STEP, MOST, STEPS, RUN, RATE = 0.25, 4, 512, 16384, 16, 64, 0.1
 CHUNK, HELD_WORDS = 1 << 15, 400_000
 #: counted words that every task holds; the counts of rarer ones are joined.
 HELD_COUNTS = 1 << 18

@@ -270,3 +270,12 @@ def test_vocabulary_grows_with_the_corpus():
     assert sizes[1][0] < sizes[2][0] < sizes[3][0] and all(a % b == 0 for a, b in sizes)
 
 
+
+
+def test_every_document_trains_once(spark, rows, monkeypatch):
+    df = rows([(i, f"a b w{i}") for i in range(200)] + [(None, "x y"), (300, None)])
+    told = []
+    monkeypatch.setattr(masked_lm, "_merge", lambda out, n: told.append(
+        out.filter("name = 'class0'").agg(F.sum("seen")).first()[0] or 0) or [])
+    masked_lm.train(df)
+    assert sum(told) == 602 and len(told) == masked_lm.ROUNDS
