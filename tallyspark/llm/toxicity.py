@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .common import Scratch, arrow_schema, text_slices
 from .labelled import labelled_sample
@@ -33,6 +33,9 @@ from .labelled import labelled_sample
 SAMPLE_ROWS, STEM_DOCS, STEM_PRECISION = 12_000, 6, 0.8
 STEM_MIN, STEM_MAX, REACH, PRIOR_DOCS = 3, 8, 3, 5.0
 
+#: bands of min-hashes, min-hashes in a band, similarity of near copies.
+BANDS, BAND, ALIKE = 8, 4, 0.8
+
 # Closed word classes of the four languages.
 TARGETS = ("you your yours he him she her they them these this those people du dich dir ihr euch sie er diese dieser "
            "tu te toi vous il elle ils elles ce cette ces tú usted ustedes él ella ellos ellas este esta esos").split()
@@ -174,10 +177,46 @@ def _logit(p: float) -> float:
 
 
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a hash of the text without case and spacing, the hashes of its
+    distinct words and its bands of min-hashes."""
+    rng = np.random.default_rng(9)
+    turn, shift = (rng.integers(1, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
     for b in text_slices(batches, "__text"):
-        sig = [min(map(xxhash.xxh3_64_intdigest, set(_WORD.findall(t.lower()))), default=0) >> 1
-               for t in b.column("__text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.int64())], names=[*b.schema.names, "__sig"])
+        keys, words, bands = [], [], []
+        for t in b.column("__text").to_pylist():
+            low = t.lower()
+            keys.append(xxhash.xxh3_128_hexdigest(" ".join(low.split())))
+            h = np.array(sorted({xxhash.xxh3_64_intdigest(w) for w in _WORD.findall(low)}), dtype=np.uint64)
+            words.append(h.view(np.int64))
+            low_words = [(h * a + c).min() for a, c in zip(turn, shift)] if len(h) else []
+            bands.append([f"{k}:{xxhash.xxh3_64_intdigest(np.array(low_words[k * BAND:(k + 1) * BAND]).tobytes())}"
+                          for k in range(BANDS)] if len(h) else [])
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array(keys), pa.array(words, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.string()))],
+            names=[*b.schema.names, "__key", "__words", "__bands"])
+
+
+def without_copies(sample: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sample without copies.  Of texts that differ in case and spacing
+    alone the row with the smallest id stays.  Of rows that share a band of
+    min-hashes, those go whose word set has a Jaccard similarity of ``ALIKE``
+    or more with that of the row with the smallest id; it is compared exactly."""
+    schema = (StructType(list(sample.schema)).add("__key", "string").add("__words", ArrayType(LongType()))
+              .add("__bands", ArrayType(StringType())))
+    first = (sample.mapInArrow(_signature, schema)
+             .groupBy("__key").agg(F.min(F.struct("__id", "__y", "__text", "__words", "__bands")).alias("r"))
+             .select("__key", "r.*"))
+    rows = scratch.put(first, "signed")
+    bands = rows.select("__id", "__key", F.explode("__bands").alias("band"))
+    heads = bands.groupBy("band").agg(F.min(F.struct("__id", "__key")).alias("h")).select("band", F.col("h.__key").alias("head"))
+    pairs = bands.join(heads, "band").filter("__key != head").select("__key", "head").distinct()
+    both = (pairs.join(rows.select("__key", F.col("__words").alias("a")), "__key")
+            .join(rows.select(F.col("__key").alias("head"), F.col("__words").alias("b")), "head"))
+    same = F.size(F.array_intersect("a", "b"))
+    copies = both.filter(same >= ALIKE * (F.size("a") + F.size("b") - same)).select("__key").distinct()
+    kept = scratch.put(rows.join(copies, "__key", "left_anti").select("__id", "__text", "__y"), "sample")
+    scratch.drop("signed")
+    return kept
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +285,12 @@ def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
           text_col: str = "text", rows: int = SAMPLE_ROWS) -> Grammar:
     """The grammar with weights from ``rows`` labelled documents at most; of
-    near copies in the sample (one min-hash of the words) one counts.  Without
+    copies in the sample one counts (``without_copies``).  Without
     any it has no insult stems."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     sample = labelled_sample(docs, labels, label_col, rows, 9, id_col, text_col)
-    schema = StructType(list(sample.schema)).add("__sig", "long")
-    kept = scratch.put(sample.mapInArrow(_signature, schema).dropDuplicates(["__sig"]), "sample")
+    kept = without_copies(sample, scratch)
     counted = (kept.mapInArrow(_stem_counts, "stem string, n long, toxic long")
                .groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
                .filter((F.col("toxic") >= STEM_DOCS) & (F.col("toxic") >= STEM_PRECISION * F.col("n"))).collect())

@@ -279,3 +279,19 @@ def test_every_document_trains_once(spark, rows, monkeypatch):
         out.filter("name = 'class0'").agg(F.sum("seen")).first()[0] or 0) or [])
     masked_lm.train(df)
     assert sum(told) == 602 and len(told) == masked_lm.ROUNDS
+
+
+def test_toxicity_sample_loses_copies_alone(spark):
+    rng = random.Random(6)
+    word = lambda c, i: c + "".join(chr(97 + int(x)) for x in str(i))
+    base = [word("v", i) for i in range(300)]
+    texts = {i: " ".join(["the", *rng.sample(base, 8)]) for i in range(200)}  # a common least word
+    long = [word("n", i) for i in range(58)]
+    texts |= {300 + i: " ".join([*long, word("x", i)]) for i in range(30)}  # near copies
+    texts |= {400: "Same  text here", 401: "same text HERE", 402: "same text there", 500: "", 501: "!!"}
+    data = [(i, t, i % 2) for i, t in texts.items()] + [(150, texts[150], 0)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "__id long, __text string, __y int").repartition(3)
+    scratch = toxicity.Scratch(spark, "test")
+    kept = sorted(r["__id"] for r in toxicity.without_copies(df, scratch).collect())
+    assert kept == [*range(200), 300, 400, 402, 500, 501]
