@@ -203,3 +203,48 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .masked_lm import score, train
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs))
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB's unsigned crc32 of a text expression, byte by byte."""
+    step = "list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda crc, byte: {step}), 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, count(*) AS c,
+         translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+marked AS (SELECT run, c, {_crc32_sql("id || ':' || run")} AS h FROM runs WHERE length(run) >= 5),
+worn AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT)
+         ELSE run END AS word, c FROM marked),
+voc AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM worn WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS k
+         FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM voc)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN voc v ON l.k = v.word
+  UNION SELECT v.word, l.word, l.n FROM less l JOIN voc v ON l.k = v.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+named AS (SELECT word, n_near, m, (SELECT min(other) FROM near WHERE near.word = best.word AND near.m = best.m) AS other
+          FROM best),
+judged AS (
+  SELECT voc.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form,
+         CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM voc LEFT JOIN named USING (word)),
+walk(word, tip) AS (
+  SELECT word, word FROM judged
+  UNION ALL SELECT walk.word, form FROM walk JOIN judged ON walk.tip = judged.word WHERE form IS NOT NULL)
+SELECT judged.word, judged.form, walk.tip AS root, judged.n, judged.n_near, judged.form_n
+FROM judged JOIN walk USING (word) JOIN judged e ON e.word = walk.tip WHERE e.form IS NULL
+"""
+
+
+@register("op13_spelling", OP13_SQL)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants, word_counts
+    return variants(word_counts(table(spark, sf_dir, "documents")))
