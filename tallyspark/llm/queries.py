@@ -248,3 +248,40 @@ FROM judged JOIN walk USING (word) JOIN judged e ON e.word = walk.tip WHERE e.fo
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import variants, word_counts
     return variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 100 AS lead, {_crc32_sql("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+mixed AS (
+  SELECT ids.c, 0 AS own, k, r, x FROM ids JOIN turns ON turns.c = lead AND k <= h
+  UNION ALL SELECT ids.c, 1, k, r, x FROM ids JOIN turns ON turns.c = ids.c AND k > h),
+pth AS (
+  SELECT c, row_number() OVER w AS d, list({{'r': r, 'x': x}}) OVER w AS p, length(x) AS n
+  FROM mixed WINDOW w AS (PARTITION BY c ORDER BY own, k)
+  UNION ALL SELECT c, 0, []::STRUCT(r VARCHAR, x VARCHAR)[], 0 FROM ids),
+nodes AS (SELECT d, p, min(c) AS c, count(*) AS n_convs, min(n) AS n FROM pth GROUP BY d, p),
+lines AS (SELECT nodes.d, nodes.p, nodes.n_convs, n, up, list_slice(p, 1, up) AS q
+          FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM nodes) nodes),
+kids AS (SELECT q, count(*) AS n_children FROM lines WHERE up = d - 1 GROUP BY q),
+sums AS (SELECT l.q, CAST(sum((l.n_convs - 1) * l.n) AS BIGINT) AS saved, count(*) FILTER (WHERE kids.q IS NULL) AS n_leaves
+         FROM lines l LEFT JOIN kids ON kids.q = l.p GROUP BY l.q),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e
+         FROM (SELECT *, max(d) OVER (PARTITION BY c) AS m FROM pth) WHERE d = m GROUP BY p)
+SELECT nodes.c AS conv_id, nodes.d AS depth, up.c AS parent_conv_id, nodes.n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM nodes LEFT JOIN nodes up ON nodes.d > 0 AND up.p = list_slice(nodes.p, 1, nodes.d - 1)
+LEFT JOIN kids ON kids.q = nodes.p LEFT JOIN ends ON ends.p = nodes.p JOIN sums ON sums.q = nodes.p
+"""
+
+
+@register("op12_conversation_trie", OP12_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import ends_digest, prefix_trie
+    nodes, ends = prefix_trie(table(spark, sf_dir, "conversations"), family=100)
+    return (nodes.join(ends_digest(ends), ["conv_id", "depth"], "left")
+            .withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256))))
