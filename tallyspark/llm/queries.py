@@ -285,3 +285,16 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, ends = prefix_trie(table(spark, sf_dir, "conversations"), family=100)
     return (nodes.join(ends_digest(ends), ["conv_id", "depth"], "left")
             .withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256))))
+
+
+@register("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+    out = scan_licenses(table(spark, sf_dir, "documents")).withColumn("base", F.filter("detections", lambda d: d["base"]))
+
+    def labels(column):
+        return F.concat_ws(",", F.array_sort(F.array_distinct(F.col(f"{column}.label"))))
+
+    return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+                      F.array_min("base.first_word").alias("first_word"), F.array_max("base.first_word").alias("last_word"),
+                      labels("base").alias("base_labels"), labels("detections").alias("labels"), "score")
