@@ -98,7 +98,7 @@ ADDRESSES = [
 
 #: (label, words to look for, pattern): whole titles
 TITLES = [
-    ("agpl-3.0", "affero agpl agpl3 agplv3", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: (?:as published by the free software foundation|agpl))*(?: either)? ?(?:version |v)?3(?: 0)?(?: or(?: at your option)? (?:any )?later(?: version)?| only)?|(?:gnu )?agplv3(?: or later)?"),
+    ("agpl-3.0", "affero agpl agpl3 agplv3", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: (?:as published by the free software foundation|agpl))*(?: either)? (?:version |v)?3(?: 0)?(?: or(?: at your option)? (?:any )?later(?: version)?| only)?|(?:gnu )?agplv?3(?: or later)?"),
     ("agpl-1.0", "affero", r"affero general public licen[cs]e (?:version |v)1"),
     ("agpl", "affero agpl", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)"),
     ("lgpl-2.0", "library", r"(?:gnu )?library general public licen[cs]e(?: as published by the free software foundation)?(?: either)? (?:version |v)?2(?: 0)?"),
