@@ -3,8 +3,9 @@
 The reference changes one row per request; here a change set is a
 DataFrame applied to a whole snapshot.  "Latest change per key" is an
 aggregate (``max_by`` on the sequence number), so a key with very many
-changes is reduced map-side before any shuffle.  Results are new snapshots:
-write them to a new path and switch, never over the path being read.
+changes is reduced map-side before any shuffle.  Results are new snapshots;
+``snapshots.SnapshotStore`` keeps them as versions, rewrites only the buckets
+a change set touches and switches with one rename.
 """
 
 from __future__ import annotations
