@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from ..functions import half_even, py_round
 from ..schema import MIN_CATEGORY_ROWS
 from ..session import materialize
+from .sharded import ShardedModel, fit_sharded, predict_sharded
 from .skew import salted_join
 
 TOKEN_MIN = 2
-# what the driver can hold of the multinomial model (doubles)
+# what the driver may hold of the multinomial model (doubles)
 MAX_COEFFICIENTS = 200_000_000
 
 
@@ -80,43 +81,46 @@ def keep_frequent_categories(df: DataFrame, min_rows: int = MIN_CATEGORY_ROWS,
 
 
 def train_category_model(train: DataFrame, text: str = "clean_notes", label: str = "category",
-                         max_iter: int = 1000, tol: float = 1e-4) -> PipelineModel:
+                         max_iter: int = 1000, tol: float = 1e-4,
+                         max_coefficients: int = MAX_COEFFICIENTS) -> PipelineModel | ShardedModel:
     """K3: tokens -> counts -> smoothed idf -> L2 -> multinomial logistic
     regression (L2 penalty with C = 1, i.e. regParam = 1/n, unstandardised;
     at most 1000 iterations, stopping tolerance 1e-4 as the reference's
-    library defaults)."""
+    library defaults).  Beyond ``max_coefficients`` (tokens x categories) the
+    coefficients stay in a table (``sharded.fit_sharded``)."""
     # the fit passes over the training rows several times (vocabulary, idf,
     # labels, iterations): keep them once instead of re-cleaning the texts
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\w\\w+", gaps=False)
-    # the reference's vocabulary has no limit: room for every distinct token
-    size = tok.transform(train).select(F.explode("_tok").alias("t")).distinct().count()
-    classes = train.select(label).distinct().count()
-    if size * classes > MAX_COEFFICIENTS:
-        raise ValueError(f"{size} tokens x {classes} categories do not fit one coefficient matrix "
-                         f"({MAX_COEFFICIENTS} numbers); hash the tokens or split the categories")
-    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=max(size, 1))
-    lab = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
-    pre = Pipeline(stages=[tok, cv, lab]).fit(train)
-    counted = pre.transform(train)
-    idf_model = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
-    # Spark's idf is ln((n+1)/(df+1)); the smoothed weighting adds 1
-    scale = Vectors.dense([x + 1.0 for x in idf_model.idf.toArray()])
-    n = train.count()
-    post = Pipeline(stages=[
-        ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=scale),
-        Normalizer(inputCol="_w", outputCol="features", p=2.0),
-        LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial",
-                           maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1),
-                           elasticNetParam=0.0, standardization=False),
-        IndexToString(inputCol="prediction", outputCol="predicted_category",
-                      labels=pre.stages[-1].labels),
-    ]).fit(counted)
-    train.unpersist()
-    return PipelineModel(stages=pre.stages + post.stages)
-
-
-def predict_category(model: PipelineModel | None, df: DataFrame, known: list[str] | None = None,
+    try:
+        tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\w\\w+", gaps=False)
+        # the reference's vocabulary has no limit: room for every distinct token
+        size = tok.transform(train).select(F.explode("_tok").alias("t")).distinct().count()
+        classes = train.select(label).distinct().count()
+        if size * classes > max_coefficients:
+            return fit_sharded(train, text, label, max_iter, tol)
+        cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=max(size, 1))
+        lab = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
+        pre = Pipeline(stages=[tok, cv, lab]).fit(train)
+        counted = pre.transform(train)
+        idf_model = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+        # Spark's idf is ln((n+1)/(df+1)); the smoothed weighting adds 1
+        scale = Vectors.dense([x + 1.0 for x in idf_model.idf.toArray()])
+        n = train.count()
+        post = Pipeline(stages=[
+            ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=scale),
+            Normalizer(inputCol="_w", outputCol="features", p=2.0),
+            LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial",
+                               maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1),
+                               elasticNetParam=0.0, standardization=False),
+            IndexToString(inputCol="prediction", outputCol="predicted_category",
+                          labels=pre.stages[-1].labels),
+        ]).fit(counted)
+        return PipelineModel(stages=pre.stages + post.stages)
+    finally:
+        train.unpersist()
+
+
+def predict_category(model: PipelineModel | ShardedModel | None, df: DataFrame, known: list[str] | None = None,
                      fallback: str = "Other") -> DataFrame:
     """K4: predicted category and its probability (3 decimals) for every
     row; no model -> fallback with NULL confidence; a prediction outside
@@ -125,6 +129,8 @@ def predict_category(model: PipelineModel | None, df: DataFrame, known: list[str
     if model is None:
         return df.withColumn("predicted_category", F.lit(fallback)).withColumn(
             "confidence", F.lit(None).cast("double"))
+    if isinstance(model, ShardedModel):
+        return predict_sharded(model, df, known=known, fallback=fallback)
     out = model.transform(df)
     conf = py_round(F.array_max(vector_to_array("probability")), 3)
     pred = F.col("predicted_category")

@@ -3,26 +3,32 @@
 One model is fitted on the pooled feature rows of all users (the feature
 table is an ordinary distributed DataFrame).  Multi-step prediction is
 sequential in time but parallel over users: the state is one row per user
-holding a fixed-size array of its last values, and each step is a narrow
-map (features -> model -> new state).  The state is checkpointed into the
-shared checkpoint folder every step, so the plan does not grow with the
-horizon and a lost executor only recomputes one step.
+with an array of its last values.  The fitted trees become a column
+expression (``tree_columns``), and the whole horizon is one ``aggregate``
+over that array: one stage, no job or checkpoint for a step, and a lost
+executor's users are recomputed from their series.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BAND, MIN_HISTORY
 from ..session import cut_lineage
 from .forecast import eligible
 from .reports import daily_totals
-from .series import (DAILY_LAGS, calendar_features, calendar_gap_fill, feature_table_daily,
+from .series import (DAILY_LAGS, calendar_columns, calendar_gap_fill, feature_table_daily,
                      feature_table_monthly)
+from .tree_columns import tree_columns
+
+#: a prediction column from named feature columns
+Predictor = Callable[[dict[str, Column]], Column]
 
 USER = "user_id"
 DAILY_FEATURES = ["month", "day", "dayofweek", "quarter", "dayofyear", "weekofyear", "is_weekend",
@@ -54,6 +60,12 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def tree_predictor(model, features: list[str]) -> Predictor:
+    """A fitted ensemble in column form, over features by name."""
+    trees = tree_columns(model)
+    return lambda f: trees.predict(F.array(*[f[x].cast("double") for x in features]))
+
+
 def _arr_mean(arr):
     return F.try_divide(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), F.size(arr))
 
@@ -77,64 +89,74 @@ def series_state(series: DataFrame, keys: list[str], depth: int) -> DataFrame:
     return last.groupBy(*keys).agg(
         F.max("ds").alias("last_ds"),
         F.transform(F.sort_array(F.collect_list(F.struct("ds", "y"))), lambda r: r["y"]).alias("vals"),
-    ).withColumn("preds", F.array().cast("array<double>"))
+    )
 
 
-def daily_step_features(state: DataFrame, keys: list[str]) -> DataFrame:
-    """Features of the next day from the state, as the reference builds them
-    at prediction time: the new day's value is unknown, so the 7/14-row
-    windows hold the previous 6/13 values."""
-    v = F.col("vals")
-    f = state.withColumn("ds", F.date_add("last_ds", 1))
-    f = calendar_features(f)
+def daily_features(vals: Column, ds: Column) -> dict[str, Column]:
+    """Features of the day ``ds`` from the values before it, as the reference
+    builds them at prediction time: the day's own value is unknown, so the
+    7/14-row windows hold the previous 6/13 values."""
+    f = calendar_columns(ds)
     for k in DAILY_LAGS:
-        f = f.withColumn(f"lag_{k}", F.when(F.size(v) >= k, F.element_at(v, -k)))
-    return (f.withColumn("rolling_mean_7", _arr_mean(F.slice(v, -6, 6)))
-            .withColumn("rolling_mean_14", _arr_mean(F.slice(v, -13, 13)))
-            .withColumn("rolling_std_7", _arr_std(F.slice(v, -6, 6))))
+        f[f"lag_{k}"] = F.when(F.size(vals) >= k, F.element_at(vals, -k))
+    f["rolling_mean_7"] = _arr_mean(F.slice(vals, -6, 6))
+    f["rolling_mean_14"] = _arr_mean(F.slice(vals, -13, 13))
+    f["rolling_std_7"] = _arr_std(F.slice(vals, -6, 6))
+    return f
+
+
+def _horizon(start: Column, periods: int, step: Callable[[Column, Column], Column]) -> Column:
+    """``start`` with ``periods`` values appended, each from the array so far
+    and its number (from 1): the whole horizon in one expression."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(periods)), start,
+                       lambda vals, k: F.concat(vals, F.array(step(vals, k))))
 
 
-def _advance(pred_df: DataFrame, keys: list[str], depth: int, clip: bool = True) -> DataFrame:
-    p = F.greatest(F.col("prediction"), F.lit(0.0)) if clip else F.col("prediction")
-    # a missing lag or window: the mean of the last (at most 7) values
-    lag_missing = F.size("vals") < DAILY_LAGS[-1]
-    p = F.when(lag_missing | F.col("prediction").isNull(), _arr_mean(_last(F.col("vals"), 7))).otherwise(p)
-    return pred_df.select(*keys, F.col("ds").alias("last_ds"),
-                          _last(F.concat("vals", F.array(p)), depth).alias("vals"),
-                          F.concat("preds", F.array(p)).alias("preds"))
+def daily_recursion(daily: DataFrame, predict: Predictor | None, periods: int = 30) -> DataFrame:
+    """(user_id, ds, yhat, yhat_lower, yhat_upper): ``periods`` days after each
+    user's last one, each predicted from the days before it, clipped at 0,
+    with a +-20 % band.
+
+    ``predict`` maps named feature columns to a prediction column.  Without
+    one, without its value, or while a user's lags are incomplete, the mean
+    of the last 7 values stands in.  The horizon is one expression over the
+    user's last values: no job, checkpoint or shuffle for a day."""
+    depth = max(DAILY_LAGS)
+    state = series_state(daily, [USER], depth)
+
+    def step(vals: Column, k: Column) -> Column:
+        mean = _arr_mean(_last(vals, 7))
+        if predict is None:
+            return mean
+        p = predict(daily_features(vals, F.date_add(F.col("last_ds"), k)))
+        return F.when(F.size(vals) < depth, mean).otherwise(F.coalesce(F.greatest(p, F.lit(0.0)), mean))
+
+    out = (state.withColumn("all", _horizon(F.col("vals"), periods, step))
+           .select(USER, "last_ds", F.posexplode(F.slice("all", F.size("vals") + 1, periods)).alias("pos", "yhat")))
+    return out.select(USER, F.date_add("last_ds", F.col("pos") + 1).alias("ds"), "yhat",
+                      (F.col("yhat") * (1 - BAND)).alias("yhat_lower"),
+                      (F.col("yhat") * (1 + BAND)).alias("yhat_upper"))
 
 
 def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict | None = None,
-                          min_history: int = MIN_HISTORY["trees"], gap_fill: bool = False
-                          ) -> DataFrame:
+                          min_history: int = MIN_HISTORY["trees"], gap_fill: bool = False,
+                          predict: Predictor | None = None) -> DataFrame:
     """M3: pooled GBT on observed-day features, iterated day by day,
     clipped at 0, +-20 % band.  Users with fewer than ``min_history`` days
     are left out (``forecast_dispatch`` reports them); while a user's lags
     are incomplete, the mean of the last 7 values stands in.  The model is
-    fitted, and every step run, when the frame is built.  The service path
-    uses observed days only; ``gap_fill`` fills missing days with 0 first
-    (the UI path, Q4)."""
-    keys = [USER]
+    fitted when the frame is built, unless ``predict`` is given; the steps
+    are one lazy expression.  The service path uses observed days only;
+    ``gap_fill`` fills missing days with 0 first (the UI path, Q4)."""
     daily = daily_totals(expenses)
     if gap_fill:
         daily = calendar_gap_fill(daily)
     daily, _ = eligible(daily, min_history)
-    train = feature_table_daily(daily.select(USER, F.col("ds").alias("date"), F.col("y").alias("amount")))
-    if train.dropna(subset=[*DAILY_FEATURES, "y"]).isEmpty():  # nothing to learn from: trailing means
-        predict = lambda f: f.withColumn("prediction", F.lit(None).cast("double"))
-    else:
-        predict = fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT)).transform
-    depth = max(DAILY_LAGS)
-    state = cut_lineage(series_state(daily, keys, depth))
-    start = state.select(*keys, "last_ds")
-    for _ in range(periods):
-        feats = daily_step_features(state, keys)
-        state = cut_lineage(_advance(predict(feats), keys, depth))
-    out = state.join(start.withColumnRenamed("last_ds", "origin"), keys).select(
-        *keys, "origin", F.posexplode("preds").alias("pos", "yhat"))
-    return out.select(*keys, F.date_add("origin", F.col("pos") + 1).alias("ds"), "yhat",
-                      (F.col("yhat") * (1 - BAND)).alias("yhat_lower"),
-                      (F.col("yhat") * (1 + BAND)).alias("yhat_upper"))
+    if predict is None:
+        train = feature_table_daily(daily.select(USER, F.col("ds").alias("date"), F.col("y").alias("amount")))
+        if not train.dropna(subset=[*DAILY_FEATURES, "y"]).isEmpty():  # else nothing to learn from: trailing means
+            predict = tree_predictor(fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT)), DAILY_FEATURES)
+    return daily_recursion(daily, predict, periods)
 
 
 # --- monthly (M4, M5, M12) --------------------------------------------------
@@ -166,23 +188,44 @@ def feature_importance(model, features: list[str] = MONTHLY_FEATURES) -> DataFra
                                  "feature string, importance double")
 
 
-def monthly_step_features(state: DataFrame) -> DataFrame:
-    """Next month's features: lags are the preceding values (actuals, then
+def monthly_features(vals: Column, ds: Column) -> dict[str, Column]:
+    """Features of the month ``ds`` from the values before it (actuals, then
     predictions); rolling means cover the 3 / 6 preceding values."""
-    v = F.col("vals")
-    f = state.withColumn("ds", F.add_months("last_ds", 1))
-    f = (f.withColumn("month_num", F.month("ds")).withColumn("year_num", F.year("ds"))
-         .withColumn("quarter", F.quarter("ds")))
+    f = {"month_num": F.month(ds), "year_num": F.year(ds), "quarter": F.quarter(ds)}
     for k in (1, 2, 3):
-        f = f.withColumn(f"lag_{k}", F.element_at(v, -k))
-    return (f.withColumn("rolling_3", _arr_mean(F.slice(v, -3, 3)))
-            .withColumn("rolling_6", _arr_mean(F.slice(v, -6, 6))))
+        f[f"lag_{k}"] = F.element_at(vals, -k)
+    f["rolling_3"] = _arr_mean(F.slice(vals, -3, 3))
+    f["rolling_6"] = _arr_mean(F.slice(vals, -6, 6))
+    return f
+
+
+def monthly_step_features(state: DataFrame) -> DataFrame:
+    """The next month's features from a state row."""
+    f = state.withColumn("ds", F.add_months("last_ds", 1))
+    return f.withColumns(monthly_features(F.col("vals"), F.col("ds")))
+
+
+def monthly_recursion(series: DataFrame, predict: Predictor, months: int = 6) -> DataFrame:
+    """M5: (ds, features..., predicted) for ``months`` future months, each
+    step's lags and rolling means from the preceding values including earlier
+    predictions, in one expression over the last six values."""
+    state = series_state(series.withColumn("_g", F.lit(0)), ["_g"], 6)
+
+    def month(k: Column) -> Column:
+        return F.add_months(F.col("last_ds"), k.cast("int"))
+
+    grown = state.withColumn("all", _horizon(F.col("vals"), months, lambda vals, k: predict(monthly_features(vals, month(k)))))
+    rows = grown.select("last_ds", "all", F.size("vals").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(months))).alias("k"))
+    before = F.slice("all", F.lit(1), F.col("n") + F.col("k") - 1)
+    rows = rows.select("k", "all", "n", before.alias("vals"), month(F.col("k")).alias("ds"))
+    return rows.withColumns(monthly_features(F.col("vals"), F.col("ds"))).select(
+        "ds", *MONTHLY_FEATURES, F.element_at("all", F.col("n") + F.col("k")).alias("predicted"))
 
 
 def monthly_recursive_forecast(series: DataFrame, predict, months: int = 6) -> DataFrame:
-    """M5: ``months`` future months, each step's lags and rolling means
-    from the preceding values including earlier predictions.  ``predict``
-    maps a feature frame to the same frame plus ``prediction``."""
+    """M5 with a predictor that only maps a feature frame to the same frame
+    plus ``prediction`` (``monthly_recursion`` takes one in column form): a
+    job and a checkpoint for each month."""
     s = series.withColumn("_g", F.lit(0))
     state = series_state(s, ["_g"], 6)
     rows = None
@@ -193,7 +236,6 @@ def monthly_recursive_forecast(series: DataFrame, predict, months: int = 6) -> D
         rows = step if rows is None else rows.unionByName(step)
         state = cut_lineage(pred.select(
             "_g", F.col("ds").alias("last_ds"),
-            F.slice(F.concat("vals", F.array(F.col("prediction"))), -6, 6).alias("vals"),
-            F.concat("preds", F.array(F.col("prediction"))).alias("preds")))
+            F.slice(F.concat("vals", F.array(F.col("prediction"))), -6, 6).alias("vals")))
         rows = cut_lineage(rows)
     return rows

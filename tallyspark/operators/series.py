@@ -23,13 +23,17 @@ def _w(keys: list[str], order: str = "ds") -> Window:
     return Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
 
 
-def calendar_features(df: DataFrame, col: str = "ds") -> DataFrame:
+def calendar_columns(c: Column) -> dict[str, Column]:
     """Weekday (Mon=0), month, day, quarter, day of year, ISO week, weekend."""
-    c = F.col(col)
-    return (df.withColumn("dayofweek", F.weekday(c)).withColumn("month", F.month(c))
-            .withColumn("day", F.dayofmonth(c)).withColumn("quarter", F.quarter(c))
-            .withColumn("dayofyear", F.dayofyear(c)).withColumn("weekofyear", F.weekofyear(c))
-            .withColumn("is_weekend", (F.weekday(c) >= 5).cast("int")))
+    return {"dayofweek": F.weekday(c), "month": F.month(c), "day": F.dayofmonth(c), "quarter": F.quarter(c),
+            "dayofyear": F.dayofyear(c), "weekofyear": F.weekofyear(c), "is_weekend": (F.weekday(c) >= 5).cast("int")}
+
+
+def calendar_features(df: DataFrame, col: str = "ds") -> DataFrame:
+    """The calendar's columns of a date column."""
+    for name, c in calendar_columns(F.col(col)).items():
+        df = df.withColumn(name, c)
+    return df
 
 
 def month_start_from_parts(df: DataFrame, year: str = "year", month: str = "month") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import categorize as K
@@ -10,7 +13,9 @@ from ..operators import forecast as M
 from ..operators import models as T
 from ..operators.evaluate import classification_report
 from ..operators.recurring import recurring_expenses
-from ..schema import EXPENSES, FORECAST_HISTORY
+from ..operators.sharded import ShardedModel, fit_sharded
+from ..functions import half_even
+from ..schema import EXPENSES, FORECAST_HISTORY, MIN_HISTORY
 from ..sources import files as IO
 from ..sources.synthetic import synthetic_expenses, synthetic_sql
 from ..sources.tables import (exp_daily, exp_monthly, note_labels, raw_a, raw_b,
@@ -24,20 +29,27 @@ from .registry import register
 
 # --- fitted models are saved in shared storage and reloaded --------------
 
-def _fitted(spark, kind, data, fit):
-    """The saved pipeline for exactly these training rows (their number and
-    the sum of their hashes name it), fitted and saved if there is none."""
+# raise it when the code of a fit changes its result
+FIT_VERSION = 1
+
+
+def _fitted(spark, kind, data, fit, **params):
+    """The saved pipeline for exactly these training rows and parameters,
+    fitted and saved if there is none.  Its name holds the rows' number and
+    the sum of their hashes, and a hash of the parameters, the fit's version
+    and Spark's."""
     mark = data.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*data.columns).cast("decimal(38,0)"))).first()
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{kind}-{mark[0]}-{mark[1]}"
+    how = hashlib.sha256(json.dumps([FIT_VERSION, spark.version, params], sort_keys=True).encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{kind}-{mark[0]}-{mark[1]}-{how}"
     there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        T.save_model(fit(data), path)
+        T.save_model(fit(data, **params), path)
     return T.load_model(path)
 
 
 def _monthly_model(spark, sf):
     train, test = T.monthly_split(monthly(spark, sf))
-    return _fitted(spark, "monthly_trees", train, T.fit_monthly), test
+    return _fitted(spark, "monthly_trees", train, T.fit_monthly, params=T.MONTHLY_GBT), test
 
 
 # --- boosted trees (rows-only: model training) ------------------------------
@@ -59,7 +71,72 @@ def q_feature_importance(spark, sf):
 
 @register("monthly_recursive_forecast")
 def q_monthly_recursive_forecast(spark, sf):
-    return T.monthly_recursive_forecast(monthly(spark, sf), _monthly_model(spark, sf)[0].transform, 6)
+    model = _monthly_model(spark, sf)[0]
+    return T.monthly_recursion(monthly(spark, sf), T.tree_predictor(model, T.MONTHLY_FEATURES), 6)
+
+
+# --- the recursions with a fixed predictor in the trees' place, held against SQL
+
+def daily_stand_in(f):
+    """Uses every feature, so that each one's value shows in the result."""
+    return (0.5 * f["lag_1"] + 0.02 * f["lag_2"] + 0.03 * f["lag_3"] + 0.2 * f["lag_7"] + 0.1 * f["lag_14"]
+            + 0.1 * f["rolling_mean_7"] + 0.05 * f["rolling_mean_14"] + 0.2 * f["rolling_std_7"] - 30.0 * f["is_weekend"]
+            + 0.1 * f["day"] + 0.2 * f["month"] + 0.3 * f["quarter"] + 0.04 * f["weekofyear"] + 0.01 * f["dayofyear"]
+            + 0.5 * f["dayofweek"] - 5.0)
+
+
+_NEXT = "(last_ds + CAST(k + 1 AS INTEGER))"
+_M6 = "(list_sum(v[-6:]) / 6)"
+DAILY_STEP = f"""greatest(0.5 * v[-1] + 0.02 * v[-2] + 0.03 * v[-3] + 0.2 * v[-7] + 0.1 * v[-14]
+  + 0.1 * {_M6} + 0.05 * (list_sum(v[-13:]) / 13)
+  + 0.2 * sqrt(list_sum(list_transform(v[-6:], lambda x: (x - {_M6}) * (x - {_M6}))) / 5)
+  - 30.0 * (isodow({_NEXT}) >= 6)::INT + 0.1 * day({_NEXT}) + 0.2 * month({_NEXT}) + 0.3 * quarter({_NEXT})
+  + 0.04 * weekofyear({_NEXT}) + 0.01 * dayofyear({_NEXT}) + 0.5 * (isodow({_NEXT}) - 1) - 5.0, 0.0)"""
+
+
+@register("daily_recursion", f"""
+WITH RECURSIVE d AS (SELECT user_id, date AS ds, {msum('amount')} AS y FROM exp_daily WHERE date IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ds DESC) AS r,
+             COUNT(*) OVER (PARTITION BY user_id) AS n FROM d),
+s AS (SELECT user_id, MAX(ds) AS last_ds, list(y ORDER BY ds) AS v FROM l WHERE r <= 14 AND n >= {MIN_HISTORY['trees']} GROUP BY 1),
+w AS (SELECT user_id, last_ds, 0 AS k, v FROM s
+      UNION ALL SELECT user_id, last_ds, k + 1, list_append(v, {DAILY_STEP}) FROM w WHERE k < 30),
+f AS (SELECT user_id, last_ds + CAST(k AS INTEGER) AS ds, v[-1] AS p FROM w WHERE k > 0)
+SELECT user_id, ds, {heven('p', 6)} AS yhat, {heven('(p * 0.8)', 6)} AS yhat_lower, {heven('(p * 1.2)', 6)} AS yhat_upper FROM f""",
+          ("exp_daily",))
+def q_daily_recursion(spark, sf):
+    """M3's rows, features, state, clipping and band."""
+    fc = T.boosted_tree_forecast(exp_daily(spark, sf), predict=daily_stand_in)
+    return fc.select("user_id", "ds", *[half_even(c, 6).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
+
+
+def monthly_stand_in(f):
+    return (0.6 * f["lag_1"] + 0.1 * f["lag_2"] + 0.1 * f["lag_3"] + 0.1 * f["rolling_3"] + 0.1 * f["rolling_6"]
+            + 100.0 * f["month_num"] + 10.0 * f["quarter"] + 1.0 * f["year_num"])
+
+
+_NEXT_M = "CAST(last_ds + to_months(CAST(k + 1 AS INTEGER)) AS DATE)"
+
+
+@register("monthly_recursion", f"""
+WITH RECURSIVE ms AS (SELECT CAST(date_trunc('month', date) AS DATE) AS ds, {msum('amount')} AS y FROM exp_monthly
+  WHERE date IS NOT NULL AND amount > 0 AND amount <= 100000.0 GROUP BY 1),
+l6 AS (SELECT ds, y FROM ms ORDER BY ds DESC LIMIT 6),
+s AS (SELECT MAX(ds) AS last_ds, list(y ORDER BY ds) AS v FROM l6),
+w AS (SELECT last_ds, 0 AS k, v, CAST(NULL AS DOUBLE[]) AS old FROM s
+      UNION ALL SELECT last_ds, k + 1, list_append(v, 0.6 * v[-1] + 0.1 * v[-2] + 0.1 * v[-3] + 0.1 * (list_sum(v[-3:]) / 3)
+        + 0.1 * (list_sum(v[-6:]) / 6) + 100.0 * month({_NEXT_M}) + 10.0 * quarter({_NEXT_M}) + 1.0 * year({_NEXT_M})), v
+      FROM w WHERE k < 6),
+f AS (SELECT CAST(last_ds + to_months(CAST(k AS INTEGER)) AS DATE) AS ds, old AS v, v[-1] AS p FROM w WHERE k > 0)
+SELECT ds, CAST(month(ds) AS INTEGER) AS month_num, CAST(year(ds) AS INTEGER) AS year_num, CAST(quarter(ds) AS INTEGER) AS quarter,
+       {heven('v[-1]', 3)} AS lag_1, {heven('v[-2]', 3)} AS lag_2, {heven('v[-3]', 3)} AS lag_3,
+       {heven('(list_sum(v[-3:]) / 3)', 3)} AS rolling_3, {heven('(list_sum(v[-6:]) / 6)', 3)} AS rolling_6,
+       {heven('p', 3)} AS predicted FROM f""", ("exp_monthly",))
+def q_monthly_recursion(spark, sf):
+    """M5's rows, features and state."""
+    out = T.monthly_recursion(monthly(spark, sf), monthly_stand_in, 6)
+    return out.select("ds", "month_num", "year_num", "quarter",
+                      *[half_even(c, 3).alias(c) for c in ("lag_1", "lag_2", "lag_3", "rolling_3", "rolling_6", "predicted")])
 
 
 # --- classification -----------------------------------------------------------
@@ -103,7 +180,8 @@ def _split(spark, sf):
 
 
 def _category_model(spark, sf):
-    return _fitted(spark, "category", _split(spark, sf).filter(F.col("split") == "train"), K.train_category_model)
+    return _fitted(spark, "category", _split(spark, sf).filter(F.col("split") == "train"), K.train_category_model,
+                   max_iter=1000, tol=1e-4)
 
 
 @register("train_category_model")
@@ -112,11 +190,55 @@ def q_train_category_model(spark, sf):
                               _split(spark, sf).filter(F.col("split") == "test"))
 
 
+@register("train_category_model_sharded")
+def q_train_category_model_sharded(spark, sf):
+    """K3 with its coefficients in a table, on the same rows."""
+    split = materialize(_split(spark, sf), "split")
+    model = fit_sharded(split.filter(F.col("split") == "train"))
+    return K.predict_category(model, split.filter(F.col("split") == "test"))
+
+
 @register("predict_category")
 def q_predict_category(spark, sf):
     return K.predict_category(_category_model(spark, sf), note_labels(spark, sf))
 
 
+def counted_model(notes) -> ShardedModel:
+    """A model in table form without a fit: a token's weight for a category
+    is the log of how often the category's notes hold it."""
+    labels = [r[0] for r in notes.filter("category IS NOT NULL").select("category").distinct().orderBy("category").collect()]
+    seen = materialize(K.tokens(notes, "clean_notes", "doc_id").join(notes.select("doc_id", "category"), "doc_id")
+                       .distinct(), "seen")
+    n = notes.count()
+    w = F.array(*[F.log((1.0 + F.count_if(F.col("category") == c)) / (1.0 + F.count(F.lit(1)))) for c in labels])
+    table = seen.groupBy("token").agg((F.log(F.lit(1.0 + n) / (1.0 + F.count(F.lit(1)))) + 1.0).alias("idf"), w.alias("w"))
+    return ShardedModel(materialize(table, "counted"), labels, [0.1 * i for i in range(len(labels))], [])
+
+
+@register("predict_category_table", f"""
+WITH tok AS (SELECT doc_id, unnest(string_split(clean_notes, ' ')) AS token FROM note_labels),
+tf AS (SELECT doc_id, token, COUNT(*) AS tf FROM tok WHERE length(token) >= 2 GROUP BY 1, 2),
+cats AS (SELECT category AS c, row_number() OVER (ORDER BY category) - 1 AS i
+         FROM (SELECT DISTINCT category FROM note_labels WHERE category IS NOT NULL)),
+idf AS (SELECT token, COUNT(*) AS df, ln((1.0 + (SELECT CAST(COUNT(*) AS DOUBLE) FROM note_labels)) / (1.0 + COUNT(*))) + 1.0 AS idf
+        FROM tf GROUP BY 1),
+nc AS (SELECT token, category AS c, COUNT(*) AS n FROM tf JOIN note_labels USING (doc_id) GROUP BY 1, 2),
+w AS (SELECT idf.token, cats.c, ln((1.0 + COALESCE(n, 0)) / (1.0 + df)) AS w
+      FROM idf CROSS JOIN cats LEFT JOIN nc ON nc.token = idf.token AND nc.c = cats.c),
+x AS (SELECT doc_id, token, tf * idf / sqrt(SUM(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS v FROM tf JOIN idf USING (token)),
+m AS (SELECT doc_id, c, SUM(v * w) AS m FROM x JOIN w USING (token) GROUP BY 1, 2),
+z AS (SELECT nl.doc_id, cats.c, COALESCE(m, 0.0) + 0.1 * i AS z
+      FROM note_labels nl CROSS JOIN cats LEFT JOIN m ON m.doc_id = nl.doc_id AND m.c = cats.c),
+p AS (SELECT doc_id, c, exp(z - MAX(z) OVER q) / SUM(exp(z)) OVER q * exp(MAX(z) OVER q) AS p FROM z WINDOW q AS (PARTITION BY doc_id)),
+b AS (SELECT doc_id, arg_max(c, p) AS predicted_category, MAX(p) AS pm FROM p GROUP BY 1)
+SELECT nl.*, predicted_category, {pyround('pm', 3)} AS confidence FROM note_labels nl JOIN b USING (doc_id)""", ("note_labels",))
+def q_predict_category_table(spark, sf):
+    """K4's rows, weighting, probabilities and rounding with a model that SQL
+    can make as well."""
+    notes = note_labels(spark, sf)
+    return K.predict_category(counted_model(notes), notes)
+
+
 _REPORT = f"""WITH {STAGES},
 pr AS (SELECT m.category AS label, d.dominant_category AS prediction FROM mapped m JOIN dom d ON d.notes = m.notes),
 conf AS (SELECT label, prediction, COUNT(*) AS n FROM pr GROUP BY 1, 2),

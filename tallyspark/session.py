@@ -89,7 +89,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     job runs at once, and ``release`` removes the files."""
     path = f"{tables_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame that ``materialize`` returned, once no
+    frame built on it is read any more."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tables_root(spark: SparkSession) -> str:
