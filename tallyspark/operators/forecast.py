@@ -10,16 +10,20 @@
   per-user maps, with an 80 % normal band.  The series is shuffled once by
   user; the rest are per-user aggregates and joins on that partitioning.
 - ``seasonal_trend_regression`` (M6 tier 2) fits changepoint hinges and
-  Fourier terms per user with ``applyInPandas`` over the daily series.
+  Fourier terms per user: Gram matrix, Cholesky factor and solution are array
+  expressions over the daily series.
 - The boosted-tree forecasts live in ``operators.models``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import half_even, py_round, weekday_name
+from ..functions.linalg import add_diagonal, cholesky, dot, gram, let, solve
 from ..schema import BAND, INTERVAL_Z80, MIN_HISTORY, PAGE_MIN_HISTORY, PAGE_TREE_DAYS
 from ..session import materialize
 from .reports import daily_totals
@@ -275,50 +279,27 @@ def forecast_dispatch(expenses: DataFrame, model: str = "seasonal", periods: int
     return fc, skipped
 
 
-# --- seasonal trend, tier 2: per-user regression (rows-checked) -------------
-
-TIER2_SCHEMA = "user_id long, ds date, yhat double, yhat_lower double, yhat_upper double"
-
-
-def _tier2_group(periods: int, n_changepoints: int, weekly_order: int, yearly_order: int,
-                 ridge: float):
-    import numpy as np
-    import pandas as pd
-
-    def design(t, dow, doy, cps, yearly):
-        cols = [np.ones_like(t), t] + [np.maximum(0.0, t - c) for c in cps]
-        for k in range(1, weekly_order + 1):
-            cols += [np.sin(2 * np.pi * k * dow / 7), np.cos(2 * np.pi * k * dow / 7)]
-        if yearly:
-            for k in range(1, yearly_order + 1):
-                cols += [np.sin(2 * np.pi * k * doy / 365.25), np.cos(2 * np.pi * k * doy / 365.25)]
-        return np.column_stack(cols)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        ds = pd.to_datetime(pdf["ds"])
-        y = pdf["y"].to_numpy(dtype=float)
-        start, span = ds.iloc[0], max((ds.iloc[-1] - ds.iloc[0]).days, 1)
-        t = (ds - start).dt.days.to_numpy() / span
-        # changepoints spread over the first 80 % of the history
-        cps = np.quantile(t[: max(int(len(t) * 0.8), 1)],
-                          np.linspace(0, 1, n_changepoints + 2)[1:-1]) if len(t) > 2 else []
-        yearly = span >= 730
-        X = design(t, ds.dt.dayofweek.to_numpy(), ds.dt.dayofyear.to_numpy(), cps, yearly)
-        penalty = np.full(X.shape[1], ridge)
-        penalty[:2] = 0.0  # intercept and base slope are not shrunk
-        beta = np.linalg.solve(X.T @ X + np.diag(penalty), X.T @ y)
-        resid = y - X @ beta
-        sigma = float(np.std(resid, ddof=1)) if len(y) > 1 else 0.0
-        fut = pd.date_range(ds.iloc[-1] + pd.Timedelta(days=1), periods=periods, freq="D")
-        tf = (fut - start).days.to_numpy() / span
-        yhat = design(tf, fut.dayofweek.to_numpy(), fut.dayofyear.to_numpy(), cps, yearly) @ beta
-        half = INTERVAL_Z80 * sigma
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "ds": fut.date,
-                             "yhat": np.maximum(yhat, 0.0),
-                             "yhat_lower": np.maximum(yhat - half, 0.0),
-                             "yhat_upper": yhat + half})
-    return fit
+# --- seasonal trend, tier 2: a regression for each user ----------------------
+
+def _design(t: Column, ds: Column, cps: Column, yearly: Column, weekly_order: int, yearly_order: int) -> Column:
+    """A design row: 1, time, hinges, weekly and (if on) yearly waves."""
+    def waves(angle: Column, order: int) -> Column:
+        return F.array(*[f(angle * float(k)) for k in range(1, order + 1) for f in (F.sin, F.cos)])
+
+    week = waves(F.weekday(ds) * (2 * math.pi / 7), weekly_order)
+    year = F.when(yearly, waves(F.dayofyear(ds) * (2 * math.pi / 365.25), yearly_order)).otherwise(F.array().cast("array<double>"))
+    hinges = F.transform(cps, lambda c: F.greatest(F.lit(0.0), t - c))
+    return F.concat(F.array(F.lit(1.0), t), hinges, week, year)
+
+
+def _quantiles(sorted_values: Column, n: int) -> Column:
+    """``n`` evenly spaced inner quantiles of a sorted array, interpolated."""
+    def at(q: float) -> Column:
+        place = (F.size(sorted_values) - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        a, b = F.get(sorted_values, low), F.get(sorted_values, F.least(low + 1, F.size(sorted_values) - 1))
+        return a + (b - a) * (place - low)
+    return F.array(*[at((k + 1) / (n + 1)) for k in range(n)]) if n else F.array().cast("array<double>")
 
 
 def seasonal_trend_regression(series: DataFrame, periods: int = 30,
@@ -329,10 +310,43 @@ def seasonal_trend_regression(series: DataFrame, periods: int = 30,
     linear trend (hinges at changepoints over the first 80 % of history)
     plus weekly and, with two years of history, yearly Fourier terms.
 
-    Runs per user with ``applyInPandas`` on the user's *daily* series: the
-    group is bounded by the calendar (days of history), not by how many
-    transactions the user has, and Spark spreads the users over tasks."""
+    One shuffle gathers a user's *daily* series in an array, bounded by the
+    calendar (days of history), not by how many transactions the user has.
+    The Gram matrix, its Cholesky factor, the solution and the forecast are
+    array expressions of that row: no Python worker and no join."""
     series, _ = eligible(series, min_history)
-    fit = _tier2_group(periods, n_changepoints, weekly_order, yearly_order, ridge)
-    return (series.select(USER, "ds", "y").groupBy(USER)
-            .applyInPandas(fit, schema=TIER2_SCHEMA))
+    user = (series.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("days"))
+            .select(USER, F.col("days.ds").alias("ds"), F.col("days.y").alias("y"),
+                    F.get("days.ds", 0).alias("start"), F.element_at("days.ds", -1).alias("last_ds")))
+    span = F.greatest(F.datediff("last_ds", "start"), F.lit(1))
+    user = user.withColumn("span", span.cast("double")).withColumn("yearly", span >= 730)
+
+    def time(ds: Column) -> Column:
+        return F.datediff(ds, F.col("start")) / F.col("span")
+
+    user = user.withColumn("t", F.transform("ds", time))
+    early = F.slice("t", F.lit(1), F.greatest(F.floor(F.size("t") * F.lit(0.8)).cast("int"), F.lit(1)))
+    user = user.withColumn("early", early).withColumn(
+        "cps", F.when(F.size("t") > 2, _quantiles(F.col("early"), n_changepoints)).otherwise(F.array().cast("array<double>")))
+
+    def row(ds: Column) -> Column:
+        return _design(time(ds), ds, F.col("cps"), F.col("yearly"), weekly_order, yearly_order)
+
+    user = user.withColumn("x", F.transform("ds", row))
+    xx, xy = gram(F.col("x"), F.col("y"))
+    # intercept and base slope are not shrunk
+    penalty = F.transform(F.get(xx, 0), lambda _, i: F.when(i < 2, 0.0).otherwise(ridge))
+    user = user.withColumn("xy", xy).withColumn("a", add_diagonal(xx, penalty))
+    user = user.withColumn("lower", cholesky(F.col("a"))).withColumn("beta", solve(F.col("lower"), F.col("xy")))
+    user = user.withColumn("e", F.zip_with("x", "y", lambda r, y: y - dot(r, F.col("beta"))))
+    n = F.size("e")
+    mean = F.aggregate("e", F.lit(0.0), lambda s, v: s + v) / n
+    spread = let(mean, lambda m: F.aggregate("e", F.lit(0.0), lambda s, v: s + (v - m) * (v - m)))
+    user = user.withColumn("sigma", F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).otherwise(0.0))
+    out = (user.select(USER, "beta", "sigma", "start", "span", "cps", "yearly",
+                       F.explode(F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", periods))).alias("ds"))
+           .withColumn("fitted", dot(row(F.col("ds")), F.col("beta"))))
+    half = F.lit(INTERVAL_Z80) * F.col("sigma")
+    return out.select(USER, "ds", F.greatest(F.col("fitted"), F.lit(0.0)).alias("yhat"),
+                      F.greatest(F.col("fitted") - half, F.lit(0.0)).alias("yhat_lower"),
+                      (F.col("fitted") + half).alias("yhat_upper"))

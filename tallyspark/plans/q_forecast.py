@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import forecast as M
 from ..operators import reports as R
 from ..operators import series as S
-from ..schema import INTERVAL_Z80
+from ..functions import half_even
+from ..schema import INTERVAL_Z80, MIN_HISTORY
 from ..sources.tables import exp_daily, exp_monthly
-from .q_reports import heven, pyround
+from .q_reports import heven, msum, pyround
 from .q_series import DAILY, MONTHLY, monthly
 from .registry import register
 
@@ -203,6 +204,43 @@ def q_regression_metrics(spark, sf):
     return regression_metrics(holdout_predictions(spark, sf))
 
 
-@register("seasonal_trend_regression")
+def _waves(dow: str, doy: str) -> str:
+    week = [f"{f}(2 * pi() * {k} * {dow} / 7)" for k in (1, 2, 3) for f in ("sin", "cos")]
+    year = [f"{f}(2 * pi() * {k} * {doy} / 365.25)" for k in range(1, 11) for f in ("sin", "cos")]
+    return f"[{', '.join(week)}] || CASE WHEN yearly THEN [{', '.join(year)}] ELSE []::DOUBLE[] END"
+
+
+def _design_sql(t: str, ds: str) -> str:
+    return f"[1.0, {t}] || list_transform(cps, lambda c: greatest(0.0, {t} - c)) || {_waves(f'(isodow({ds}) - 1)', f'dayofyear({ds})')}"
+
+
+#: Gauss-Jordan elimination of every user's normal equations, a column a step
+TIER2_SQL = f"""
+WITH RECURSIVE d AS (SELECT user_id, date AS ds, {msum('amount')} AS y FROM exp_daily WHERE date IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT user_id, MIN(ds) AS lo, MAX(ds) AS last_ds, COUNT(*) AS n, greatest(date_diff('day', MIN(ds), MAX(ds)), 1) AS span,
+             greatest(date_diff('day', MIN(ds), MAX(ds)), 1) >= 730 AS yearly, list(ds ORDER BY ds) AS days FROM d GROUP BY 1),
+e AS (SELECT *, list_transform(days[:greatest(CAST(floor(n * 0.8) AS BIGINT), 1)],
+                               lambda x: date_diff('day', lo, x) / span) AS early FROM u WHERE n >= {MIN_HISTORY['seasonal']}),
+q AS (SELECT *, list_transform(list_transform(range(1, 26), lambda k: (len(early) - 1) * (k / 26)),
+        lambda p: early[CAST(floor(p) AS BIGINT) + 1] + (early[least(CAST(floor(p) AS BIGINT) + 2, len(early))]
+                  - early[CAST(floor(p) AS BIGINT) + 1]) * (p - floor(p))) AS cps FROM e),
+x AS (SELECT user_id, y, {_design_sql("(date_diff('day', lo, ds) / span)", "ds")} AS x FROM d JOIN q USING (user_id)),
+cells AS (SELECT user_id, i, j, SUM(x[i] * CASE WHEN j <= len(x) THEN x[j] ELSE y END) + CASE WHEN i = j AND i > 2 THEN 1.0 ELSE 0.0 END AS v
+          FROM (SELECT user_id, x, y, i, unnest(range(1, len(x) + 2)) AS j
+                FROM (SELECT user_id, x, y, unnest(range(1, len(x) + 1)) AS i FROM x)) GROUP BY 1, 2, 3),
+m AS (SELECT user_id, list(r ORDER BY i) AS a FROM (SELECT user_id, i, list(v ORDER BY j) AS r FROM cells GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT user_id, 1 AS k, a FROM m
+      UNION ALL SELECT user_id, k + 1, list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k])
+        ELSE list_transform(r, lambda v, j: v - r[k] * a[k][j] / a[k][k]) END) FROM g WHERE k <= len(a)),
+b AS (SELECT user_id, list_transform(a, lambda r: r[-1]) AS beta FROM g WHERE k = len(a) + 1),
+res AS (SELECT user_id, coalesce(stddev_samp(y - list_dot_product(x, beta)), 0.0) AS sigma FROM x JOIN b USING (user_id) GROUP BY 1),
+f AS (SELECT user_id, ds, list_dot_product({_design_sql("(date_diff('day', lo, ds) / span)", "ds")}, beta) AS p, sigma
+      FROM (SELECT q.*, CAST(last_ds + CAST(unnest(range(1, 31)) AS INTEGER) AS DATE) AS ds FROM q) JOIN b USING (user_id) JOIN res USING (user_id))
+SELECT user_id, ds, {heven('greatest(p, 0.0)', 4)} AS yhat, {heven(f'greatest(p - {INTERVAL_Z80} * sigma, 0.0)', 4)} AS yhat_lower,
+       {heven(f'(p + {INTERVAL_Z80} * sigma)', 4)} AS yhat_upper FROM f"""
+
+
+@register("seasonal_trend_regression", TIER2_SQL, ("exp_daily",))
 def q_seasonal_trend_regression(spark, sf):
-    return M.seasonal_trend_regression(R.daily_totals(exp_daily(spark, sf)), 30)
+    fc = M.seasonal_trend_regression(R.daily_totals(exp_daily(spark, sf)), 30)
+    return fc.select("user_id", "ds", *[half_even(c, 4).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
