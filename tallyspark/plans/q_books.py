@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import currency_label
@@ -9,6 +11,8 @@ from ..operators import budget as B
 from ..operators import filters as P
 from ..operators import ledger as L
 from ..operators import reports as R
+from ..operators.note_index import NoteIndex
+from ..session import tables_root
 from ..sources.tables import (budget_changes, budgets, changes, exp_daily, exp_monthly,
                               purge_users, users)
 from .q_reports import msum, pyround
@@ -226,3 +230,22 @@ SELECT *, '₹' || CASE WHEN total >= 100000 THEN format('{{:.1f}}', {pyround('(
 FROM m""", ("exp_monthly",))
 def q_currency_label(spark, sf):
     return R.monthly_totals(exp_monthly(spark, sf)).withColumn("label", currency_label("total"))
+
+
+# --- note search by index -----------------------------------------------------
+
+#: anchored, alternative, optional, repeated, open and trigram-less patterns
+PATTERNS = [": 1[0-9]", "\"K\": [0-9]7", "^\\{.*9\\}$", "(: 2|: 3)[05]", "k\"?: 4+", "7", ": (12|34|56)\\}", "nothing like it"]
+
+
+@register("search_notes_indexed", " UNION ALL ".join(
+    f"SELECT {i} AS pattern, * FROM exp_daily WHERE COALESCE(regexp_matches(notes, '{p}', 'i'), false)"
+    for i, p in enumerate(PATTERNS)), ("exp_daily",))
+def q_search_notes_indexed(spark, sf):
+    e = exp_daily(spark, sf)
+    index = NoteIndex.build(e, f"{tables_root(spark)}/notes-{uuid.uuid4().hex}")
+    out = None
+    for i, p in enumerate(PATTERNS):
+        one = index.search(p).select(F.lit(i).alias("pattern"), *e.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
