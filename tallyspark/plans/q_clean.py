@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.date_text import coerce_date_by_source
 from ..operators import clean as C
 from ..operators import reports as R
 from ..schema import (CATEGORY_MAP, INVALID_NOTES, INVESTMENT, INVESTMENT_MODES, MANUAL_CATEGORY,
                       MERGED_CATEGORIES, PAYMENT_MAP)
-from ..sources.tables import exp_monthly, raw_a, raw_all, raw_b
+from ..sources.tables import exp_monthly, raw_a, raw_all, raw_b, uploads
 from .registry import register
 
 
@@ -107,6 +110,30 @@ def q_coerce_date(spark, sf):
     return C.coerce_date(C.union_datasets(a, C.rename_columns(b)))
 
 
+def mixed_sources(spark, sf):
+    """The uploads, each user's file in one of three date orders (but for the
+    rows that were dirty already)."""
+    iso = r"^(\d{4})-(\d{2})-(\d{2})$"
+    d = F.col("Date")
+    text = (F.when(F.col("user_id") % 3 == 1, F.regexp_replace(d, iso, "$2/$3/$1"))
+            .when(F.col("user_id") % 3 == 2, F.regexp_replace(d, iso, "$3/$2/$1")).otherwise(d))
+    return uploads(spark, sf).select("user_id", text.alias("date"), F.col("Amount").alias("amount"))
+
+
+@register("coerce_date_by_source", r"""
+WITH s AS (SELECT user_id, CASE user_id % 3
+    WHEN 1 THEN regexp_replace("Date", '^(\d{4})-(\d{2})-(\d{2})$', '\2/\3/\1')
+    WHEN 2 THEN regexp_replace("Date", '^(\d{4})-(\d{2})-(\d{2})$', '\3/\2/\1') ELSE "Date" END AS x, "Amount" AS amount FROM uploads),
+v AS (SELECT user_id, COUNT(*) FILTER (WHERE regexp_matches(x, '^\d{4}-\d{1,2}-\d{1,2}$')) AS a,
+             COUNT(*) FILTER (WHERE regexp_matches(x, '^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$')) AS b,
+             COUNT(*) FILTER (WHERE regexp_matches(x, '^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$')) AS c FROM s GROUP BY 1)
+SELECT user_id, CAST(CASE WHEN a >= b AND a >= c AND a > 0 THEN try_strptime(x, '%Y-%m-%d')
+                     WHEN b >= c AND b > 0 THEN try_strptime(x, '%m/%d/%Y') WHEN c > 0 THEN try_strptime(x, '%d/%m/%Y') END AS DATE) AS date,
+       amount FROM s JOIN v USING (user_id)""", ("uploads",))
+def q_coerce_date_by_source(spark, sf):
+    return coerce_date_by_source(mixed_sources(spark, sf), ["user_id"])
+
+
 @register("normalise_payment_mode", f"""WITH {STAGES}
 SELECT date, category, amount, notes, transaction_type, {case_map('payment_mode', _PAY)} AS payment_mode
 FROM loaded""", RAW)

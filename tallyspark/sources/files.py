@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.date_text import parse_date
 from ..operators.clean import parse_number
 from ..session import ensure_checkpoint_dir
 
@@ -84,22 +85,6 @@ def append_forecast_history(totals: DataFrame, path: str, forecast_date: str, mo
 
 # --- upload import (S3, S4) --------------------------------------------------
 
-# Accepted date texts.  Numeric dates are month first; day first only where
-# the first number is no month (as pandas reads them).
-IMPORT_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy/M/d", "yyyyMMdd",
-                  "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yyyy H:m:s", "d/M/yyyy H:m:s",
-                  "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
-
-
-def parse_date(col):
-    """Date of a text in any accepted form, else NULL; fractions of seconds
-    and a zone after the time are cut off, years before 1900 or after 2200
-    (mistyped ones) don't count."""
-    text = F.regexp_replace(F.trim(col), r"(:\d{2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$", "$1")
-    day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in IMPORT_FORMATS]).cast("date")
-    return F.when(F.year(day).between(1900, 2200), day)
-
-
 def _pick(df: DataFrame, names: list[str]):
     for n in names:
         if n in df.columns:
@@ -128,7 +113,7 @@ def import_expenses(df: DataFrame, as_of: str, user_col: str = "user_id",
     if date_s is None:
         date = F.lit(as_of).cast("date")
     else:
-        date = parse_date(date_s)
+        date = parse_date(date_s, int(as_of[:4]))
     amount = F.lit(0.0) if amount_s is None else parse_number(amount_s)
     parsed = df.select(
         F.col(user_col).alias("user_id"), date.alias("date"),
