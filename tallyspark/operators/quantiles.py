@@ -60,3 +60,47 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
     row = [_lerp(value[math.floor(p * (total - 1))], value[math.ceil(p * (total - 1))],
                  p * (total - 1) - math.floor(p * (total - 1))) for p in probs]
     return spark.createDataFrame([row], schema)
+
+
+def histogram_by_key(df: DataFrame, keys: list[str], col: str, partitions: int) -> DataFrame:
+    """(k, x, c, part): the count of every value of every key, in parts of
+    about equal size along (key, value); written once."""
+    x = F.col(col).cast("double")
+    hist = (df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(F.struct(*keys).alias("k"), x.alias("x"))
+            .agg(F.count(F.lit(1)).alias("c")))
+    return materialize(hist.repartitionByRange(partitions, "k", "x").withColumn("part", F.spark_partition_id()), "values-by-key")
+
+
+def quantiles_by_key(df: DataFrame, keys: list[str], col: str, probs: list[float],
+                     names: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """(keys..., a column for each of ``probs``): exact quantiles of every
+    key's values, NumPy's linear rule.  Null and NaN values don't count, keys
+    without any value are left out, a null key is a key.
+
+    Values are reduced to (key, value, count), range-sorted by key and value
+    and written once, so a key with very many values lies in many parts.  The
+    parts' counts say which part of a key holds a wanted rank; only those are
+    ordered, each on its own."""
+    names = names or [f"q{int(round(p * 100))}" for p in probs]
+    hist = histogram_by_key(df, keys, col, partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of_key = Window.partitionBy("k")
+    before = of_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (hist.groupBy("k", "part").agg(F.sum("c").alias("n"))
+             .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(of_key)))
+    places = [F.lit(p) * (F.col("total") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(v).cast("long") for v in places for f in (F.floor, F.ceil)]))
+    inside = F.filter(ranks, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
+    wanted = parts.select("k", "part", "start", "total", inside.alias("ranks")).filter(F.size("ranks") > 0)
+    upto = F.sum("c").over(Window.partitionBy("k", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    at = (hist.join(wanted, ["k", "part"]).withColumn("end", F.col("start") + upto)
+          .select("k", "total", "x", F.explode(F.filter("ranks", lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("c")))).alias("r")))
+    sums = []
+    for i, v in enumerate(places):
+        sums += [F.max(F.when(F.col("r") == f(v).cast("long"), F.col("x"))).alias(f"{side}{i}") for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = at.groupBy("k", "total").agg(*sums)
+
+    def lerp(i: int, v):
+        lo, hi, frac = F.col(f"lo{i}"), F.col(f"hi{i}"), v - F.floor(v)
+        return F.when(frac >= 0.5, hi - (hi - lo) * (1.0 - frac)).otherwise(lo + (hi - lo) * frac)
+
+    return got.select(*[F.col("k")[k].alias(k) for k in keys], *[lerp(i, v).alias(name) for i, (v, name) in enumerate(zip(places, names))])

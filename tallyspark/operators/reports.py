@@ -308,6 +308,20 @@ def describe_amount(df: DataFrame, col: str = "amount") -> DataFrame:
     return stats.select("*", *[qs[c].alias(c) for c in ("q25", "q50", "q75")])
 
 
+def describe_by_key(df: DataFrame, keys: list[str], col: str = "amount") -> DataFrame:
+    """A19 for every key: count, mean, std, min, quartiles, max of its values
+    (keys without a value are left out).  Quartiles are exact, also for a key
+    with a large share of all rows."""
+    from .quantiles import quantiles_by_key
+    x = df.select(*keys, F.col(col).alias("x")).filter(F.col("x").isNotNull())
+    stats = x.groupBy(F.struct(*keys).alias("k")).agg(
+        F.count("x").alias("count"), money_mean("x").alias("mean"), half_even(F.stddev_samp("x"), 4).alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles_by_key(x, keys, "x", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    q = q.select(F.struct(*keys).alias("k"), "q25", "q50", "q75")
+    return stats.join(q, "k").select(*[F.col("k")[k].alias(k) for k in keys], "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """Non-null count and type of every column, one pass."""
     row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)],

@@ -198,6 +198,31 @@ def q_describe_amount(spark, sf):
     return R.describe_amount(exp_monthly(spark, sf))
 
 
+def _describe_sql(keys: str, view: str) -> str:
+    """Quartiles of every key by rank, with the same interpolation."""
+    def quartile(p):
+        at = f"({p} * (n - 1))"
+        lo, hi, fr = (f"MAX(CASE WHEN r = floor({at}) THEN amount END)", f"MAX(CASE WHEN r = ceil({at}) THEN amount END)",
+                      f"MAX({at} - floor({at}))")
+        return f"CASE WHEN {fr} >= 0.5 THEN {hi} - ({hi} - {lo}) * (1.0 - {fr}) ELSE {lo} + ({hi} - {lo}) * {fr} END"
+    return f"""
+WITH ord AS (SELECT {keys}, amount, row_number() OVER (PARTITION BY {keys} ORDER BY amount) - 1 AS r,
+                    COUNT(*) OVER (PARTITION BY {keys}) AS n FROM {view} WHERE amount IS NOT NULL)
+SELECT {keys}, COUNT(amount) AS count, {msum('amount')} / COUNT(amount) AS mean, {heven('stddev_samp(amount)', 4)} AS std,
+       MIN(amount) AS min, {quartile(0.25)} AS q25, {quartile(0.5)} AS q50, {quartile(0.75)} AS q75, MAX(amount) AS max
+FROM ord GROUP BY {keys}"""
+
+
+@register("describe_amount_by_user", _describe_sql("user_id", "exp_monthly"), ("exp_monthly",))
+def q_describe_amount_by_user(spark, sf):
+    return R.describe_by_key(exp_monthly(spark, sf), ["user_id"])
+
+
+@register("describe_amount_by_category", _describe_sql("category, payment_mode", "exp_daily"), ("exp_daily",))
+def q_describe_amount_by_category(spark, sf):
+    return R.describe_by_key(exp_daily(spark, sf), ["category", "payment_mode"])
+
+
 @register("distinct_notes", """
 SELECT COUNT(DISTINCT notes) AS distinct_notes FROM exp_daily""", ("exp_daily",))
 def q_distinct_notes(spark, sf):
