@@ -42,24 +42,26 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 _OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(
     map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
-_PROBE = ["", " ", "a  b", "It's 12 o'clock,\n\n the  end.\t", "déjà vu 中文 \U0001f600!!", " x y ",
-          "<|endoftext|>"]
+_PROBE = ["", " ", "a  b", "It's 12 o'clock,\n\n the  end.\t", "déjà vu 中文 \U0001f600!!", " x y "]
 
 
 class Encoder:
     """Ids of the tokenizer file for whole texts, as little-endian bytes.
 
-    The ids are those of ``tokenizers`` with the strings of special tokens
-    read as ordinary text.  Where the file is a byte-level BPE whose merges
+    The ids are those of ``tokenizers`` without added special tokens: a
+    special token's string in a text is that token, unless
+    ``special_as_text``, which reads it as ordinary text.  Where the file is a byte-level BPE whose merges
     rank as their ids, the pieces between spaces are encoded one by one with
     the same merges and remembered: no token spans a space that follows other
     text, as a split takes one space along with what comes after it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
+        # texts that hold a token of this list go through the tokenizer whole
+        self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
         self.fast = self._fast(path)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
@@ -95,7 +97,7 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None:
+        if self.fast is None or any(m in text for m in self.marks):
             return self._slow(text)
         # a space inside a run of white space is no cut
         if ("   " in text or "  \n" in text or "\n  " in text or "\n \n" in text
@@ -109,15 +111,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
-def _pieces(path: str, capacity: int, end_id: int, schema, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, schema, with_ids: bool, special_as_text: bool):
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, special_as_text).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in text_slices(batches, "__text"):
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -194,7 +196,7 @@ def _place(shared, schema):
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids], sequence_id, offset),
     a row for each piece of each input row.
 
@@ -202,6 +204,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     more than ``capacity`` ids is cut, and its first piece takes what full
     pieces leave.  ``ids_crc32`` is the crc32 of the piece's ids as
     little-endian unsigned 32-bit numbers, ``ids`` the ids themselves.  The
+    string of a special token is that token, or ordinary text with
+    ``special_as_text``.  The
     pieces of a sequence fill it from offset 0 without gaps.
 
     Null and empty texts are the end id alone.  Repeated rows are packed
@@ -217,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         fields.append(StructField("ids", ArrayType(IntegerType())))
     schema = StructType(fields)
     pieces = scratch.put(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-                         .mapInArrow(_pieces(tokenizer, capacity, end_id, schema, with_ids), schema), "pieces")
+                         .mapInArrow(_pieces(tokenizer, capacity, end_id, schema, with_ids, special_as_text), schema), "pieces")
     order = [F.col("length").desc(), F.col("__id"), F.col("piece"), F.col("ids_crc32")]
     ranked = scratch.put(pieces.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
                          .sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")

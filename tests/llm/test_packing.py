@@ -11,9 +11,9 @@ from tallyspark.llm.packing import best_fit, encoder, pack, sequences
 from tallyspark.llm.queries import QUERIES, tokenizer_path
 
 
-def plain_ids(texts):
+def plain_ids(texts, special_as_text=False):
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -24,10 +24,12 @@ def test_ids_equal_the_tokenizer():
     texts = ["", " ", "\n", "a  ", "a\n ", "a \n \nb", "a\n\n b", " a", "a \n", "a\n  b"]
     texts += ["".join(str(x) + rng.choice(["", " ", " ", " "]) for x in rng.choice(parts, rng.integers(1, 30)))
               for _ in range(3000)]
-    e = encoder(tokenizer_path())
-    assert e.fast is not None
-    for t, want in zip(texts, plain_ids(texts)):
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == want, repr(t)
+    for as_text in (False, True):
+        e = encoder(tokenizer_path(), as_text)
+        assert e.fast is not None
+        for t, want in zip(texts, plain_ids(texts, as_text)):
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == want, repr(t)
+    assert plain_ids(["a<|endoftext|>b"]) != plain_ids(["a<|endoftext|>b"], True)
 
 
 def check(packed, docs, capacity, end_id=2):
@@ -83,7 +85,7 @@ def test_best_fit_places_every_rank_once():
 
 
 def test_edges_and_round_trip(spark, rows):
-    docs = [(1, None), (2, ""), (3, "word " * 5000), (4, "a b"), (5, "a b"), (6, "x" * 50_000)]
+    docs = [(1, None), (2, ""), (3, "word " * 5000), (4, "a b"), (5, "a b"), (6, "x" * 50_000), (7, "one <|endoftext|> two")]
     df = rows([(i, t, "clash", 7) for i, t in docs], "doc_id long, text string, ids string, length int")
     packed = pack(df, tokenizer_path(), capacity=64, with_ids=True)
     check(packed.collect(), docs, 64)
