@@ -42,6 +42,9 @@ VOCAB, BUCKETS, VOCAB_WORDS, CLASS, SIDE, HIDDEN = 2048, 256, 1 << 22, 64, 3, 24
 #: that stay together when a slice is shuffled.
 SHARE, ROUNDS, STEP, MOST, STEPS, RUN, RATE = 0.25, 4, 512, 16384, 16, 64, 0.1
 CHUNK, HELD_WORDS = 1 << 15, 400_000
+#: words of a corpus that one learner trains on alone; beyond, learners grow
+#: with the 3/4 power of the words.  Weights travel in slices of so many bytes.
+LEARNER_WORDS, SLICE = 1 << 22, 1 << 18
 #: counted words that every task holds; the counts of rarer ones are joined.
 HELD_COUNTS = 1 << 18
 #: joined log-probabilities are summed in whole steps of this size.
@@ -74,6 +77,12 @@ def places_for(words: int) -> tuple[int, int]:
     return -(-int(grown) // each) * each, each
 
 
+def learners_for(words: int) -> int:
+    """Parallel learners for a corpus of so many words: the same on any
+    cluster.  Each one's share grows with the fourth root of the corpus."""
+    return max(1, math.ceil((words / LEARNER_WORDS) ** (3 / 4)))
+
+
 class _Ids(dict):
     """Word -> place in the vocabulary; rare words share hashed places."""
 
@@ -258,26 +267,35 @@ def _train(shared, seed: int):
         trained, net.w = net.w, start
         if seen:
             for name, w in trained.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())],
-                    names=["name", "seen", "weights"])
+                flat = w.tobytes()
+                for k in range(0, len(flat), SLICE):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]), pa.array([k], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat[k:k + SLICE]], pa.binary())],
+                        names=["name", "at", "seen", "weights"])
     return run
 
 
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a slice, weighted by the words seen, in a fixed order."""
+    rows = rows.sort_values(["weights", "seen"])
     total = float(rows["seen"].sum())
     mean = sum(np.frombuffer(w, np.float32) * np.float32(n / total) for w, n in zip(rows["weights"], rows["seen"]))
-    return pd.DataFrame({"name": [rows["name"].iloc[0]], "weights": [mean.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"name": [rows["name"].iloc[0]], "at": [int(rows["at"].iloc[0])], "weights": [mean.astype(np.float32).tobytes()]})
 
 
 def _merge(rows: DataFrame, learners: int) -> list:
-    """Means in two steps, so that no task holds the weights of all learners."""
+    """Means of every slice of the weights in two steps, so that no task
+    holds the slices of all learners."""
     parts = max(1, math.isqrt(learners))
     part = (rows.withColumn("part", F.pmod(F.xxhash64("weights"), F.lit(parts)))
-            .groupBy("name", "part").applyInPandas(
-                lambda x: _average(x).assign(seen=int(x["seen"].sum()))[["name", "seen", "weights"]],
-                "name string, seen long, weights binary"))
-    return part.groupBy("name").applyInPandas(_average, "name string, weights binary").collect()
+            .groupBy("name", "at", "part").applyInPandas(
+                lambda x: _average(x).assign(seen=int(x["seen"].sum()))[["name", "at", "seen", "weights"]],
+                "name string, at long, seen long, weights binary"))
+    got = part.groupBy("name", "at").applyInPandas(_average, "name string, at long, weights binary").collect()
+    whole: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r["name"], r["at"])):
+        whole.setdefault(r["name"], []).append(r["weights"])
+    return [{"name": name, "weights": b"".join(slices)} for name, slices in whole.items()]
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +310,9 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share: float = SHARE,
           rounds: int = ROUNDS) -> Network:
     """The network for a corpus.  ``share`` of the documents, the next part
-    in each round, trains it; null texts are left out.  If some counts are not
+    in each round, trains it; null texts are left out.  The learners' number,
+    documents and order follow from the corpus alone, so the scores do not
+    depend on the cluster or the partitioning.  If some counts are not
     held (``HELD_COUNTS``), the table of all of them stays for ``score``."""
     spark = docs.sparkSession
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -330,12 +350,13 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share
     if whole:
         scratch.drop("counts")
     unit = hash_unit("__id", salt=3)
-    learners = spark.sparkContext.defaultParallelism  # one for each core, however large the corpus
+    learners = learners_for(every)
+    dealt = F.xxhash64(F.lit(5), "__id", "__text")  # documents of a learner and their order, on any cluster
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net.without_tail())
         part = rows.filter((F.pmod(unit - k * share, F.lit(1.0)) < share) | F.lit(share >= 1))
-        got = _merge(part.select("__text").coalesce(learners)
-                     .mapInArrow(_train(shared, k), "name string, seen long, weights binary"), learners)
+        got = _merge(part.select("__text", dealt.alias("__h")).repartition(learners, "__h").sortWithinPartitions("__h", "__text")
+                     .mapInArrow(_train(shared, k), "name string, at long, seen long, weights binary"), learners)
         for r in got:
             net.w[r["name"]] = np.frombuffer(r["weights"], np.float32).reshape(net.w[r["name"]].shape).copy()
         shared.unpersist()

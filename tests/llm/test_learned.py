@@ -281,6 +281,43 @@ def test_every_document_trains_once(spark, rows, monkeypatch):
     assert sum(told) == 602 and len(told) == masked_lm.ROUNDS
 
 
+SCORES = """
+import sys
+sys.path.insert(0, {root!r})
+from tallyspark.llm import masked_lm
+from tallyspark.session import build_session
+masked_lm.LEARNER_WORDS = 200
+spark = build_session("cores", cores=2, shuffle_partitions=3)
+df = spark.createDataFrame([(i, " ".join(f"w{{i * k % 37}}" for k in range(1, 30))) for i in range(120)], "doc_id long, text string")
+for r in sorted(masked_lm.score(df, masked_lm.train(df)).collect()):
+    print("SCORE", r[0], repr(r[2]))
+"""
+
+
+def test_scores_do_not_depend_on_cores_or_partitions(spark, rows, monkeypatch):
+    import os
+    import subprocess
+    import sys
+    monkeypatch.setattr(masked_lm, "LEARNER_WORDS", 200)
+    assert masked_lm.learners_for(3480) > 4
+    df = rows([(i, " ".join(f"w{i * k % 37}" for k in range(1, 30))) for i in range(120)])
+    got = []
+    for frame in (df, df.repartition(7), df.orderBy(F.desc("doc_id")).coalesce(1)):
+        net = masked_lm.train(frame)
+        got.append({r["doc_id"]: r["log_prob"] for r in masked_lm.score(df, net).collect()})
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", SCORES.format(root=root)], capture_output=True, text=True, timeout=240,
+                         env=os.environ | {"PYTHONPATH": root})
+    got.append({int(x.split()[1]): float(x.split()[2]) for x in out.stdout.splitlines() if x.startswith("SCORE")})
+    for other in got[1:]:
+        assert other == pytest.approx(got[0], rel=1e-6), out.stderr[-1000:]
+
+
+def test_learners_grow_with_the_corpus_alone():
+    n = [masked_lm.learners_for(w) for w in (0, 10**6, 10**8, 10**10, 10**13)]
+    assert n[:2] == [1, 1] and n == sorted(n) and 10**13 / n[-1] < 2 * 10**8
+
+
 def test_toxicity_sample_loses_copies_alone(spark):
     rng = random.Random(6)
     word = lambda c, i: c + "".join(chr(97 + int(x)) for x in str(i))
