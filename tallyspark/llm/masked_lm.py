@@ -208,16 +208,18 @@ class Network:
             self._move("word0", j, p.sum(axis=0), memory)
         back *= 1 - h * h
         runs, run = np.unique(at // RUN, return_inverse=True)
-        weights = np.zeros((len(runs), RUN, HIDDEN))
-        weights[run, at % RUN] = back
         # all six sides of a run are shifts of one table; places outside have no weight
+        weights = np.zeros((len(runs), RUN + 4 * SIDE, HIDDEN), dtype=np.float32)
+        weights[run, at % RUN + 2 * SIDE] = back
         near = ids[np.minimum(np.maximum(runs[:, None] * RUN + np.arange(-SIDE, RUN + SIDE), 0), len(ids) - 1)]
-        rows, number = np.unique(near, return_inverse=True)
-        cell = number.reshape(*near.shape, 1) * HIDDEN + np.arange(HIDDEN)
-        for d, off in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):  # only the rows that were seen
-            g = np.bincount(cell[:, SIDE + off:SIDE + off + RUN].ravel(), weights=weights.ravel(),
-                            minlength=len(rows) * HIDDEN)
-            self._move("see", (d, rows), g.reshape(-1, HIDDEN).astype(np.float32), memory)
+        cell = (np.arange(len(runs))[:, None] * (RUN + 4 * SIDE) + np.arange(SIDE, RUN + 3 * SIDE)).ravel()
+        order = np.argsort(near.ravel(), kind="stable")
+        seen = near.ravel()[order]
+        first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        rows, cell, weights = seen[first], cell[order], weights.reshape(-1, HIDDEN)  # only the rows that were seen
+        for d, off in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+            g = np.add.reduceat(np.take(weights, cell - off, axis=0), first, axis=0)
+            self._move("see", (d, rows), g, memory)
 
     def _move(self, name: str, part, g: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         m = memory[name][part] + g * g
@@ -351,11 +353,13 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", share
         scratch.drop("counts")
     unit = hash_unit("__id", salt=3)
     learners = learners_for(every)
-    dealt = F.xxhash64(F.lit(5), "__id", "__text")  # documents of a learner and their order, on any cluster
+    # documents of a learner and their order, on any cluster
+    dealt = F.when(F.col("__id").isNull(), F.xxhash64(F.lit(5), "__text")).otherwise(F.xxhash64(F.lit(5), "__id"))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net.without_tail())
         part = rows.filter((F.pmod(unit - k * share, F.lit(1.0)) < share) | F.lit(share >= 1))
-        got = _merge(part.select("__text", dealt.alias("__h")).repartition(learners, "__h").sortWithinPartitions("__h", "__text")
+        got = _merge(part.select("__text", dealt.alias("__h"), F.pmod(dealt, F.lit(learners)).cast("int").alias("__slot"))
+                     .repartitionById(learners, F.col("__slot")).sortWithinPartitions("__h", "__text")
                      .mapInArrow(_train(shared, k), "name string, at long, seen long, weights binary"), learners)
         for r in got:
             net.w[r["name"]] = np.frombuffer(r["weights"], np.float32).reshape(net.w[r["name"]].shape).copy()
