@@ -84,17 +84,23 @@ def learners_for(words: int) -> int:
 
 
 class _Ids(dict):
-    """Word -> place in the vocabulary; rare words share hashed places."""
+    """Word -> place in the vocabulary; rare words share hashed places (of
+    which so many are remembered)."""
+
+    REMEMBERED = 1 << 18
 
     def __init__(self, words: list[bytes], first: int):
         super().__init__({w: i + 1 for i, w in enumerate(words)})
-        self.first = first
+        self.first, self.own = first, len(self)
 
     def __missing__(self, word: bytes) -> int:
-        return self.first + zlib.crc32(word) % BUCKETS
+        place = self.first + zlib.crc32(word) % BUCKETS
+        if len(self) < self.own + self.REMEMBERED:
+            self[word] = place
+        return place
 
     def __reduce__(self):
-        return _Ids, (list(self), self.first)
+        return _Ids, (list(self)[:self.own], self.first)
 
 
 class Tail:
