@@ -84,23 +84,17 @@ def learners_for(words: int) -> int:
 
 
 class _Ids(dict):
-    """Word -> place in the vocabulary; rare words share hashed places (of
-    which so many are remembered)."""
-
-    REMEMBERED = 1 << 18
+    """Word -> place in the vocabulary; rare words share hashed places."""
 
     def __init__(self, words: list[bytes], first: int):
         super().__init__({w: i + 1 for i, w in enumerate(words)})
-        self.first, self.own = first, len(self)
+        self.first = first
 
     def __missing__(self, word: bytes) -> int:
-        place = self.first + zlib.crc32(word) % BUCKETS
-        if len(self) < self.own + self.REMEMBERED:
-            self[word] = place
-        return place
+        return self.first + zlib.crc32(word) % BUCKETS
 
     def __reduce__(self):
-        return _Ids, (list(self)[:self.own], self.first)
+        return _Ids, (list(self), self.first)
 
 
 class Tail:
