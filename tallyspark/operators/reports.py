@@ -114,7 +114,9 @@ def insights(df: DataFrame) -> DataFrame:
     month, category, weekend) with exact DECIMAL sums; that table is written
     when the frame is built (one job), and the month, category and user
     figures are roll-ups of it.  The growth rate rounds as NumPy does, all
-    other figures as Python does."""
+    other figures as Python does.  ``monthly_totals`` and ``category_totals``
+    are the unrounded lists, one entry for each month and category of the user
+    (in their order; rows without a category are in no category's total)."""
     d = _dated(df)
     wk = is_weekend("date")
     g = (d.groupBy(USER, month_key("date").alias("month"), "category", wk.alias("wk"))
@@ -126,9 +128,12 @@ def insights(df: DataFrame) -> DataFrame:
     months = m.groupBy(USER).agg(_first_max("month", "total").alias("highest_month"),
                                  F.max("total").alias("highest_amount"),
                                  _first_min("month", "total").alias("lowest_month"),
-                                 F.min("total").alias("lowest_amount"))
+                                 F.min("total").alias("lowest_amount"),
+                                 F.sort_array(F.collect_list(F.struct("month", "total"))).alias("monthly_totals"))
+    named = F.when(F.col("category").isNotNull(), F.struct("category", "total"))
     cats = c.groupBy(USER).agg(_first_max("category", "total").alias("top_category"),
-                               F.max("total").alias("top_category_amount"))
+                               F.max("total").alias("top_category_amount"),
+                               F.sort_array(F.collect_list(named)).alias("category_totals"))
 
     def side_mean(flag):
         sel = F.col("wk") == flag
@@ -145,7 +150,16 @@ def insights(df: DataFrame) -> DataFrame:
                     "lowest_month", py_round("lowest_amount").alias("lowest_amount"),
                     "top_category", py_round("top_category_amount").alias("top_category_amount"),
                     "growth_rate", "weekend_avg", "weekday_avg", "total_transactions",
-                    "avg_transaction"))
+                    "avg_transaction", "monthly_totals", "category_totals"))
+
+
+def insight_lists(summary: DataFrame) -> DataFrame:
+    """(user_id, list, position, name, total): the two lists of ``insights``
+    as rows, positions from 0 in the order of the list."""
+    def rows(col: str, key: str) -> DataFrame:
+        return (summary.select(USER, F.posexplode(col).alias("position", "e"))
+                .select(USER, F.lit(col).alias("list"), "position", F.col(f"e.{key}").alias("name"), "e.total"))
+    return rows("monthly_totals", "month").unionByName(rows("category_totals", "category"))
 
 
 def dashboard_kpis(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -106,7 +106,19 @@ SELECT b.user_id, highest_month, {pyround('highest_amount')} AS highest_amount,
 FROM b JOIN mx USING (user_id) JOIN mn USING (user_id) JOIN tc USING (user_id) JOIN g USING (user_id)""",
           ("exp_monthly",))
 def q_insights(spark, sf):
-    return R.insights(exp_monthly(spark, sf))
+    return R.insights(exp_monthly(spark, sf)).drop("monthly_totals", "category_totals")
+
+
+@register("insight_lists", f"""
+WITH {_MONTHS},
+c AS (SELECT user_id, category, {msum('amount')} AS total FROM exp_monthly
+      WHERE date IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT user_id, 'monthly_totals' AS list, month AS name, total FROM m
+      UNION ALL SELECT user_id, 'category_totals', category, total FROM c)
+SELECT user_id, list, CAST(row_number() OVER (PARTITION BY user_id, list ORDER BY name) - 1 AS INTEGER) AS position,
+       name, total FROM l""", ("exp_monthly",))
+def q_insight_lists(spark, sf):
+    return R.insight_lists(R.insights(exp_monthly(spark, sf)))
 
 
 @register("dashboard_kpis", f"""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import feature_state as FS
 from ..operators import reports as R
 from ..operators import series as S
+from ..session import materialize
 from ..sources.tables import exp_daily, exp_monthly
 from .q_reports import heven, msum
 from .registry import register
@@ -73,20 +77,26 @@ def q_rolling_partial(spark, sf):
     return S.rolling_partial(_daily(spark, sf))
 
 
-@register("feature_table_daily", f"""WITH {DAILY},
+FEATURES_SQL = f"""WITH {DAILY},
 x AS (SELECT user_id, ds, y, {CAL}, {LAGS}, {mean_over(7)} AS rolling_mean_7,
              {mean_over(14)} AS rolling_mean_14, {STD7} AS rolling_std_7 FROM d {WO})
 SELECT * FROM x WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL
-  AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL""", ED)
+  AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL"""
+
+
+@register("feature_table_daily", FEATURES_SQL, ED)
 def q_feature_table_daily(spark, sf):
     return S.feature_table_daily(exp_daily(spark, sf))
 
 
-@register("feature_table_daily_gapfilled", f"""WITH {DAILY}, {FILLED},
+FILLED_FEATURES_SQL = f"""WITH {DAILY}, {FILLED},
 x AS (SELECT user_id, ds, y, {CAL}, {LAGS.replace('OVER wo', 'OVER wo')},
              {strict_over(7)} AS rolling_7, {strict_over(14)} AS rolling_14 FROM f {WO})
 SELECT * FROM x WHERE lag_14 IS NOT NULL AND lag_7 IS NOT NULL AND lag_3 IS NOT NULL
-  AND lag_2 IS NOT NULL AND lag_1 IS NOT NULL AND rolling_7 IS NOT NULL AND rolling_14 IS NOT NULL""", ED)
+  AND lag_2 IS NOT NULL AND lag_1 IS NOT NULL AND rolling_7 IS NOT NULL AND rolling_14 IS NOT NULL"""
+
+
+@register("feature_table_daily_gapfilled", FILLED_FEATURES_SQL, ED)
 def q_feature_table_daily_gapfilled(spark, sf):
     return S.feature_table_daily_gapfilled(exp_daily(spark, sf))
 
@@ -161,3 +171,37 @@ SELECT id, user_id, strftime(date, '%Y-%m') AS month FROM exp_monthly""", EM)
 def q_month_key(spark, sf):
     from ..functions import month_key
     return exp_monthly(spark, sf).select("id", "user_id", month_key("date").alias("month"))
+
+
+# --- the feature tables fed in three batches, state written between them ------
+
+CUTS = ("2024-01-11", "2024-01-19")
+
+
+def _fed(spark, sf, gap_fill: bool):
+    days = materialize(_daily(spark, sf), "feature_days")
+    lo, hi = (F.to_date(F.lit(c)) for c in CUTS)
+    state, features = FS.empty_state(spark, days), []
+    for batch in (days.filter(F.col("ds") < lo), days.filter((F.col("ds") >= lo) & (F.col("ds") < hi)),
+                  days.filter(F.col("ds") >= hi)):
+        step = FS.advance(state, batch, gap_fill=gap_fill)
+        features.append(step.features)
+        state = materialize(step.state, "feature_state")
+    return reduce(lambda a, b: a.unionByName(b), features), state
+
+
+@register("feature_table_daily_fed", FEATURES_SQL, ED)
+def q_feature_table_daily_fed(spark, sf):
+    return _fed(spark, sf, False)[0]
+
+
+@register("feature_table_daily_gapfilled_fed", FILLED_FEATURES_SQL, ED)
+def q_feature_table_daily_gapfilled_fed(spark, sf):
+    return _fed(spark, sf, True)[0]
+
+
+@register("feature_state", f"""WITH {DAILY}
+SELECT user_id, ds, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ds DESC) AS rn FROM d)
+WHERE rn <= 14""", ED)
+def q_feature_state(spark, sf):
+    return FS.open_state(_fed(spark, sf, False)[1])
