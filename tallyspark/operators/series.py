@@ -69,6 +69,15 @@ def calendar_gap_fill(series: DataFrame, keys=("user_id",)) -> DataFrame:
             .withColumn("y", F.coalesce(F.col("y"), F.lit(0.0))))
 
 
+def month_gap_fill(series: DataFrame, keys=("user_id",)) -> DataFrame:
+    """Every month start from each key's first to last one; missing -> 0."""
+    keys = list(keys)
+    span = series.groupBy(*keys).agg(F.min("ds").alias("_lo"), F.max("ds").alias("_hi"))
+    grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("ds"))
+    return (grid.join(series.select(*keys, "ds", "y"), keys + ["ds"], "left")
+            .withColumn("y", F.coalesce(F.col("y"), F.lit(0.0))))
+
+
 def _mean(col: str, w: Window) -> Column:
     """Windowed mean over exact money sums."""
     return F.sum(money(col)).over(w).cast("double") / F.count(col).over(w)

@@ -12,7 +12,7 @@ from ..operators import clean as C
 from ..operators import forecast as M
 from ..operators import models as T
 from ..operators.evaluate import classification_report
-from ..operators.recurring import recurring_expenses
+from ..operators.recurring import MISSED, PERIODS, SHIFTED, recurring_expenses, recurring_patterns
 from ..operators.sharded import ShardedModel, fit_sharded
 from ..functions import half_even
 from ..schema import EXPENSES, FORECAST_HISTORY, MIN_HISTORY
@@ -289,6 +289,45 @@ def q_recurring_expenses(spark, sf):
     return recurring_expenses(subscriptions(spark, sf))
 
 
+def _patterns_sql() -> str:
+    """SQL of ``recurring_patterns``: one branch for each period."""
+    def frame(lo, hi):
+        return (f"COUNT(*) OVER (PARTITION BY user_id, category, note ORDER BY day "
+                f"RANGE BETWEEN {lo} FOLLOWING AND {hi} FOLLOWING) > 0")
+
+    kinds, sums, scored = [], [], []
+    for i, p in enumerate(PERIODS):
+        lo, hi = p.lo - p.slack, p.hi + p.slack
+        kinds.append(f"CASE WHEN day + {lo} > last THEN NULL WHEN {frame(p.lo, p.hi)} THEN 1 WHEN {frame(lo, hi)} THEN 2 "
+                     f"WHEN {frame(2 * lo, 2 * hi)} THEN 3 ELSE 0 END AS k{i}")
+        sums.append(", ".join(f"COUNT(CASE WHEN k{i} = {k} THEN 1 END) AS c{i}_{k}" for k in (1, 2, 3))
+                    + f", COUNT(k{i}) AS due{i}")
+        step = {"monthly": "INTERVAL 1 MONTH", "quarterly": "INTERVAL 3 MONTH",
+                "yearly": "INTERVAL 12 MONTH"}.get(p.name, f"INTERVAL {p.days} DAY")
+        chance = f"((n_dates - 1) * {hi - lo + 1} / date_diff('day', first_date, last_date)::DOUBLE)"
+        credit = f"((c{i}_1 + c{i}_2 * {SHIFTED}::DOUBLE + c{i}_3 * {MISSED}::DOUBLE) / due{i})"
+        scored.append(f"SELECT *, '{p.name}' AS period, {i} AS nth, due{i} AS n_due, c{i}_1 AS n_on_time, c{i}_2 AS n_shifted, "
+                      f"c{i}_3 AS n_missed, ({credit} - {chance}) / (1 - {chance}) AS score, "
+                      f"CAST(last_date + {step} AS DATE) AS next_date FROM g WHERE due{i} >= 2 AND {chance} < 1")
+    return f"""
+WITH d AS (SELECT user_id, category, COALESCE(notes, '') AS note, date, date_diff('day', DATE '1970-01-01', date) AS day,
+                  {msum('amount')} AS day_amount, COUNT(*) AS n FROM subscriptions WHERE date IS NOT NULL GROUP BY 1, 2, 3, 4),
+l AS (SELECT *, MAX(day) OVER (PARTITION BY user_id, category, note) AS last FROM d),
+k AS (SELECT *, {', '.join(kinds)} FROM l),
+g AS (SELECT user_id, category, note, CAST(SUM(n) AS BIGINT) AS occurrences, COUNT(*) AS n_dates, MIN(date) AS first_date,
+             MAX(date) AS last_date, CAST(SUM(CAST(day_amount AS DECIMAL(28,6))) AS DOUBLE) / SUM(n) AS avg_amount,
+             {', '.join(sums)} FROM k GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3),
+s AS ({' UNION ALL '.join(scored)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, category, note ORDER BY nth) AS rn FROM s WHERE score >= 0.6)
+SELECT user_id, category, note, occurrences, n_dates, first_date, last_date, avg_amount, period, score, n_due, n_on_time,
+       n_shifted, n_missed, next_date FROM r WHERE rn = 1"""
+
+
+@register("recurring_patterns", _patterns_sql(), ("subscriptions",))
+def q_recurring_patterns(spark, sf):
+    return recurring_patterns(subscriptions(spark, sf))
+
+
 # --- file sources and sinks (written under the shared checkpoint folder) ----
 
 @register("csv_transactions", f"WITH {STAGES} SELECT * FROM u", ("raw_a", "raw_b"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import feature_state as FS
 from ..operators import reports as R
+from ..operators import seasonality as SE
 from ..operators import series as S
 from ..session import materialize
 from ..sources.tables import exp_daily, exp_monthly
@@ -205,3 +206,55 @@ SELECT user_id, ds, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id OR
 WHERE rn <= 14""", ED)
 def q_feature_state(spark, sf):
     return FS.open_state(_fed(spark, sf, False)[1])
+
+
+# --- seasonal pattern (R2) -----------------------------------------------------
+
+def _strength_sql(key: str, phase: str, period: int) -> str:
+    """SQL of ``seasonal_strength`` (two passes) over ``f (key, ds, y)``."""
+    h, w = period // 2, f"PARTITION BY {key} ORDER BY ds"
+    if period % 2:
+        fr = f"({w} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+        first = f"CASE WHEN COUNT(y) OVER {fr} = {period} THEN SUM(y) OVER {fr} / {period} END"
+    else:
+        first = (f"CASE WHEN COUNT(y) OVER ({w} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) = {period + 1} THEN "
+                 f"(SUM(y) OVER ({w} ROWS BETWEEN {h} PRECEDING AND {h - 1} FOLLOWING) + "
+                 f"SUM(y) OVER ({w} ROWS BETWEEN {h - 1} PRECEDING AND {h} FOLLOWING)) / {2 * period} END")
+
+    def season(src: str, out: str) -> str:
+        return f"""{out}p AS (SELECT {key}, phase, AVG(y - trend) AS m FROM {src} GROUP BY 1, 2),
+{out}l AS (SELECT {key}, AVG(m) AS level FROM {out}p GROUP BY 1),
+{out} AS (SELECT s.*, COALESCE(m - level, 0.0) AS season FROM {src} s JOIN {out}p USING ({key}, phase) JOIN {out}l USING ({key}))"""
+
+    return f"""p0 AS (SELECT {key}, ds, y, CAST({phase} AS INTEGER) AS phase FROM f),
+t1 AS (SELECT *, {first} AS trend FROM p0),
+{season('t1', 's1')},
+t2 AS (SELECT {key}, ds, y, phase, AVG(y - season) OVER ({w} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) AS trend FROM s1),
+{season('t2', 's2')},
+r AS (SELECT *, {heven('season', 6)} AS sr FROM s2),
+g AS (SELECT {key}, COUNT(*) AS n_rows, var_pop(y - trend) AS va, var_pop(y - trend - season) AS vr, AVG(y * y) AS sq,
+             MAX(sr) AS hi, MIN(sr) AS lo FROM r GROUP BY 1),
+q AS (SELECT g.*, (SELECT MIN(phase) FROM r WHERE r.{key} = g.{key} AND sr = hi) AS hp,
+             (SELECT MIN(phase) FROM r WHERE r.{key} = g.{key} AND sr = lo) AS lp,
+             n_rows >= {2 * period} AND va > sq * 1e-18 AS ok FROM g)
+SELECT {key}, n_rows, CASE WHEN ok THEN {heven('greatest(0.0, 1 - vr / va)', 6)} END AS strength,
+  CASE WHEN ok THEN hp END AS peak_phase, CASE WHEN ok THEN hi END AS peak_season,
+  CASE WHEN ok THEN lp END AS low_phase, CASE WHEN ok THEN lo END AS low_season FROM q"""
+
+
+@register("seasonal_strength_weekly", f"WITH {DAILY}, {FILLED}, {_strength_sql('user_id', 'isodow(ds) - 1', 7)}", ED)
+def q_seasonal_strength_weekly(spark, sf):
+    """The week's pattern of every user (phase 0 is Monday)."""
+    return SE.seasonal_strength(S.calendar_gap_fill(_daily(spark, sf)), F.weekday("ds"), 7)
+
+
+@register("seasonal_strength_yearly", f"""WITH m AS (SELECT category, CAST(date_trunc('month', date) AS DATE) AS ds,
+  {msum('amount')} AS y FROM exp_monthly WHERE date IS NOT NULL GROUP BY 1, 2),
+span AS (SELECT category, MIN(ds) AS lo, MAX(ds) AS hi FROM m GROUP BY 1),
+grid AS (SELECT category, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS ds FROM span),
+f AS (SELECT g.category, g.ds, COALESCE(m.y, 0.0) AS y FROM grid g LEFT JOIN m USING (category, ds)),
+{_strength_sql('category', 'month(ds)', 12)}""", EM)
+def q_seasonal_strength_yearly(spark, sf):
+    """The year's pattern of every category (phase 1 is January)."""
+    series = S.month_gap_fill(S.monthly_series(exp_monthly(spark, sf), ["category"]), ["category"])
+    return SE.seasonal_strength(series, F.month("ds"), 12, ["category"])
