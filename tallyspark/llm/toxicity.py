@@ -1,11 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer turns the words of a clause into classes: insult,
-threat, target, negation, reported speech or other.  Small machines watch the
-classes: a negation holds for the next few words, reported speech and a
-target for the rest of the clause, a threat waits for its target.  Their
+threat, target, negation, reported speech, function word, pause or other;
+elided articles and contractions are taken apart, threats are inflected by
+rule.  Small machines watch the classes: a negation holds for the next few
+words up to a pause, where function words don't count; reported speech and a
+target hold for the rest of the clause, a threat waits for its target.  Their
 composition reads the clause once and writes its matches: an insult that is
-plain, aimed at a target, negated or reported, and a threat likewise.  The
+plain, aimed at a target, negated or reported, and a threat likewise.  A last
+machine reads from the clause's end: speech attributed after a pause (", he
+said") is reported too.  The
 grammar is fixed; its weights are learned from a bounded labelled sample:
 insult stems with their log-odds, the log-odds of every kind of match, and
 the line that turns a document's matched clauses into a probability.
@@ -42,25 +46,77 @@ TARGETS = ("you your yours he him she her they them these this those people du d
 NEGATIONS = ("not no never isn't aren't wasn't don't neither nor without nicht kein keine keinen nie niemals ne pas "
              "jamais aucun ni nunca jamás ningún ninguna").split()
 REPORTS = ("said says say told wrote writes quoted quote according claimed reported reportedly called sagte sagt "
-           "schrieb laut zitierte dit disait écrit selon cité dijo dice escribió según citó").split()
-THREATS = ("kill hurt destroy shoot stab beat burn murder töten umbringen verletzen zerstören erschießen tuer frapper "
-           "détruire brûler matar golpear destruir quemar").split()
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+           "claims claiming saying tells telling writing schrieb laut zitierte dit disait écrit selon cité dijo dice escribió según citó").split()
+FUNCTION_WORDS = ("a an the of to be being is are am was were been like as so such very any that it der das ein eine "
+                  "einen einem einer ist bist sind war wie sehr un une le la les est sont était comme si très el los "
+                  "las una unos unas es eres son era como tan muy").split()
+THREAT_VERBS = {
+    "en": "kill hurt destroy shoot stab beat burn murder strangle choke punch smash slaughter".split(),
+    "de": "töten umbringen verletzen zerstören erschießen erwürgen verprügeln ermorden".split(),
+    "fr": "tuer frapper brûler étrangler poignarder".split(),
+    "es": "matar golpear quemar estrangular apuñalar".split()}
+THREATS_IRREGULAR = "détruire détruis détruit détruirai détruira destruir destruyo destruye destruiré destruirá".split()
+ENDINGS = {"de": ("en", "en e st est t et".split()),
+           "fr": ("er", "er e es ons ez ent erai eras era erons erez eront".split()),
+           "es": ("ar", "ar o as a amos an aré arás ará aremos arán".split())}
+
+
+def inflect(verb: str, lang: str) -> list[str]:
+    """The forms of a regular verb that can threaten: infinitive, present and
+    future (the past tells what happened)."""
+    if lang == "en":
+        doubled = len(verb) > 2 and verb[-1] in "bgnpt" and verb[-2] in "aeiou" and verb[-3] not in "aeiou"
+        stem = verb[:-1] if verb.endswith("e") else verb + verb[-1] if doubled else verb
+        return [verb, verb + ("es" if verb.endswith(("sh", "ch", "s", "x")) else "s"), stem + "ing"]
+    ending, forms = ENDINGS[lang]
+    return [verb.removesuffix(ending) + f for f in forms]
+
+
+THREATS = sorted({f for lang, verbs in THREAT_VERBS.items() for v in verbs for f in inflect(v, lang)}
+                 | set(THREATS_IRREGULAR))
+
+CLASSES = 8
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, FUNCTION, PAUSE = range(CLASSES)
 KINDS = ["plain", "aimed", "negated", "reported", "threat", "threat negated", "threat reported"]
+REPORTED = {"plain": "reported", "aimed": "reported", "threat": "threat reported"}
 PRIOR = {"plain": 0.9, "aimed": 0.95, "negated": 0.3, "reported": 0.3,
          "threat": 0.8, "threat negated": 0.2, "threat reported": 0.2}
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_TOKEN = re.compile(_WORD.pattern + r'|[,"“”«»—–]')
 _CLAUSE = re.compile(r"[.!?;:\n]+")
-_CLOSED = ({w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS}
+_ELIDED = re.compile(r"\b(?:[cdjlmst]|qu)'(?=[^\W\d_]{2})")
+_CLOSED = ({w: FUNCTION for w in FUNCTION_WORDS} | {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS}
            | {w: REPORT for w in REPORTS} | {w: THREAT for w in THREATS})
 
 
+def _low(text: str) -> str:
+    """Lower case, one kind of apostrophe, French elisions taken apart."""
+    low = text.lower()
+    if "\u2019" in low:
+        low = low.replace("\u2019", "'")
+    return _ELIDED.sub("", low).replace(" n'", " ne ") if "'" in low else low
+
+
+def word_class(token: str) -> int:
+    """The closed class of a word or a mark; a contraction has its first
+    word's (you're), or is a negation (doesn't)."""
+    c = _CLOSED.get(token)
+    if c is not None:
+        return c
+    if not token[0].isalpha():
+        return PAUSE
+    if "'" in token:
+        return NEGATION if token.endswith("n't") else _CLOSED.get(token.partition("'")[0], OTHER)
+    return OTHER
+
+
 # --- the machines: state, word class -> state -------------------------------
 
 def _negation(state: int, c: int) -> int:
-    return REACH if c == NEGATION else max(0, state - 1)
+    if c in (NEGATION, PAUSE):
+        return REACH if c == NEGATION else 0
+    return state if c == FUNCTION else max(0, state - 1)
 
 
 def _report(state: int, c: int) -> int:
@@ -78,6 +134,17 @@ def _threat(state: int, c: int) -> int:
     return 2 if state == 1 and c == TARGET else state % 2
 
 
+def _attributed(state: int, c: int) -> int:
+    """Reads from the end: a report and up to two words more, then a pause;
+    all before it is reported (``HOLDS``)."""
+    if state == HOLDS or c == PAUSE:
+        return HOLDS if state else 0
+    if c == REPORT:
+        return HOLDS - 1
+    return state if c == FUNCTION else max(0, state - 1)
+
+
+HOLDS = 4
 MACHINES = (_negation, _report, _target, _threat)
 
 
@@ -97,14 +164,14 @@ def compose() -> tuple[np.ndarray, np.ndarray]:
     number, todo, moves = {start: 0}, [start], {}
     while todo:
         s = todo.pop()
-        for c in range(6):
+        for c in range(CLASSES):
             t = tuple(m(x, c) for m, x in zip(MACHINES, s))
             if t not in number:
                 number[t] = len(number)
                 todo.append(t)
             kind = _match(s, t, c)
             moves[number[s], c] = number[t], KINDS.index(kind) if kind else -1
-    step, out = (np.zeros((len(number), 6), dtype=np.int64) for _ in range(2))
+    step, out = (np.zeros((len(number), CLASSES), dtype=np.int64) for _ in range(2))
     for (s, c), (t, k) in moves.items():
         step[s, c], out[s, c] = t, k
     return step, out
@@ -134,7 +201,7 @@ class Grammar:
         """(clause number, kind, weight of the insult) of all matches."""
         if not text:
             return []
-        low = text.lower()
+        low = _low(text)
         hits: dict[str, float | None] = {}
         for w in set(_WORD.findall(low)):
             if w[:STEM_MIN] in self.heads:
@@ -145,17 +212,24 @@ class Grammar:
             return []
         found = []
         for n, clause in enumerate(_CLAUSE.split(low)):
-            words = _WORD.findall(clause)
+            words = _TOKEN.findall(clause)
             if not any(w in hits for w in words):
                 continue
-            state = 0
-            for w in words:
-                weight = hits.get(w)
-                c = INSULT if weight is not None else _CLOSED.get(w, OTHER)
-                kind = _OUT[state][c]
-                if kind >= 0:
-                    found.append((n, KINDS[kind], weight if weight is not None else 2.0))
+            classes = [INSULT if hits.get(w) is not None else word_class(w) for w in words]
+            state, own = 0, []
+            for i, (w, c) in enumerate(zip(words, classes)):
+                if _OUT[state][c] >= 0:
+                    weight = hits.get(w)
+                    own.append((i, KINDS[_OUT[state][c]], weight if weight is not None else 2.0))
                 state = _STEP[state][c]
+            state, last = 0, len(words) - 1
+            for at in range(len(own) - 1, -1, -1):
+                i, kind, weight = own[at]
+                while last > i:
+                    state = _attributed(state, classes[last])
+                    last -= 1
+                own[at] = i, REPORTED.get(kind, kind) if state == HOLDS else kind, weight
+            found += [(n, kind, weight) for _, kind, weight in own]
         return found
 
     def strength(self, found: list[tuple[int, str, float]]) -> float:
@@ -184,7 +258,7 @@ def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches, "__text"):
         keys, words, bands = [], [], []
         for t in b.column("__text").to_pylist():
-            low = t.lower()
+            low = _low(t)
             keys.append(xxhash.xxh3_128_hexdigest(" ".join(low.split())))
             h = np.array(sorted({xxhash.xxh3_64_intdigest(w) for w in _WORD.findall(low)}), dtype=np.uint64)
             words.append(h.view(np.int64))
@@ -224,7 +298,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic: Counter = Counter()
     for b in batches:
         for t, y in zip(b.column("__text").to_pylist(), b.column("__y").to_pylist()):
-            words = set(_WORD.findall(t.lower()))
+            words = set(_WORD.findall(_low(t)))
             stems = {w[:k] for w in words for k in range(STEM_MIN, min(STEM_MAX, len(w)) + 1)}
             stems |= {w + "$" for w in words}
             every.update(stems)
@@ -329,8 +403,9 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     """(id_col, score), a row for each input row: the probability of label 1.
 
     Null, empty and blank texts have no clause that matches and get the share
-    of toxic texts among such.  Other columns are ignored.  Empty table:
-    empty result.
+    of toxic texts among such.  Whole texts are read, however long.  Repeated
+    rows get a row each, with one score.  Other columns are ignored.  Empty
+    table: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     schema = StructType([StructField("__id", docs.schema[id_col].dataType), StructField("score", DoubleType())])

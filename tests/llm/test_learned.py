@@ -99,13 +99,39 @@ def test_composition_equals_the_machines():
     rng = random.Random(3)
     for _ in range(300):
         state, product = 0, (0,) * len(toxicity.MACHINES)
-        for c in rng.choices(range(6), k=12):
+        for c in rng.choices(range(toxicity.CLASSES), k=12):
             after = tuple(m(s, c) for m, s in zip(toxicity.MACHINES, product))
             kind = toxicity._match(product, after, c)
             assert out[state, c] == (toxicity.KINDS.index(kind) if kind else -1)
             state, product = step[state, c], after
 
 
+@pytest.mark.parametrize("text, kinds", [
+    ("You don't look like an idiot", ["negated"]),
+    ("You don\u2019t seem an idiot", ["negated"]),
+    ("He doesn't strike me as an idiot", ["negated"]),
+    ("You are an idiot, he said", ["reported"]),
+    ("\u201cyou are an idiot\u201d the old man said", ["reported"]),
+    ("you are dead meat, I will strangle you", ["threat", "threat"]),
+    ("No, you are an idiot", ["aimed"]),
+    ("You're an idiot", ["aimed"]),
+    ("C'est l'idiot", ["plain"]),
+    ("Il n'est pas un idiot", ["negated"]),
+    ("scum, idiot, she wrote", ["reported", "reported"])])
+def test_scopes_and_forms(text, kinds):
+    assert [k for _, k, _ in grammar().matches(text)] == kinds
+
+
+def test_inflections():
+    assert toxicity.inflect("stab", "en") == ["stab", "stabs", "stabbing"]
+    assert toxicity.inflect("strangle", "en") == ["strangle", "strangles", "strangling"]
+    assert toxicity.inflect("beat", "en") == ["beat", "beats", "beating"]
+    assert toxicity.inflect("punch", "en")[1] == "punches"
+    assert {"töte", "tötest", "tötet", "töten"} <= set(toxicity.inflect("töten", "de"))
+    assert {"tue", "tuera"} <= set(toxicity.inflect("tuer", "fr"))
+    assert {"mato", "matará"} <= set(toxicity.inflect("matar", "es"))
+
+
 def test_context_lowers_the_score():
     g = grammar()
     s = [g.score(t) for t in ("You are an idiot", "An idiot", "You are not an idiot", "A fine day")]
