@@ -25,9 +25,13 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import arrow_schema, hash_unit, text_slices, with_text
 
 #: longest context in bytes; expected documents for each language in the
-#: sample that the trees are fitted on; occurrences a context needs and nodes
-#: that the laid-over trees may have (the first is raised until they fit).
-ORDER, SAMPLE_DOCS, LEAST, MAX_NODES = 3, 2000, 24, 12_000
+#: sample that the trees are fitted on; occurrences a context needs in a
+#: language, and contexts that a language may have (the first is raised for
+#: that language alone until they fit).
+ORDER, SAMPLE_DOCS, LEAST, LANG_NODES = 3, 2000, 24, 6_000
+#: languages whose trees are laid over each other; bytes of all code lengths
+#: (they grow with the languages) that may be sent to the executors.
+GROUP, MODEL_BYTES = 4, 1 << 30
 STEP = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
@@ -68,18 +72,15 @@ class Model:
     """The laid-over trees with the code lengths of every language."""
 
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int,
-                 least: int, max_nodes: int):
+                 least: int, lang_nodes: int):
         self.langs, self.order = langs, order
         every = np.unique(np.concatenate([g for g, _ in grams.values()]))
         used = np.unique(np.concatenate([every >> (8 * k) & 255 for k in range(order + 1)]))
         self.code = np.zeros(256, dtype=np.int32)  # 0: a byte that no tree has seen
         self.code[used] = np.arange(1, len(used) + 1)
         width = len(used) + 1
-        while True:  # a context has as many occurrences as its followers
-            levels = [self._contexts(grams, k, least) for k in range(order + 1)]
-            if sum(map(len, levels)) <= max_nodes:
-                break
-            least = least * 5 // 4 + 1
+        own = [self._contexts(*grams[lang], order, least, lang_nodes) for lang in langs]
+        levels = [np.unique(np.concatenate([o[k] for o in own])) for k in range(order + 1)]
         number = {(k, int(c)): i for i, (k, c) in enumerate((k, c) for k, cs in enumerate(levels) for c in cs)}
         nodes, sink = len(number), len(number)
         self.child = np.full((nodes + 1, width), sink, dtype=np.int32)
@@ -96,18 +97,23 @@ class Model:
             for k in [k for k in range(order + 1) if len(levels[k])]:
                 ctx = g >> 8 & ((1 << 8 * k) - 1)
                 at = np.searchsorted(levels[k], ctx)
-                ok = (at < len(levels[k])) & (levels[k][np.minimum(at, len(levels[k]) - 1)] == ctx)
+                ok = np.isin(ctx, own[j][k])  # contexts of others are unknown here: as their parents
                 np.add.at(counts, (at[ok] + sum(map(len, levels[:k])), self.code[g[ok] & 255]), n[ok])
             self.cost[:, j] = -np.log2(self._chances(counts, parent, depth)).ravel()
         self.width = width
 
     @staticmethod
-    def _contexts(grams, k: int, least: int) -> np.ndarray:
-        found = [np.zeros(1, dtype=np.int64)] if k == 0 else []
-        for g, n in grams.values():
+    def _contexts(g: np.ndarray, n: np.ndarray, order: int, least: int, most: int) -> list[np.ndarray]:
+        """The contexts of one language by length, ``most`` in all (and the
+        empty one): those with enough occurrences, as many as their followers.
+        A context's suffixes occur as often, so they are kept with it."""
+        counted = []
+        for k in range(1, order + 1):
             ctx, at = np.unique(g >> 8 & ((1 << 8 * k) - 1), return_inverse=True)
-            found.append(ctx[np.bincount(at, weights=n) >= least])
-        return np.unique(np.concatenate(found))
+            counted.append((ctx, np.bincount(at, weights=n)))
+        while sum(int((c >= least).sum()) for _, c in counted) > most:
+            least = least * 5 // 4 + 1
+        return [np.zeros(1, dtype=np.int64)] + [ctx[c >= least] for ctx, c in counted]
 
     @staticmethod
     def _chances(counts: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -167,11 +173,31 @@ class Model:
         return total
 
 
+class Models:
+    """All languages, laid over each other in groups: a language's code
+    lengths don't depend on the others, and the size grows with their number."""
+
+    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
+                 least: int = LEAST, lang_nodes: int = LANG_NODES):
+        self.langs, self.groups, size = langs, [], 0
+        for i in range(0, len(langs), GROUP):
+            part = langs[i:i + GROUP]
+            self.groups.append(Model(part, {k: grams[k] for k in part}, order, least, lang_nodes))
+            size += self.groups[-1].cost.nbytes + self.groups[-1].child.nbytes
+            if size > MODEL_BYTES:
+                raise ValueError(f"the trees of {len(langs)} languages take over {MODEL_BYTES} bytes on every executor; "
+                                 "lower lang_nodes or raise MODEL_BYTES")
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([m.code_lengths(texts) for m in self.groups], axis=1)
+
+
 def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, order: int = ORDER,
-          sample_docs: int = SAMPLE_DOCS, least: int = LEAST, max_nodes: int = MAX_NODES) -> Model | None:
+          sample_docs: int = SAMPLE_DOCS, least: int = LEAST, lang_nodes: int = LANG_NODES) -> Models | None:
     """Fits the trees on about ``sample_docs`` rows of each language, chosen
     by a hash of the id.  Rows with null text or language are left out; None
-    if no row is left."""
+    if no row is left.  Repeated rows are picked together and count each.  A
+    language's contexts don't depend on the other languages."""
     known = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(lang_col).isNotNull())
     per = {r["l"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
@@ -183,7 +209,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, order: int
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     grams = {k: (v["gram"].to_numpy(), v["n"].to_numpy()) for k, v in rows.sort_values("gram").groupby("lang")}
     langs = sorted(grams)
-    return Model(langs, grams, order, least, max_nodes) if langs else None
+    return Models(langs, grams, order, least, lang_nodes) if langs else None
 
 
 def _predict(shared, carry: int, text: int, schema):
@@ -207,15 +233,17 @@ def _predict(shared, carry: int, text: int, schema):
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None,
+def identify(docs: DataFrame, model: Models | None, carry: list[str] | None = None,
              text_col: str = "text") -> DataFrame:
     """The ``carry`` columns (default: doc_id), then lang_pred and score, a
     row for each input row.
 
     ``score`` is the probability of the language under equal priors.  Texts
     are read in lower case.  Null, empty and letterless texts, and all texts
-    without a model, give ``und`` with score 0; equal code lengths give the
-    first language by name.  Columns that are not carried are ignored.
+    without a model, give ``und`` with score 0 (whole texts are read, however
+    long); equal code lengths give the
+    first language by name.  Repeated rows get a row each, with one answer.
+    Empty table: empty result.  Columns that are not carried are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = carry or ["doc_id"]

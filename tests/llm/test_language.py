@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tallyspark.llm.language import Model, identify, train
+from tallyspark.llm.language import GROUP, Model, Models, identify, train
 from tallyspark.llm.queries import QUERIES
 
 
@@ -35,14 +35,36 @@ def plain_bits(train_text: bytes, text: bytes, order=3) -> float:
     return bits
 
 
-def model_of(texts, order=3):
+def grams_of(texts, order=3):
     grams = {}
     for lang, t in texts.items():
         p = b"\n" * order + t
         c = Counter(int.from_bytes(p[i - order:i + 1], "big") for i in range(order, len(p)))
         keys = sorted(c)
         grams[lang] = (np.array(keys, dtype=np.int64), np.array([c[k] for k in keys], dtype=np.int64))
-    return Model(sorted(texts), grams, order, 1, 10**6)
+    return grams
+
+
+def model_of(texts, order=3):
+    return Model(sorted(texts), grams_of(texts, order), order, 1, 10**6)
+
+
+def test_forty_languages_keep_their_own_contexts():
+    rng = np.random.default_rng(4)
+    texts = {}
+    for i in range(40):
+        letters = rng.choice(list(b"abcdefghijklmnopqrstuvwxyz "), 12, replace=False)
+        texts[f"l{i:02d}"] = bytes(rng.choice(letters, 1500, p=rng.dirichlet(np.ones(12))).tolist())
+    grams, langs = grams_of(texts), sorted(texts)
+    every = Models(langs, grams, 3, 3, 150)
+    assert len(every.groups) == -(-len(langs) // GROUP)
+    asked = [texts["l07"][:200], texts["l31"][-90:], b"", b"\xff zz"]
+    got = every.code_lengths(asked)
+    for j, lang in enumerate(langs):
+        alone = Models([lang], grams, 3, 3, 150)
+        assert len(alone.groups[0].child) - 1 <= 151
+        assert np.allclose(alone.code_lengths(asked)[:, 0], got[:, j], rtol=1e-4, atol=0.5), lang
+    assert langs[got[0].argmin()] == "l07" and langs[got[1].argmin()] == "l31"
 
 
 def test_code_lengths_equal_the_definition():
