@@ -45,10 +45,13 @@ class Table(NamedTuple):
 
 class Change(NamedTuple):
     """Change rows, how they make new rows of old ones, and the columns on
-    which they match (the table's key, unless they reach rows by others)."""
+    which they match (the table's key, unless they reach rows by others).
+    ``repeats``: the rows bring keys of their own that the table may have
+    already; both rows stay, and from this version on keys may repeat."""
     rows: DataFrame
     apply: Callable[[DataFrame, DataFrame], DataFrame]
     match: list[str] | None = None
+    repeats: bool = False
 
 
 def _bucket(key: list[str], buckets: int) -> Column:
@@ -208,6 +211,7 @@ class SnapshotStore:
             touched = self._touched(table, change)
             if not touched:
                 continue
+            table["unique"] = table["unique"] and not change.repeats
             new = change.apply(self._rows(table, touched), change.rows)
             folders = self._write(new, table, name, transaction)
             strange = set(folders) - set(touched)

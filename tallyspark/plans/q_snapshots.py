@@ -23,14 +23,15 @@ def delete_and_insert(base, rows):
 
 def ledger_store(spark, sf) -> SnapshotStore:
     """Version 0: expenses and budgets.  1: patches of the expenses and new
-    budgets, in one switch.  2: deletes and inserts."""
+    budgets, in one switch.  2: deletes and inserts; an inserted row keeps the
+    id it comes with, also where the table has a row of that id."""
     store = SnapshotStore.create(spark, f"{tables_root(spark)}/ledger-{uuid.uuid4().hex}", {
         "expenses": Table(exp_daily(spark, sf), ["id"], 16, True, ("id", "user_id")),
         "budgets": Table(budgets(spark, sf), L.BUDGET_KEY, 16, True, tuple(L.BUDGET_KEY))})
     todo = changes(spark, sf)
     store.commit({"expenses": Change(todo.filter("op = 'update'"), L.apply_expense_updates, L.EXPENSE_KEY),
                   "budgets": Change(budget_changes(spark, sf), L.upsert_budgets)})
-    store.commit({"expenses": Change(todo.filter("op IN ('delete', 'insert')"), delete_and_insert)})
+    store.commit({"expenses": Change(todo.filter("op IN ('delete', 'insert')"), delete_and_insert, repeats=True)})
     return store
 
 
