@@ -39,7 +39,8 @@ def gram(x: Column, y: Column) -> tuple[Column, Column]:
 
 def add_diagonal(a: Column, d: Column) -> Column:
     """A matrix with the array ``d`` added to its diagonal."""
-    return F.transform(a, lambda row, i: F.transform(row, lambda v, j: F.when(i == j, v + F.get(d, i)).otherwise(v)))
+    return let(d, lambda d: F.transform(a, lambda row, i: F.transform(
+        row, lambda v, j: F.when(i == j, v + F.get(d, i)).otherwise(v))))
 
 
 def cholesky(a: Column) -> Column:

@@ -314,7 +314,9 @@ def seasonal_trend_regression(series: DataFrame, periods: int = 30,
     calendar (days of history), not by how many transactions the user has.
     The Gram matrix, its Cholesky factor, the solution and the forecast are
     array expressions of that row: no Python worker and no join."""
-    series, _ = eligible(series, min_history)
+    # a number of its own: sized by bytes, the few small rows of all users would share a task
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series, _ = eligible(series.repartition(parts, USER), min_history)
     user = (series.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("days"))
             .select(USER, F.col("days.ds").alias("ds"), F.col("days.y").alias("y"),
                     F.get("days.ds", 0).alias("start"), F.element_at("days.ds", -1).alias("last_ds")))
@@ -334,9 +336,13 @@ def seasonal_trend_regression(series: DataFrame, periods: int = 30,
 
     user = user.withColumn("x", F.transform("ds", row))
     xx, xy = gram(F.col("x"), F.col("y"))
-    # intercept and base slope are not shrunk
-    penalty = F.transform(F.get(xx, 0), lambda _, i: F.when(i < 2, 0.0).otherwise(ridge))
-    user = user.withColumn("xy", xy).withColumn("a", add_diagonal(xx, penalty))
+
+    def shrunk(m: Column) -> Column:
+        # intercept and base slope are not shrunk
+        return add_diagonal(m, F.transform(F.get(m, 0), lambda _, i: F.when(i < 2, 0.0).otherwise(ridge)))
+
+    # ``let``: the penalty reads the Gram matrix once more, and must not make it anew
+    user = user.withColumn("xy", xy).withColumn("a", let(xx, shrunk))
     user = user.withColumn("lower", cholesky(F.col("a"))).withColumn("beta", solve(F.col("lower"), F.col("xy")))
     user = user.withColumn("e", F.zip_with("x", "y", lambda r, y: y - dot(r, F.col("beta"))))
     n = F.size("e")
