@@ -30,30 +30,39 @@ DEFAULT_RANGE = (200.0, 5000.0)
 def _h(*parts) -> F.Column:
     """Uniform integer in [0, 2^28) from an md5 of the parts (any engine can
     compute the same)."""
-    text = F.concat_ws("-", *[F.col(p).cast("string") if p in ("user_id", "i", "k") else F.lit(str(p))
-                              for p in parts])
+    text = F.concat_ws("-", *[p.cast("string") if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
 
 
 def synthetic_expenses(users: DataFrame, as_of: str, days: int = 180, seed: int = 42) -> DataFrame:
-    u = users.select(F.col("id").alias("user_id"))
+    # a user makes hundreds of rows: the few bytes of the users are dealt to
+    # all tasks, not by the size of their file
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = users.select(F.col("id").alias("user_id")).repartition(parts)
     start = F.date_sub(F.lit(as_of).cast("date"), days)
     d = u.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
-    d = d.withColumn("date", F.date_add(start, F.col("i")))
-    n = (F.pmod(_h("user_id", "i", seed, "n"), F.lit(5)) + 1).cast("int")
-    d = d.select("user_id", "date", "i", F.explode(F.sequence(F.lit(1), n)).alias("k"))
+    # the text of (user, day) is made once for all hashes of the day
+    d = d.select("user_id", F.date_add(start, F.col("i")).alias("date"), "i",
+                 F.concat_ws("-", F.col("user_id").cast("string"), F.col("i").cast("string")).alias("at"))
+    at = F.col("at")
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
     modes = F.array(*[F.lit(m) for m in PAYMENT_MODES])
-    cat = F.element_at(cats, (F.pmod(_h("user_id", "i", "k", seed, "c"), F.lit(len(CATEGORIES))) + 1).cast("int"))
-    d = d.withColumn("category", cat).filter((F.col("category") != RENT) | (F.dayofmonth("date") == 1))
+    n = (F.pmod(_h(at, seed, "n"), F.lit(5)) + 1).cast("int")
+
+    def draw(k: F.Column) -> F.Column:
+        # hashed where it is drawn: the filter below would hash the category again
+        return F.struct(k.alias("k"), (F.pmod(_h(at, k, seed, "c"), F.lit(len(CATEGORIES))) + 1).cast("int").alias("c"))
+
+    d = d.select("user_id", "date", "i", "at", F.inline(F.transform(F.sequence(F.lit(1), n), draw)))
+    d = d.withColumn("category", F.element_at(cats, F.col("c"))).filter((F.col("category") != RENT) | (F.dayofmonth("date") == 1))
     lo = F.lit(DEFAULT_RANGE[0])
     hi = F.lit(DEFAULT_RANGE[1])
     for c, (a, b) in RANGES.items():
         lo = F.when(F.col("category") == c, F.lit(a)).otherwise(lo)
         hi = F.when(F.col("category") == c, F.lit(b)).otherwise(hi)
-    u01 = _h("user_id", "i", "k", seed, "a").cast("double") / float(1 << 28)
+    u01 = _h(at, F.col("k"), seed, "a").cast("double") / float(1 << 28)
     amount = half_even(lo + (hi - lo) * u01, 2)
-    mode = F.element_at(modes, (F.pmod(_h("user_id", "i", "k", seed, "p"), F.lit(len(PAYMENT_MODES))) + 1).cast("int"))
+    mode = F.element_at(modes, (F.pmod(_h(at, F.col("k"), seed, "p"), F.lit(len(PAYMENT_MODES))) + 1).cast("int"))
     return d.select(
         (F.col("user_id") * 1000000 + F.col("i") * 10 + F.col("k")).alias("id"), "user_id", "date",
         "category", amount.alias("amount"), mode.alias("payment_mode"),

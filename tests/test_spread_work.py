@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 from tallyspark.operators.forecast import seasonal_trend_regression
+from tallyspark.sources.synthetic import synthetic_expenses
 
 
 def test_regression_makes_the_gram_matrix_once_and_deals_out_users(spark):
@@ -11,3 +12,11 @@ def test_regression_makes_the_gram_matrix_once_and_deals_out_users(spark):
     fc = seasonal_trend_regression(spark.createDataFrame(rows, "user_id long, ds date, y double"), 2)
     assert len(re.findall(r"aggregate\(x#", fc._jdf.queryExecution().optimizedPlan().toString())) == 1
     assert "REPARTITION_BY_NUM" in fc._jdf.queryExecution().executedPlan().toString()
+
+
+def test_users_of_the_generator_are_dealt_out(spark):
+    made = synthetic_expenses(spark.range(3).coalesce(1), "2024-06-30", days=40)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+    # one hash a purpose (draws of a day, category, amount, mode)
+    assert plan.count("md5(") == 4
