@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .linalg import let
 from .money import py_round
 from ..schema import BAND_OK, BAND_WARN, CURRENCY, RATIO_OK, RATIO_WARN
 
@@ -52,3 +53,12 @@ def ratio_band(value, max_value, reverse: bool = False, ok: float = RATIO_OK,
     if reverse:
         r = F.lit(1.0) - r
     return F.when(r < ok, "ok").when(r < warn, "warn").otherwise("over")
+
+
+def counted(words: Column) -> Column:
+    """(token, tf) of an array of words: runs of the sorted array."""
+    def runs(w: Column) -> Column:
+        first = F.filter(F.transform(w, lambda t, i: F.when((i == 0) | (t != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(w, i).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(w)) - i).cast("long").alias("tf"))))
+    return let(F.sort_array(words), runs)

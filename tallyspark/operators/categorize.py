@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import half_even, py_round
+from ..functions import counted, half_even, py_round
 from ..schema import MIN_CATEGORY_ROWS
 from ..session import materialize
 from .sharded import ShardedModel, fit_sharded, predict_sharded
@@ -45,6 +45,17 @@ def tokens(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id") -> Dat
             .filter(F.length("token") >= TOKEN_MIN))
 
 
+def token_counts(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id") -> DataFrame:
+    """(doc, token, tf).  A document of one row is counted within its row;
+    only rows that share an id with others are shuffled, by (doc, token)."""
+    # written, so that the planner knows how few there are
+    shared = materialize(df.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(doc), "shared")
+    words = F.filter(F.split(F.col(text), " "), lambda t: F.length(t) >= TOKEN_MIN)
+    single = df.join(shared, doc, "left_anti").select(doc, F.inline(counted(words)))
+    return single.unionByName(tokens(df.join(shared, doc, "left_semi"), text, doc)
+                              .groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id",
                    digits: int = 9) -> DataFrame:
     """K2: (doc, token, tfidf) with raw counts, smoothed idf and L2 norm.
@@ -53,8 +64,7 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
     (partial aggregation) and is split over sub-keys in the tf-idf join."""
     # one (doc, token) count feeds the df, the hot-token list, the weights
     # and the norms: materialise it once instead of re-tokenising per branch
-    tf = materialize(tokens(df.filter(F.col(doc).isNotNull()), text, doc)
-                     .groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    tf = materialize(token_counts(df.filter(F.col(doc).isNotNull()), text, doc), "tf")
     dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # scalar subquery; documents without an id have no terms and don't count
     n_docs = df.filter(F.col(doc).isNotNull()).select(F.count(F.lit(1)).cast("double")).scalar()
@@ -62,7 +72,7 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
                                  + F.lit(1.0)).alias("idf"))
     # a very common token is split over sub-keys (its rows are one per document)
     w = salted_join(tf, idf, ["token"], salt_from=[doc],
-                    counts=dfreq.select("token", F.col("df").alias("_n")))
+                    counts=dfreq.select("token", F.col("df").alias("_n")), written=True)
     w = w.withColumn("w", F.col("tf") * F.col("idf"))
     # L2 norm per document: a window over one document's distinct tokens
     # (bounded by that one input row), no aggregate-and-join back

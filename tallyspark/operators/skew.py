@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MIN_ROWS = 1_000_000
 TARGET_ROWS = 1_000_000
 # the same settings can come from the session, e.g.
@@ -39,16 +41,20 @@ def hot_keys(counts: DataFrame, key: list[str], n_col: str = "_n", min_rows: int
 def salted_join(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner",
                 salt_from: list[str] | None = None, counts: DataFrame | None = None,
                 n_col: str = "_n", min_rows: int | None = None,
-                target_rows: int | None = None) -> DataFrame:
+                target_rows: int | None = None, written: bool = False) -> DataFrame:
     """``rows`` joined to ``table`` (unique on ``key``) with hot keys split.
 
     ``counts`` (key, n_col) may be given when the caller already has the
     rows per key; otherwise it is computed (partial aggregation).  The
     sub-key is a hash of ``salt_from`` (default: all columns), so a task that
-    runs again places its rows alike."""
+    runs again places its rows alike.  ``written``: the hot keys are written
+    at once, so that the planner knows how few there are and does not shuffle
+    the rows to find them (for counts that are cheap to read again)."""
     if counts is None:
         counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(n_col))
     hot = hot_keys(counts, key, n_col, min_rows, target_rows)
+    if written:
+        hot = materialize(hot, "hot")
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (salt_from or rows.columns)]), F.col("_salts"))
     r = (rows.join(hot, key, "left")
          .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int")).drop("_salts"))

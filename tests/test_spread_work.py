@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+from tallyspark.operators.categorize import token_counts
 from tallyspark.operators.forecast import seasonal_trend_regression
 from tallyspark.sources.synthetic import synthetic_expenses
 
@@ -20,3 +21,14 @@ def test_users_of_the_generator_are_dealt_out(spark):
     assert "Repartition" in plan
     # one hash a purpose (draws of a day, category, amount, mode)
     assert plan.count("md5(") == 4
+
+
+def test_terms_of_a_document_are_counted_in_its_row(spark):
+    """Also where ids repeat, and without a shuffle of all terms by document."""
+    rows = [(1, "aa bb aa c"), (2, "bb"), (2, "bb dd dd"), (3, None), (4, ""), (None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, clean_notes string")
+    got = {(r.doc_id, r.token): r.tf for r in token_counts(docs).collect()}
+    assert got == {(1, "aa"): 2, (1, "bb"): 1, (2, "bb"): 2, (2, "dd"): 2, (None, "aa"): 1}
+    alone = spark.createDataFrame(rows[:2], "doc_id long, clean_notes string")
+    plan = token_counts(alone)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("inline(") and plan.count("Aggregate") == 1  # of shared ids only
