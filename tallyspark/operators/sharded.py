@@ -1,38 +1,45 @@
 """K3 for vocabularies of any size: logistic regression whose coefficients
 stay in a table.
 
-A coefficient row holds a token's numbers for all categories; no vector of
-vocabulary size exists on the driver or in a task.  Margins are a join of the
-postings with the coefficients on the token, summed by row; gradients are a
-join of the postings with the rows' residuals, summed by token.  Both sums
-are made in the tasks before they shuffle.  The postings are laid out once by
-token and once by row and kept on the executors (recomputed from the written
-table if one is lost), so an iteration shuffles coefficients, margins and
-residuals only.  A token of very many rows has sub-keys, as many as its rows
-need, and its coefficients are copied once for each.
-
-The optimiser is L-BFGS in its vector-free form: its vectors are columns of
-the coefficient table, and the driver sees their scalar products alone (a
-dozen numbers).  Margins are linear in the step, so the line search tries all
-steps in one aggregate over the rows.
+No vector of vocabulary size exists on the driver or in a task.  The notes
+are cut into blocks of rows, the vocabulary into shards of tokens.  A block
+is laid out once as a sparse matrix over its own tokens; a shard holds its
+part of every vector of the optimiser.  In an iteration the shards send each
+block the coefficients of its tokens, and the blocks send back their sums of
+the gradient: both are as long as a block has distinct tokens, however often
+those occur.  The layout is written once, so a lost executor's part is read
+again.
+
+The optimiser is L-BFGS in its vector-free form: the driver sees scalar
+products of the vectors alone (a dozen numbers).  A step is tried in full and
+shortened until the loss falls enough.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
+import sys
 from typing import NamedTuple
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import py_round
 from ..session import discard, materialize
 
-#: rows of a token for each of its sub-keys
-ROWS_PER_KEY = 1_000_000
+#: rows of a block at most, tokens of a shard on average
+ROWS_PER_KEY, SHARD = 1024, 1 << 15
 HISTORY = 6
-STEPS = [2.0 ** -k for k in range(-1, 11)]
+WORD = re.compile(r"\w\w+", re.ASCII)
+# workers need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class ShardedModel(NamedTuple):
@@ -43,40 +50,50 @@ class ShardedModel(NamedTuple):
     losses: list[float]
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _blocked(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df``, written once, with the block of each row: rows that a task
+    wrote one after another."""
+    out = materialize(df.withColumn("__row", F.monotonically_increasing_id()), name)
+    return out.withColumn("__block", F.expr(f"__row div {rows}"))
 
 
-def _combine(parts: list[tuple[float, str]], k: int) -> Column:
-    """The sum of c x column over (c, column), element by element."""
-    return F.array(*[sum((F.lit(c) * F.col(n)[i] for c, n in parts), F.lit(0.0)) for i in range(k)])
-
-
-def _softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
-
-
-def _log_sum(z: Column) -> Column:
-    top = F.array_max(z)
-    return top + F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-
-
-def postings(rows: DataFrame, text: str, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(row, token, v) with smoothed tf-idf of unit length, and (token, n,
-    idf): of ``rows`` themselves, or given by a model (other tokens then
-    count for nothing, as in the fitted pipeline)."""
+def _block_tokens(blocked: DataFrame, text: str) -> DataFrame:
+    """(__block, token, n): the rows of a block that hold a token."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("(\\w\\w+)"), 1)
-    tf = (rows.select("row", F.explode(words).alias("token")).groupBy("row", "token")
-          .agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    if idf is None:
-        tf = materialize(tf, "tf")
-        n = rows.count()
-        idf = materialize(tf.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-                          .withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("n") + 1.0)) + 1.0), "idf")
-    w = tf.join(idf.select("token", "idf"), "token").select("row", "token", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = w.groupBy("row").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return w.join(norm, "row").select("row", "token", (F.col("x") / F.col("norm")).alias("v")), idf
+    return (blocked.select("__block", F.explode(F.array_distinct(words)).alias("token"))
+            .groupBy("__block", "token").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _matrix(texts: list[str | None], tokens: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of smoothed tf-idf with rows of unit length;
+    words that are not among ``tokens`` count for nothing."""
+    place = {t: i for i, t in enumerate(tokens)}
+    row, col, tf = [], [], []
+    for i, text in enumerate(texts):
+        seen: dict[int, int] = {}
+        for word in WORD.findall((text or "").lower()):
+            j = place.get(word)
+            if j is not None:
+                seen[j] = seen.get(j, 0) + 1
+        row += [i] * len(seen)
+        col += seen.keys()
+        tf += seen.values()
+    row, col = np.array(row, np.int32), np.array(col, np.int32)
+    x = np.array(tf, np.float64) * idf[col]
+    return row, col, x / np.sqrt(np.bincount(row, x * x, minlength=len(texts)))[row]
+
+
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The rows of ``values`` added up by ``at``: (size, categories)."""
+    return np.stack([np.bincount(at, values[:, i], minlength=size) for i in range(values.shape[1])], axis=1)
+
+
+def _chances(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each row and the logarithm of its sum."""
+    top = z.max(axis=1, keepdims=True)
+    e = np.exp(z - top)
+    total = e.sum(axis=1, keepdims=True)
+    return e / total, (top + np.log(total))[:, 0]
 
 
 def _direction(dots: dict, basis: list[str], pairs: list[tuple[str, str]]) -> dict[str, float]:
@@ -99,6 +116,94 @@ def _direction(dots: dict, basis: list[str], pairs: list[tuple[str, str]]) -> di
     return {x: d.get(x, 0.0) for x in basis}
 
 
+def _lay_out(docs: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
+    """A block's matrix, its labels, and its tokens' places in each shard."""
+    tokens = tokens.sort_values(["shard", "at"])
+    row, col, v = _matrix(docs["text"].tolist(), tokens["token"].tolist(), tokens["idf"].to_numpy(np.float64))
+    shards, first = np.unique(tokens["shard"].to_numpy(np.int32), return_index=True)
+    ats = np.split(tokens["at"].to_numpy(np.int32), first[1:])
+    return pd.DataFrame({"__block": [int(docs["__block"].iloc[0])], "y": [docs["y"].to_numpy(np.int32).tobytes()],
+                         "row": [row.tobytes()], "col": [col.tobytes()], "v": [v.tobytes()],
+                         "shards": [[int(x) for x in shards]],
+                         "ats": [[x.tobytes() for x in ats] if len(shards) else []]})
+
+
+LAYOUT = "__block long, y binary, row binary, col binary, v binary, shards array<int>, ats array<binary>"
+
+
+def _whole(slices: dict[int, bytes], shards: list[int], k: int) -> np.ndarray:
+    got = [np.frombuffer(slices[x], np.float64) for x in shards]
+    return np.concatenate(got).reshape(-1, k) if got else np.zeros((0, k))
+
+
+def _gradient(k: int, bias: list[float]):
+    """A block's part of the gradient from its coefficients, in slices for
+    the shards; shard -1: the loss and the intercepts' part."""
+    def run(blocks: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        b = blocks.iloc[0]
+        row, col, v = np.frombuffer(b["row"], np.int32), np.frombuffer(b["col"], np.int32), np.frombuffer(b["v"], np.float64)
+        y, shards = np.frombuffer(b["y"], np.int32), list(b["shards"])
+        w = _whole(dict(zip(sent["shard"], sent["w"])), shards, k)
+        z = _sums(row, v[:, None] * w[col], len(y)) + np.array(bias)
+        p, log_sum = _chances(z)
+        every = np.arange(len(y))
+        loss = float((log_sum - z[every, y]).sum())
+        p[every, y] -= 1.0
+        g = _sums(col, v[:, None] * p[row], len(w))
+        ats = [np.frombuffer(x, np.int32) for x in b["ats"]]
+        ends = np.cumsum([len(x) for x in ats], dtype=np.int64)
+        parts = np.split(g, ends[:-1]) if ats else []
+        return pd.DataFrame({"shard": [-1, *shards], "__block": int(b["__block"]), "at": [b"", *[x.tobytes() for x in ats]],
+                             "g": [np.append(loss, p.sum(axis=0)).tobytes(), *[np.ascontiguousarray(x).tobytes() for x in parts]]})
+    return run
+
+
+GRADIENT = "shard int, __block long, at binary, g binary"
+STATE = "shard int, size int, names array<string>, vectors array<binary>, dots array<double>"
+
+
+def _vectors(state: pd.DataFrame) -> dict[str, np.ndarray]:
+    s = state.iloc[0]
+    return {n: np.frombuffer(x, np.float64) for n, x in zip(s["names"], s["vectors"])}
+
+
+def _moved(vectors: dict[str, np.ndarray], c: dict[str, float], t: float) -> np.ndarray:
+    return vectors["w"] + t * sum(f * vectors[x] for x, f in c.items())
+
+
+def _send(c: dict[str, float], t: float, k: int):
+    """To each block, the coefficients of its tokens after the step."""
+    def run(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if not len(links) or not len(state):
+            return pd.DataFrame({"__block": [], "shard": [], "w": []})
+        w = _moved(_vectors(state), c, t).reshape(-1, k)
+        return pd.DataFrame({"__block": links["__block"], "shard": links["shard"],
+                             "w": [w[np.frombuffer(x, np.int32)].tobytes() for x in links["at"]]})
+    return run
+
+
+def _take(c: dict[str, float], t: float, k: int, n: int, keep: list[str], new: tuple[str, str] | None, want: list[tuple[str, str]]):
+    """A shard after the step: its new vectors and scalar products."""
+    def run(state: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("__block")  # a fixed order of the sums
+        if not len(state):  # shard -1
+            total = np.sum([np.frombuffer(x, np.float64) for x in parts["g"]], axis=0)
+            return pd.DataFrame({"shard": [-1], "size": [0], "names": [[]], "vectors": [[]], "dots": [total.tolist()]})
+        old, size = _vectors(state), int(state["size"].iloc[0])
+        w = _moved(old, c, t)
+        g = np.zeros((size, k))
+        for at, x in zip(parts["at"], parts["g"]):
+            g[np.frombuffer(at, np.int32)] += np.frombuffer(x, np.float64).reshape(-1, k)  # a block has a token once
+        g = g.ravel() / n + w / n
+        vectors = {x: old[x] for x in keep} | {"w": w, "g": g}
+        if new:
+            vectors |= {new[0]: w - old["w"], new[1]: g - old["g"]}
+        return pd.DataFrame({"shard": state["shard"], "size": [size], "names": [list(vectors)],
+                             "vectors": [[x.tobytes() for x in vectors.values()]],
+                             "dots": [[float(vectors[a] @ vectors[b]) for a, b in want]]})
+    return run
+
+
 def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "category", max_iter: int = 1000,
                 tol: float = 1e-4, partitions: int | None = None, rows_per_key: int = ROWS_PER_KEY) -> ShardedModel:
     """K3: the model of ``train_category_model`` (smoothed tf-idf, unit
@@ -107,137 +212,145 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
 
     Stops after ``max_iter`` iterations or when the loss improves by less than
     ``tol`` of itself.  Rows without a label are left out; a null text has no
-    tokens.  Every iteration writes the coefficients and the margins in the
-    shared folder.  Only the categories and their intercepts are lists on the
-    driver.
+    tokens.  Every step writes the shards in the shared folder.  Only the
+    categories and their intercepts are lists on the driver.
     """
     spark = train.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(train.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-                       .withColumn("row", F.monotonically_increasing_id()), "labelled")
+    rows = _blocked(train.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")),
+                    rows_per_key, "labelled")
     counts = sorted((r["label"], r["n"]) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect())
     if not counts:
         raise ValueError("no labelled rows")
     labels, k, n = [c[0] for c in counts], len(counts), sum(c[1] for c in counts)
-    reg = 1.0 / n
-    post, idf = postings(rows, "text")
-    post = materialize(post, "postings")
-    keys = idf.withColumn("sub", F.ceil(F.col("n") / F.lit(float(rows_per_key))).cast("int"))
-    by_token = (post.join(keys.select("token", "sub"), "token")
-                .select("token", F.pmod(F.xxhash64("row"), F.col("sub")).cast("int").alias("key"), "row", "v")
-                .repartition(parts, "token", "key").persist(StorageLevel.MEMORY_AND_DISK))
-    by_row = post.repartition(parts, "row").persist(StorageLevel.MEMORY_AND_DISK)
+    held = materialize(_block_tokens(rows, "text"), "block-tokens")
+    idf = held.groupBy("token").agg(F.sum("n").alias("n")).withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("n") + 1.0)) + 1.0)
+    idf = materialize(idf, "idf")
+    shards = max(parts, -(-idf.count() // SHARD))
+    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
+    order = Window.partitionBy("shard").orderBy("token")
+    tokens = materialize(idf.withColumn("shard", shard).withColumn("at", F.row_number().over(order) - 1), "tokens")
     index = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, i)]), F.col("label"))
-    zeros = F.array(*[F.lit(0.0)] * k)
-    margins = rows.select("row", index.alias("y"), zeros.alias("m"))
+    laid = (rows.select("__block", "text", index.alias("y")).groupBy("__block")
+            .cogroup(held.select("__block", "token").join(tokens.select("token", "idf", "shard", "at"), "token").groupBy("__block"))
+            .applyInPandas(_lay_out, LAYOUT))
+    laid = materialize(laid, "blocks")
+    blocks = laid.repartition(parts, "__block").persist(StorageLevel.MEMORY_AND_DISK)
+    links = (laid.select("__block", F.inline(F.arrays_zip("shards", "ats"))).toDF("__block", "shard", "at")
+             .repartition(parts, "shard").persist(StorageLevel.MEMORY_AND_DISK))
+
     prior = [math.log(c / n) for _, c in counts]
     bias = [p - sum(prior) / k for p in prior]
-    state = keys.select("token", "idf", "sub", zeros.alias("w"))
 
-    def residuals(df: DataFrame, bias: list[float]) -> DataFrame:
-        z = F.array(*[F.col("m")[i] + F.lit(bias[i]) for i in range(k)])
-        df = df.select("row", "y", _log_sum(z).alias("lse"), z.alias("z"))
-        p = _softmax(F.col("z"))
-        return df.select("row", (F.col("lse") - F.col("z")[F.col("y")]).alias("loss"),
-                         F.transform(p, lambda x, i: x - F.when(i == F.col("y"), 1.0).otherwise(0.0)).alias("r"))
-
-    def gradient(df: DataFrame, state: DataFrame) -> DataFrame:
-        g = (by_row.join(df.select("row", "r"), "row").groupBy("token")
-             .agg(*[F.sum(F.col("v") * F.col("r")[i]).alias(f"g{i}") for i in range(k)]))
-        own = F.array(*[F.coalesce(F.col(f"g{i}"), F.lit(0.0)) / n + reg * F.col("w")[i] for i in range(k)])
-        return state.join(g, "token", "left").withColumn("new_g", own).drop(*[f"g{i}" for i in range(k)])
-
-    def rowsums(df: DataFrame) -> tuple[float, list[float]]:
-        got = df.agg(F.sum("loss").alias("loss"), *[F.sum(F.col("r")[i]).alias(f"r{i}") for i in range(k)]).first()
-        return got["loss"] / n, [got[f"r{i}"] / n for i in range(k)]
+    def empty(size: pd.DataFrame) -> pd.DataFrame:
+        m = int(size["m"].iloc[0])
+        return pd.DataFrame({"shard": size["shard"], "size": [m], "names": [["w"]], "vectors": [[np.zeros(m * k).tobytes()]], "dots": [[]]})
+
+    state = materialize(tokens.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).groupBy("shard").applyInPandas(empty, STATE), "shards")
+
+    def tried(c: dict, t: float, bias: list[float], keep: list[str], new, want) -> tuple[DataFrame, DataFrame, float, list[float], list[float]]:
+        """The shards after a step, the table they are in, the mean loss, the intercepts'
+        gradient and the scalar products wanted."""
+        by_shard = state.groupBy("shard")
+        sent = by_shard.cogroup(links.groupBy("shard")).applyInPandas(_send(c, t, k), "__block long, shard int, w binary")
+        got = blocks.groupBy("__block").cogroup(sent.groupBy("__block")).applyInPandas(_gradient(k, bias), GRADIENT)
+        after = materialize(by_shard.cogroup(got.groupBy("shard")).applyInPandas(_take(c, t, k, n, keep, new, want), STATE), "shards")
+        products, rest = [0.0] * len(want), []
+        for r in sorted(after.select("shard", "dots").collect(), key=lambda r: r["shard"]):
+            if r["shard"] < 0:
+                rest = r["dots"]
+            else:
+                products = [x + y for x, y in zip(products, r["dots"])]
+        return after.filter("shard >= 0"), after, rest[0] / n, [x / n for x in rest[1:]], products
 
     try:
-        res = residuals(margins, bias)
-        loss, bias_g = rowsums(res)
-        held = state = materialize(gradient(res, state).withColumnRenamed("new_g", "g"), "coefficients")
-        held_rows = None
         pairs: list[tuple[str, str]] = []
-        side = {"g": bias_g}          # the intercepts' part of every vector
         dots: dict = {}
-        ww, losses, serial = 0.0, [loss], 0
-
-        def fill(names: list[str], against: list[str]) -> None:
-            want = sorted({(min(a, b), max(a, b)) for a in names for b in against})
-            got = state.agg(*[F.sum(_dot(a, b)).alias(f"d{j}") for j, (a, b) in enumerate(want)]).first()
-            for j, (a, b) in enumerate(want):
-                dots[a, b] = (got[f"d{j}"] or 0.0) + sum(x * y for x, y in zip(side[a], side[b]))
-
-        fill(["g"], ["g"])
-        for _ in range(max_iter):
+        written = state
+        want = [("g", "g"), ("w", "w")]
+        state, new_written, loss, bias_g, got = tried({}, 0.0, bias, [], None, want)
+        discard(written)
+        written = new_written
+        side = {"g": bias_g}          # the intercepts' part of every vector
+        dots["g", "g"] = got[0] + sum(x * x for x in bias_g)
+        losses = [loss + got[1] / (2 * n)]
+        for serial in range(max_iter):
             basis = [x for p in pairs for x in p] + ["g"]
             c = _direction(dots, basis, pairs)
             slope = sum(v * dots[min(x, "g"), max(x, "g")] for x, v in c.items())
             if not slope < 0:
                 break
             bias_d = [sum(c[x] * side[x][i] for x in basis) for i in range(k)]
-            way = state.withColumn("d", _combine([(c[x], x) for x in basis], k))
-            sent = way.select("token", F.explode(F.sequence(F.lit(0), F.col("sub") - 1)).alias("key"), "d")
-            moved = (by_token.join(sent, ["token", "key"]).groupBy("row")
-                     .agg(*[F.sum(F.col("v") * F.col("d")[i]).alias(f"d{i}") for i in range(k)]))
-            step_rows = materialize(margins.join(moved, "row", "left").select(
-                "row", "y", "m", F.array(*[F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(k)]).alias("d")), "margins")
-            here = F.array(*[F.col("m")[i] + F.lit(bias[i]) for i in range(k)])
-            there = F.array(*[F.col("d")[i] + F.lit(bias_d[i]) for i in range(k)])
-            tried = step_rows.select("y", here.alias("z"), there.alias("dz"))
-            at = [_combine([(1.0, "z"), (t, "dz")], k) for t in STEPS]
-            got = tried.agg(*[F.sum(_log_sum(z) - z[F.col("y")]).alias(f"l{j}") for j, z in enumerate(at)]).first()
-            quad = way.agg(F.sum(_dot("w", "d")).alias("wd"), F.sum(_dot("d", "d")).alias("dd")).first()
-            full = {t: got[f"l{j}"] / n + reg / 2 * (ww + 2 * t * quad["wd"] + t * t * quad["dd"]) for j, t in enumerate(STEPS)}
-            fine = [t for t in STEPS if full[t] <= losses[-1] + 1e-4 * t * slope]
-            if not fine:
-                break
-            t = min(fine, key=lambda t: full[t])
-            ww += 2 * t * quad["wd"] + t * t * quad["dd"]
-            bias = [b + t * d for b, d in zip(bias, bias_d)]
-            margins = step_rows.select("row", "y", _combine([(1.0, "m"), (t, "d")], k).alias("m"))
-            res = residuals(margins, bias)
-            _, new_bias_g = rowsums(res)
             s, y = f"s{serial}", f"y{serial}"
-            serial += 1
-            if len(pairs) == HISTORY:
-                old = pairs.pop(0)
-                way = way.drop(*old)
-            stepped = way.withColumn("w", _combine([(1.0, "w"), (t, "d")], k)).withColumn(s, _combine([(t, "d")], k)).drop("d")
-            new = gradient(res, stepped).withColumn(y, F.zip_with("new_g", "g", lambda a, b: a - b)).drop("g").withColumnRenamed("new_g", "g")
-            state = materialize(new, "coefficients")
-            # the tables of the step before have no reader left
-            discard(held)
-            if held_rows is not None:
-                discard(held_rows)
-            held, held_rows = state, step_rows
+            kept = pairs[-(HISTORY - 1):]
+            names = [x for p in [*kept, (s, y)] for x in p]
+            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*names, "g"]}) + [("w", "w")]
+            t = 1.0 if pairs else 1.0 / math.sqrt(dots["g", "g"])
+            for _ in range(20):
+                step = [b + t * d for b, d in zip(bias, bias_d)]
+                after, new_written, loss, new_bias_g, got = tried(c, t, step, [x for p in kept for x in p], (s, y), want)
+                loss += got[-1] / (2 * n)
+                if loss <= losses[-1] + 1e-4 * t * slope:
+                    break
+                discard(new_written)
+                # the lowest point of the parabola through what is known
+                t *= min(0.5, max(0.1, -slope * t / (2 * (loss - losses[-1] - slope * t))))
+            else:
+                break
+            discard(written)
+            state, written, bias = after, new_written, step
             side[s], side[y] = [t * d for d in bias_d], [a - b for a, b in zip(new_bias_g, bias_g)]
             side["g"] = bias_g = new_bias_g
-            pairs.append((s, y))
-            fill([s, y, "g"], [x for p in pairs for x in p] + ["g"])
-            losses.append(full[t])
-            if dots[min(s, y), max(s, y)] <= 0:
-                pairs.pop()
-                state = state.drop(s, y)
+            for (a, b), x in zip(want[:-1], got):
+                dots[a, b] = x + sum(u * v for u, v in zip(side[a], side[b]))
+            pairs = kept + ([(s, y)] if dots[min(s, y), max(s, y)] > 0 else [])
+            losses.append(loss)
             if abs(losses[-2] - losses[-1]) <= tol * max(abs(losses[-1]), 1e-12):
                 break
     finally:
-        by_token.unpersist()
-        by_row.unpersist()
-    return ShardedModel(state.select("token", "idf", "w"), labels, bias, losses)
+        blocks.unpersist()
+        links.unpersist()
+
+    def rows_of(shard: pd.DataFrame) -> pd.DataFrame:
+        w = _vectors(shard)["w"].reshape(-1, k)
+        return pd.DataFrame({"shard": int(shard["shard"].iloc[0]), "at": np.arange(len(w), dtype=np.int32), "w": list(w)})
+
+    w = state.groupBy("shard").applyInPandas(rows_of, "shard int, at int, w array<double>")
+    return ShardedModel(materialize(tokens.join(w, ["shard", "at"]).select("token", "idf", "w"), "coefficients"), labels, bias, losses)
 
 
 def predict_sharded(model: ShardedModel, df: DataFrame, text: str = "clean_notes", known: list[str] | None = None,
                     fallback: str = "Other") -> DataFrame:
     """K4 with a sharded model: ``df`` with ``predicted_category`` and its
-    probability (3 decimals), as ``predict_category`` gives them."""
-    k = len(model.labels)
-    df = materialize(df.withColumn("row", F.monotonically_increasing_id()), "unlabelled")
-    post, _ = postings(df, text, model.coefficients)
-    sums = (post.join(model.coefficients, "token").groupBy("row")
-            .agg(*[F.sum(F.col("v") * F.col("w")[i]).alias(f"m{i}") for i in range(k)]))
-    z = F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) + F.lit(model.intercepts[i]) for i in range(k)])
-    out = df.join(sums, "row", "left").withColumn("_p", _softmax(z)).withColumn("_at", F.array_position("_p", F.array_max("_p")))
-    pred = F.element_at(F.array(*map(F.lit, model.labels)), F.col("_at").cast("int"))
+    probability (3 decimals), as ``predict_category`` gives them.  Each block
+    of rows gets the coefficients of its own tokens, so neither its words nor
+    sums for its rows are shuffled."""
+    k, columns, intercepts = len(model.labels), df.columns, np.array(model.intercepts, np.float64)
+
+    def run(docs: pa.Table, tokens: pa.Table) -> pa.Table:
+        row, col, v = _matrix(docs[text].to_pylist(), tokens["token"].to_pylist(), np.asarray(tokens["idf"], np.float64))
+        w = np.array(tokens["w"].to_pylist(), np.float64).reshape(-1, k)
+        p = _chances(_sums(row, v[:, None] * w[col], docs.num_rows) + intercepts)[0]
+        return (docs.select(columns).append_column("__at", pa.array(p.argmax(axis=1).astype(np.int32)))
+                .append_column("__top", pa.array(p.max(axis=1))))
+
+    blocked = _blocked(df, ROWS_PER_KEY, "unlabelled")
+    tokens = _block_tokens(blocked, text).join(model.coefficients.select("token", "idf", "w"), "token").select(F.col("__block").alias("__of"), "token", "idf", "w")
+    schema = StructType([*[StructField(f.name, f.dataType) for f in df.schema.fields], StructField("__at", IntegerType()), StructField("__top", DoubleType())])
+    out = blocked.groupBy("__block").cogroup(tokens.groupBy("__of")).applyInArrow(run, schema)
+    pred = F.get(F.array(*map(F.lit, model.labels)), F.col("__at"))
     pred = F.when(pred.isin(model.labels if known is None else known), pred).otherwise(F.lit(fallback))
-    return out.select(*[c for c in df.columns if c != "row"], pred.alias("predicted_category"),
-                      py_round(F.array_max("_p"), 3).alias("confidence"))
+    return out.select(*columns, pred.alias("predicted_category"), py_round("__top", 3).alias("confidence"))
+
+
+def save_sharded(model: ShardedModel, path: str) -> None:
+    """The coefficients as a table, then what all rows share."""
+    spark = model.coefficients.sparkSession
+    model.coefficients.write.mode("overwrite").parquet(f"{path}/coefficients")
+    shared = json.dumps([model.labels, model.intercepts, model.losses])
+    spark.createDataFrame([(shared,)], "shared string").write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_sharded(spark: SparkSession, path: str) -> ShardedModel:
+    shared = json.loads(spark.read.parquet(f"{path}/metadata").first()["shared"])
+    return ShardedModel(spark.read.parquet(f"{path}/coefficients"), *shared)
