@@ -1,5 +1,6 @@
 """The classifier with its coefficients in a table against MLlib's."""
 
+import math
 import random
 
 import pytest
@@ -56,3 +57,29 @@ def test_odd_rows(spark):
     assert len(got) == 5 and got[2].predicted_category == "a" and got[3].predicted_category == got[4].predicted_category == "b"
     with pytest.raises(ValueError):
         fit_sharded(df.filter("category IS NULL"))
+
+
+def test_an_iteration_writes_one_table(spark, notes, monkeypatch):
+    from tallyspark.operators import sharded
+    written, write = [], sharded.materialize
+    monkeypatch.setattr(sharded, "materialize", lambda df, name: written.append(name) or write(df, name))
+    model = fit_sharded(notes, tol=1e-12, max_iter=12)
+    assert len(model.losses) == 13 and len(written) <= len(model.losses) + 9
+
+
+def test_notes_meet_neither_by_row_nor_by_id(spark, notes, monkeypatch):
+    """Postings aren't shuffled to rows, and the counted model writes none."""
+    from tallyspark.plans import q_models
+    written, write = [], q_models.materialize
+    monkeypatch.setattr(q_models, "materialize", lambda df, name: written.append(name) or write(df, name))
+    odd = spark.createDataFrame([(90, "twice bus", "food"), (90, "twice bus bus", "rent"), (None, "lost bus", "food"),
+                                 (91, None, "food"), (92, "a", None)], notes.schema)
+    model = q_models.counted_model(notes.union(odd))
+    assert "seen" not in written
+    got = {r.token: (r.idf, r.w) for r in model.coefficients.collect()}
+    assert "lost" not in got and "a" not in got
+    # both notes of an id count for both of its categories
+    assert got["twice"][0] == pytest.approx(math.log(96 / 3) + 1) and got["twice"][1][0] == pytest.approx(math.log(2 / 3))
+    out = predict_sharded(model, notes.union(odd))
+    assert out.count() == 95 and [r.clean_notes for r in out.filter("doc_id IS NULL").collect()] == ["lost bus"]
+    assert "row#" not in "".join(x for x in out._jdf.queryExecution().toString().splitlines() if "hashpartitioning" in x)
