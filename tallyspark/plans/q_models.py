@@ -34,7 +34,7 @@ FIT_VERSION = 1
 
 
 def _fitted(spark, kind, data, fit, **params):
-    """The saved pipeline for exactly these training rows and parameters,
+    """The saved model for exactly these training rows and parameters,
     fitted and saved if there is none.  Its name holds the rows' number and
     the sum of their hashes, and a hash of the parameters, the fit's version
     and Spark's."""
@@ -207,8 +207,14 @@ def counted_model(notes) -> ShardedModel:
     """A model in table form without a fit: a token's weight for a category
     is the log of how often the category's notes hold it."""
     labels = [r[0] for r in notes.filter("category IS NOT NULL").select("category").distinct().orderBy("category").collect()]
-    seen = materialize(K.tokens(notes, "clean_notes", "doc_id").join(notes.select("doc_id", "category"), "doc_id")
-                       .distinct(), "seen")
+    # a note's tokens are counted in its row; only notes that share an id meet by it
+    ids = notes.filter("doc_id IS NOT NULL")
+    shared = materialize(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "shared")
+    words = F.array_distinct(F.filter(F.split("clean_notes", " "), lambda t: F.length(t) >= K.TOKEN_MIN))
+    single = ids.join(shared, "doc_id", "left_anti").select("category", F.explode(words).alias("token"))
+    double = ids.join(shared, "doc_id", "left_semi")
+    several = K.tokens(double, "clean_notes", "doc_id").join(double.select("doc_id", "category"), "doc_id").distinct()
+    seen = single.unionByName(several.select("category", "token"))
     n = notes.count()
     w = F.array(*[F.log((1.0 + F.count_if(F.col("category") == c)) / (1.0 + F.count(F.lit(1)))) for c in labels])
     table = seen.groupBy("token").agg((F.log(F.lit(1.0 + n) / (1.0 + F.count(F.lit(1)))) + 1.0).alias("idf"), w.alias("w"))
