@@ -26,8 +26,9 @@ from .sharded import ShardedModel, fit_sharded, predict_sharded
 from .skew import salted_join
 
 TOKEN_MIN = 2
-# what the driver may hold of the multinomial model (doubles)
-MAX_COEFFICIENTS = 200_000_000
+# doubles of the multinomial model that the driver holds and sends to every
+# task in each iteration; the library's scaled features also take more of them
+MAX_COEFFICIENTS = 1 << 18
 
 
 def train_test_split(df: DataFrame, test_share: int = 5, seed: int = 42, key=("clean_notes",)

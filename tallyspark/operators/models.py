@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BAND, MIN_HISTORY
@@ -25,6 +25,7 @@ from .forecast import eligible
 from .reports import daily_totals
 from .series import (DAILY_LAGS, calendar_columns, calendar_gap_fill, feature_table_daily,
                      feature_table_monthly)
+from .sharded import ShardedModel, load_sharded, save_sharded
 from .tree_columns import tree_columns
 
 #: a prediction column from named feature columns
@@ -50,13 +51,20 @@ def fit_trees(train: DataFrame, features: list[str], label: str = "y", **params)
     return Pipeline(stages=[asm, gbt]).fit(train.dropna(subset=[*features, label]))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """Write a fitted pipeline (shared storage on a cluster)."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | ShardedModel, path: str) -> str:
+    """Write a fitted pipeline or table model (shared storage on a cluster)."""
+    if isinstance(model, ShardedModel):
+        save_sharded(model, path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | ShardedModel:
+    spark = SparkSession.getActiveSession()
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/coefficients")
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return load_sharded(spark, path)
     return PipelineModel.load(path)
 
 
@@ -181,7 +189,6 @@ def predict_monthly(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 def feature_importance(model, features: list[str] = MONTHLY_FEATURES) -> DataFrame:
     """Importances of the fitted trees (one small row per feature)."""
-    from pyspark.sql import SparkSession
     imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(list(zip(features, [float(x) for x in imp])),

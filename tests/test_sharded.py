@@ -83,3 +83,19 @@ def test_notes_meet_neither_by_row_nor_by_id(spark, notes, monkeypatch):
     out = predict_sharded(model, notes.union(odd))
     assert out.count() == 95 and [r.clean_notes for r in out.filter("doc_id IS NULL").collect()] == ["lost bus"]
     assert "row#" not in "".join(x for x in out._jdf.queryExecution().toString().splitlines() if "hashpartitioning" in x)
+
+
+def test_a_table_model_is_saved_and_read_again(spark, notes, tmp_path):
+    from tallyspark.operators import models as T
+    model = K.train_category_model(notes, max_iter=3, max_coefficients=10)
+    again = T.load_model(T.save_model(model, str(tmp_path / "m")))
+    assert isinstance(again, ShardedModel) and again[1:] == model[1:]
+    a, b = (sorted(predict_sharded(m, notes).select("doc_id", "predicted_category", "confidence").collect()) for m in (model, again))
+    assert a == b
+
+
+def test_the_driver_holds_small_models_alone(spark):
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(500)) + f" c{i % 4}", f"c{i % 4}") for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, clean_notes string, category string")
+    model = K.train_category_model(df, max_iter=2)  # 70,004 tokens, 4 categories
+    assert isinstance(model, ShardedModel) and model.coefficients.count() == 70_004
