@@ -11,8 +11,8 @@ those occur.  The layout is written once, so a lost executor's part is read
 again.
 
 The optimiser is L-BFGS in its vector-free form: the driver sees scalar
-products of the vectors alone (a dozen numbers).  A step is tried in full and
-shortened until the loss falls enough.
+products of the vectors alone (a dozen numbers).  Margins are linear in the
+step, so the line search tries all steps in one pass over the blocks.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from ..session import discard, materialize
 #: rows of a block at most, tokens of a shard on average
 ROWS_PER_KEY, SHARD = 1024, 1 << 15
 HISTORY = 6
+STEPS = [2.0 ** -k for k in range(-1, 11)]
 WORD = re.compile(r"\w\w+", re.ASCII)
 # workers need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -158,6 +159,23 @@ def _gradient(k: int, bias: list[float]):
     return run
 
 
+def _line(k: int, bias: list[float], bias_d: list[float]):
+    """A block's losses after each of ``STEPS``, from its coefficients and
+    their direction."""
+    def run(blocks: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        b = blocks.iloc[0]
+        row, col, v = np.frombuffer(b["row"], np.int32), np.frombuffer(b["col"], np.int32), np.frombuffer(b["v"], np.float64)
+        y = np.frombuffer(b["y"], np.int32)
+        both = _whole(dict(zip(sent["shard"], sent["w"])), list(b["shards"]), 2 * k)
+        m = _sums(row, v[:, None] * both[col], len(y)) + np.array([*bias, *bias_d])
+        every, losses = np.arange(len(y)), []
+        for t in STEPS:
+            z = m[:, :k] + t * m[:, k:]
+            losses.append(float((_chances(z)[1] - z[every, y]).sum()))
+        return pd.DataFrame({"losses": [losses]})
+    return run
+
+
 GRADIENT = "shard int, __block long, at binary, g binary"
 STATE = "shard int, size int, names array<string>, vectors array<binary>, dots array<double>"
 
@@ -182,6 +200,18 @@ def _send(c: dict[str, float], t: float, k: int):
     return run
 
 
+def _send_line(c: dict[str, float], k: int):
+    """To each block, its tokens' coefficients and their direction."""
+    def run(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if not len(links) or not len(state):
+            return pd.DataFrame({"__block": [], "shard": [], "w": []})
+        old = _vectors(state)
+        both = np.hstack([old["w"].reshape(-1, k), sum(f * old[x] for x, f in c.items()).reshape(-1, k)])
+        return pd.DataFrame({"__block": links["__block"], "shard": links["shard"],
+                             "w": [both[np.frombuffer(x, np.int32)].tobytes() for x in links["at"]]})
+    return run
+
+
 def _take(c: dict[str, float], t: float, k: int, n: int, keep: list[str], new: tuple[str, str] | None, want: list[tuple[str, str]]):
     """A shard after the step: its new vectors and scalar products."""
     def run(state: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
@@ -267,10 +297,16 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
         pairs: list[tuple[str, str]] = []
         dots: dict = {}
         written = state
-        want = [("g", "g"), ("w", "w")]
+        want = [("g", "g"), ("w", "w"), ("g", "w")]
         state, new_written, loss, bias_g, got = tried({}, 0.0, bias, [], None, want)
         discard(written)
         written = new_written
+        ww = got[1]
+        own = {("g", "g"): got[0], ("g", "w"): got[2]}  # scalar products without the intercepts
+
+        def product(a: str, c: dict) -> float:
+            return sum(v * own[min(a, x), max(a, x)] for x, v in c.items())
+
         side = {"g": bias_g}          # the intercepts' part of every vector
         dots["g", "g"] = got[0] + sum(x * x for x in bias_g)
         losses = [loss + got[1] / (2 * n)]
@@ -284,27 +320,31 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
             s, y = f"s{serial}", f"y{serial}"
             kept = pairs[-(HISTORY - 1):]
             names = [x for p in [*kept, (s, y)] for x in p]
-            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*names, "g"]}) + [("w", "w")]
-            t = 1.0 if pairs else 1.0 / math.sqrt(dots["g", "g"])
-            for _ in range(20):
-                step = [b + t * d for b, d in zip(bias, bias_d)]
-                after, new_written, loss, new_bias_g, got = tried(c, t, step, [x for p in kept for x in p], (s, y), want)
-                loss += got[-1] / (2 * n)
-                if loss <= losses[-1] + 1e-4 * t * slope:
-                    break
-                discard(new_written)
-                # the lowest point of the parabola through what is known
-                t *= min(0.5, max(0.1, -slope * t / (2 * (loss - losses[-1] - slope * t))))
-            else:
+            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*names, "g"]}
+                          | {(min(a, "w"), max(a, "w")) for a in [*names, "g", "w"]})
+            sent = state.groupBy("shard").cogroup(links.groupBy("shard")).applyInPandas(_send_line(c, k), "__block long, shard int, w binary")
+            line = (blocks.groupBy("__block").cogroup(sent.groupBy("__block")).applyInPandas(_line(k, bias, bias_d), "losses array<double>")
+                    .agg(*[F.sum(F.col("losses")[j]).alias(f"l{j}") for j in range(len(STEPS))]).first())
+            # the penalty of each step from scalar products with w
+            wd, dd = product("w", c), sum(v * product(x, c) for x, v in c.items())
+            full = {t: line[j] / n + (ww + 2 * t * wd + t * t * dd) / (2 * n) for j, t in enumerate(STEPS)}
+            fine = [t for t in STEPS if full[t] <= losses[-1] + 1e-4 * t * slope]
+            if not fine:
                 break
+            t = min(fine, key=lambda t: full[t])
+            step = [b + t * d for b, d in zip(bias, bias_d)]
+            after, new_written, loss, new_bias_g, got = tried(c, t, step, [x for p in kept for x in p], (s, y), want)
             discard(written)
             state, written, bias = after, new_written, step
             side[s], side[y] = [t * d for d in bias_d], [a - b for a, b in zip(new_bias_g, bias_g)]
             side["g"] = bias_g = new_bias_g
-            for (a, b), x in zip(want[:-1], got):
-                dots[a, b] = x + sum(u * v for u, v in zip(side[a], side[b]))
+            for (a, b), x in zip(want, got):
+                own[a, b] = x
+                if "w" not in (a, b):
+                    dots[a, b] = x + sum(u * v for u, v in zip(side[a], side[b]))
+            ww = own["w", "w"]
             pairs = kept + ([(s, y)] if dots[min(s, y), max(s, y)] > 0 else [])
-            losses.append(loss)
+            losses.append(full[t])
             if abs(losses[-2] - losses[-1]) <= tol * max(abs(losses[-1]), 1e-12):
                 break
     finally:
