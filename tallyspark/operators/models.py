@@ -3,10 +3,11 @@
 One model is fitted on the pooled feature rows of all users (the feature
 table is an ordinary distributed DataFrame).  Multi-step prediction is
 sequential in time but parallel over users: the state is one row per user
-with an array of its last values.  The fitted trees become a column
-expression (``tree_columns``), and the whole horizon is one ``aggregate``
-over that array: one stage, no job or checkpoint for a step, and a lost
-executor's users are recomputed from their series.
+with an array of its last values.  The whole horizon is one stage, no job or
+checkpoint for a step, and a lost executor's users are recomputed from their
+series: fitted daily trees go over a batch of users at once in numpy, other
+predictors and the monthly trees are column expressions (``tree_columns``) in
+one ``aggregate`` over that array.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BAND, MIN_HISTORY
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, materialize
 from .forecast import eligible
 from .reports import daily_totals
 from .series import (DAILY_LAGS, calendar_columns, calendar_gap_fill, feature_table_daily,
                      feature_table_monthly)
 from .sharded import ShardedModel, load_sharded, save_sharded
-from .tree_columns import tree_columns
+from .tree_columns import TreeColumns, tree_columns
+from .tree_horizon import tree_horizon
 
 #: a prediction column from named feature columns
 Predictor = Callable[[dict[str, Column]], Column]
@@ -41,6 +43,8 @@ MONTHLY_FEATURES = ["month_num", "year_num", "quarter", "lag_1", "lag_2", "lag_3
 DAILY_GBT = dict(maxIter=300, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
                  featureSubsetStrategy="0.8", seed=42)
 MONTHLY_GBT = dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)
+#: rows that a task of the fit has at least
+TASK_ROWS = 1 << 15
 
 
 def fit_trees(train: DataFrame, features: list[str], label: str = "y", **params):
@@ -120,15 +124,16 @@ def _horizon(start: Column, periods: int, step: Callable[[Column, Column], Colum
                        lambda vals, k: F.concat(vals, F.array(step(vals, k))))
 
 
-def daily_recursion(daily: DataFrame, predict: Predictor | None, periods: int = 30) -> DataFrame:
+def daily_recursion(daily: DataFrame, predict: Predictor | TreeColumns | None, periods: int = 30) -> DataFrame:
     """(user_id, ds, yhat, yhat_lower, yhat_upper): ``periods`` days after each
     user's last one, each predicted from the days before it, clipped at 0,
     with a +-20 % band.
 
-    ``predict`` maps named feature columns to a prediction column.  Without
-    one, without its value, or while a user's lags are incomplete, the mean
-    of the last 7 values stands in.  The horizon is one expression over the
-    user's last values: no job, checkpoint or shuffle for a day."""
+    ``predict`` maps named feature columns to a prediction column, or is a
+    fitted ensemble over ``DAILY_FEATURES``.  Without one, without its value,
+    or while a user's lags are incomplete, the mean of the last 7 values
+    stands in.  The horizon is one stage over the users' last values: no job,
+    checkpoint or shuffle for a day."""
     depth = max(DAILY_LAGS)
     state = series_state(daily, [USER], depth)
 
@@ -139,8 +144,12 @@ def daily_recursion(daily: DataFrame, predict: Predictor | None, periods: int =
         p = predict(daily_features(vals, F.date_add(F.col("last_ds"), k)))
         return F.when(F.size(vals) < depth, mean).otherwise(F.coalesce(F.greatest(p, F.lit(0.0)), mean))
 
-    out = (state.withColumn("all", _horizon(F.col("vals"), periods, step))
-           .select(USER, "last_ds", F.posexplode(F.slice("all", F.size("vals") + 1, periods)).alias("pos", "yhat")))
+    if isinstance(predict, TreeColumns):
+        days = tree_horizon(state, USER, predict, DAILY_FEATURES, DAILY_LAGS, periods)
+    else:
+        days = (state.withColumn("all", _horizon(F.col("vals"), periods, step))
+                .select(USER, "last_ds", F.slice("all", F.size("vals") + 1, periods).alias("days")))
+    out = days.select(USER, "last_ds", F.posexplode("days").alias("pos", "yhat"))
     return out.select(USER, F.date_add("last_ds", F.col("pos") + 1).alias("ds"), "yhat",
                       (F.col("yhat") * (1 - BAND)).alias("yhat_lower"),
                       (F.col("yhat") * (1 + BAND)).alias("yhat_upper"))
@@ -159,12 +168,27 @@ def boosted_tree_forecast(expenses: DataFrame, periods: int = 30, params: dict |
     daily = daily_totals(expenses)
     if gap_fill:
         daily = calendar_gap_fill(daily)
-    daily, _ = eligible(daily, min_history)
+    series, (daily, _) = daily, eligible(daily, min_history)
     if predict is None:
         train = feature_table_daily(daily.select(USER, F.col("ds").alias("date"), F.col("y").alias("amount")))
-        if not train.dropna(subset=[*DAILY_FEATURES, "y"]).isEmpty():  # else nothing to learn from: trailing means
-            predict = tree_predictor(fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT)), DAILY_FEATURES)
-    return daily_recursion(daily, predict, periods)
+        train = train.dropna(subset=[*DAILY_FEATURES, "y"]).select(USER, "ds", *DAILY_FEATURES, "y")
+        kept = materialize(train, "tree-rows")
+        if rows := kept.count():  # else nothing to learn from: trailing means
+            parts = min(train.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS)
+            if parts > 1:  # fewer rows are fitted in the partitions they come in
+                train = _evenly(kept, parts)
+            predict = tree_columns(fit_trees(train, DAILY_FEATURES, **(params or DAILY_GBT)))
+        discard(kept)
+    # a number of its own: sized by bytes, the few small rows of all users would share a task
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return daily_recursion(eligible(series.repartition(parts, USER), min_history)[0], predict, periods)
+
+
+def _evenly(rows: DataFrame, parts: int) -> DataFrame:
+    """Training rows in partitions of about the same size, in a fixed order.
+    A tree takes a stage for each of its levels: with a task for each core,
+    not one or two more, every stage is a single wave."""
+    return rows.repartition(parts, USER, "ds").sortWithinPartitions(USER, "ds")
 
 
 # --- monthly (M4, M5, M12) --------------------------------------------------

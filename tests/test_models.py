@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import categorize as K
 from tallyspark.operators import models as T
 from tallyspark.operators.evaluate import classification_report
+from tallyspark.operators.tree_columns import TreeColumns
 from tallyspark.sources.tables import note_labels
 
 
@@ -84,3 +85,21 @@ def test_vocabulary_has_room_for_all_and_models_reload(spark, tmp_path):
     a, b = (sorted(K.predict_category(m, df).select("doc_id", "predicted_category", "confidence").collect())
             for m in (model, T.load_model(path)))
     assert a == b and {r.predicted_category for r in a} <= {"r", "b"}
+
+
+def test_trees_give_a_batch_of_users_the_days_of_the_column_form(spark):
+    """Also to users whose lags are incomplete or whose values are missing."""
+    rows = []
+    for u, days in enumerate([40, 14, 13, 5, 1, 33, 20]):
+        for i in range(days):
+            y = None if (u, i) in ((5, 30), (6, 15), (2, 12)) else float((i * 37 + u * 11) % 23) + 0.1 * u
+            rows.append((u if u else None, dt.date(2024, 1, 1) + dt.timedelta(days=i * (1 + u % 3)), y))
+    daily = spark.createDataFrame(rows, "user_id long, ds date, y double")
+    for depth in (0, 1, 3):
+        heap = (1 << depth) - 1
+        trees = TreeColumns(5, depth, [(k * 7) % 15 for k in range(5 * heap)], [float(k * 5 % 19) for k in range(5 * heap)],
+                            [k * 0.37 - 2 for k in range(5 << depth)])
+        by_column = T.daily_recursion(
+            daily, lambda f: trees.predict(F.array(*[f[x].cast("double") for x in T.DAILY_FEATURES])), 20)
+        got, want = (sorted(fc.collect(), key=str) for fc in (T.daily_recursion(daily, trees, 20), by_column))
+        assert len(got) == 7 * 20 and got == want

@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+from tallyspark.operators import models
 from tallyspark.operators.categorize import token_counts
 from tallyspark.operators.forecast import seasonal_trend_regression
 from tallyspark.sources.synthetic import synthetic_expenses
@@ -32,3 +33,21 @@ def test_terms_of_a_document_are_counted_in_its_row(spark):
     alone = spark.createDataFrame(rows[:2], "doc_id long, clean_notes string")
     plan = token_counts(alone)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("inline(") and plan.count("Aggregate") == 1  # of shared ids only
+
+
+def test_users_of_the_tree_forecast_and_rows_of_the_fit_are_dealt_out(spark, monkeypatch):
+    rows = [(u * 100 + i, u, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7)) for u in range(8) for i in range(30)]
+    e = spark.createDataFrame(rows, "id long, user_id long, date date, amount double")
+    seen = []
+
+    def fit(train, *a, **k):
+        seen.append(train.rdd.getNumPartitions())
+        return fitted(train, *a, **k)
+
+    fitted = models.fit_trees
+    monkeypatch.setattr(models, "fit_trees", fit)
+    monkeypatch.setattr(models, "TASK_ROWS", 40)
+    fc = models.boosted_tree_forecast(e, 2, params=dict(maxIter=2, maxDepth=2, seed=1))
+    plan = fc._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "MapInArrow" in plan  # a batch of users, not a split of one of them
+    assert seen == [min(spark.sparkContext.defaultParallelism, 8 * 16 // 40)] and fc.count() == 16
