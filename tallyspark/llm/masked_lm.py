@@ -22,6 +22,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,14 @@ def learners_for(words: int) -> int:
 class _Ids(dict):
     """Word -> place in the vocabulary; rare words share hashed places."""
 
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Places of a text's words, and those of its words that share one."""
+        out = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        at = np.flatnonzero(out < 0)
+        rare = [words[i] for i in at.tolist()]
+        out[at] = np.fromiter(map(zlib.crc32, rare), dtype=np.uint32, count=len(rare)) % BUCKETS + self.first
+        return out, rare
+
     def __init__(self, words: list[bytes], first: int):
         super().__init__({w: i + 1 for i, w in enumerate(words)})
         self.first = first
@@ -147,16 +156,13 @@ class Network:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words, ``SIDE`` zeros around each text; words in each."""
-        return self.places([words_of(t) for t in texts])
+        return self.padded([self.ids.of(words_of(t))[0] for t in texts])  # a text's words are let go at once
 
-    def places(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        out = np.zeros(int(sizes.sum()) + SIDE * (len(words) + 1), dtype=np.int32)
-        at = SIDE
-        for w in words:
-            out[at:at + len(w)] = np.fromiter(map(self.ids.__getitem__, w), dtype=np.int32, count=len(w))
-            at += len(w) + SIDE
-        return out, sizes
+    @staticmethod
+    def padded(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        gap = np.zeros(SIDE, dtype=np.int32)
+        out = np.concatenate([gap, *(x for p in places for x in (p, gap))])
+        return out, np.array([len(p) for p in places], dtype=np.int64)
 
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         see, h = self.w["see"], np.zeros((len(at), HIDDEN), dtype=np.float32)
@@ -171,7 +177,7 @@ class Network:
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """ln p(place of the word at each place | the words around it)."""
-        order = np.argsort(ids[at], kind="stable")
+        order = _order(ids[at], self.size)
         at = at[order]
         h, target = self._hidden(ids, at), ids[at]
         c, k = target // self.each, target % self.each
@@ -190,7 +196,7 @@ class Network:
 
     def learn(self, ids: np.ndarray, at: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the words at ``at``."""
-        at = at[np.argsort(ids[at], kind="stable")]  # each class in a row
+        at = at[_order(ids[at], self.size)]  # each class in a row
         h, target = self._hidden(ids, at), ids[at]
         c, k = target // self.each, target % self.each
         p = _odds(h @ self.w["class"], self.w["class0"])
@@ -213,18 +219,21 @@ class Network:
         weights[run, at % RUN + 2 * SIDE] = back
         near = ids[np.minimum(np.maximum(runs[:, None] * RUN + np.arange(-SIDE, RUN + SIDE), 0), len(ids) - 1)]
         cell = (np.arange(len(runs))[:, None] * (RUN + 4 * SIDE) + np.arange(SIDE, RUN + 3 * SIDE)).ravel()
-        order = np.argsort(near.ravel(), kind="stable")
+        order = _order(near.ravel(), self.size)
         seen = near.ravel()[order]
         first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
         rows, cell, weights = seen[first], cell[order], weights.reshape(-1, HIDDEN)  # only the rows that were seen
+        sums = _Sums(first, cell)
         for d, off in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-            g = np.add.reduceat(np.take(weights, cell - off, axis=0), first, axis=0)
-            self._move("see", (d, rows), g, memory)
+            self._move("see", (d, rows), sums.of(weights, off), memory)
 
     def _move(self, name: str, part, g: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        m = memory[name][part] + g * g
+        m = g * g
+        m += memory[name][part]
         memory[name][part] = m
-        self.w[name][part] -= RATE * g / np.sqrt(m)
+        g = RATE * g
+        g /= np.sqrt(m, out=m)
+        self.w[name][part] -= g
 
     def without_tail(self) -> Network:
         out = copy.copy(self)
@@ -235,6 +244,39 @@ class Network:
         return {k: np.full_like(v, 0.1) for k, v in self.w.items()}
 
 
+class _Sums:
+    """``np.add.reduceat`` over the rows at ``cell``, bit for bit: groups of
+    few rows, the most, are summed side by side instead of one by one."""
+
+    def __init__(self, first: np.ndarray, cell: np.ndarray):
+        sizes = np.diff(np.append(first, len(cell)))
+        self.long = np.flatnonzero(sizes > 8)
+        self.many = cell[np.repeat(sizes > 8, sizes)]
+        self.starts = np.cumsum(sizes[self.long]) - sizes[self.long]
+        self.few = [(at, [cell[first[at] + i] for i in range(n)])
+                    for n in range(1, 9) if len(at := np.flatnonzero(sizes == n))]
+        self.groups = len(first)
+
+    def of(self, weights: np.ndarray, off: int) -> np.ndarray:
+        out = np.empty((self.groups, weights.shape[1]), dtype=weights.dtype)
+        if len(self.long):
+            out[self.long] = np.add.reduceat(np.take(weights, self.many - off, axis=0), self.starts, axis=0)
+        for at, cells in self.few:
+            total = np.take(weights, cells[0] - off, axis=0)
+            if len(cells) > 1:  # the first one is added last
+                rest = np.take(weights, cells[1] - off, axis=0)
+                for c in cells[2:]:
+                    rest += np.take(weights, c - off, axis=0)
+                total += rest
+            out[at] = total
+        return out
+
+
+def _order(keys: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of keys below ``size``: small ones are sorted in linear time."""
+    return np.argsort(keys.astype(np.uint16) if size <= 1 << 16 else keys, kind="stable")
+
+
 def _sums(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], dtype=z.dtype)
 
@@ -262,7 +304,8 @@ def _train(shared, seed: int):
             at = _places(sizes)[0]
             memory = memory or net.fresh_memory()
             step = min(MOST, max(STEP, len(at) // STEPS))
-            at = at[np.argsort(rng.permutation(len(ids) // RUN + 1)[at // RUN], kind="stable")]
+            runs = len(ids) // RUN + 1
+            at = at[_order(rng.permutation(runs)[at // RUN], runs)]
             for i in range(0, len(at), step):
                 net.learn(ids, at[i:i + step], memory)
             seen += len(at)
@@ -374,8 +417,8 @@ def _scores(shared, schema):
         net = shared.value
         tail, first = net.tail, net.size - BUCKETS
         for b in text_slices(batches, "__text"):
-            words = [words_of(t) for t in utf8(b.column("__text"))]
-            ids, sizes = net.places(words)
+            found = [net.ids.of(words_of(t)) for t in utf8(b.column("__text"))]
+            ids, sizes = net.padded([p for p, _ in found])
             at, doc = _places(sizes)
             total = np.zeros(len(sizes))
             for i in range(0, len(at), CHUNK):
@@ -383,11 +426,10 @@ def _scores(shared, schema):
                                      minlength=len(sizes))
             place = ids[at] - first
             shares = np.flatnonzero(place >= 0)
-            flat = [w for own in words for w in own]
-            rare = [flat[i] for i in shares.tolist()]
+            rare = [w for _, own in found for w in own]
             place, doc = place[shares], doc[shares]
             inner = tail.known(rare, place)
-            left: list[Counter] = [Counter() for _ in words]
+            left: list[Counter] = [Counter() for _ in found]
             for i in np.flatnonzero(np.isnan(inner)).tolist():
                 inner[i] = 0.0
                 left[doc[i]][rare[i], int(place[i])] += 1
@@ -396,7 +438,7 @@ def _scores(shared, schema):
                       for (w, p), n in own.items()] for own in left]
             if tail.whole:
                 total += [sum(x["n"] * x["unseen"] for x in own) for own in asked]
-                asked = [[] for _ in words]
+                asked = [[] for _ in found]
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(sizes), pa.array(total),
                                               pa.array(asked, target.field(3).type)], schema=target)
     return run

@@ -358,3 +358,21 @@ def test_toxicity_sample_loses_copies_alone(spark):
     scratch = toxicity.Scratch(spark, "test")
     kept = sorted(r["__id"] for r in toxicity.without_copies(df, scratch).collect())
     assert kept == [*range(200), 300, 400, 402, 500, 501]
+
+
+def test_grouped_sums_and_places_are_those_of_the_plain_way():
+    """Bit for bit, so that the trained weights do not move."""
+    rng = np.random.default_rng(0)
+    rows = rng.standard_normal((500, 24)).astype(np.float32)
+    for n in (1, 40, 3000):
+        keys = np.sort(np.minimum(rng.zipf(1.3, n), 300))
+        first, cell = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), rng.integers(3, 497, n)
+        want = np.add.reduceat(np.take(rows, cell - 2, axis=0), first, axis=0)
+        assert masked_lm._Sums(first, cell).of(rows, 2).tobytes() == want.tobytes()
+    for size in (300, 1 << 17):  # linear sort, general sort
+        keys = rng.integers(0, size, 5000)
+        assert (masked_lm._order(keys, size) == np.argsort(keys, kind="stable")).all()
+    ids = masked_lm._Ids([b"a", b"b"], 3)
+    for words in ([], [b"b", b"x", b"a", b"yy", b"x"]):
+        places, rare = ids.of(words)
+        assert places.tolist() == [ids[w] for w in words] and rare == [w for w in words if w not in (b"a", b"b")]
