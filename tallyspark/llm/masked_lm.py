@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from .common import Scratch, arrow_schema, hash_unit, text_slices, utf8
-from .decontaminate import words_of
+from .decontaminate import _WORDS
 
 #: places of the smallest vocabulary (0: outside of the text; the last BUCKETS:
 #: hashed rare words) and the counted words up to which it does, places in one
@@ -42,7 +42,9 @@ VOCAB, BUCKETS, VOCAB_WORDS, CLASS, SIDE, HIDDEN = 2048, 256, 1 << 22, 64, 3, 24
 #: words in a step at least and at most, steps for a slice of text, places
 #: that stay together when a slice is shuffled.
 SHARE, ROUNDS, STEP, MOST, STEPS, RUN, RATE = 0.25, 4, 512, 16384, 16, 64, 0.1
-CHUNK, HELD_WORDS = 1 << 15, 400_000
+CHUNK, HELD_WORDS = 1 << 16, 400_000
+#: numbers that are worked on at once, so that they stay in a core's cache.
+NEAR = 1 << 16
 #: words of a corpus that one learner trains on alone; beyond, learners grow
 #: with the 3/4 power of the words.  Weights travel in slices of so many bytes.
 LEARNER_WORDS, SLICE = 1 << 22, 1 << 18
@@ -52,22 +54,46 @@ HELD_COUNTS = 1 << 18
 GRAIN = 1e-9
 
 
+def _split(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in a row, as ``words_of`` splits them; words in each."""
+    joined = b" ".join([*(t or b"" for t in texts), b""]).translate(_WORDS)
+    gap = np.frombuffer(joined, np.uint8) == 0x20
+    edges = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts),
+                                  [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(None, b" "))])
+    ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _distinct(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of the texts, which of them each word is, words in each text."""
+    words, sizes = _split(texts)
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        return (pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                .select(["word", "n_sum"]).rename_columns(["word", "n"]))
 
-    def told():
-        words = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())],
-                                          names=["word", "n"])
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from table.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches()
 
     for b in text_slices(batches, "__text"):
-        for t in utf8(b.column("__text")):
-            seen.update(words_of(t))
-        if len(seen) >= HELD_WORDS:
-            yield told()
-            seen.clear()
-    if seen:
-        yield told()
+        seen = _split(utf8(b.column("__text")))[0].value_counts()
+        held.append(pa.table({"word": seen.field("values"), "n": seen.field("counts")}))
+        if sum(t.num_rows for t in held) >= 2 * HELD_WORDS:
+            held = [summed()]
+            if held[0].num_rows >= HELD_WORDS:
+                yield from told(held.pop())
+    if held:
+        yield from told(summed())
 
 
 def places_for(words: int) -> tuple[int, int]:
@@ -132,7 +158,7 @@ class Tail:
     def known(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
         """NaN: not among the held counts."""
         get, none = self.counts.get, math.nan
-        found = np.fromiter((get(w, none) for w in words), dtype=np.float64, count=len(words))
+        found = np.fromiter(map(get, words, repeat(none)), dtype=np.float64, count=len(words))
         return found - self.all[places]
 
 
@@ -156,18 +182,31 @@ class Network:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words, ``SIDE`` zeros around each text; words in each."""
-        return self.padded([self.ids.of(words_of(t))[0] for t in texts])  # a text's words are let go at once
+        words, which, sizes = _distinct(texts)
+        return self.padded(self.ids.of(words)[0][which], sizes), sizes
 
     @staticmethod
-    def padded(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        gap = np.zeros(SIDE, dtype=np.int32)
-        out = np.concatenate([gap, *(x for p in places for x in (p, gap))])
-        return out, np.array([len(p) for p in places], dtype=np.int64)
-
-    def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        see, h = self.w["see"], np.zeros((len(at), HIDDEN), dtype=np.float32)
-        for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            h += np.take(see[k], ids[at + d], axis=0)
+    def padded(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places) + SIDE * (len(sizes) + 1), dtype=np.int32)
+        out[_places(sizes)[0]] = places
+        return out
+
+    def _sides(self) -> np.ndarray:
+        """The tables of all sides, with a column that makes a one in
+        ``_hidden``: 1 - 2 / (1 + exp(40)) is one exactly."""
+        out = np.zeros((2 * SIDE, self.size, HIDDEN + 1), dtype=np.float32)
+        out[..., :HIDDEN] = self.w["see"]
+        out[0, :, HIDDEN] = 20
+        return out
+
+    @staticmethod
+    def _hidden(around: np.ndarray, see: np.ndarray) -> np.ndarray:
+        """Hidden units of all places in a row but ``SIDE`` at either end, for
+        each row of ``around``, and a one for the constant of what follows."""
+        around, n = around.astype(np.intp), around.shape[1] - 2 * SIDE
+        h = np.take(see[0], around[:, :n], axis=0)
+        for k, d in enumerate([*range(1 - SIDE, 0), *range(1, SIDE + 1)], 1):
+            h += np.take(see[k], around[:, SIDE + d:SIDE + d + n], axis=0)
         h *= 2  # tanh by one exponential
         np.exp(h, out=h)
         h += 1
@@ -176,20 +215,27 @@ class Network:
         return h
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """ln p(place of the word at each place | the words around it)."""
-        order = _order(ids[at], self.size)
-        at = at[order]
-        h, target = self._hidden(ids, at), ids[at]
-        c, k = target // self.each, target % self.each
-        z = h @ self.w["class"]
-        z += self.w["class0"]
-        got = z[np.arange(len(at)), c] - np.log(_sums(np.exp(z, out=z)))
-        cuts = np.searchsorted(c, np.arange(self.size // self.each + 1))
+        """ln p(place of the word at each place | the words around it); the
+        places ascend."""
+        if not len(at):
+            return np.empty(0, dtype=np.float32)
+        see, h = self._sides(), np.empty((len(at), HIDDEN + 1), dtype=np.float32)
+        for rows in _near(0, len(at), HIDDEN):
+            mid = at[rows]
+            h[rows] = np.take(self._hidden(ids[None, mid[0] - SIDE:mid[-1] + SIDE + 1], see)[0], mid - mid[0], axis=0)
+        target = ids[at]
+        order = _order(target, self.size)
+        target, got = target[order], np.empty(len(at), dtype=np.float32)
+        cuts = np.searchsorted(target, np.arange(0, self.size + 1, self.each))
+        to_class = np.vstack([self.w["class"], self.w["class0"]])
         for j in np.flatnonzero(np.diff(cuts)):
-            rows = slice(cuts[j], cuts[j + 1])
-            z = h[rows] @ self.w["word"][j]
-            z += self.w["word0"][j]
-            got[rows] += z[np.arange(len(z)), k[rows]] - np.log(_sums(np.exp(z, out=z)))
+            to_word = np.vstack([self.w["word"][j], self.w["word0"][j]])
+            for rows in _near(cuts[j], cuts[j + 1], self.each):
+                own = np.take(h, order[rows], axis=0)
+                z = own @ to_class
+                got[rows] = z[:, j] - np.log(_sums(np.exp(z)))
+                z = own @ to_word
+                got[rows] += z[np.arange(len(z)), target[rows] - j * self.each] - np.log(_sums(np.exp(z, out=z)))
         out = np.empty_like(got)
         out[order] = got
         return out
@@ -197,43 +243,67 @@ class Network:
     def learn(self, ids: np.ndarray, at: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the words at ``at``."""
         at = at[_order(ids[at], self.size)]  # each class in a row
-        h, target = self._hidden(ids, at), ids[at]
+        sides = _beside(self.w)
+        see = self._sides()
+        run, number = at // RUN, np.zeros(len(ids) // RUN + 1, dtype=np.intp)
+        number[run] = 1
+        runs = np.flatnonzero(number)
+        number[runs] = np.arange(len(runs))
+        run = number[run]
+        near = ids[np.minimum(np.maximum(runs[:, None] * RUN + np.arange(-SIDE, RUN + SIDE), 0), len(ids) - 1)]
+        h1 = np.empty((len(runs), RUN, HIDDEN + 1), dtype=np.float32)
+        for part in _near(0, len(runs), near.shape[1] * HIDDEN):
+            h1[part] = self._hidden(near[part], see)
+        h1, target = np.take(h1.reshape(-1, HIDDEN + 1), run * RUN + at % RUN, axis=0), ids[at]
+        h = np.ascontiguousarray(h1[:, :HIDDEN])
         c, k = target // self.each, target % self.each
-        p = _odds(h @ self.w["class"], self.w["class0"])
+        p = _odds(h1, np.vstack([self.w["class"], self.w["class0"]]))
         p[np.arange(len(at)), c] -= 1
-        back = p @ self.w["class"].T
+        back = np.zeros((len(at) + 1, HIDDEN), dtype=np.float32)  # and a row of zeros
+        np.matmul(p, self.w["class"].T, out=back[:-1])
         self._move("class", ..., h.T @ p, memory)
         self._move("class0", ..., p.sum(axis=0), memory)
         cuts = np.searchsorted(c, np.arange(self.size // self.each + 1))
-        for j in np.flatnonzero(np.diff(cuts)):
+        live = np.flatnonzero(np.diff(cuts))
+        word = np.empty((len(live), HIDDEN, self.each), dtype=np.float32)
+        word0 = np.empty((len(live), self.each), dtype=np.float32)
+        to_word = np.concatenate([self.w["word"][live], self.w["word0"][live, None]], axis=1)
+        for i, j in enumerate(live):
             rows = slice(cuts[j], cuts[j + 1])
-            p = _odds(h[rows] @ self.w["word"][j], self.w["word0"][j])
-            p[np.arange(len(p)), k[rows]] -= 1
+            p = _odds(h1[rows], to_word[i])
+            p.reshape(-1)[np.arange(0, p.size, self.each) + k[rows]] -= 1
             back[rows] += p @ self.w["word"][j].T
-            self._move("word", j, h[rows].T @ p, memory)
-            self._move("word0", j, p.sum(axis=0), memory)
-        back *= 1 - h * h
-        runs, run = np.unique(at // RUN, return_inverse=True)
+            np.matmul(h[rows].T, p, out=word[i])
+            np.add.reduce(p, axis=0, out=word0[i])
+        self._move("word", live, word, memory)
+        self._move("word0", live, word0, memory)
+        back[:-1] *= 1 - h * h
         # all six sides of a run are shifts of one table; places outside have no weight
-        weights = np.zeros((len(runs), RUN + 4 * SIDE, HIDDEN), dtype=np.float32)
-        weights[run, at % RUN + 2 * SIDE] = back
-        near = ids[np.minimum(np.maximum(runs[:, None] * RUN + np.arange(-SIDE, RUN + SIDE), 0), len(ids) - 1)]
+        filled = np.full((len(runs), RUN + 4 * SIDE), len(at))
+        filled[run, at % RUN + 2 * SIDE] = np.arange(len(at))
+        weights = np.take(back, filled, axis=0)
         cell = (np.arange(len(runs))[:, None] * (RUN + 4 * SIDE) + np.arange(SIDE, RUN + 3 * SIDE)).ravel()
         order = _order(near.ravel(), self.size)
         seen = near.ravel()[order]
         first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-        rows, cell, weights = seen[first], cell[order], weights.reshape(-1, HIDDEN)  # only the rows that were seen
-        sums = _Sums(first, cell)
-        for d, off in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
-            self._move("see", (d, rows), sums.of(weights, off), memory)
+        rows, cell = seen[first], cell[order]  # only the rows that were seen
+        # a place and its neighbours lie in a row: all sides are summed at once
+        wide = np.lib.stride_tricks.as_strided(weights, (weights.shape[0] * weights.shape[1] - 2 * SIDE, (2 * SIDE + 1) * HIDDEN),
+                                               (HIDDEN * weights.itemsize, weights.itemsize), writeable=False)
+        sums = _Sums(first, cell).of(wide, SIDE).reshape(-1, 2 * SIDE + 1, HIDDEN)
+        self._step(sides, rows, sums[:, [SIDE - d for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]].reshape(len(rows), -1), _beside(memory))
 
     def _move(self, name: str, part, g: np.ndarray, memory: dict[str, np.ndarray]) -> None:
+        self._step(self.w[name], part, g, memory[name])
+
+    @staticmethod
+    def _step(w: np.ndarray, part, g: np.ndarray, memory: np.ndarray) -> None:
         m = g * g
-        m += memory[name][part]
-        memory[name][part] = m
+        m += memory[part]
+        memory[part] = m
         g = RATE * g
         g /= np.sqrt(m, out=m)
-        self.w[name][part] -= g
+        w[part] -= g
 
     def without_tail(self) -> Network:
         out = copy.copy(self)
@@ -244,34 +314,92 @@ class Network:
         return {k: np.full_like(v, 0.1) for k, v in self.w.items()}
 
 
+def _beside(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The tables of all sides with a word's rows in one, the same memory as
+    ``w["see"]``, which is laid out so if it was not."""
+    wide = w["see"].transpose(1, 0, 2)
+    if not wide.flags.c_contiguous:
+        wide = np.ascontiguousarray(wide)
+        w["see"] = wide.transpose(1, 0, 2)
+    return wide.reshape(len(wide), -1)
+
+
 class _Sums:
-    """``np.add.reduceat`` over the rows at ``cell``, bit for bit: groups of
-    few rows, the most, are summed side by side instead of one by one."""
+    """``np.add.reduceat`` over the rows at ``cell``, bit for bit, with whole
+    rows added side by side.  numpy adds a group's first row to the pairwise
+    sum of the others: up to 7 one by one, up to 128 in eight sums that take
+    turns, more in two halves, cut at a multiple of eight."""
 
     def __init__(self, first: np.ndarray, cell: np.ndarray):
         sizes = np.diff(np.append(first, len(cell)))
+        self.cell, self.first, self.groups = cell, first, len(first)
+        self.few = [(n, at) for n in range(1, 9) if len(at := np.flatnonzero(sizes == n))]
         self.long = np.flatnonzero(sizes > 8)
-        self.many = cell[np.repeat(sizes > 8, sizes)]
-        self.starts = np.cumsum(sizes[self.long]) - sizes[self.long]
-        self.few = [(at, [cell[first[at] + i] for i in range(n)])
-                    for n in range(1, 9) if len(at := np.flatnonzero(sizes == n))]
-        self.groups = len(first)
+        starts, counts = first[self.long] + 1, sizes[self.long] - 1
+        cut = np.flatnonzero(counts > 128)
+        self.root = np.arange(len(self.long))
+        more, self.halves = [], []  # blocks of cut groups; pairs of blocks to add
+        for i in cut.tolist():
+            self.root[i] = self._cut(int(starts[i]), int(counts[i]), len(starts), more)
+        starts = np.append(starts, np.array([x for x, _ in more], dtype=np.int64))
+        counts = np.append(counts, np.array([n for _, n in more], dtype=np.int64))
+        counts[cut] = 0
+        self.blocks = np.argsort(-counts, kind="stable")
+        self.blocks = self.blocks[counts[self.blocks] > 0]
+        self.starts, self.counts, self.slots = starts[self.blocks], counts[self.blocks], len(counts)
+
+    def _cut(self, start: int, n: int, base: int, more: list) -> int:
+        """The slot of a block's sum; a halved one has no rows of its own."""
+        if n <= 128:
+            more.append((start, n))
+            return base + len(more) - 1
+        half = n // 2 - n // 2 % 8
+        pair = self._cut(start, half, base, more), self._cut(start + half, n - half, base, more)
+        more.append((start, 0))
+        self.halves.append((base + len(more) - 1, *pair))
+        return base + len(more) - 1
 
     def of(self, weights: np.ndarray, off: int) -> np.ndarray:
-        out = np.empty((self.groups, weights.shape[1]), dtype=weights.dtype)
-        if len(self.long):
-            out[self.long] = np.add.reduceat(np.take(weights, self.many - off, axis=0), self.starts, axis=0)
-        for at, cells in self.few:
-            total = np.take(weights, cells[0] - off, axis=0)
-            if len(cells) > 1:  # the first one is added last
-                rest = np.take(weights, cells[1] - off, axis=0)
-                for c in cells[2:]:
-                    rest += np.take(weights, c - off, axis=0)
-                total += rest
-            out[at] = total
+        cell, width = self.cell - off, weights.shape[1]
+        out = np.empty((self.groups, width), dtype=weights.dtype)
+        for n, groups in self.few:
+            for part in _near(0, len(groups), width):
+                at = groups[part]
+                first = self.first[at]
+                total = weights[cell[first]]
+                if n > 1:  # the first one is added last
+                    rest = weights[cell[first + 1]]
+                    for i in range(2, n):
+                        rest += weights[cell[first + i]]
+                    total += rest
+                out[at] = total
+        sums = np.empty((self.slots, width), dtype=weights.dtype)
+        eight = np.arange(8)
+        for part in _near(0, len(self.starts), 8 * width):
+            starts, turns, left = self.starts[part], self.counts[part] // 8, self.counts[part] % 8
+            r = weights[cell[starts[:, None] + eight]]
+            for i, on in enumerate(np.searchsorted(-turns, -np.arange(1, turns[0])), 1):  # the largest blocks come first
+                r[:on] += weights[cell[starts[:on, None] + (8 * i + eight)]]
+            r = r[:, 0::2] + r[:, 1::2]
+            r = r[:, 0::2] + r[:, 1::2]
+            r = r[:, 0] + r[:, 1]
+            order = np.argsort(-left, kind="stable")
+            r, left, ends = r[order], left[order], (starts + 8 * turns)[order]
+            for i, on in enumerate(np.searchsorted(-left, -np.arange(left[0]))):
+                r[:on] += weights[cell[ends[:on] + i]]
+            sums[self.blocks[part][order]] = r
+        for into, a, b in self.halves:
+            np.add(sums[a], sums[b], out=sums[into])
+        out[self.long] = weights[cell[self.first[self.long]]] + sums[self.root]
         return out
 
 
+def _near(start: int, end: int, width: int) -> Iterator[slice]:
+    """The rows in slices of about ``NEAR`` numbers."""
+    step = max(1, NEAR // width)
+    return (slice(i, min(i + step, end)) for i in range(start, end, step))
+
+
 def _order(keys: np.ndarray, size: int) -> np.ndarray:
     """The stable order of keys below ``size``: small ones are sorted in linear time."""
     return np.argsort(keys.astype(np.uint16) if size <= 1 << 16 else keys, kind="stable")
@@ -281,12 +409,17 @@ def _sums(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], dtype=z.dtype)
 
 
-def _odds(z: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Softmax of each row of ``z + base``, in place."""
-    z += base
-    np.exp(np.minimum(z, 60, out=z), out=z)
-    z /= _sums(z)[:, None]
-    return z
+def _odds(h: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Softmax of each row of ``h @ to``; above 60 all are 60."""
+    out, most = np.empty((len(h), to.shape[1]), dtype=h.dtype), np.exp(np.float32(60))
+    with np.errstate(over="ignore"):
+        for rows in _near(0, len(h), to.shape[1]):
+            z = np.matmul(h[rows], to, out=out[rows])
+            sums = _sums(np.exp(z, out=z))
+            if sums.max() > most:
+                sums = _sums(np.minimum(z, most, out=z))
+            z /= sums[:, None]
+    return out
 
 
 def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -417,28 +550,25 @@ def _scores(shared, schema):
         net = shared.value
         tail, first = net.tail, net.size - BUCKETS
         for b in text_slices(batches, "__text"):
-            found = [net.ids.of(words_of(t)) for t in utf8(b.column("__text"))]
-            ids, sizes = net.padded([p for p, _ in found])
+            words, which, sizes = _distinct(utf8(b.column("__text")))
+            places, rare = net.ids.of(words)
+            ids = net.padded(places[which], sizes)
             at, doc = _places(sizes)
             total = np.zeros(len(sizes))
             for i in range(0, len(at), CHUNK):
                 total += np.bincount(doc[i:i + CHUNK], weights=net.log_probs(ids, at[i:i + CHUNK]),
                                      minlength=len(sizes))
-            place = ids[at] - first
-            shares = np.flatnonzero(place >= 0)
-            rare = [w for _, own in found for w in own]
-            place, doc = place[shares], doc[shares]
-            inner = tail.known(rare, place)
-            left: list[Counter] = [Counter() for _ in found]
-            for i in np.flatnonzero(np.isnan(inner)).tolist():
-                inner[i] = 0.0
-                left[doc[i]][rare[i], int(place[i])] += 1
-            total += np.bincount(doc, weights=inner, minlength=len(sizes))
+            inner, shares = np.zeros(len(words)), places >= first
+            inner[shares] = tail.known(rare, places[shares] - first)
+            left: list[Counter] = [Counter() for _ in sizes]
+            for i in np.flatnonzero(np.isnan(inner)[which]).tolist():
+                left[doc[i]][words[which[i]], int(places[which[i]] - first)] += 1
+            total += np.bincount(doc, weights=np.nan_to_num(inner)[which], minlength=len(sizes))
             asked = [[{"word": w, "n": n, "all": float(tail.all[p]), "unseen": tail.unseen(w, p)}
                       for (w, p), n in own.items()] for own in left]
             if tail.whole:
                 total += [sum(x["n"] * x["unseen"] for x in own) for own in asked]
-                asked = [[] for _ in found]
+                asked = [[] for _ in sizes]
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(sizes), pa.array(total),
                                               pa.array(asked, target.field(3).type)], schema=target)
     return run

@@ -2,12 +2,15 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import masked_lm, quality, toxicity
+from tallyspark.llm.decontaminate import words_of
 from tallyspark.llm.labelled import labelled_sample
 from tallyspark.llm.queries import QUERIES
 
@@ -376,3 +379,65 @@ def test_grouped_sums_and_places_are_those_of_the_plain_way():
     for words in ([], [b"b", b"x", b"a", b"yy", b"x"]):
         places, rare = ids.of(words)
         assert places.tolist() == [ids[w] for w in words] and rare == [w for w in words if w not in (b"a", b"b")]
+
+
+def test_words_are_split_once_and_looked_up_once_each(monkeypatch):
+    texts = [b"A_b-c\td9 b", None, b"", b" b b  b! ", "x\x00\u00c9\u4e2d b".encode(), b"...", b"b" * 5000]
+    each = [words_of(t) for t in texts]
+    words, which, sizes = masked_lm._distinct(texts)
+    assert sizes.tolist() == [len(e) for e in each]
+    assert [words[i] for i in which.tolist()] == [w for e in each for w in e] and len(set(words)) == len(words)
+    for empty in ([], [None, b"", b"  "]):
+        words, which, sizes = masked_lm._distinct(empty)
+        assert words == [] and len(which) == 0 and sizes.tolist() == [0] * len(empty)
+    asked, of = [], masked_lm._Ids.of
+    monkeypatch.setattr(masked_lm._Ids, "of", lambda self, w: asked.extend(w) or of(self, w))
+    net = tiny_network()
+    ids, sizes = net.encode(texts)
+    assert sorted(asked) == sorted({w for e in each for w in e})
+    assert ids[masked_lm._places(sizes)[0]].tolist() == [net.ids[w] for e in each for w in e]
+
+
+def test_counts_are_those_of_all_words(monkeypatch):
+    texts = [f"w{i % 7} W{i % 90} x" for i in range(300)] + [None, "", "!"]
+    batches = [pa.record_batch({"__text": pa.array(texts[i:i + 50], pa.string())}) for i in range(0, len(texts), 50)]
+    want = Counter(w for t in texts for w in words_of((t or "").encode()))
+    for held in (400_000, 120, 3):
+        monkeypatch.setattr(masked_lm, "HELD_WORDS", held)
+        got = Counter()
+        for b in masked_lm._count(iter(batches)):
+            assert b.schema.names == ["word", "n"] and b.schema.types == [pa.binary(), pa.int64()]
+            got.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist())) if b.num_rows else {})
+        assert got == want
+
+
+def test_scores_and_steps_do_not_depend_on_blocks(monkeypatch):
+    """Blocks are for the cache: all but the rounding stays."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 5000)).encode() for n in (900, 0, 1, 40, 700)]
+    n = rng.integers(1, 50, masked_lm.VOCAB).astype(float)
+    got = []
+    for near in (1 << 16, 3000):
+        monkeypatch.setattr(masked_lm, "NEAR", near)
+        net = masked_lm.Network([f"w{i}".encode() for i in range(1, 1500)], n)
+        ids, sizes = net.encode(texts)
+        at, memory = masked_lm._places(sizes)[0], net.fresh_memory()
+        for i in (0, 800):
+            net.learn(ids, at[i:i + 800], memory)
+        got.append((net, net.log_probs(ids, at)))
+    (net, scores), (other, others) = got
+    assert all(np.allclose(net.w[k], other.w[k], atol=1e-5) for k in net.w) and np.allclose(scores, others, atol=1e-4)
+    assert np.allclose(scores, [plain_log_prob(net, ids.tolist(), i) for i in at.tolist()], atol=1e-3)
+
+
+def test_softmax_is_cut_at_sixty():
+    """As the plain formula, with the constants in the last row of the table."""
+    rng = np.random.default_rng(2)
+    h = np.ones((700, 5), dtype=np.float32)
+    h[:, :4] = rng.standard_normal((700, 4))
+    to = rng.standard_normal((5, 128)).astype(np.float32) * 3
+    for scale in (1, 40, 400):
+        z = np.minimum(h.astype(float) @ (to * np.float32(scale)), 60)
+        want = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        got = masked_lm._odds(h, to * np.float32(scale))
+        assert np.isfinite(got).all() and np.allclose(got, want, atol=2e-3)
