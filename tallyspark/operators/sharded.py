@@ -3,39 +3,46 @@ stay in a table.
 
 No vector of vocabulary size exists on the driver or in a task.  The notes
 are cut into blocks of rows, the vocabulary into shards of tokens.  A block
-is laid out once as a sparse matrix over its own tokens; a shard holds its
-part of every vector of the optimiser.  In an iteration the shards send each
-block the coefficients of its tokens, and the blocks send back their sums of
-the gradient: both are as long as a block has distinct tokens, however often
-those occur.  The layout is written once, so a lost executor's part is read
-again.
+is laid out once as a sparse matrix over its own tokens.
+
+The coefficients are zero at first and every gradient is a sum of rows, so
+each vector of the optimiser is the notes' matrix times a weight of every row
+and category: a block keeps those weights and the vector's margins on its own
+rows, which give all scalar products.  Only a gradient is added up over the
+vocabulary: a block sends the shards the sums of those tokens that other
+blocks hold too, the shards send the totals back and keep nothing.  The
+state is written in the shared folder after every step, the layout once, so a
+lost executor's part is read again.
 
 The optimiser is L-BFGS in its vector-free form: the driver sees scalar
 products of the vectors alone (a dozen numbers).  Margins are linear in the
-step, so the line search tries all steps in one pass over the blocks.
+step, so the line search tries all steps in one pass over the margins.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import re
 import sys
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import py_round
 from ..session import discard, materialize
 
-#: rows of a block at most, tokens of a shard on average
-ROWS_PER_KEY, SHARD = 1024, 1 << 15
+#: rows of a fit's block at most and at least, of a block to predict, bytes of
+#: a block at most, rows that are split into words at once, tokens of a shard
+ROWS_PER_KEY, LEAST_ROWS, PREDICT_ROWS, BLOCK_BYTES, SPLIT_ROWS, SHARD = 1 << 14, 1 << 10, 1 << 12, 1 << 26, 1 << 11, 1 << 15
 HISTORY = 6
 STEPS = [2.0 ** -k for k in range(-1, 11)]
 WORD = re.compile(r"\w\w+", re.ASCII)
@@ -51,42 +58,187 @@ class ShardedModel(NamedTuple):
     losses: list[float]
 
 
-def _blocked(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """``df``, written once, with the block of each row: rows that a task
-    wrote one after another."""
-    out = materialize(df.withColumn("__row", F.monotonically_increasing_id()), name)
-    return out.withColumn("__block", F.expr(f"__row div {rows}"))
-
-
-def _block_tokens(blocked: DataFrame, text: str) -> DataFrame:
-    """(__block, token, n): the rows of a block that hold a token."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("(\\w\\w+)"), 1)
-    return (blocked.select("__block", F.explode(F.array_distinct(words)).alias("token"))
-            .groupBy("__block", "token").agg(F.count(F.lit(1)).alias("n")))
-
-
-def _matrix(texts: list[str | None], tokens: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, value) of smoothed tf-idf with rows of unit length;
-    words that are not among ``tokens`` count for nothing."""
-    place = {t: i for i, t in enumerate(tokens)}
-    row, col, tf = [], [], []
-    for i, text in enumerate(texts):
-        seen: dict[int, int] = {}
-        for word in WORD.findall((text or "").lower()):
-            j = place.get(word)
-            if j is not None:
-                seen[j] = seen.get(j, 0) + 1
-        row += [i] * len(seen)
-        col += seen.keys()
-        tf += seen.values()
-    row, col = np.array(row, np.int32), np.array(col, np.int32)
-    x = np.array(tf, np.float64) * idf[col]
-    return row, col, x / np.sqrt(np.bincount(row, x * x, minlength=len(texts)))[row]
+class Layout(NamedTuple):
+    """The laid out notes: blocks, where their tokens are in the shards, rows
+    of each category, distinct tokens and the shards' number."""
+    blocks: DataFrame
+    links: DataFrame
+    counts: dict[str, int]
+    block_ids: list[int]
+    size: int
+    shards: int
+
+
+# --- words and matrices of a block -------------------------------------------
+
+def _words(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row and the text of each word (two characters of a-z, 0-9 and _ at
+    least, in lower case)."""
+    text = text.cast(pa.string()).fill_null("")
+    odd = pc.match_substring_regex(text, "[^a-z0-9_ ]")
+    if pc.any(odd).as_py():
+        text = pc.replace_with_mask(text, odd, pa.array([" ".join(WORD.findall(x.lower())) for x in text.filter(odd).to_pylist()], pa.string()))
+    split = pc.split_pattern(text, " ")
+    words, row = split.flatten(), pc.list_parent_indices(split)
+    keep = pc.greater_equal(pc.binary_length(words), 2)
+    return row.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64), words.filter(keep)
+
+
+def _counted(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens, each row's number of them, and row after row their
+    places and how often they occur."""
+    names, lens, cols, tfs = [], [], [], []
+    for at in range(0, len(text), SPLIT_ROWS):
+        part = text.slice(at, SPLIT_ROWS)
+        row, words = _words(part)
+        words = words.dictionary_encode()
+        size = max(len(words.dictionary), 1)
+        key = row * size + words.indices.to_numpy()
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        names.append(words.dictionary)
+        lens.append(np.bincount(key[first] // size, minlength=len(part)))
+        cols.append(key[first] % size)
+        tfs.append(np.diff(first, append=len(key)))
+    every = pa.concat_arrays(names).dictionary_encode() if names else pa.array([], pa.string()).dictionary_encode()
+    place = np.split(every.indices.to_numpy(), np.cumsum([len(x) for x in names])[:-1]) if names else []
+    col = np.concatenate([p[c] for p, c in zip(place, cols)] or [np.zeros(0)]).astype(np.int32)
+    tf = np.concatenate(tfs or [np.zeros(0)])
+    small = not len(tf) or tf.max() < 256
+    return every.dictionary, np.concatenate(lens or [np.zeros(0)]).astype(np.int32), col, tf.astype(np.uint8 if small else np.uint32)
+
+
+def _shard_of(tokens: pa.Array, shards: int) -> np.ndarray:
+    """A hash of each token, the same in every process."""
+    tokens = tokens.cast(pa.string())
+    if not len(tokens):
+        return np.zeros(0, np.int32)
+    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends.astype(np.int64) - ends[0]
+    lens = np.diff(ends)
+    powers = np.cumprod(np.full(lens.max() + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(ends[:-1], lens)], out=sums[1:])
+    h = sums[ends[1:]] - sums[ends[:-1]]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(shards)).astype(np.int32)
+
+
+def _packed(codec: str | None = None, **columns) -> bytes:
+    batch = pa.record_batch(list(columns.values()), names=list(columns))
+    return _stream(pa.Table.from_batches([batch]), codec)
+
+
+def _stream(table: pa.Table, codec: str | None = None) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all().combine_chunks()
+
+
+def _array(column: pa.ChunkedArray, kind: type, at: int = 0) -> np.ndarray:
+    return np.frombuffer(column[at].as_buffer(), kind)
+
+
+def _slices(tokens: pa.Array, shards: int, **columns: np.ndarray) -> list[dict]:
+    """The tokens and what belongs to them, packed for each shard."""
+    shard = _shard_of(tokens, shards)
+    order = np.argsort(shard, kind="stable")
+    ids, first = np.unique(shard[order], return_index=True)
+    ends = [*first[1:], len(order)]
+    tokens, columns = tokens.take(pa.array(order)), {x: v[order] for x, v in columns.items()}
+    return [{"shard": int(i), "part": _packed(token=tokens.slice(a, b - a), **{x: pa.array(v[a:b]) for x, v in columns.items()})}
+            for i, a, b in zip(ids, first, ends)]
+
+
+SLICES = "slices array<struct<shard: int, part: binary>>"
+SLICE = pa.list_(pa.struct([("shard", pa.int32()), ("part", pa.binary())]))
+BLOCK = "__block long, lens binary, col binary, tf binary, " + SLICES
+
+
+def _lay_out(text: str, rows: int, shards: int, extra: Callable[[pa.Table], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of rows that a task reads one after another: how often each row
+    has each of the block's tokens, and the tokens by shard."""
+    def block(key: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        tokens, lens, col, tf = _counted(table[text].combine_chunks())
+        parts = _slices(tokens, shards, loc=np.arange(len(tokens), dtype=np.int32), n=np.bincount(col, minlength=len(tokens)).astype(np.int32))
+        columns = {"__block": pa.array([key], pa.int64()), "lens": [lens.tobytes()], "col": [col.tobytes()], "tf": [tf.tobytes()],
+                   "slices": pa.array([parts], SLICE)} | extra(table)
+        return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = TaskContext.get().partitionId() << 32, []
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, rows - sum(x.num_rows for x in held)))
+                batch = batch.slice(held[-1].num_rows)
+                if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= BLOCK_BYTES:
+                    yield block(key, held)
+                    key, held = key + 1, []
+        if held:
+            yield block(key, held)
+    return run
 
 
-def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The rows of ``values`` added up by ``at``: (size, categories)."""
-    return np.stack([np.bincount(at, values[:, i], minlength=size) for i in range(values.shape[1])], axis=1)
+def _labels(table: pa.Table) -> dict:
+    codes = table["label"].combine_chunks().dictionary_encode()
+    y = codes.indices.to_numpy().astype(np.int32)
+    return {"names": pa.array([codes.dictionary.to_pylist()], pa.list_(pa.string())),
+            "seen": pa.array([np.bincount(y, minlength=len(codes.dictionary)).tolist()], pa.list_(pa.int64())), "y": [y.tobytes()]}
+
+
+class _Matrix:
+    """A block's notes: tf-idf with rows of unit length."""
+
+    def __init__(self, block: pa.Table, idf: np.ndarray, norm: np.ndarray | None = None):
+        self.lens, self.col = _array(block["lens"], np.int32), _array(block["col"], np.int32).astype(np.intp)
+        tf = block["tf"][0].as_buffer()
+        self.tf = np.frombuffer(tf, np.uint8 if tf.size == len(self.col) else np.uint32).astype(np.float64)
+        self.idf = idf
+        self.full = np.flatnonzero(self.lens)
+        self.first = (np.cumsum(self.lens, dtype=np.int64) - self.lens)[self.full]
+        if norm is None:
+            x = self.tf * idf[self.col]
+            norm = np.sqrt(self._of_rows(x * x))
+        self.norm = norm
+
+    def _of_rows(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.lens))
+        if len(self.full):
+            out[self.full] = np.add.reduceat(x, self.first)
+        return out
+
+    def _by_length(self, x: np.ndarray) -> np.ndarray:
+        return np.divide(x, self.norm, out=np.zeros_like(x), where=self.norm > 0)
+
+    def tokens(self, rows: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+        """The rows added up, each token's with its values: (categories, tokens);
+        ``only`` some of the entries."""
+        out = np.empty((rows.shape[1], len(self.idf)))
+        of, col, tf = np.repeat(np.arange(len(self.lens)), self.lens), self.col, self.tf
+        if only is not None:
+            of, col, tf = of[only], col[only], tf[only]
+        for i in range(len(out)):
+            x = self._by_length(rows[:, i])[of]
+            x *= tf
+            out[i] = np.bincount(col, x, minlength=len(self.idf))
+        out *= self.idf
+        return out
+
+    def rows(self, w: np.ndarray) -> np.ndarray:
+        """Each row's margins, from the tokens' coefficients (categories, tokens)."""
+        out = np.empty((len(self.lens), len(w)))
+        for i in range(len(w)):
+            x = (w[i] * self.idf)[self.col]
+            x *= self.tf
+            out[:, i] = self._by_length(self._of_rows(x))
+        return out
 
 
 def _chances(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,123 +269,255 @@ def _direction(dots: dict, basis: list[str], pairs: list[tuple[str, str]]) -> di
     return {x: d.get(x, 0.0) for x in basis}
 
 
-def _lay_out(docs: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-    """A block's matrix, its labels, and its tokens' places in each shard."""
-    tokens = tokens.sort_values(["shard", "at"])
-    row, col, v = _matrix(docs["text"].tolist(), tokens["token"].tolist(), tokens["idf"].to_numpy(np.float64))
-    shards, first = np.unique(tokens["shard"].to_numpy(np.int32), return_index=True)
-    ats = np.split(tokens["at"].to_numpy(np.int32), first[1:])
-    return pd.DataFrame({"__block": [int(docs["__block"].iloc[0])], "y": [docs["y"].to_numpy(np.int32).tobytes()],
-                         "row": [row.tobytes()], "col": [col.tobytes()], "v": [v.tobytes()],
-                         "shards": [[int(x) for x in shards]],
-                         "ats": [[x.tobytes() for x in ats] if len(shards) else []]})
-
-
-LAYOUT = "__block long, y binary, row binary, col binary, v binary, shards array<int>, ats array<binary>"
-
-
-def _whole(slices: dict[int, bytes], shards: list[int], k: int) -> np.ndarray:
-    got = [np.frombuffer(slices[x], np.float64) for x in shards]
-    return np.concatenate(got).reshape(-1, k) if got else np.zeros((0, k))
-
-
-def _gradient(k: int, bias: list[float]):
-    """A block's part of the gradient from its coefficients, in slices for
-    the shards; shard -1: the loss and the intercepts' part."""
-    def run(blocks: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        b = blocks.iloc[0]
-        row, col, v = np.frombuffer(b["row"], np.int32), np.frombuffer(b["col"], np.int32), np.frombuffer(b["v"], np.float64)
-        y, shards = np.frombuffer(b["y"], np.int32), list(b["shards"])
-        w = _whole(dict(zip(sent["shard"], sent["w"])), shards, k)
-        z = _sums(row, v[:, None] * w[col], len(y)) + np.array(bias)
-        p, log_sum = _chances(z)
-        every = np.arange(len(y))
-        loss = float((log_sum - z[every, y]).sum())
-        p[every, y] -= 1.0
-        g = _sums(col, v[:, None] * p[row], len(w))
-        ats = [np.frombuffer(x, np.int32) for x in b["ats"]]
-        ends = np.cumsum([len(x) for x in ats], dtype=np.int64)
-        parts = np.split(g, ends[:-1]) if ats else []
-        return pd.DataFrame({"shard": [-1, *shards], "__block": int(b["__block"]), "at": [b"", *[x.tobytes() for x in ats]],
-                             "g": [np.append(loss, p.sum(axis=0)).tobytes(), *[np.ascontiguousarray(x).tobytes() for x in parts]]})
+# --- the layout of a fit -----------------------------------------------------
+
+LINKS = "shard int, __block long, size int, loc binary, at binary, idf binary, own binary, words binary"
+LINK = pa.schema([("shard", pa.int32()), ("__block", pa.int64()), ("size", pa.int32()), *[(x, pa.binary()) for x in ("loc", "at", "idf", "own", "words")]])
+
+
+def _number(n: int):
+    """A shard's tokens in order: to each block their places and idf and
+    whether no other block has them; block -1: the words."""
+    def run(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("__block")
+        got = [_unpacked(x.as_buffer()) for x in parts["part"]]
+        tokens = pa.concat_arrays([x["token"].combine_chunks() for x in got]).dictionary_encode()
+        order = pc.sort_indices(tokens.dictionary).to_numpy()
+        words = tokens.dictionary.take(pa.array(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        at = place[tokens.indices.to_numpy()]
+        df = np.bincount(at, np.concatenate([x["n"].to_numpy() for x in got]), minlength=len(words))
+        idf, own = np.log((1.0 + n) / (df + 1.0)) + 1.0, np.bincount(at, minlength=len(words)) == 1
+        shard, rows = parts["shard"][0].as_py(), []
+        rows.append((shard, -1, len(words), None, None, idf.tobytes(), None, _packed(token=words)))
+        for b, x, a in zip(parts["__block"].to_pylist(), got, np.split(at, np.cumsum([len(x) for x in got])[:-1])):
+            rows.append((shard, b, len(a), x["loc"].to_numpy().tobytes(), a.tobytes(), idf[a].tobytes(), own[a].tobytes(), None))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), LINK)], schema=LINK)
+    return run
+
+
+def lay_out(train: DataFrame, text: str = "clean_notes", label: str = "category", partitions: int | None = None,
+            rows_per_key: int = ROWS_PER_KEY, rows: int | None = None) -> Layout:
+    """The labelled notes as blocks, written once; ``train`` is read once more
+    to count its rows, unless ``rows`` says about how many there are."""
+    spark = train.sparkSession
+    train = train.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    rows = train.count() if rows is None else rows
+    slots, parts = spark.sparkContext.defaultParallelism, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # larger blocks exchange less, but there is one for every core at least
+    per_block = min(rows_per_key, max(LEAST_ROWS, -(-rows // (4 * slots))))
+    shards = max(min(parts, 2 * slots), -(-rows // ROWS_PER_KEY))
+    laid = materialize(train.mapInArrow(_lay_out("text", per_block, shards, _labels), f"{BLOCK}, names array<string>, seen array<long>, y binary"), "blocks")
+    counts: dict[str, int] = {}
+    ids = []
+    for r in laid.select("__block", "names", "seen").collect():
+        ids.append(r["__block"])
+        for x, m in zip(r["names"], r["seen"]):
+            counts[x] = counts.get(x, 0) + m
+    if not counts:
+        raise ValueError("no labelled rows")
+    links = materialize(laid.select("__block", F.inline("slices")).repartition(shards, "shard")
+                        .groupBy("shard").applyInArrow(_number(sum(counts.values())), LINKS), "links")
+    size = links.filter("__block < 0").agg(F.sum("size")).first()[0] or 0
+    return Layout(laid, links, dict(sorted(counts.items())), sorted(ids), size, shards)
+
+
+MATRIX = ("__block long, y binary, lens binary, col binary, tf binary, idf binary, norm binary, shards array<int>, locs array<binary>, "
+          "ats array<binary>, own_shards array<int>, own_locs array<binary>, own_ats array<binary>")
+
+
+def _settle(keys: dict[int, int], labels: list[str]):
+    """A block with its tokens' idf and their places in the shards: of those
+    that other blocks have too, and of its own."""
+    index = {x: i for i, x in enumerate(labels)}
+
+    def run(block: pa.Table, links: pa.Table) -> pa.Table:
+        links = links.sort_by("shard")
+        size = sum(links["size"].to_pylist())
+        idf = np.empty(size)
+        sent: dict[str, list] = {x: [] for x in ("shards", "locs", "ats", "own_shards", "own_locs", "own_ats")}
+        for i, shard in enumerate(links["shard"].to_pylist()):
+            loc, at = _array(links["loc"], np.int32, i), _array(links["at"], np.int32, i)
+            own = _array(links["own"], np.bool_, i)
+            idf[loc] = _array(links["idf"], np.float64, i)
+            for kind, which in (("", ~own), ("own_", own)):
+                if which.any():
+                    for x, v in ((f"{kind}shards", shard), (f"{kind}locs", loc[which].tobytes()), (f"{kind}ats", at[which].tobytes())):
+                        sent[x].append(v)
+        codes = np.array([index[x] for x in block["names"][0].as_py()], np.int32)
+        y = codes[_array(block["y"], np.int32)]
+        columns = {"__block": pa.array([keys[block["__block"][0].as_py()]], pa.int64()), "y": [y.tobytes()],
+                   **{x: block[x].combine_chunks() for x in ("lens", "col", "tf")}, "idf": [idf.tobytes()], "norm": [_Matrix(block, idf).norm.tobytes()],
+                   **{x: pa.array([v], pa.list_(pa.int32() if x.endswith("shards") else pa.binary())) for x, v in sent.items()}}
+        return pa.table(columns)
     return run
 
 
-def _line(k: int, bias: list[float], bias_d: list[float]):
-    """A block's losses after each of ``STEPS``, from its coefficients and
-    their direction."""
-    def run(blocks: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        b = blocks.iloc[0]
-        row, col, v = np.frombuffer(b["row"], np.int32), np.frombuffer(b["col"], np.int32), np.frombuffer(b["v"], np.float64)
-        y = np.frombuffer(b["y"], np.int32)
-        both = _whole(dict(zip(sent["shard"], sent["w"])), list(b["shards"]), 2 * k)
-        m = _sums(row, v[:, None] * both[col], len(y)) + np.array([*bias, *bias_d])
+def _spread(spark: SparkSession, ids: list[int], parts: int) -> dict[int, int]:
+    """A key for each block, each in a partition of its own."""
+    found: dict[int, int] = {}
+    most = 32 * parts
+    while len(found) < len(ids):
+        keys = spark.range(most).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p"))
+        found = {r["p"]: r["id"] for r in keys.groupBy("p").agg(F.min("id").alias("id")).collect()}
+        most *= 2
+    return dict(zip(ids, (found[p] for p in sorted(found))))
+
+
+# --- steps of the optimiser --------------------------------------------------
+
+STATE = "__block long, y binary, m binary, alpha binary, dots array<double>, rest array<double>"
+
+
+def _vectors(packed: pa.Buffer, k: int, names: list[str]) -> dict[str, np.ndarray]:
+    return dict(zip(names, np.frombuffer(packed, np.float64).reshape(len(names), -1, k)))
+
+
+def _combined(vectors: dict[str, np.ndarray], c: dict[str, float]) -> np.ndarray | float:
+    return sum(f * vectors[x] for x, f in c.items())
+
+
+def _each(run, schema: dict):
+    """``run`` on every row of the state's table."""
+    def batches(state: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in state:
+            for i in range(batch.num_rows):
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(run({n: batch[n][i] for n in batch.schema.names}), schema.values())], names=list(schema))
+    return batches
+
+
+def _start(k: int):
+    def run(block: dict) -> tuple:
+        zeros = bytes(len(block["y"].as_buffer()) // 4 * k * 8)
+        return block["__block"].as_py(), block["y"].as_py(), zeros, zeros, [], []
+    return _each(run, {"__block": pa.int64(), "y": pa.binary(), "m": pa.binary(), "alpha": pa.binary(), "dots": pa.list_(pa.float64()), "rest": pa.list_(pa.float64())})
+
+
+def _line(names: list[str], c: dict[str, float], k: int, bias: list[float], bias_d: list[float]):
+    """A block's losses after each of ``STEPS``."""
+    def run(state: dict) -> tuple:
+        y, m = np.frombuffer(state["y"].as_buffer(), np.int32), _vectors(state["m"].as_buffer(), k, names)
+        at, d = m["w"] + np.array(bias), _combined(m, c) + np.array(bias_d)
         every, losses = np.arange(len(y)), []
         for t in STEPS:
-            z = m[:, :k] + t * m[:, k:]
+            z = at + t * d
             losses.append(float((_chances(z)[1] - z[every, y]).sum()))
-        return pd.DataFrame({"losses": [losses]})
-    return run
+        return state["__block"].as_py(), losses
+    return _each(run, {"__block": pa.int64(), "losses": pa.list_(pa.float64())})
+
+
+def _residuals(y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float]:
+    """Softmax less one at the row's category, and the rows' loss."""
+    p, log_sum = _chances(z)
+    every = np.arange(len(y))
+    p[every, y] -= 1.0
+    return p, float((log_sum - z[every, y]).sum())
 
 
-GRADIENT = "shard int, __block long, at binary, g binary"
-STATE = "shard int, size int, names array<string>, vectors array<binary>, dots array<double>"
+def _ahead(names: list[str], c: dict[str, float], t: float, k: int, bias: list[float]):
+    """The residuals of a block's rows after the step."""
+    def run(state: dict) -> tuple:
+        y, m = np.frombuffer(state["y"].as_buffer(), np.int32), _vectors(state["m"].as_buffer(), k, names)
+        return state["__block"].as_py(), _residuals(y, m["w"] + t * _combined(m, c) + np.array(bias))[0].tobytes()
+    return _each(run, {"__block": pa.int64(), "r": pa.binary()})
 
 
-def _vectors(state: pd.DataFrame) -> dict[str, np.ndarray]:
-    s = state.iloc[0]
-    return {n: np.frombuffer(x, np.float64) for n, x in zip(s["names"], s["vectors"])}
+PARTS = "shard int, __block long, at binary, g binary"
+PART = pa.schema([("shard", pa.int32()), ("__block", pa.int64()), ("at", pa.binary()), ("g", pa.binary())])
+
+
+def _matrix(block: pa.Table) -> _Matrix:
+    return _Matrix(block, _array(block["idf"], np.float64), _array(block["norm"], np.float64))
+
+
+def _gradient(k: int, own: bool = False):
+    """A block's sums of its tokens, in slices for the shards; with ``own``
+    also of the tokens that no other block has."""
+    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
+        g = _matrix(block).tokens(_array(rows["r"], np.float64).reshape(-1, k))
+        key, out = block["__block"][0].as_py(), []
+        for kind in ("", "own_")[:1 + own]:
+            for shard, loc, at in zip(*(block[f"{kind}{x}"][0] for x in ("shards", "locs", "ats"))):
+                out.append((shard.as_py(), key, at.as_py(), g[:, np.frombuffer(loc.as_buffer(), np.int32)].tobytes()))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 4, PART)], schema=PART)
+    return run
 
 
-def _moved(vectors: dict[str, np.ndarray], c: dict[str, float], t: float) -> np.ndarray:
-    return vectors["w"] + t * sum(f * vectors[x] for x, f in c.items())
+def _total(parts: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    parts = parts.sort_by("__block")  # a fixed order of the sums
+    ats = [np.frombuffer(x.as_buffer(), np.int32) for x in parts["at"]]
+    g = np.zeros((k, max(int(x.max()) for x in ats) + 1))
+    for at, x in zip(ats, parts["g"]):
+        g[:, at] += np.frombuffer(x.as_buffer(), np.float64).reshape(k, -1)  # a block has a token once
+    return g, ats
 
 
-def _send(c: dict[str, float], t: float, k: int):
-    """To each block, the coefficients of its tokens after the step."""
-    def run(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if not len(links) or not len(state):
-            return pd.DataFrame({"__block": [], "shard": [], "w": []})
-        w = _moved(_vectors(state), c, t).reshape(-1, k)
-        return pd.DataFrame({"__block": links["__block"], "shard": links["shard"],
-                             "w": [w[np.frombuffer(x, np.int32)].tobytes() for x in links["at"]]})
+def _back(k: int):
+    """To each block, the totals of its tokens."""
+    def run(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("__block")
+        g, ats = _total(parts, k)
+        return pa.table({"__block": parts["__block"], "shard": parts["shard"], "w": pa.array([g[:, at].tobytes() for at in ats], pa.binary())})
     return run
 
 
-def _send_line(c: dict[str, float], k: int):
-    """To each block, its tokens' coefficients and their direction."""
-    def run(state: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if not len(links) or not len(state):
-            return pd.DataFrame({"__block": [], "shard": [], "w": []})
-        old = _vectors(state)
-        both = np.hstack([old["w"].reshape(-1, k), sum(f * old[x] for x, f in c.items()).reshape(-1, k)])
-        return pd.DataFrame({"__block": links["__block"], "shard": links["shard"],
-                             "w": [both[np.frombuffer(x, np.int32)].tobytes() for x in links["at"]]})
+def _take(names: list[str], c: dict[str, float], t: float, k: int, n: int, bias: list[float], keep: list[str], new: tuple[str, str] | None,
+          want: list[tuple[str, str]]):
+    """A block after the step: weights and margins of the new vectors, its
+    part of the scalar products, of the loss and of the intercepts' gradient."""
+    def run(block: pa.Table, sent: pa.Table) -> pa.Table:
+        shards = sent["shard"].to_pylist()
+        y, x = _array(block["y"], np.int32), _matrix(block)
+        m, alpha = (_vectors(sent["w"][shards.index(i)].as_buffer(), k, names) for i in (-1, -2))
+        step = {"m": t * _combined(m, c), "alpha": t * _combined(alpha, c)}
+        w = {"m": m["w"] + step["m"], "alpha": alpha["w"] + step["alpha"]}
+        r, loss = _residuals(y, w["m"] + np.array(bias))
+        total = np.empty((k, len(x.idf)))
+        own = np.ones(len(x.idf), bool)
+        locs = dict(zip(block["shards"][0].as_py(), block["locs"][0]))
+        for i, shard in enumerate(shards):
+            if shard >= 0:
+                loc = np.frombuffer(locs[shard].as_buffer(), np.int32)
+                total[:, loc] = _array(sent["w"], np.float64, i).reshape(k, -1)
+                own[loc] = False
+        if own.any():
+            total[:, own] = x.tokens(r, own[x.col])[:, own]
+        g = {"m": x.rows(total) / n + w["m"] / n, "alpha": r / n + w["alpha"] / n}
+        after = {}
+        for kind, old in (("m", m), ("alpha", alpha)):
+            after[kind] = {v: old[v] for v in keep} | {"w": w[kind], "g": g[kind]}
+            if new:
+                after[kind] |= {new[0]: step[kind], new[1]: g[kind] - old["g"]}
+        dots = [float(np.vdot(after["alpha"][a], after["m"][b])) for a, b in want]
+        return pa.table({"__block": block["__block"], "y": block["y"], "m": [b"".join(v.tobytes() for v in after["m"].values())],
+                         "alpha": [b"".join(v.tobytes() for v in after["alpha"].values())], "dots": pa.array([dots], pa.list_(pa.float64())),
+                         "rest": pa.array([[loss, *r.sum(axis=0).tolist()]], pa.list_(pa.float64()))})
     return run
 
 
-def _take(c: dict[str, float], t: float, k: int, n: int, keep: list[str], new: tuple[str, str] | None, want: list[tuple[str, str]]):
-    """A shard after the step: its new vectors and scalar products."""
-    def run(state: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("__block")  # a fixed order of the sums
-        if not len(state):  # shard -1
-            total = np.sum([np.frombuffer(x, np.float64) for x in parts["g"]], axis=0)
-            return pd.DataFrame({"shard": [-1], "size": [0], "names": [[]], "vectors": [[]], "dots": [total.tolist()]})
-        old, size = _vectors(state), int(state["size"].iloc[0])
-        w = _moved(old, c, t)
-        g = np.zeros((size, k))
-        for at, x in zip(parts["at"], parts["g"]):
-            g[np.frombuffer(at, np.int32)] += np.frombuffer(x, np.float64).reshape(-1, k)  # a block has a token once
-        g = g.ravel() / n + w / n
-        vectors = {x: old[x] for x in keep} | {"w": w, "g": g}
-        if new:
-            vectors |= {new[0]: w - old["w"], new[1]: g - old["g"]}
-        return pd.DataFrame({"shard": state["shard"], "size": [size], "names": [list(vectors)],
-                             "vectors": [[x.tobytes() for x in vectors.values()]],
-                             "dots": [[float(vectors[a] @ vectors[b]) for a, b in want]]})
+def _named(k: int):
+    """A shard's tokens with their idf and coefficients."""
+    def run(words: pa.Table, parts: pa.Table) -> pa.Table:
+        w = _total(parts, k)[0]
+        return pa.table({"token": _unpacked(words["words"][0].as_buffer())["token"].combine_chunks(), "idf": pa.array(_array(words["idf"], np.float64)),
+                         "w": pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, k, dtype=np.int32)), pa.array(w.T.ravel()))})
     return run
 
 
+@contextlib.contextmanager
+def _clean_shuffles(spark: SparkSession):
+    """Each step's shuffle files go when it is written, not when the driver
+    happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "category", max_iter: int = 1000,
                 tol: float = 1e-4, partitions: int | None = None, rows_per_key: int = ROWS_PER_KEY) -> ShardedModel:
     """K3: the model of ``train_category_model`` (smoothed tf-idf, unit
@@ -242,65 +526,50 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
 
     Stops after ``max_iter`` iterations or when the loss improves by less than
     ``tol`` of itself.  Rows without a label are left out; a null text has no
-    tokens.  Every step writes the shards in the shared folder.  Only the
-    categories and their intercepts are lists on the driver.
+    tokens.  Every step writes its state in the shared folder.  Only the
+    categories, their intercepts and the blocks' numbers are lists on the driver.
     """
-    spark = train.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _blocked(train.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")),
-                    rows_per_key, "labelled")
-    counts = sorted((r["label"], r["n"]) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect())
-    if not counts:
-        raise ValueError("no labelled rows")
-    labels, k, n = [c[0] for c in counts], len(counts), sum(c[1] for c in counts)
-    held = materialize(_block_tokens(rows, "text"), "block-tokens")
-    idf = held.groupBy("token").agg(F.sum("n").alias("n")).withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("n") + 1.0)) + 1.0)
-    idf = materialize(idf, "idf")
-    shards = max(parts, -(-idf.count() // SHARD))
-    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int")
-    order = Window.partitionBy("shard").orderBy("token")
-    tokens = materialize(idf.withColumn("shard", shard).withColumn("at", F.row_number().over(order) - 1), "tokens")
-    index = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, i)]), F.col("label"))
-    laid = (rows.select("__block", "text", index.alias("y")).groupBy("__block")
-            .cogroup(held.select("__block", "token").join(tokens.select("token", "idf", "shard", "at"), "token").groupBy("__block"))
-            .applyInPandas(_lay_out, LAYOUT))
-    laid = materialize(laid, "blocks")
-    blocks = laid.repartition(parts, "__block").persist(StorageLevel.MEMORY_AND_DISK)
-    links = (laid.select("__block", F.inline(F.arrays_zip("shards", "ats"))).toDF("__block", "shard", "at")
-             .repartition(parts, "shard").persist(StorageLevel.MEMORY_AND_DISK))
-
-    prior = [math.log(c / n) for _, c in counts]
+    with _clean_shuffles(train.sparkSession):
+        return fit_laid_out(lay_out(train, text, label, partitions, rows_per_key), max_iter, tol)
+
+
+def fit_laid_out(layout: Layout, max_iter: int = 1000, tol: float = 1e-4) -> ShardedModel:
+    """``fit_sharded`` on laid out notes; their tables are removed."""
+    spark = layout.blocks.sparkSession
+    labels, n = list(layout.counts), sum(layout.counts.values())
+    k, parts = len(labels), max(len(layout.block_ids), min(layout.shards, spark.sparkContext.defaultParallelism))
+    keys = _spread(spark, layout.block_ids, parts)
+    settled = (layout.blocks.drop("slices", "seen").groupBy("__block").cogroup(layout.links.filter("__block >= 0").drop("words").groupBy("__block"))
+               .applyInArrow(_settle(keys, labels), MATRIX))
+    blocks = settled.repartition(parts, "__block").persist(StorageLevel.MEMORY_AND_DISK)
+    shared = blocks.drop("own_shards", "own_locs", "own_ats")
+
+    prior = [math.log(c / n) for c in layout.counts.values()]
     bias = [p - sum(prior) / k for p in prior]
 
-    def empty(size: pd.DataFrame) -> pd.DataFrame:
-        m = int(size["m"].iloc[0])
-        return pd.DataFrame({"shard": size["shard"], "size": [m], "names": [["w"]], "vectors": [[np.zeros(m * k).tobytes()]], "dots": [[]]})
-
-    state = materialize(tokens.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).groupBy("shard").applyInPandas(empty, STATE), "shards")
-
-    def tried(c: dict, t: float, bias: list[float], keep: list[str], new, want) -> tuple[DataFrame, DataFrame, float, list[float], list[float]]:
-        """The shards after a step, the table they are in, the mean loss, the intercepts'
-        gradient and the scalar products wanted."""
-        by_shard = state.groupBy("shard")
-        sent = by_shard.cogroup(links.groupBy("shard")).applyInPandas(_send(c, t, k), "__block long, shard int, w binary")
-        got = blocks.groupBy("__block").cogroup(sent.groupBy("__block")).applyInPandas(_gradient(k, bias), GRADIENT)
-        after = materialize(by_shard.cogroup(got.groupBy("shard")).applyInPandas(_take(c, t, k, n, keep, new, want), STATE), "shards")
-        products, rest = [0.0] * len(want), []
-        for r in sorted(after.select("shard", "dots").collect(), key=lambda r: r["shard"]):
-            if r["shard"] < 0:
-                rest = r["dots"]
-            else:
-                products = [x + y for x, y in zip(products, r["dots"])]
-        return after.filter("shard >= 0"), after, rest[0] / n, [x / n for x in rest[1:]], products
+    def tried(c: dict, t: float, bias: list[float], keep: list[str], new, want) -> tuple[DataFrame, list[str], float, list[float], list[float]]:
+        """The state after a step, the names of its vectors, the mean loss, the
+        intercepts' gradient and the scalar products wanted."""
+        rows = state.select("__block", "y", "m").mapInArrow(_ahead(names, c, t, k, bias), "__block long, r binary")
+        sums = shared.groupBy("__block").cogroup(rows.groupBy("__block")).applyInArrow(_gradient(k), PARTS)
+        back = sums.repartition(parts, "shard").groupBy("shard").applyInArrow(_back(k), "__block long, shard int, w binary")
+        old = state.select("__block", F.expr("inline(array(struct(-1 AS shard, m AS w), struct(-2 AS shard, alpha AS w)))"))
+        step = shared.groupBy("__block").cogroup(back.unionByName(old).groupBy("__block"))
+        after = materialize(step.applyInArrow(_take(names, c, t, k, n, bias, keep, new, want), STATE), "state")
+        products, rest = [0.0] * len(want), [0.0] * (1 + k)
+        for r in sorted(after.select("__block", "dots", "rest").collect(), key=lambda r: r["__block"]):
+            products = [x + y for x, y in zip(products, r["dots"])]
+            rest = [x + y for x, y in zip(rest, r["rest"])]
+        return after, [*keep, "w", "g", *(new or ())], rest[0] / n, [x / n for x in rest[1:]], products
 
     try:
+        state = materialize(blocks.select("__block", "y").mapInArrow(_start(k), STATE), "state")
+        names, written = ["w"], state
         pairs: list[tuple[str, str]] = []
         dots: dict = {}
-        written = state
         want = [("g", "g"), ("w", "w"), ("g", "w")]
-        state, new_written, loss, bias_g, got = tried({}, 0.0, bias, [], None, want)
+        state, names, loss, bias_g, got = tried({}, 0.0, bias, [], None, want)
         discard(written)
-        written = new_written
         ww = got[1]
         own = {("g", "g"): got[0], ("g", "w"): got[2]}  # scalar products without the intercepts
 
@@ -319,12 +588,11 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
             bias_d = [sum(c[x] * side[x][i] for x in basis) for i in range(k)]
             s, y = f"s{serial}", f"y{serial}"
             kept = pairs[-(HISTORY - 1):]
-            names = [x for p in [*kept, (s, y)] for x in p]
-            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*names, "g"]}
-                          | {(min(a, "w"), max(a, "w")) for a in [*names, "g", "w"]})
-            sent = state.groupBy("shard").cogroup(links.groupBy("shard")).applyInPandas(_send_line(c, k), "__block long, shard int, w binary")
-            line = (blocks.groupBy("__block").cogroup(sent.groupBy("__block")).applyInPandas(_line(k, bias, bias_d), "losses array<double>")
-                    .agg(*[F.sum(F.col("losses")[j]).alias(f"l{j}") for j in range(len(STEPS))]).first())
+            vectors = [x for p in [*kept, (s, y)] for x in p]
+            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*vectors, "g"]}
+                          | {(min(a, "w"), max(a, "w")) for a in [*vectors, "g", "w"]})
+            line = state.select("__block", "y", "m").mapInArrow(_line(names, c, k, bias, bias_d), "__block long, losses array<double>").collect()
+            line = np.sum([r["losses"] for r in sorted(line, key=lambda r: r["__block"])], axis=0).tolist()
             # the penalty of each step from scalar products with w
             wd, dd = product("w", c), sum(v * product(x, c) for x, v in c.items())
             full = {t: line[j] / n + (ww + 2 * t * wd + t * t * dd) / (2 * n) for j, t in enumerate(STEPS)}
@@ -332,10 +600,10 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
             if not fine:
                 break
             t = min(fine, key=lambda t: full[t])
-            step = [b + t * d for b, d in zip(bias, bias_d)]
-            after, new_written, loss, new_bias_g, got = tried(c, t, step, [x for p in kept for x in p], (s, y), want)
+            bias = [b + t * d for b, d in zip(bias, bias_d)]
+            written = state
+            state, names, loss, new_bias_g, got = tried(c, t, bias, [x for p in kept for x in p], (s, y), want)
             discard(written)
-            state, written, bias = after, new_written, step
             side[s], side[y] = [t * d for d in bias_d], [a - b for a, b in zip(new_bias_g, bias_g)]
             side["g"] = bias_g = new_bias_g
             for (a, b), x in zip(want, got):
@@ -347,16 +615,55 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
             losses.append(full[t])
             if abs(losses[-2] - losses[-1]) <= tol * max(abs(losses[-1]), 1e-12):
                 break
+        of = names.index("w")
+        rows = state.select("__block", F.expr(f"substring(alpha, CAST({of} * (length(alpha) div {len(names)}) + 1 AS INT), CAST(length(alpha) div {len(names)} AS INT))").alias("r"))
+        sums = blocks.groupBy("__block").cogroup(rows.groupBy("__block")).applyInArrow(_gradient(k, own=True), PARTS)
+        words = layout.links.filter("__block < 0").select("shard", "idf", "words")
+        w = words.repartition(parts, "shard").groupBy("shard").cogroup(sums.repartition(parts, "shard").groupBy("shard"))
+        coefficients = materialize(w.applyInArrow(_named(k), "token string, idf double, w array<double>"), "coefficients")
+        discard(state)
     finally:
         blocks.unpersist()
-        links.unpersist()
+    discard(layout.blocks)
+    discard(layout.links)
+    return ShardedModel(coefficients, labels, bias, losses)
+
+
+# --- prediction --------------------------------------------------------------
+
+def _deal(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch["w"]
+            width = len(w[0]) if len(w) else 0
+            w = w.flatten().to_numpy().reshape(len(batch), width)
+            parts = _slices(batch["token"], shards, idf=batch["idf"].to_numpy(), row=np.arange(len(batch), dtype=np.int32))
+            for x in parts:
+                x["w"] = w[_unpacked(pa.py_buffer(x["part"]))["row"].to_numpy()].tobytes()
+            if parts:
+                yield pa.record_batch([pa.array([x[c] for x in parts], t) for c, t in (("shard", pa.int32()), ("part", pa.binary()), ("w", pa.binary()))], names=["shard", "part", "w"])
+    return run
 
-    def rows_of(shard: pd.DataFrame) -> pd.DataFrame:
-        w = _vectors(shard)["w"].reshape(-1, k)
-        return pd.DataFrame({"shard": int(shard["shard"].iloc[0]), "at": np.arange(len(w), dtype=np.int32), "w": list(w)})
 
-    w = state.groupBy("shard").applyInPandas(rows_of, "shard int, at int, w array<double>")
-    return ShardedModel(materialize(tokens.join(w, ["shard", "at"]).select("token", "idf", "w"), "coefficients"), labels, bias, losses)
+def _look_up(k: int):
+    """To each block, idf and coefficients of those of its tokens that the
+    model has."""
+    def run(parts: pa.Table, model: pa.Table) -> pa.Table:
+        known = [_unpacked(x.as_buffer()) for x in model["part"]]
+        out = {"__block": [], "loc": [], "idf": [], "w": []}
+        if known:
+            words = pa.concat_arrays([x["token"].combine_chunks() for x in known])
+            idf = np.concatenate([x["idf"].to_numpy() for x in known])
+            w = np.concatenate([np.frombuffer(x.as_buffer(), np.float64).reshape(-1, k) for x in model["w"]])
+            for block, part in zip(parts["__block"].to_pylist(), parts["part"]):
+                part = _unpacked(part.as_buffer())
+                at = pc.index_in(part["token"].combine_chunks(), words)
+                has = at.is_valid().to_numpy(zero_copy_only=False)
+                at = at.drop_null().to_numpy()
+                for c, v in (("__block", block), ("loc", part["loc"].to_numpy()[has].tobytes()), ("idf", idf[at].tobytes()), ("w", w[at].tobytes())):
+                    out[c].append(v)
+        return pa.table({c: pa.array(v, pa.int64() if c == "__block" else pa.binary()) for c, v in out.items()})
+    return run
 
 
 def predict_sharded(model: ShardedModel, df: DataFrame, text: str = "clean_notes", known: list[str] | None = None,
@@ -365,19 +672,28 @@ def predict_sharded(model: ShardedModel, df: DataFrame, text: str = "clean_notes
     probability (3 decimals), as ``predict_category`` gives them.  Each block
     of rows gets the coefficients of its own tokens, so neither its words nor
     sums for its rows are shuffled."""
-    k, columns, intercepts = len(model.labels), df.columns, np.array(model.intercepts, np.float64)
-
-    def run(docs: pa.Table, tokens: pa.Table) -> pa.Table:
-        row, col, v = _matrix(docs[text].to_pylist(), tokens["token"].to_pylist(), np.asarray(tokens["idf"], np.float64))
-        w = np.array(tokens["w"].to_pylist(), np.float64).reshape(-1, k)
-        p = _chances(_sums(row, v[:, None] * w[col], docs.num_rows) + intercepts)[0]
-        return (docs.select(columns).append_column("__at", pa.array(p.argmax(axis=1).astype(np.int32)))
-                .append_column("__top", pa.array(p.max(axis=1))))
-
-    blocked = _blocked(df, ROWS_PER_KEY, "unlabelled")
-    tokens = _block_tokens(blocked, text).join(model.coefficients.select("token", "idf", "w"), "token").select(F.col("__block").alias("__of"), "token", "idf", "w")
+    spark, k, columns, intercepts = df.sparkSession, len(model.labels), df.columns, np.array(model.intercepts, np.float64)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(parts, -(-model.coefficients.count() // SHARD))
+
+    def run(block: pa.Table, got: pa.Table) -> pa.Table:
+        docs = _unpacked(block["rows"][0].as_buffer())
+        col = _array(block["col"], np.int32)
+        size = int(col.max()) + 1 if len(col) else 0
+        idf, w = np.zeros(size), np.zeros((k, size))  # words that the model has not count for nothing
+        for i in range(len(got)):
+            loc = _array(got["loc"], np.int32, i)
+            idf[loc] = _array(got["idf"], np.float64, i)
+            w[:, loc] = _array(got["w"], np.float64, i).reshape(-1, k).T
+        p = _chances(_Matrix(block, idf).rows(w) + intercepts)[0]
+        return (docs.append_column("__at", pa.array(p.argmax(axis=1).astype(np.int32))).append_column("__top", pa.array(p.max(axis=1))))
+
+    laid = materialize(df.mapInArrow(_lay_out(text, PREDICT_ROWS, shards, lambda table: {"rows": [_stream(table, "zstd")]}), f"{BLOCK}, rows binary"), "unlabelled")
+    table = model.coefficients.select("token", "idf", "w").mapInArrow(_deal(shards), "shard int, part binary, w binary")
+    got = (laid.select("__block", F.inline("slices")).groupBy("shard").cogroup(table.groupBy("shard"))
+           .applyInArrow(_look_up(k), "__block long, loc binary, idf binary, w binary"))
     schema = StructType([*[StructField(f.name, f.dataType) for f in df.schema.fields], StructField("__at", IntegerType()), StructField("__top", DoubleType())])
-    out = blocked.groupBy("__block").cogroup(tokens.groupBy("__of")).applyInArrow(run, schema)
+    out = laid.drop("slices").groupBy("__block").cogroup(got.groupBy("__block")).applyInArrow(run, schema)
     pred = F.get(F.array(*map(F.lit, model.labels)), F.col("__at"))
     pred = F.when(pred.isin(model.labels if known is None else known), pred).otherwise(F.lit(fallback))
     return out.select(*columns, pred.alias("predicted_category"), py_round("__top", 3).alias("confidence"))
