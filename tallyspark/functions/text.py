@@ -22,7 +22,8 @@ def clean_text(col) -> Column:
     # (?U): whitespace is Unicode-aware, as in Python's ``re`` on str.
     # after lower() no A-Z remains; deleting whole runs is the same text, faster
     s = F.regexp_replace(s, r"(?U)[^a-z0-9\s]+", "")
-    s = F.regexp_replace(s, r"(?U)\s+", " ")
+    # a blank alone stays what it is
+    s = F.regexp_replace(s, r"(?U)\s{2,}|[^\S ]", " ")
     return F.trim(s)
 
 

@@ -32,13 +32,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import RDD, StorageLevel, TaskContext, cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import py_round
-from ..session import discard, materialize
+from ..session import discard, ensure_checkpoint_dir, materialize
 
 #: rows of a fit's block at most and at least, of a block to predict, bytes of
 #: a block at most, rows that are split into words at once, tokens of a shard
@@ -145,6 +145,11 @@ def _array(column: pa.ChunkedArray, kind: type, at: int = 0) -> np.ndarray:
     return np.frombuffer(column[at].as_buffer(), kind)
 
 
+def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    col, tf = _array(block["col"], np.int32), block["tf"][0].as_buffer()
+    return _array(block["lens"], np.int32), col, np.frombuffer(tf, np.uint8 if tf.size == len(col) else np.uint32)
+
+
 def _slices(tokens: pa.Array, shards: int, **columns: np.ndarray) -> list[dict]:
     """The tokens and what belongs to them, packed for each shard."""
     shard = _shard_of(tokens, shards)
@@ -194,51 +199,64 @@ def _labels(table: pa.Table) -> dict:
 
 
 class _Matrix:
-    """A block's notes: tf-idf with rows of unit length."""
-
-    def __init__(self, block: pa.Table, idf: np.ndarray, norm: np.ndarray | None = None):
-        self.lens, self.col = _array(block["lens"], np.int32), _array(block["col"], np.int32).astype(np.intp)
-        tf = block["tf"][0].as_buffer()
-        self.tf = np.frombuffer(tf, np.uint8 if tf.size == len(self.col) else np.uint32).astype(np.float64)
-        self.idf = idf
-        self.full = np.flatnonzero(self.lens)
-        self.first = (np.cumsum(self.lens, dtype=np.int64) - self.lens)[self.full]
+    """A block's notes: tf-idf with rows of unit length.  Its sums go over
+    slices of rows, whose numbers stay in a core's cache."""
+
+    def __init__(self, lens: np.ndarray, col: np.ndarray, tf: np.ndarray, idf: np.ndarray, norm: np.ndarray | None = None):
+        self.lens, self.col, self.tf, self.idf = lens, col, tf, idf
+        self.ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        self.step = max(1, (len(lens) << 18) // max(len(col), 1))
         if norm is None:
-            x = self.tf * idf[self.col]
-            norm = np.sqrt(self._of_rows(x * x))
+            norm = np.zeros(len(lens))
+            for a, z, col, tf in self._parts():
+                x = tf * idf[col]
+                norm[a:z] = np.sqrt(self._of_rows(x * x, a, z))
         self.norm = norm
 
-    def _of_rows(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.lens))
-        if len(self.full):
-            out[self.full] = np.add.reduceat(x, self.first)
+    def _parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for a in range(0, len(self.lens), self.step):
+            z = min(a + self.step, len(self.lens))
+            at = slice(self.ends[a], self.ends[z])
+            yield a, z, self.col[at].astype(np.intp), self.tf[at].astype(np.float64)
+
+    def _of_rows(self, x: np.ndarray, a: int, z: int) -> np.ndarray:
+        out = np.zeros(z - a)
+        full = np.flatnonzero(self.lens[a:z])
+        if len(full):
+            out[full] = np.add.reduceat(x, self.ends[a:z][full] - self.ends[a])
         return out
 
     def _by_length(self, x: np.ndarray) -> np.ndarray:
-        return np.divide(x, self.norm, out=np.zeros_like(x), where=self.norm > 0)
-
-    def tokens(self, rows: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
-        """The rows added up, each token's with its values: (categories, tokens);
-        ``only`` some of the entries."""
-        out = np.empty((rows.shape[1], len(self.idf)))
-        of, col, tf = np.repeat(np.arange(len(self.lens)), self.lens), self.col, self.tf
-        if only is not None:
-            of, col, tf = of[only], col[only], tf[only]
-        for i in range(len(out)):
-            x = self._by_length(rows[:, i])[of]
-            x *= tf
-            out[i] = np.bincount(col, x, minlength=len(self.idf))
+        return np.divide(x, self.norm[:, None], out=np.zeros_like(x), where=self.norm[:, None] > 0)
+
+    def tokens(self, rows: np.ndarray) -> np.ndarray:
+        """The rows added up, each token's with its values: (categories, tokens)."""
+        rows = np.ascontiguousarray(self._by_length(rows).T)
+        out = np.zeros((len(rows), len(self.idf)))
+        for a, z, col, tf in self._parts():
+            for i, x in enumerate(rows):
+                x = np.repeat(x[a:z], self.lens[a:z])
+                x *= tf
+                out[i] += np.bincount(col, x, minlength=len(self.idf))
         out *= self.idf
         return out
 
+    def add(self, out: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+        """``tokens`` of the entries ``at`` alone, added to ``out``."""
+        rows, col, of = self._by_length(rows), self.col[at], np.searchsorted(self.ends, at, side="right") - 1
+        for i in range(len(out)):
+            np.add.at(out[i], col, rows[of, i] * self.tf[at] * self.idf[col])
+
     def rows(self, w: np.ndarray) -> np.ndarray:
         """Each row's margins, from the tokens' coefficients (categories, tokens)."""
-        out = np.empty((len(self.lens), len(w)))
-        for i in range(len(w)):
-            x = (w[i] * self.idf)[self.col]
-            x *= self.tf
-            out[:, i] = self._by_length(self._of_rows(x))
-        return out
+        out, w = np.empty((len(self.lens), len(w))), w * self.idf
+        for a, z, col, tf in self._parts():
+            x = np.empty(len(col))
+            for i in range(len(w)):
+                np.take(w[i], col, out=x, mode="clip")
+                x *= tf
+                out[a:z, i] = self._of_rows(x, a, z)
+        return self._by_length(out)
 
 
 def _chances(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,9 +323,11 @@ def lay_out(train: DataFrame, text: str = "clean_notes", label: str = "category"
     train = train.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     rows = train.count() if rows is None else rows
     slots, parts = spark.sparkContext.defaultParallelism, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # larger blocks exchange less, but there is one for every core at least
-    per_block = min(rows_per_key, max(LEAST_ROWS, -(-rows // (4 * slots))))
+    # larger blocks exchange less, but there are two for every core
+    per_block = min(rows_per_key, max(LEAST_ROWS, -(-rows // (2 * slots))))
     shards = max(min(parts, 2 * slots), -(-rows // ROWS_PER_KEY))
+    # a task reads one block if it can
+    train = train.coalesce(slots * -(-rows // (ROWS_PER_KEY * slots))) if rows > ROWS_PER_KEY * slots else train
     laid = materialize(train.mapInArrow(_lay_out("text", per_block, shards, _labels), f"{BLOCK}, names array<string>, seen array<long>, y binary"), "blocks")
     counts: dict[str, int] = {}
     ids = []
@@ -317,8 +337,9 @@ def lay_out(train: DataFrame, text: str = "clean_notes", label: str = "category"
             counts[x] = counts.get(x, 0) + m
     if not counts:
         raise ValueError("no labelled rows")
-    links = materialize(laid.select("__block", F.inline("slices")).repartition(shards, "shard")
-                        .groupBy("shard").applyInArrow(_number(sum(counts.values())), LINKS), "links")
+    with _clean_shuffles(spark):
+        links = materialize(laid.select("__block", F.inline("slices")).repartition(shards, "shard")
+                            .groupBy("shard").applyInArrow(_number(sum(counts.values())), LINKS), "links")
     size = links.filter("__block < 0").agg(F.sum("size")).first()[0] or 0
     return Layout(laid, links, dict(sorted(counts.items())), sorted(ids), size, shards)
 
@@ -347,167 +368,185 @@ def _settle(keys: dict[int, int], labels: list[str]):
                         sent[x].append(v)
         codes = np.array([index[x] for x in block["names"][0].as_py()], np.int32)
         y = codes[_array(block["y"], np.int32)]
+        norm = _Matrix(*_entries(block), idf).norm
         columns = {"__block": pa.array([keys[block["__block"][0].as_py()]], pa.int64()), "y": [y.tobytes()],
-                   **{x: block[x].combine_chunks() for x in ("lens", "col", "tf")}, "idf": [idf.tobytes()], "norm": [_Matrix(block, idf).norm.tobytes()],
+                   **{x: block[x].combine_chunks() for x in ("lens", "col", "tf")}, "idf": [idf.tobytes()], "norm": [norm.tobytes()],
                    **{x: pa.array([v], pa.list_(pa.int32() if x.endswith("shards") else pa.binary())) for x, v in sent.items()}}
         return pa.table(columns)
     return run
 
 
-def _spread(spark: SparkSession, ids: list[int], parts: int) -> dict[int, int]:
-    """A key for each block, each in a partition of its own."""
-    found: dict[int, int] = {}
-    most = 32 * parts
-    while len(found) < len(ids):
-        keys = spark.range(most).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p"))
-        found = {r["p"]: r["id"] for r in keys.groupBy("p").agg(F.min("id").alias("id")).collect()}
-        most *= 2
-    return dict(zip(ids, (found[p] for p in sorted(found))))
-
-
 # --- steps of the optimiser --------------------------------------------------
 
-STATE = "__block long, y binary, m binary, alpha binary, dots array<double>, rest array<double>"
+# Vectors add up to zero over the categories (residuals do), so the last
+# category is left out of all that is kept and sent.
 
+def _by_key(key: int) -> int:
+    return key
 
-def _vectors(packed: pa.Buffer, k: int, names: list[str]) -> dict[str, np.ndarray]:
-    return dict(zip(names, np.frombuffer(packed, np.float64).reshape(len(names), -1, k)))
 
+def _loaded(row: Row) -> tuple[int, dict]:
+    """A block's matrix and its tokens' places in the shards."""
+    def ints(x: bytes) -> np.ndarray:
+        return np.frombuffer(bytes(x), np.int32)
 
-def _combined(vectors: dict[str, np.ndarray], c: dict[str, float]) -> np.ndarray | float:
-    return sum(f * vectors[x] for x, f in c.items())
+    tf = bytes(row["tf"])
+    block = {"y": ints(row["y"]), "lens": ints(row["lens"]), "col": ints(row["col"]),
+             "tf": np.frombuffer(tf, np.uint8 if 4 * len(tf) == len(row["col"]) else np.uint32),
+             "idf": np.frombuffer(bytes(row["idf"]), np.float64), "norm": np.frombuffer(bytes(row["norm"]), np.float64)}
+    for kind in ("", "own_"):
+        block[f"{kind}sent"] = [(shard, ints(loc), ints(at)) for shard, loc, at in zip(*(row[f"{kind}{x}"] for x in ("shards", "locs", "ats")))]
+    own = np.ones(len(block["idf"]), bool)
+    for _, loc, _ in block["sent"]:
+        own[loc] = False
+    # entries of tokens that no other block has
+    block["own"] = np.flatnonzero(own[block["col"]]).astype(np.int32)
+    return row["__block"], block
 
 
-def _each(run, schema: dict):
-    """``run`` on every row of the state's table."""
-    def batches(state: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in state:
-            for i in range(batch.num_rows):
-                yield pa.record_batch([pa.array([x], t) for x, t in zip(run({n: batch[n][i] for n in batch.schema.names}), schema.values())], names=list(schema))
-    return batches
+def _matrix(block: dict) -> _Matrix:
+    return _Matrix(*(block[x] for x in ("lens", "col", "tf", "idf", "norm")))
 
 
 def _start(k: int):
-    def run(block: dict) -> tuple:
-        zeros = bytes(len(block["y"].as_buffer()) // 4 * k * 8)
-        return block["__block"].as_py(), block["y"].as_py(), zeros, zeros, [], []
-    return _each(run, {"__block": pa.int64(), "y": pa.binary(), "m": pa.binary(), "alpha": pa.binary(), "dots": pa.list_(pa.float64()), "rest": pa.list_(pa.float64())})
+    def run(block: dict) -> dict:
+        zeros = np.zeros((len(block["y"]), k - 1))
+        return {"y": block["y"], "m": {"w": zeros}, "alpha": {"w": zeros}, "dots": [], "rest": []}
+    return run
+
+
+def _combined(vectors: dict[str, np.ndarray], c: dict[str, float]) -> np.ndarray | float:
+    return sum(f * vectors[x] for x, f in c.items())
+
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """With the last category."""
+    return np.column_stack([x, -x.sum(axis=1)])
 
-def _line(names: list[str], c: dict[str, float], k: int, bias: list[float], bias_d: list[float]):
+
+def _line(c: dict[str, float], bias: list[float], bias_d: list[float]):
     """A block's losses after each of ``STEPS``."""
-    def run(state: dict) -> tuple:
-        y, m = np.frombuffer(state["y"].as_buffer(), np.int32), _vectors(state["m"].as_buffer(), k, names)
-        at, d = m["w"] + np.array(bias), _combined(m, c) + np.array(bias_d)
+    def run(state: dict) -> list[float]:
+        y, at, d = state["y"], _whole(state["m"]["w"]) + np.array(bias), _whole(_combined(state["m"], c)) + np.array(bias_d)
         every, losses = np.arange(len(y)), []
         for t in STEPS:
             z = at + t * d
             losses.append(float((_chances(z)[1] - z[every, y]).sum()))
-        return state["__block"].as_py(), losses
-    return _each(run, {"__block": pa.int64(), "losses": pa.list_(pa.float64())})
+        return losses
+    return run
 
 
-def _residuals(y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float]:
-    """Softmax less one at the row's category, and the rows' loss."""
+def _residuals(state: dict, c: dict[str, float], t: float, bias: list[float]) -> tuple[np.ndarray, float]:
+    """Softmax less one at the row's category, after the step, and the rows' loss."""
+    z, y = _whole(state["m"]["w"] + t * _combined(state["m"], c)) + np.array(bias), state["y"]
     p, log_sum = _chances(z)
     every = np.arange(len(y))
     p[every, y] -= 1.0
     return p, float((log_sum - z[every, y]).sum())
 
 
-def _ahead(names: list[str], c: dict[str, float], t: float, k: int, bias: list[float]):
-    """The residuals of a block's rows after the step."""
-    def run(state: dict) -> tuple:
-        y, m = np.frombuffer(state["y"].as_buffer(), np.int32), _vectors(state["m"].as_buffer(), k, names)
-        return state["__block"].as_py(), _residuals(y, m["w"] + t * _combined(m, c) + np.array(bias))[0].tobytes()
-    return _each(run, {"__block": pa.int64(), "r": pa.binary()})
+def _together(items: Iterator[tuple]) -> Iterator[tuple[int, dict, dict, dict]]:
+    """A partition's blocks with their state and what the shards sent."""
+    found: dict[int, list[dict]] = {}
+    for key, value in items:
+        at = found.setdefault(key, [{}, {}, {}])
+        if isinstance(value, tuple):
+            at[2][value[0]] = value[1]
+        else:
+            at["m" in value] = value
+    for key, (block, state, sums) in found.items():
+        yield key, block, state, sums
+
+
+def _gradient(c: dict[str, float], t: float, bias: list[float]):
+    """A block's sums of its tokens, in slices for the shards."""
+    def run(items: Iterator[tuple]) -> Iterator[tuple]:
+        for key, block, state, _ in _together(items):
+            g = _matrix(block).tokens(_residuals(state, c, t, bias)[0][:, :-1])
+            for shard, loc, at in block["sent"]:
+                yield shard, (key, at, g[:, loc])
+    return run
 
 
-PARTS = "shard int, __block long, at binary, g binary"
-PART = pa.schema([("shard", pa.int32()), ("__block", pa.int64()), ("at", pa.binary()), ("g", pa.binary())])
+def _coefficients(items: Iterator[tuple]) -> Iterator[tuple]:
+    """A block's part of the coefficients, also of tokens that no other block has."""
+    for key, block, state, _ in _together(items):
+        w = _matrix(block).tokens(state["alpha"]["w"])
+        for shard, loc, at in block["sent"] + block["own_sent"]:
+            yield shard, (key, at, w[:, loc])
 
 
-def _matrix(block: pa.Table) -> _Matrix:
-    return _Matrix(block, _array(block["idf"], np.float64), _array(block["norm"], np.float64))
+def _totals(parts: Iterator[tuple]) -> Iterator[tuple[int, list[tuple], np.ndarray]]:
+    """The shards' parts and their sums: (categories, tokens)."""
+    found: dict[int, list[tuple]] = {}
+    for shard, part in parts:
+        found.setdefault(shard, []).append(part)
+    for shard, got in found.items():
+        got.sort(key=lambda x: x[0])  # a fixed order of the sums
+        total = np.zeros((len(got[0][2]), max(int(at.max()) for _, at, _ in got) + 1))
+        for _, at, g in got:
+            for i in range(len(g)):
+                total[i][at] += g[i]  # a block has a token once
+        yield shard, got, total
 
 
-def _gradient(k: int, own: bool = False):
-    """A block's sums of its tokens, in slices for the shards; with ``own``
-    also of the tokens that no other block has."""
-    def run(block: pa.Table, rows: pa.Table) -> pa.Table:
-        g = _matrix(block).tokens(_array(rows["r"], np.float64).reshape(-1, k))
-        key, out = block["__block"][0].as_py(), []
-        for kind in ("", "own_")[:1 + own]:
-            for shard, loc, at in zip(*(block[f"{kind}{x}"][0] for x in ("shards", "locs", "ats"))):
-                out.append((shard.as_py(), key, at.as_py(), g[:, np.frombuffer(loc.as_buffer(), np.int32)].tobytes()))
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 4, PART)], schema=PART)
-    return run
+def _back(parts: Iterator[tuple]) -> Iterator[tuple]:
+    """To each block, the totals of its tokens."""
+    for shard, got, total in _totals(parts):
+        for key, at, _ in got:
+            yield key, (shard, total[:, at])
 
 
-def _total(parts: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    parts = parts.sort_by("__block")  # a fixed order of the sums
-    ats = [np.frombuffer(x.as_buffer(), np.int32) for x in parts["at"]]
-    g = np.zeros((k, max(int(x.max()) for x in ats) + 1))
-    for at, x in zip(ats, parts["g"]):
-        g[:, at] += np.frombuffer(x.as_buffer(), np.float64).reshape(k, -1)  # a block has a token once
-    return g, ats
+def _named(parts: Iterator[tuple]) -> Iterator[tuple]:
+    """A shard's coefficients in the order of its tokens, of all categories."""
+    for shard, _, w in _totals(parts):
+        yield shard, _whole(w.T).tobytes()
 
 
-def _back(k: int):
-    """To each block, the totals of its tokens."""
-    def run(parts: pa.Table) -> pa.Table:
-        parts = parts.sort_by("__block")
-        g, ats = _total(parts, k)
-        return pa.table({"__block": parts["__block"], "shard": parts["shard"], "w": pa.array([g[:, at].tobytes() for at in ats], pa.binary())})
-    return run
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.vdot(a, b) + a.sum(axis=1) @ b.sum(axis=1))
 
 
-def _take(names: list[str], c: dict[str, float], t: float, k: int, n: int, bias: list[float], keep: list[str], new: tuple[str, str] | None,
-          want: list[tuple[str, str]]):
+def _take(c: dict[str, float], t: float, n: int, bias: list[float], keep: list[str], new: tuple[str, str] | None, want: list[tuple[str, str]]):
     """A block after the step: weights and margins of the new vectors, its
     part of the scalar products, of the loss and of the intercepts' gradient."""
-    def run(block: pa.Table, sent: pa.Table) -> pa.Table:
-        shards = sent["shard"].to_pylist()
-        y, x = _array(block["y"], np.int32), _matrix(block)
-        m, alpha = (_vectors(sent["w"][shards.index(i)].as_buffer(), k, names) for i in (-1, -2))
-        step = {"m": t * _combined(m, c), "alpha": t * _combined(alpha, c)}
-        w = {"m": m["w"] + step["m"], "alpha": alpha["w"] + step["alpha"]}
-        r, loss = _residuals(y, w["m"] + np.array(bias))
-        total = np.empty((k, len(x.idf)))
-        own = np.ones(len(x.idf), bool)
-        locs = dict(zip(block["shards"][0].as_py(), block["locs"][0]))
-        for i, shard in enumerate(shards):
-            if shard >= 0:
-                loc = np.frombuffer(locs[shard].as_buffer(), np.int32)
-                total[:, loc] = _array(sent["w"], np.float64, i).reshape(k, -1)
-                own[loc] = False
-        if own.any():
-            total[:, own] = x.tokens(r, own[x.col])[:, own]
-        g = {"m": x.rows(total) / n + w["m"] / n, "alpha": r / n + w["alpha"] / n}
-        after = {}
-        for kind, old in (("m", m), ("alpha", alpha)):
-            after[kind] = {v: old[v] for v in keep} | {"w": w[kind], "g": g[kind]}
-            if new:
-                after[kind] |= {new[0]: step[kind], new[1]: g[kind] - old["g"]}
-        dots = [float(np.vdot(after["alpha"][a], after["m"][b])) for a, b in want]
-        return pa.table({"__block": block["__block"], "y": block["y"], "m": [b"".join(v.tobytes() for v in after["m"].values())],
-                         "alpha": [b"".join(v.tobytes() for v in after["alpha"].values())], "dots": pa.array([dots], pa.list_(pa.float64())),
-                         "rest": pa.array([[loss, *r.sum(axis=0).tolist()]], pa.list_(pa.float64()))})
+    def run(items: Iterator[tuple]) -> Iterator[tuple]:
+        for key, block, state, sums in _together(items):
+            x = _matrix(block)
+            r, loss = _residuals(state, c, t, bias)
+            total = np.zeros((r.shape[1] - 1, len(x.idf)))
+            for shard, loc, _ in block["sent"]:
+                for i, w in enumerate(sums[shard]):
+                    total[i][loc] = w
+            x.add(total, r[:, :-1], block["own"])
+            after = {"y": state["y"], "rest": [loss, *r.sum(axis=0).tolist()]}
+            for kind, g in (("m", x.rows(total)), ("alpha", r[:, :-1])):
+                old = state[kind]
+                step = t * _combined(old, c)
+                w = old["w"] + step
+                g = g / n + w / n
+                after[kind] = {v: old[v] for v in keep} | {"w": w, "g": g}
+                if new:
+                    after[kind] |= {new[0]: step, new[1]: g - old["g"]}
+            after["dots"] = [_dot(after["alpha"][a], after["m"][b]) for a, b in want]
+            yield key, after
     return run
 
 
-def _named(k: int):
-    """A shard's tokens with their idf and coefficients."""
-    def run(words: pa.Table, parts: pa.Table) -> pa.Table:
-        w = _total(parts, k)[0]
-        return pa.table({"token": _unpacked(words["words"][0].as_buffer())["token"].combine_chunks(), "idf": pa.array(_array(words["idf"], np.float64)),
-                         "w": pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, k, dtype=np.int32)), pa.array(w.T.ravel()))})
-    return run
+def _join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards' tokens with their idf and coefficients."""
+    for batch in batches:
+        for words, idf, w in zip(batch["words"], batch["idf"], batch["w"]):
+            token = _unpacked(words.as_buffer())["token"].combine_chunks()
+            w = np.frombuffer(w.as_buffer(), np.float64)
+            ends = np.linspace(0, len(w), len(token) + 1).astype(np.int32)
+            yield pa.record_batch([token, pa.array(np.frombuffer(idf.as_buffer(), np.float64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(w))],
+                                  names=["token", "idf", "w"])
 
 
 @contextlib.contextmanager
 def _clean_shuffles(spark: SparkSession):
-    """Each step's shuffle files go when it is written, not when the driver
+    """A table's shuffle files go when it is written, not when the driver
     happens to collect its garbage."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
@@ -518,6 +557,15 @@ def _clean_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def _forget(state: RDD) -> None:
+    """Remove a state that no step reads any more."""
+    path, sc = state.getCheckpointFile(), state.ctx
+    state.unpersist()
+    if path:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "category", max_iter: int = 1000,
                 tol: float = 1e-4, partitions: int | None = None, rows_per_key: int = ROWS_PER_KEY) -> ShardedModel:
     """K3: the model of ``train_category_model`` (smoothed tf-idf, unit
@@ -529,47 +577,51 @@ def fit_sharded(train: DataFrame, text: str = "clean_notes", label: str = "categ
     tokens.  Every step writes its state in the shared folder.  Only the
     categories, their intercepts and the blocks' numbers are lists on the driver.
     """
-    with _clean_shuffles(train.sparkSession):
-        return fit_laid_out(lay_out(train, text, label, partitions, rows_per_key), max_iter, tol)
+    return fit_laid_out(lay_out(train, text, label, partitions, rows_per_key), max_iter, tol)
 
 
 def fit_laid_out(layout: Layout, max_iter: int = 1000, tol: float = 1e-4) -> ShardedModel:
     """``fit_sharded`` on laid out notes; their tables are removed."""
     spark = layout.blocks.sparkSession
-    labels, n = list(layout.counts), sum(layout.counts.values())
-    k, parts = len(labels), max(len(layout.block_ids), min(layout.shards, spark.sparkContext.defaultParallelism))
-    keys = _spread(spark, layout.block_ids, parts)
-    settled = (layout.blocks.drop("slices", "seen").groupBy("__block").cogroup(layout.links.filter("__block >= 0").drop("words").groupBy("__block"))
-               .applyInArrow(_settle(keys, labels), MATRIX))
-    blocks = settled.repartition(parts, "__block").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = blocks.drop("own_shards", "own_locs", "own_ats")
+    ensure_checkpoint_dir(spark)
+    labels, n, sc = list(layout.counts), sum(layout.counts.values()), spark.sparkContext
+    k, parts = len(labels), len(layout.block_ids)
+    with _clean_shuffles(spark):
+        keys = {x: i for i, x in enumerate(layout.block_ids)}
+        settled = materialize(layout.blocks.drop("slices", "seen").groupBy("__block").cogroup(layout.links.filter("__block >= 0").drop("words").groupBy("__block"))
+                              .applyInArrow(_settle(keys, labels), MATRIX), "matrix")
+        words = materialize(layout.links.filter("__block < 0").select("shard", "idf", "words"), "words")
+    discard(layout.blocks)
+    discard(layout.links)
+    # a partition for each block: with its state, only sums are shuffled
+    blocks = settled.rdd.map(_loaded).partitionBy(parts, _by_key).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def kept(state: RDD) -> RDD:
+        return state._reserialize(blocks._jrdd_deserializer).persist(StorageLevel.MEMORY_AND_DISK)
 
     prior = [math.log(c / n) for c in layout.counts.values()]
     bias = [p - sum(prior) / k for p in prior]
 
-    def tried(c: dict, t: float, bias: list[float], keep: list[str], new, want) -> tuple[DataFrame, list[str], float, list[float], list[float]]:
-        """The state after a step, the names of its vectors, the mean loss, the
-        intercepts' gradient and the scalar products wanted."""
-        rows = state.select("__block", "y", "m").mapInArrow(_ahead(names, c, t, k, bias), "__block long, r binary")
-        sums = shared.groupBy("__block").cogroup(rows.groupBy("__block")).applyInArrow(_gradient(k), PARTS)
-        back = sums.repartition(parts, "shard").groupBy("shard").applyInArrow(_back(k), "__block long, shard int, w binary")
-        old = state.select("__block", F.expr("inline(array(struct(-1 AS shard, m AS w), struct(-2 AS shard, alpha AS w)))"))
-        step = shared.groupBy("__block").cogroup(back.unionByName(old).groupBy("__block"))
-        after = materialize(step.applyInArrow(_take(names, c, t, k, n, bias, keep, new, want), STATE), "state")
+    def tried(c: dict, t: float, bias: list[float], keep: list[str], new, want) -> tuple[RDD, float, list[float], list[float]]:
+        """The state after a step, the mean loss, the intercepts' gradient and
+        the scalar products wanted."""
+        sums = sc.union([blocks, state]).mapPartitions(_gradient(c, t, bias)).partitionBy(min(layout.shards, parts), _by_key)
+        back = sums.mapPartitions(_back).partitionBy(parts, _by_key)
+        after = kept(sc.union([blocks, state, back]).mapPartitions(_take(c, t, n, bias, keep, new, want), preservesPartitioning=True))
+        after.checkpoint()
         products, rest = [0.0] * len(want), [0.0] * (1 + k)
-        for r in sorted(after.select("__block", "dots", "rest").collect(), key=lambda r: r["__block"]):
-            products = [x + y for x, y in zip(products, r["dots"])]
-            rest = [x + y for x, y in zip(rest, r["rest"])]
-        return after, [*keep, "w", "g", *(new or ())], rest[0] / n, [x / n for x in rest[1:]], products
+        for _, x, y in sorted(after.map(lambda x: (x[0], x[1]["dots"], x[1]["rest"])).collect()):
+            products, rest = [a + b for a, b in zip(products, x)], [a + b for a, b in zip(rest, y)]
+        back._jrdd.rdd().cleanShuffleDependencies(False)
+        _forget(state)
+        return after, rest[0] / n, [x / n for x in rest[1:]], products
 
+    state = kept(blocks.mapValues(_start(k)))
     try:
-        state = materialize(blocks.select("__block", "y").mapInArrow(_start(k), STATE), "state")
-        names, written = ["w"], state
         pairs: list[tuple[str, str]] = []
         dots: dict = {}
         want = [("g", "g"), ("w", "w"), ("g", "w")]
-        state, names, loss, bias_g, got = tried({}, 0.0, bias, [], None, want)
-        discard(written)
+        state, loss, bias_g, got = tried({}, 0.0, bias, [], None, want)
         ww = got[1]
         own = {("g", "g"): got[0], ("g", "w"): got[2]}  # scalar products without the intercepts
 
@@ -587,12 +639,12 @@ def fit_laid_out(layout: Layout, max_iter: int = 1000, tol: float = 1e-4) -> Sha
                 break
             bias_d = [sum(c[x] * side[x][i] for x in basis) for i in range(k)]
             s, y = f"s{serial}", f"y{serial}"
-            kept = pairs[-(HISTORY - 1):]
-            vectors = [x for p in [*kept, (s, y)] for x in p]
-            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*vectors, "g"]}
-                          | {(min(a, "w"), max(a, "w")) for a in [*vectors, "g", "w"]})
-            line = state.select("__block", "y", "m").mapInArrow(_line(names, c, k, bias, bias_d), "__block long, losses array<double>").collect()
-            line = np.sum([r["losses"] for r in sorted(line, key=lambda r: r["__block"])], axis=0).tolist()
+            older = pairs[-(HISTORY - 1):]
+            names = [x for p in [*older, (s, y)] for x in p]
+            want = sorted({(min(a, b), max(a, b)) for a in (s, y, "g") for b in [*names, "g"]}
+                          | {(min(a, "w"), max(a, "w")) for a in [*names, "g", "w"]})
+            line = [x for _, x in sorted(state.mapValues(_line(c, bias, bias_d)).collect())]
+            line = np.sum(line, axis=0).tolist()
             # the penalty of each step from scalar products with w
             wd, dd = product("w", c), sum(v * product(x, c) for x, v in c.items())
             full = {t: line[j] / n + (ww + 2 * t * wd + t * t * dd) / (2 * n) for j, t in enumerate(STEPS)}
@@ -601,9 +653,7 @@ def fit_laid_out(layout: Layout, max_iter: int = 1000, tol: float = 1e-4) -> Sha
                 break
             t = min(fine, key=lambda t: full[t])
             bias = [b + t * d for b, d in zip(bias, bias_d)]
-            written = state
-            state, names, loss, new_bias_g, got = tried(c, t, bias, [x for p in kept for x in p], (s, y), want)
-            discard(written)
+            state, loss, new_bias_g, got = tried(c, t, bias, [x for p in older for x in p], (s, y), want)
             side[s], side[y] = [t * d for d in bias_d], [a - b for a, b in zip(new_bias_g, bias_g)]
             side["g"] = bias_g = new_bias_g
             for (a, b), x in zip(want, got):
@@ -611,21 +661,19 @@ def fit_laid_out(layout: Layout, max_iter: int = 1000, tol: float = 1e-4) -> Sha
                 if "w" not in (a, b):
                     dots[a, b] = x + sum(u * v for u, v in zip(side[a], side[b]))
             ww = own["w", "w"]
-            pairs = kept + ([(s, y)] if dots[min(s, y), max(s, y)] > 0 else [])
+            pairs = older + ([(s, y)] if dots[min(s, y), max(s, y)] > 0 else [])
             losses.append(full[t])
             if abs(losses[-2] - losses[-1]) <= tol * max(abs(losses[-1]), 1e-12):
                 break
-        of = names.index("w")
-        rows = state.select("__block", F.expr(f"substring(alpha, CAST({of} * (length(alpha) div {len(names)}) + 1 AS INT), CAST(length(alpha) div {len(names)} AS INT))").alias("r"))
-        sums = blocks.groupBy("__block").cogroup(rows.groupBy("__block")).applyInArrow(_gradient(k, own=True), PARTS)
-        words = layout.links.filter("__block < 0").select("shard", "idf", "words")
-        w = words.repartition(parts, "shard").groupBy("shard").cogroup(sums.repartition(parts, "shard").groupBy("shard"))
-        coefficients = materialize(w.applyInArrow(_named(k), "token string, idf double, w array<double>"), "coefficients")
-        discard(state)
+        w = sc.union([blocks, state]).mapPartitions(_coefficients).partitionBy(min(layout.shards, parts), _by_key).mapPartitions(_named)
+        with _clean_shuffles(spark):
+            coefficients = materialize(words.join(spark.createDataFrame(w, "shard int, w binary"), "shard")
+                                       .select("idf", "words", "w").mapInArrow(_join_words, "token string, idf double, w array<double>"), "coefficients")
     finally:
         blocks.unpersist()
-    discard(layout.blocks)
-    discard(layout.links)
+        _forget(state)
+    discard(settled)
+    discard(words)
     return ShardedModel(coefficients, labels, bias, losses)
 
 
@@ -685,7 +733,7 @@ def predict_sharded(model: ShardedModel, df: DataFrame, text: str = "clean_notes
             loc = _array(got["loc"], np.int32, i)
             idf[loc] = _array(got["idf"], np.float64, i)
             w[:, loc] = _array(got["w"], np.float64, i).reshape(-1, k).T
-        p = _chances(_Matrix(block, idf).rows(w) + intercepts)[0]
+        p = _chances(_Matrix(*_entries(block), idf).rows(w) + intercepts)[0]
         return (docs.append_column("__at", pa.array(p.argmax(axis=1).astype(np.int32))).append_column("__top", pa.array(p.max(axis=1))))
 
     laid = materialize(df.mapInArrow(_lay_out(text, PREDICT_ROWS, shards, lambda table: {"rows": [_stream(table, "zstd")]}), f"{BLOCK}, rows binary"), "unlabelled")

@@ -2,10 +2,15 @@
 
 import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.operators import categorize as K
+from tallyspark.operators import sharded
 from tallyspark.operators.sharded import ShardedModel, fit_sharded, predict_sharded
 
 
@@ -60,7 +65,6 @@ def test_odd_rows(spark):
 
 
 def test_an_iteration_writes_one_table(spark, notes, monkeypatch):
-    from tallyspark.operators import sharded
     written, write = [], sharded.materialize
     monkeypatch.setattr(sharded, "materialize", lambda df, name: written.append(name) or write(df, name))
     model = fit_sharded(notes, tol=1e-12, max_iter=12)
@@ -99,3 +103,58 @@ def test_the_driver_holds_small_models_alone(spark):
     df = spark.createDataFrame(rows, "doc_id long, clean_notes string, category string")
     model = K.train_category_model(df, max_iter=2)  # 70,004 tokens, 4 categories
     assert isinstance(model, ShardedModel) and model.coefficients.count() == 70_004
+
+
+def test_words_are_those_of_the_tokenizer():
+    """Split and numbered in Arrow, texts that are not cleaned too."""
+    texts = ["red red  blue a b_c", None, "", "Red, BLUE-ish x9\nCafé İst K2", "a b", "_ __ 12"] * 700
+    tokens, lens, col, tf = sharded._counted(pa.array(texts))
+    tokens, at = tokens.to_pylist(), 0
+    assert len(set(tokens)) == len(tokens)
+    for text, n in zip(texts, lens):
+        got = {tokens[c]: int(t) for c, t in zip(col[at:at + n], tf[at:at + n])}
+        assert got == Counter(re.findall(r"\w\w+", (text or "").lower(), re.ASCII))
+        at += n
+    assert at == len(col)
+    shard = sharded._shard_of(pa.array(tokens), 7)
+    assert [sharded._shard_of(pa.array([t]), 7)[0] for t in tokens] == shard.tolist() and len(set(shard)) > 3
+
+
+def test_sums_of_a_block_are_the_matrix_products():
+    rng = np.random.default_rng(1)
+    lens = rng.integers(0, 5, 40).astype(np.int32)
+    col, tf = np.concatenate([rng.choice(30, n, replace=False) for n in lens]).astype(np.int32), rng.integers(1, 4, lens.sum()).astype(np.uint8)
+    idf = rng.random(30) + 1
+    x = np.zeros((40, 30))
+    x[np.repeat(np.arange(40), lens), col] = tf * idf[col]
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    m = sharded._Matrix(lens, col, tf, idf)
+    m.step = 7
+    r, w = rng.random((40, 3)), rng.random((3, 30))
+    np.testing.assert_allclose(m.tokens(r), r.T @ x, atol=1e-14)
+    np.testing.assert_allclose(m.rows(w), x @ w.T, atol=1e-14)
+    own, part = np.flatnonzero(col > 20), np.zeros((3, 30))
+    m.add(part, r, own)
+    np.testing.assert_allclose(part[:, 21:], (r.T @ x)[:, 21:], atol=1e-14)
+
+
+def test_words_of_a_large_model_are_found_once(spark, notes, monkeypatch):
+    def second_time(*a, **k):
+        raise AssertionError("the words are found a second time")
+
+    monkeypatch.setattr(K, "RegexTokenizer", second_time)
+    assert isinstance(K.train_category_model(notes, max_iter=1, max_coefficients=10), ShardedModel)
+
+
+def test_one_category_and_notes_without_words(spark):
+    one = fit_sharded(spark.createDataFrame([(1, "red red", "a"), (2, "blue", "a")], "doc_id long, clean_notes string, category string"))
+    assert sorted((r.token, list(r.w)) for r in one.coefficients.collect()) == [("blue", [0.0]), ("red", [0.0])]
+    df = spark.createDataFrame([(1, "", "a"), (2, None, "b"), (3, "x", "b")], "doc_id long, clean_notes string, category string")
+    model = fit_sharded(df)
+    assert model.coefficients.count() == 0
+    assert {(r.predicted_category, r.confidence) for r in predict_sharded(model, df).collect()} == {("b", 0.667)}
+
+
+def test_rows_meet_few_categories_without_a_shuffle(spark, notes):
+    plan = K.keep_frequent_categories(notes, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
