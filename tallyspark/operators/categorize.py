@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions import counted, half_even, py_round
 from ..schema import MIN_CATEGORY_ROWS
-from ..session import materialize
-from .sharded import ShardedModel, fit_sharded, predict_sharded
+from ..session import discard, materialize
+from .sharded import ShardedModel, fit_laid_out, fit_sharded, lay_out, predict_sharded
 from .skew import salted_join
 
 TOKEN_MIN = 2
@@ -83,11 +83,12 @@ def tfidf_features(df: DataFrame, text: str = "clean_notes", doc: str = "doc_id"
 
 def keep_frequent_categories(df: DataFrame, min_rows: int = MIN_CATEGORY_ROWS,
                              col: str = "category") -> DataFrame:
-    """Rows whose category has at least ``min_rows`` rows."""
+    """Rows whose category has at least ``min_rows`` rows.  The categories
+    are written when the frame is built."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.filter(F.col("_n") >= min_rows).select(col)
-    # the planner broadcasts the categories if they are few; otherwise AQE
-    # splits the rows of a huge one
+    # written, so that the planner knows if they are few and broadcasts them
+    # without a shuffle of the rows; otherwise AQE splits the rows of a huge one
+    big = materialize(counts.filter(F.col("_n") >= min_rows).select(col), "frequent")
     return df.join(big, col, "left_semi").select(*df.columns)
 
 
@@ -99,16 +100,26 @@ def train_category_model(train: DataFrame, text: str = "clean_notes", label: str
     at most 1000 iterations, stopping tolerance 1e-4 as the reference's
     library defaults).  Beyond ``max_coefficients`` (tokens x categories) the
     coefficients stay in a table (``sharded.fit_sharded``)."""
-    # the fit passes over the training rows several times (vocabulary, idf,
-    # labels, iterations): keep them once instead of re-cleaning the texts
+    counts = {r[0]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = None
+    if counts and None not in counts:
+        # the words are found and counted once, for the choice and for the table
+        layout = lay_out(train, text, label, rows=sum(counts.values()))
+        size = layout.size
+        if size * len(counts) > max_coefficients:
+            return fit_laid_out(layout, max_iter, tol)
+        discard(layout.blocks)
+        discard(layout.links)
+    # the library's fit passes over the training rows several times (vocabulary,
+    # idf, labels, iterations): keep them once instead of re-cleaning the texts
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\w\\w+", gaps=False)
         # the reference's vocabulary has no limit: room for every distinct token
-        size = tok.transform(train).select(F.explode("_tok").alias("t")).distinct().count()
-        classes = train.select(label).distinct().count()
-        if size * classes > max_coefficients:
-            return fit_sharded(train, text, label, max_iter, tol)
+        if size is None:
+            size = tok.transform(train).select(F.explode("_tok").alias("t")).distinct().count()
+            if size * len(counts) > max_coefficients:
+                return fit_sharded(train, text, label, max_iter, tol)
         cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=max(size, 1))
         lab = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
         pre = Pipeline(stages=[tok, cv, lab]).fit(train)
