@@ -141,10 +141,6 @@ def q_monthly_recursion(spark, sf):
 
 # --- classification -----------------------------------------------------------
 
-def labelled(spark, sf):
-    return K.keep_frequent_categories(note_labels(spark, sf))
-
-
 @register("train_test_split", """
 SELECT *, CASE WHEN substr(md5('42|' || clean_notes || '|' || CAST(doc_id AS VARCHAR)), 1, 8) < '33333333'
           THEN 'test' ELSE 'train' END AS split FROM note_labels""", ("note_labels",))
@@ -175,32 +171,34 @@ def q_keep_frequent_categories(spark, sf):
         materialize(C.clean_transactions(raw_a(spark, sf), raw_b(spark, sf)), "cleaned"))
 
 
-def _split(spark, sf):
-    return K.train_test_split(labelled(spark, sf), key=("clean_notes", "doc_id"))
+def _split(notes):
+    return K.train_test_split(K.keep_frequent_categories(notes), key=("clean_notes", "doc_id"))
 
 
-def _category_model(spark, sf):
-    return _fitted(spark, "category", _split(spark, sf).filter(F.col("split") == "train"), K.train_category_model,
+def _category_model(spark, split):
+    return _fitted(spark, "category", split.filter(F.col("split") == "train"), K.train_category_model,
                    max_iter=1000, tol=1e-4)
 
 
 @register("train_category_model")
 def q_train_category_model(spark, sf):
-    return K.predict_category(_category_model(spark, sf),
-                              _split(spark, sf).filter(F.col("split") == "test"))
+    # read for the model's name, the fit and the test rows: the texts are cleaned once
+    split = materialize(_split(note_labels(spark, sf)), "split")
+    return K.predict_category(_category_model(spark, split), split.filter(F.col("split") == "test"))
 
 
 @register("train_category_model_sharded")
 def q_train_category_model_sharded(spark, sf):
     """K3 with its coefficients in a table, on the same rows."""
-    split = materialize(_split(spark, sf), "split")
+    split = materialize(_split(note_labels(spark, sf)), "split")
     model = fit_sharded(split.filter(F.col("split") == "train"))
     return K.predict_category(model, split.filter(F.col("split") == "test"))
 
 
 @register("predict_category")
 def q_predict_category(spark, sf):
-    return K.predict_category(_category_model(spark, sf), note_labels(spark, sf))
+    notes = materialize(note_labels(spark, sf), "notes")  # cleaned once, as above
+    return K.predict_category(_category_model(spark, _split(notes)), notes)
 
 
 def counted_model(notes) -> ShardedModel:
