@@ -146,8 +146,9 @@ def _array(column: pa.ChunkedArray, kind: type, at: int = 0) -> np.ndarray:
 
 
 def _entries(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    col, tf = _array(block["col"], np.int32), block["tf"][0].as_buffer()
-    return _array(block["lens"], np.int32), col, np.frombuffer(tf, np.uint8 if tf.size == len(col) else np.uint32)
+    """Rows' lengths, columns and counts of a block as it was laid out."""
+    col, tf = (_unpacked(block[x][0].as_buffer())[x].to_numpy() for x in ("col", "tf"))
+    return _array(block["lens"], np.int32), col, tf
 
 
 def _slices(tokens: pa.Array, shards: int, **columns: np.ndarray) -> list[dict]:
@@ -166,14 +167,16 @@ SLICE = pa.list_(pa.struct([("shard", pa.int32()), ("part", pa.binary())]))
 BLOCK = "__block long, lens binary, col binary, tf binary, " + SLICES
 
 
-def _lay_out(text: str, rows: int, shards: int, extra: Callable[[pa.Table], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _lay_out(text: str, rows: int, shards: int, extra: Callable[[pa.Table], dict], count: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of rows that a task reads one after another: how often each row
-    has each of the block's tokens, and the tokens by shard."""
+    has each of the block's tokens, and the tokens by shard, with ``count``
+    also how many rows have them."""
     def block(key: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         tokens, lens, col, tf = _counted(table[text].combine_chunks())
-        parts = _slices(tokens, shards, loc=np.arange(len(tokens), dtype=np.int32), n=np.bincount(col, minlength=len(tokens)).astype(np.int32))
-        columns = {"__block": pa.array([key], pa.int64()), "lens": [lens.tobytes()], "col": [col.tobytes()], "tf": [tf.tobytes()],
+        having = {"n": np.bincount(col, minlength=len(tokens)).astype(np.int32)} if count else {}
+        parts = _slices(tokens, shards, loc=np.arange(len(tokens), dtype=np.int32), **having)
+        columns = {"__block": pa.array([key], pa.int64()), "lens": [lens.tobytes()], "col": [_packed("zstd", col=pa.array(col))], "tf": [_packed("zstd", tf=pa.array(tf))],
                    "slices": pa.array([parts], SLICE)} | extra(table)
         return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
@@ -368,9 +371,10 @@ def _settle(keys: dict[int, int], labels: list[str]):
                         sent[x].append(v)
         codes = np.array([index[x] for x in block["names"][0].as_py()], np.int32)
         y = codes[_array(block["y"], np.int32)]
-        norm = _Matrix(*_entries(block), idf).norm
+        lens, col, tf = _entries(block)
+        norm = _Matrix(lens, col, tf, idf).norm
         columns = {"__block": pa.array([keys[block["__block"][0].as_py()]], pa.int64()), "y": [y.tobytes()],
-                   **{x: block[x].combine_chunks() for x in ("lens", "col", "tf")}, "idf": [idf.tobytes()], "norm": [norm.tobytes()],
+                   "lens": [lens.tobytes()], "col": [col.tobytes()], "tf": [tf.tobytes()], "idf": [idf.tobytes()], "norm": [norm.tobytes()],
                    **{x: pa.array([v], pa.list_(pa.int32() if x.endswith("shards") else pa.binary())) for x, v in sent.items()}}
         return pa.table(columns)
     return run
@@ -669,8 +673,10 @@ def fit_laid_out(layout: Layout, max_iter: int = 1000, tol: float = 1e-4) -> Sha
         with _clean_shuffles(spark):
             coefficients = materialize(words.join(spark.createDataFrame(w, "shard int, w binary"), "shard")
                                        .select("idf", "words", "w").mapInArrow(_join_words, "token string, idf double, w array<double>"), "coefficients")
+        w._jrdd.rdd().cleanShuffleDependencies(False)
     finally:
         blocks.unpersist()
+        blocks._jrdd.rdd().cleanShuffleDependencies(False)
         _forget(state)
     discard(settled)
     discard(words)
@@ -726,17 +732,17 @@ def predict_sharded(model: ShardedModel, df: DataFrame, text: str = "clean_notes
 
     def run(block: pa.Table, got: pa.Table) -> pa.Table:
         docs = _unpacked(block["rows"][0].as_buffer())
-        col = _array(block["col"], np.int32)
+        lens, col, tf = _entries(block)
         size = int(col.max()) + 1 if len(col) else 0
         idf, w = np.zeros(size), np.zeros((k, size))  # words that the model has not count for nothing
         for i in range(len(got)):
             loc = _array(got["loc"], np.int32, i)
             idf[loc] = _array(got["idf"], np.float64, i)
             w[:, loc] = _array(got["w"], np.float64, i).reshape(-1, k).T
-        p = _chances(_Matrix(*_entries(block), idf).rows(w) + intercepts)[0]
+        p = _chances(_Matrix(lens, col, tf, idf).rows(w) + intercepts)[0]
         return (docs.append_column("__at", pa.array(p.argmax(axis=1).astype(np.int32))).append_column("__top", pa.array(p.max(axis=1))))
 
-    laid = materialize(df.mapInArrow(_lay_out(text, PREDICT_ROWS, shards, lambda table: {"rows": [_stream(table, "zstd")]}), f"{BLOCK}, rows binary"), "unlabelled")
+    laid = materialize(df.mapInArrow(_lay_out(text, PREDICT_ROWS, shards, lambda table: {"rows": [_stream(table, "zstd")]}, count=False), f"{BLOCK}, rows binary"), "unlabelled")
     table = model.coefficients.select("token", "idf", "w").mapInArrow(_deal(shards), "shard int, part binary, w binary")
     got = (laid.select("__block", F.inline("slices")).groupBy("shard").cogroup(table.groupBy("shard"))
            .applyInArrow(_look_up(k), "__block long, loc binary, idf binary, w binary"))

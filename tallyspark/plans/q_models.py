@@ -24,7 +24,7 @@ from .q_clean import STAGES
 from .q_forecast import M2_SQL, m2
 from .q_reports import heven, msum, pyround
 from .q_series import monthly
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import discard, ensure_checkpoint_dir, materialize
 from .registry import register
 
 # --- fitted models are saved in shared storage and reloaded --------------
@@ -180,11 +180,20 @@ def _category_model(spark, split):
                    max_iter=1000, tol=1e-4)
 
 
+def _predicted(model, table, rows):
+    """The predictions; a table model has laid out the rows by then, and
+    nothing reads their table any more."""
+    out = K.predict_category(model, rows)
+    if isinstance(model, ShardedModel):
+        discard(table)
+    return out
+
+
 @register("train_category_model")
 def q_train_category_model(spark, sf):
     # read for the model's name, the fit and the test rows: the texts are cleaned once
     split = materialize(_split(note_labels(spark, sf)), "split")
-    return K.predict_category(_category_model(spark, split), split.filter(F.col("split") == "test"))
+    return _predicted(_category_model(spark, split), split, split.filter(F.col("split") == "test"))
 
 
 @register("train_category_model_sharded")
@@ -192,13 +201,13 @@ def q_train_category_model_sharded(spark, sf):
     """K3 with its coefficients in a table, on the same rows."""
     split = materialize(_split(note_labels(spark, sf)), "split")
     model = fit_sharded(split.filter(F.col("split") == "train"))
-    return K.predict_category(model, split.filter(F.col("split") == "test"))
+    return _predicted(model, split, split.filter(F.col("split") == "test"))
 
 
 @register("predict_category")
 def q_predict_category(spark, sf):
     notes = materialize(note_labels(spark, sf), "notes")  # cleaned once, as above
-    return K.predict_category(_category_model(spark, _split(notes)), notes)
+    return _predicted(_category_model(spark, _split(notes)), notes, notes)
 
 
 def counted_model(notes) -> ShardedModel:
